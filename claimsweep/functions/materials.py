@@ -1,5 +1,7 @@
 """Scalar expressions over one material: quality, hard regions, injection, type, readability."""
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -8,7 +10,7 @@ from .text import contains_any, count_contained, fold, strip
 
 
 def meaningful_chars(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, "(?U)" + R.MEANINGFUL_CHARS, ""))
+    return F.length(text) - F.length(F.regexp_replace(text, "(?U)" + R.MEANINGFUL_CHARS + "+", ""))
 
 
 def text_quality(c: Column, keywords=R.QUALITY_KEYWORDS) -> Column:
@@ -55,21 +57,53 @@ def hard_level(c: Column, keywords=R.HANDWRITING_KEYWORDS) -> Column:
             .when(noisy, "hard").otherwise("normal"))
 
 
-def injection_any(c: Column, rules=R.INJECTION_RULES) -> Column:
-    """True when any rule hits; one pass over the text."""
-    return F.coalesce(c.rlike("(?iU)" + "|".join(f"(?:{p})" for _, p in rules)), F.lit(False))
-
-
-def injection_snippets(c: Column, rules=R.INJECTION_RULES, keep: int = R.MAX_INJECTION_SNIPPETS) -> Column:
-    """Distinct folded snippets in rule order, at most ``keep``; rules run only where one of them hits."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?iU)" + p), F.lit(0)) for _, p in rules]))
-    distinct = F.array_distinct(F.filter(F.transform(found, fold), lambda s: s != ""))
-    return F.when(injection_any(c, rules), F.slice(distinct, 1, keep)).otherwise(F.array().cast("array<string>"))
+def _needed_words(pattern: str) -> list[list[str]]:
+    """Word groups of a pattern of which every match contains at least one word each."""
+    groups = []
+    required = re.sub(r"\(\?:[^()]*\)[?*]", "*", pattern)  # optional groups say nothing
+    for body in re.findall(r"\(\?:([^()]*)\)(?![?*{])", required):
+        words = []
+        for option in body.split("|"):
+            head = re.match(r"[^\\\[\]{}?*+.^$]*", option).group()
+            if option[len(head):len(head) + 1] in tuple("?*{"):
+                head = head[:-1]
+            words.append(head.lower())
+        if all(words):
+            groups.append(words)
+    return groups
+
+
+def _any_case(word: str) -> str:
+    """A literal for any letter case, cheaper than a case-insensitive pattern over unfolded text."""
+    odd = {"s": "\u017f", "k": "\u212a"}
+    return "".join(f"[{ch}{ch.upper()}{odd.get(ch, '')}]" if ch.isascii() and ch.isalpha() else re.escape(ch)
+                   for ch in word)
+
+
+def _may_hit(c: Column, rules) -> Column:
+    """Necessary condition for any rule, in one pass: a needed word of at least one of them is there."""
+    words = []
+    for _, pattern in rules:
+        groups = _needed_words(pattern)
+        if not groups:
+            return F.lit(True)
+        words += groups[0]
+    return c.rlike("|".join(_any_case(w) for w in dict.fromkeys(words)))
 
 
 def injection_labels(c: Column, rules=R.INJECTION_RULES) -> Column:
+    """Labels of the rules that hit, in rule order; a label repeats when two of its rules hit."""
+    none = F.array().cast("array<string>")
     hits = F.array_compact(F.array(*[F.when(c.rlike("(?iU)" + p), label) for label, p in rules]))
-    return F.when(injection_any(c, rules), hits).otherwise(F.array().cast("array<string>"))
+    return F.when(_may_hit(c, rules), hits).otherwise(none)
+
+
+def injection_snippets(c: Column, rules=R.INJECTION_RULES, keep: int = R.MAX_INJECTION_SNIPPETS) -> Column:
+    """Distinct folded snippets in rule order, at most ``keep``."""
+    none = F.array().cast("array<string>")
+    found = F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?iU)" + p), F.lit(0)) for _, p in rules]))
+    kept = F.slice(F.array_distinct(F.filter(F.transform(found, fold), lambda s: s != "")), 1, keep)
+    return F.when(_may_hit(c, rules), kept).otherwise(none)
 
 
 def filename_type(file_name: Column, hints=R.FILENAME_HINTS) -> Column:

@@ -52,7 +52,8 @@ def model_date(c: Column) -> Column:
 def iso_date_text(c: Column) -> Column:
     """Zero-padded ISO form of the first date-like run, without a calendar check; else folded text."""
     y, m, d = (F.regexp_extract(c, DATE_PATTERN, i) for i in (1, 2, 3))
-    return F.when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise(fold(c))
+    done = c.rlike(r"^\d{4}-\d\d-\d\d$")
+    return F.when(done, c).when(y != "", F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))).otherwise(fold(c))
 
 
 def value_normalize(name: Column, raw: Column) -> Column:

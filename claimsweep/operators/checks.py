@@ -33,6 +33,19 @@ def value(field: str) -> Column:
     return F.col(f"f_{field}.value")
 
 
+#: inputs parsed once per claim, in a projection of their own, before the checks use them repeatedly
+PARSED = {
+    "p_invoice_amount": lambda: amount_parse(value("invoice_amount")),
+    "p_payment_amount": lambda: amount_parse(value("payment_amount")),
+    "p_invoice_date": lambda: date_parse(value("invoice_date")),
+    "p_travel_start": lambda: date_parse(value("travel_start_date")),
+    "p_travel_end": lambda: date_parse(value("travel_end_date")),
+    "p_person": lambda: blank_to_null(value("applicant_name")),
+    "p_buyer": lambda: blank_to_null(value("invoice_buyer")),
+    "p_payee": lambda: blank_to_null(value("payment_party")),
+}
+
+
 def _none() -> Column:
     return F.lit(None)
 
@@ -46,7 +59,7 @@ def required_documents() -> Column:
 
 
 def amount_match() -> Column:
-    a, b = amount_parse(value("invoice_amount")), amount_parse(value("payment_amount"))
+    a, b = F.col("p_invoice_amount"), F.col("p_payment_amount")
     gap = (a - b).cast(MONEY)
     text = F.concat(F.lit("发票"), a.cast("string"), F.lit("元，付款"), b.cast("string"),
                     F.lit("元，差额"), gap.cast("string"), F.lit("元"))
@@ -55,7 +68,7 @@ def amount_match() -> Column:
 
 
 def date_range() -> Column:
-    day, start, end = (date_parse(value(n)) for n in ("invoice_date", "travel_start_date", "travel_end_date"))
+    day, start, end = F.col("p_invoice_date"), F.col("p_travel_start"), F.col("p_travel_end")
     text = F.concat(F.lit("发票日期"), day.cast("string"), F.lit("，出差时间"), start.cast("string"),
                     F.lit("至"), end.cast("string"))
     return (
@@ -68,8 +81,7 @@ def date_range() -> Column:
 
 def hotel_limit() -> Column:
     clause = F.try_element_at(F.col("evidence"), F.lit(1))
-    paid = amount_parse(value("invoice_amount"))
-    limit = amount_parse(F.regexp_extract(clause["content"], "(?U)" + P.NIGHTLY_LIMIT, 1))
+    paid, limit = F.col("p_invoice_amount"), F.col("p_limit")
     over = F.greatest((paid - limit).cast(MONEY), F.lit(0).cast(MONEY))
     text = F.concat(F.lit("示例按一晚计算：实际"), paid.cast("string"), F.lit("元，上限"), limit.cast("string"),
                     F.lit("元，超出"), over.cast("string"), F.lit("元"))
@@ -82,21 +94,19 @@ def hotel_limit() -> Column:
 
 
 def applicant_match() -> Column:
-    person = blank_to_null(value("applicant_name"))
-    parties = F.array_compact(F.array(*[
-        F.when(blank_to_null(value(ref)).isNotNull(), F.struct(
-            F.lit(label).alias("label"), F.lit(ref).alias("ref"), blank_to_null(value(ref)).alias("party")))
-        for label, ref in (("发票购买方", "invoice_buyer"), ("付款收款方", "payment_party"))]))
-    others = F.transform(F.filter(parties, lambda p: p["party"] != person), lambda p: F.concat(p["label"], p["party"]))
-    refs = F.concat(F.array(F.lit("applicant_name")), F.transform(parties, lambda p: p["ref"]))
-    labels = F.array_join(F.transform(parties, lambda p: p["label"]), "、")
+    person = F.col("p_person")
+    parties = [("发票购买方", "invoice_buyer", F.col("p_buyer")), ("付款收款方", "payment_party", F.col("p_payee"))]
+    refs = F.array_compact(F.array(F.lit("applicant_name"), *[F.when(p.isNotNull(), ref) for _, ref, p in parties]))
+    none_present = F.col("p_buyer").isNull() & F.col("p_payee").isNull()
+    differs = [F.when(p != person, F.concat(F.lit(label), p)) for label, _, p in parties]
+    labels = F.concat_ws("、", *[F.when(p.isNotNull(), label) for label, _, p in parties])
     return (
         F.when(person.isNull(), check("applicant_match", _none(), F.lit("缺少申请人字段"), []))
-        .when(F.size(parties) == 0, check("applicant_match", F.lit(True),
-                                          F.lit("材料未包含购买方或收款方主体信息，主体一致性检查跳过"), refs))
-        .when(F.size(others) > 0, check(
+        .when(none_present, check("applicant_match", F.lit(True),
+                                  F.lit("材料未包含购买方或收款方主体信息，主体一致性检查跳过"), ["applicant_name"]))
+        .when(F.coalesce(*differs).isNotNull(), check(
             "applicant_match", F.lit(False),
-            F.concat(F.lit("申请人"), person, F.lit(" 与 "), F.array_join(others, "、"), F.lit(" 不一致")), refs))
+            F.concat(F.lit("申请人"), person, F.lit(" 与 "), F.concat_ws("、", *differs), F.lit(" 不一致")), refs))
         .otherwise(check("applicant_match", F.lit(True),
                          F.concat(F.lit("申请人"), person, F.lit(" 与 "), labels, F.lit(" 一致")), refs)))
 
@@ -128,9 +138,19 @@ def get_check(name: str) -> CheckSpec:
     return REGISTRY[name]
 
 
+def with_parsed(wide: DataFrame, evidence: bool = True) -> DataFrame:
+    """Adds the parsed inputs of the checks."""
+    parsed = wide.select("*", *[make().alias(name) for name, make in PARSED.items()])
+    if not evidence:
+        return parsed
+    limit = F.regexp_extract(F.try_element_at(F.col("evidence"), F.lit(1))["content"], "(?U)" + P.NIGHTLY_LIMIT, 1)
+    return parsed.withColumn("p_limit", amount_parse(limit))
+
+
 def with_checks(wide: DataFrame, names=tuple(REGISTRY)) -> DataFrame:
     """Adds ``checks``, the results in registry order."""
-    return wide.withColumn("checks", F.array(*[get_check(n).build() for n in names]))
+    parsed = with_parsed(wide, "hotel_limit" in names)
+    return parsed.select(*wide.columns, F.array(*[get_check(n).build() for n in names]).alias("checks"))
 
 
 def checks_long(checked: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Labelled field extraction from material pages."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,37 +25,54 @@ def field_struct(source: int, value: Column, confidence: Column, document_id: Co
         source_text.alias("source_text"))
 
 
-def _hit(name: str, pattern: str, text: Column) -> Column:
-    """struct(value, source_text) of the first match of one pattern, null when refused or absent."""
-    unicode_pattern = "(?U)" + pattern
-    value = strip(F.regexp_extract(text, unicode_pattern, 1))
-    accepted = value != ""
-    refused = R.REJECTED_VALUES.get(name)
-    if refused:
-        line = F.regexp_extract(text, rf"(?U)[^\n]*?(?:{pattern})[^\n]*", 0)
-        accepted = accepted & ~value.isin(*refused) & (count_contained(line, R.SIGNATURE_LABELS) < 2)
-    shown = iso_date_text(value) if name.endswith("_date") else value
-    return F.when(accepted, F.struct(
-        shown.alias("value"), F.regexp_extract(text, unicode_pattern, 0).alias("source_text")))
+def _leading_labels(pattern: str) -> list[str]:
+    """The literal labels a pattern starts with, if it starts with a group of them."""
+    head = re.match(r"\(\?:([^()\[\]\\]+)\)", pattern)
+    return head.group(1).split("|") if head else []
 
 
-def field_hit(name: str, text: Column, patterns=None) -> Column:
-    """The first accepted hit over the patterns of one field."""
-    return F.coalesce(*[_hit(name, p, text) for p in (patterns or R.FIELD_PATTERNS)[name]])
+def _from_first_label(text: Column, pattern: str) -> Column:
+    """The text from its first label on, where every match must start; null when there is no label."""
+    labels = _leading_labels(pattern)
+    if not labels:
+        return text
+    places = [F.nullif(F.instr(text, label), F.lit(0)) for label in labels]
+    first = places[0] if len(places) == 1 else F.least(*places)
+    return F.when(first.isNotNull(), F.substr(text, first))
 
 
-def with_field_hits(pages: DataFrame, patterns=None, prefix: str = "f_") -> DataFrame:
-    """Adds one struct column per field: reading position, value and evidence; null without a hit."""
-    names = tuple(patterns or R.FIELD_PATTERNS)
-    text = F.col("text")
-    hits = pages.select("*", *[field_hit(n, text, patterns).alias(f"h_{n}") for n in names])
+def _accepted(name: str, pattern: str, text: Column, value: Column) -> Column:
+    """Payee values that are labels themselves, or stand in a signature row, are refused."""
+    refused = R.REJECTED_VALUES.get(name)
+    if not refused:
+        return value != ""
+    line = F.regexp_extract(text, rf"(?U)[^\n]*?(?:{pattern})[^\n]*", 0)
+    signed = F.when(count_contained(text, R.SIGNATURE_LABELS) >= 2, count_contained(line, R.SIGNATURE_LABELS) >= 2)
+    return (value != "") & ~value.isin(*refused) & ~F.coalesce(signed, F.lit(False))
+
 
-    def positioned(n):
-        return F.when(F.col(f"h_{n}").isNotNull(), field_struct(
-            RULES, F.col(f"h_{n}.value"), F.lit(1.0), F.col("document_id"), F.col("page_no"),
-            F.col(f"h_{n}.source_text"), F.col("file_order")))
+def with_field_hits(pages: DataFrame, patterns=None, prefix: str = "f_") -> DataFrame:
+    """Adds one struct column per field: the first accepted hit over its patterns, null without one.
 
-    return hits.select(*pages.columns, *[positioned(n).alias(prefix + n) for n in names])
+    Three narrow projections: where a pattern may start, what it matches there, what is kept. Byte
+    searches for the labels come first, so a pattern runs only on pages that can match it.
+    """
+    rules = [(n, i, p) for n, ps in (patterns or R.FIELD_PATTERNS).items() for i, p in enumerate(ps)]
+    starts = pages.select("*", *[_from_first_label(F.col("text"), p).alias(f"t_{n}_{i}") for n, i, p in rules])
+    matched = starts.select(*pages.columns, *[
+        c for n, i, p in rules for c in (
+            strip(F.regexp_extract(f"t_{n}_{i}", "(?U)" + p, 1)).alias(f"v_{n}_{i}"),
+            F.regexp_extract(f"t_{n}_{i}", "(?U)" + p, 0).alias(f"s_{n}_{i}"))])
+
+    def hit(name, i, pattern):
+        value = F.col(f"v_{name}_{i}")
+        shown = iso_date_text(value) if name.endswith("_date") else value
+        return F.when(_accepted(name, pattern, F.col("text"), value), field_struct(
+            RULES, shown, F.lit(1.0), F.col("document_id"), F.col("page_no"), F.col(f"s_{name}_{i}"), F.col("file_order")))
+
+    return matched.select(*pages.columns, *[
+        F.coalesce(*[hit(n, i, p) for m, i, p in rules if m == n]).alias(prefix + n)
+        for n in dict.fromkeys(n for n, _, _ in rules)])
 
 
 def first_hits(names=FIELDS, prefix: str = "f_") -> list[Column]:

@@ -169,6 +169,11 @@ def _tier(city: Column) -> Column:
     return F.when(city.isin(*P.FIRST_TIER_CITIES), "first").otherwise("other")
 
 
+def _other_tier() -> Column:
+    """The tier a fallback clause serves, read from its text so that the join keeps its key."""
+    return F.when(F.col("content").contains(P.FALLBACK_PHRASE), "other")
+
+
 def _fallback_head(chunks: DataFrame, keep: int, gate: str | None = None) -> DataFrame:
     """The first ``keep`` fallback clauses (per gate); more can never reach the top."""
     found = chunks.where(F.col("content").contains(P.FALLBACK_PHRASE))
@@ -181,7 +186,7 @@ def _fallback_head(chunks: DataFrame, keep: int, gate: str | None = None) -> Dat
 def _travel_baseline(cities: DataFrame, chunks: DataFrame, keep: int) -> DataFrame:
     travel = chunks.where(F.col("chunk_id").startswith("TRAVEL"))
     named = naming_pairs(cities, travel).withColumn("score", F.lit(P.SCORE_CITY))
-    head = _fallback_head(travel, keep).withColumn("tier", F.lit("other"))
+    head = _fallback_head(travel, keep).withColumn("tier", _other_tier())
     other = (cities.select("city", _tier(F.col("city")).alias("tier")).join(head, "tier").drop("tier")
              .where(~F.col("content").contains(F.col("city"))).withColumn("score", F.lit(P.SCORE_FALLBACK)))
     return named.unionByName(other).withColumn("source_rank", F.lit(0))
@@ -284,7 +289,7 @@ def clause_match_expense(claims: DataFrame, chunks: DataFrame, published: DataFr
     cities = asked.where("city <> ''").select("city").distinct()
 
     named = naming_pairs(cities, gated).join(asked, ["city", "gate"]).withColumn("score", F.lit(P.SCORE_CITY))
-    head = _fallback_head(gated, keep, "gate").withColumn("tier", F.lit("other"))
+    head = _fallback_head(gated, keep, "gate").withColumn("tier", _other_tier())
     other = (asked.where("city <> ''").withColumn("tier", _tier(F.col("city"))).join(head, ["gate", "tier"]).drop("tier")
              .where(~F.col("content").contains(F.col("city"))).withColumn("score", F.lit(P.SCORE_FALLBACK)))
     first = gated.withColumn("n", F.row_number().over(W.partitionBy("gate").orderBy("ord"))).where(F.col("n") <= keep).drop("n")

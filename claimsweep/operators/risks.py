@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.materials import hard_level, injection_any, injection_snippets
+from ..functions.materials import hard_level, injection_snippets
 from ..rules import risks as R
 
 RISK_COLUMNS = ("risk_type", "level", "reason", "evidence_refs", "policy_refs")
@@ -49,27 +49,29 @@ def risk_build(checked: DataFrame) -> DataFrame:
     return checked.select("claim_id", F.inline(check_risks(F.col("checks"), F.col("evidence"))))
 
 
-def hard_documents(documents: DataFrame) -> DataFrame:
-    return (documents.select("claim_id", "file_order", "file_name", "document_id", hard_level(F.col("text")).alias("level"))
-            .where("level <> 'normal'"))
+def document_signals(documents: DataFrame) -> DataFrame:
+    """Documents with what may raise a risk: ``level`` of difficulty and injected ``snippets``."""
+    text = F.col("text")
+    return documents.select("claim_id", "file_order", "file_name", "document_id",
+                            hard_level(text).alias("level"), injection_snippets(text).alias("snippets"))
 
 
-def hard_region_risk(hard: DataFrame, used_documents: DataFrame) -> DataFrame:
+def hard_region_risk(signals: DataFrame, used_documents: DataFrame) -> DataFrame:
     """Handwriting is for review; a hard document is only for information once it produced a field."""
     used = used_documents.select("claim_id", "document_id", F.lit(True).alias("used")).distinct()
     informative = (F.col("level") == "hard") & F.coalesce("used", F.lit(False))
     kind = F.when(F.col("level") == "handwriting", "HANDWRITING_REVIEW").otherwise("OCR_QUALITY_REVIEW")
     reason = F.concat("file_name", F.lit(" 含困难区域("), "level", F.lit(")，OCR 识别质量不足，建议人工核对原文"))
     r = risk(kind, reason, F.array("file_name"), level=F.when(informative, "INFO").otherwise(severity(kind)))
-    return hard.join(used, ["claim_id", "document_id"], "left").select("claim_id", "file_order", r.alias("r")).select(
-        "claim_id", "file_order", "r.*")
+    return (signals.where("level <> 'normal'").join(used, ["claim_id", "document_id"], "left")
+            .select("claim_id", "file_order", r.alias("r")).select("claim_id", "file_order", "r.*"))
 
 
-def injection_risk(documents: DataFrame) -> DataFrame:
-    """One HIGH risk per document with injected instructions."""
-    snippets = F.array_join(injection_snippets(F.col("text")), "、")
-    reason = F.concat("file_name", F.lit(" 含疑似指令注入文本（"), snippets, F.lit("），已按不可信数据处理，需人工确认"))
-    return (documents.where(injection_any(F.col("text")))
+def injection_risk(signals: DataFrame) -> DataFrame:
+    """One HIGH risk per document with injected instructions; no check changes for it."""
+    reason = F.concat("file_name", F.lit(" 含疑似指令注入文本（"), F.array_join("snippets", "、"),
+                      F.lit("），已按不可信数据处理，需人工确认"))
+    return (signals.where("size(snippets) > 0")
             .select("claim_id", "file_order",
                     risk(F.lit("PROMPT_INJECTION"), reason, F.array("file_name")).alias("r"))
             .select("claim_id", "file_order", "r.*"))

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.materials import is_short, is_synthetic, material_type
+from ..functions.materials import hard_level, injection_snippets, is_short, is_synthetic, material_type
 from ..operators import duplicates as D
 from ..operators import merge as M
 from ..operators import policy as P
@@ -24,31 +24,45 @@ def document_text(pages: DataFrame) -> DataFrame:
     return pages.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
 
 
-def claim_facts(pages: DataFrame, documents: DataFrame | None = None, api: DataFrame | None = None,
-                candidates: DataFrame | None = None, corrections: DataFrame | None = None) -> DataFrame:
-    """One wide row per claim: final fields, material flags and readability counts.
+SIGNAL_COLUMNS = ("file_order", "file_name", "document_id", "material", "synthetic", "short", "level", "snippets")
+
+
+def document_facts(pages: DataFrame, documents: DataFrame | None = None, api: DataFrame | None = None) -> DataFrame:
+    """Everything the audit takes from a text, without the text: a narrow pass, no shuffle.
 
-    Everything is a minimum, a maximum or a count over the claim's pages, so a claim of any size is
-    combined before the one shuffle by ``claim_id``. ``documents`` is given when files have several pages.
+    ``documents`` is given when files have several pages; then field hits come from pages and the other
+    signals from whole documents. ``api`` holds structured fields, whose names count for the file type.
     """
     structured = None
     if api is not None:
         names = api.groupBy("claim_id").agg(F.collect_set("name").alias("api_names"))
-        target = pages if documents is None else documents
-        target = target.join(names, "claim_id", "left")
         structured = F.col("api_names")
-        pages, documents = (target, None) if documents is None else (pages, target)
-
-    def document_flags(df: DataFrame) -> DataFrame:
-        kind = material_type(F.col("file_name"), F.col("text"), structured)
-        return df.select("*", kind.alias("material"), is_synthetic(F.col("text")).alias("synthetic"),
-                         is_short(F.col("text")).alias("short"))
-
-    flag_columns = ["material", "synthetic", "short"]
-    hits = with_field_hits(pages if documents is not None else document_flags(pages))
-    slim = hits.select("claim_id", *[c for c in hits.columns if c in flag_columns], *[f"f_{n}" for n in FIELDS])
-    if documents is not None:
-        slim = slim.unionByName(document_flags(documents).select("claim_id", *flag_columns), allowMissingColumns=True)
+        if documents is None:
+            pages = pages.join(names, "claim_id", "left")
+        else:
+            documents = documents.join(names, "claim_id", "left")
+
+    def signals(df: DataFrame) -> DataFrame:
+        text = F.col("text")
+        return df.select("*", material_type(F.col("file_name"), text, structured).alias("material"),
+                         is_synthetic(text).alias("synthetic"), is_short(text).alias("short"),
+                         hard_level(text).alias("level"), injection_snippets(text).alias("snippets"))
+
+    fields = [f"f_{n}" for n in FIELDS]
+    if documents is None:
+        return with_field_hits(signals(pages)).select("claim_id", *SIGNAL_COLUMNS, *fields)
+    return signals(documents).select("claim_id", *SIGNAL_COLUMNS).unionByName(
+        with_field_hits(pages).select("claim_id", *fields), allowMissingColumns=True)
+
+
+def claim_facts(document_facts: DataFrame, api: DataFrame | None = None, candidates: DataFrame | None = None,
+                corrections: DataFrame | None = None) -> DataFrame:
+    """One wide row per claim: final fields, material flags and readability counts.
+
+    Everything is a minimum, a maximum or a count over the claim's documents, so a claim of any size is
+    combined before the one shuffle by ``claim_id``.
+    """
+    slim = document_facts
     if api is not None:
         slim = slim.unionByName(_as_hits(api.select("claim_id", "name", M.api_struct(F.col("name"), F.col("value")).alias("f"))),
                                 allowMissingColumns=True)
@@ -62,15 +76,13 @@ def claim_facts(pages: DataFrame, documents: DataFrame | None = None, api: DataF
         *[F.coalesce(F.bool_or(F.col("material") == kind), F.lit(False)).alias(f"has_{kind}") for kind in MATERIAL_LABELS],
         F.count("material").alias("n_documents"),
         F.count_if("synthetic").alias("n_synthetic"), F.count_if("short").alias("n_short"))
-    if corrections is not None:
-        manual = M.overrides_by_claim(M.correction_latest(corrections))
-        facts = facts.join(manual, "claim_id", "left").select(
-            "claim_id", *[M.overlay(F.col(f"f_{n}"), F.col(f"m_{n}")).alias(f"f_{n}") for n in FIELDS],
-            *[F.col(f"m_{n}").isNotNull().alias(f"manual_{n}") for n in FIELDS],
-            *[c for c in facts.columns if c != "claim_id" and not c.startswith("f_")])
-    else:
-        facts = facts.select("*", *[F.lit(False).alias(f"manual_{n}") for n in FIELDS])
-    return facts
+    if corrections is None:
+        return facts.select("*", *[F.lit(False).alias(f"manual_{n}") for n in FIELDS])
+    manual = M.overrides_by_claim(M.correction_latest(corrections))
+    return facts.join(manual, "claim_id", "left").select(
+        "claim_id", *[M.overlay(F.col(f"f_{n}"), F.col(f"m_{n}")).alias(f"f_{n}") for n in FIELDS],
+        *[F.col(f"m_{n}").isNotNull().alias(f"manual_{n}") for n in FIELDS],
+        *[c for c in facts.columns if c != "claim_id" and not c.startswith("f_")])
 
 
 def _as_hits(rows: DataFrame) -> DataFrame:
@@ -93,7 +105,7 @@ def readability_code() -> Column:
 class Audit:
     """The tables of one audit run. All lazy; each reads only the columns it needs."""
 
-    documents: DataFrame   # one row per document with its text
+    documents: DataFrame   # staged document facts (no texts)
     facts: DataFrame       # staged wide claim rows: fields, material flags, counts
     claims: DataFrame      # the same with checks, check risks and readability
     engine: str = "mock"
@@ -104,12 +116,13 @@ class Audit:
 
     def document_risks(self) -> DataFrame:
         """Risks of single documents. Field use is looked up only for claims with a hard document."""
-        hard = R.hard_documents(self.documents)
+        signals = self.documents.where("material is not null").select(
+            "claim_id", "file_order", "file_name", "document_id", "level", "snippets")
         ids = F.array_distinct(F.array_compact(F.array(*[F.col(f"f_{n}.document_id") for n in FIELDS])))
-        used = (self.facts.join(hard.where("level = 'hard'").select("claim_id"), "claim_id", "left_semi")
-                .select("claim_id", F.explode(ids).alias("document_id")))
-        return R.hard_region_risk(hard, used).withColumn("part", F.lit(2)).unionByName(
-            R.injection_risk(self.documents).withColumn("part", F.lit(3)))
+        hard = signals.where("level = 'hard'").select("claim_id")
+        used = self.facts.join(hard, "claim_id", "left_semi").select("claim_id", F.explode(ids).alias("document_id"))
+        return R.hard_region_risk(signals, used).withColumn("part", F.lit(2)).unionByName(
+            R.injection_risk(signals).withColumn("part", F.lit(3)))
 
     def raw_risks(self) -> DataFrame:
         """All risks found, before unreadable claims are cleared: (part, ord) is the report order."""
@@ -120,9 +133,8 @@ class Audit:
     def unreadable(self) -> DataFrame:
         """Claims that get no verdict, with the reason and the files concerned."""
         marked = self.facts.where("unreadable_code is not null").select("claim_id", F.col("unreadable_code").alias("code"))
-        names = self.documents.select(
-            "claim_id", "file_order", "file_name", is_synthetic(F.col("text")).alias("synthetic"),
-            is_short(F.col("text")).alias("short"))
+        names = self.documents.where("material is not null").select(
+            "claim_id", "file_order", "file_name", "synthetic", "short")
         concerned = (F.col("code") == "NO_FIELDS") | ((F.col("code") == "MOCK_OCR") & F.col("synthetic")) | (
             (F.col("code") == "NO_TEXT") & F.col("short"))
         files = names.join(marked, "claim_id").where(concerned).groupBy("claim_id").agg(
@@ -220,5 +232,6 @@ def audit(claims: DataFrame, pages: DataFrame, chunks: DataFrame, published: Dat
           registry: DataFrame | None = None, documents: DataFrame | None = None, api: DataFrame | None = None,
           candidates: DataFrame | None = None, corrections: DataFrame | None = None) -> Audit:
     """Audits ``claims(claim_id, submitted_at, department)`` with their material pages."""
-    facts = staged_facts(claims, claim_facts(pages, documents, api, candidates, corrections))
-    return audit_facts(facts, pages if documents is None else documents, chunks, published, registry)
+    read = stage(document_facts(pages, documents, api), "documents")
+    facts = staged_facts(claims, claim_facts(read, api, candidates, corrections))
+    return audit_facts(facts, read, chunks, published, registry)

@@ -14,9 +14,19 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # methods beyond 8000 bytes are never compiled by the JVM; let Spark generate smaller ones instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Applies the settings to a session made elsewhere, as far as they can change at run time."""
+    for key, value in SETTINGS.items():
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def build_session(name: str = "claimsweep", master: str | None = None, **extra) -> SparkSession:
     builder = SparkSession.builder.appName(name)
     if master:
