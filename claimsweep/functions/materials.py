@@ -73,37 +73,32 @@ def _needed_words(pattern: str) -> list[list[str]]:
     return groups
 
 
-def _any_case(word: str) -> str:
-    """A literal for any letter case, cheaper than a case-insensitive pattern over unfolded text."""
-    odd = {"s": "\u017f", "k": "\u212a"}
-    return "".join(f"[{ch}{ch.upper()}{odd.get(ch, '')}]" if ch.isascii() and ch.isalpha() else re.escape(ch)
-                   for ch in word)
+def _may_hit(folded: Column, pattern: str) -> Column:
+    """Necessary condition for one rule on case-folded text: plain word searches, far cheaper than it."""
+    possible = F.lit(True)
+    for words in _needed_words(pattern):
+        possible = possible & contains_any(folded, words)
+    return possible
 
 
-def _may_hit(c: Column, rules) -> Column:
-    """Necessary condition for any rule, in one pass: a needed word of at least one of them is there."""
-    words = []
-    for _, pattern in rules:
-        groups = _needed_words(pattern)
-        if not groups:
-            return F.lit(True)
-        words += groups[0]
-    return c.rlike("|".join(_any_case(w) for w in dict.fromkeys(words)))
+def _by_rule(c: Column, rules, found) -> Column:
+    """``found(label, pattern)`` for the rules that may hit at all, null for the others."""
+    folded = F.lower(F.upper(c))
+    return F.array(*[F.when(_may_hit(folded, p), found(label, p)) for label, p in rules])
 
 
 def injection_labels(c: Column, rules=R.INJECTION_RULES) -> Column:
     """Labels of the rules that hit, in rule order; a label repeats when two of its rules hit."""
-    none = F.array().cast("array<string>")
-    hits = F.array_compact(F.array(*[F.when(c.rlike("(?iU)" + p), label) for label, p in rules]))
-    return F.when(_may_hit(c, rules), hits).otherwise(none)
+    hits = F.array_compact(_by_rule(c, rules, lambda label, p: F.when(c.rlike("(?iU)" + p), label)))
+    return F.coalesce(hits, F.array().cast("array<string>"))
 
 
 def injection_snippets(c: Column, rules=R.INJECTION_RULES, keep: int = R.MAX_INJECTION_SNIPPETS) -> Column:
     """Distinct folded snippets in rule order, at most ``keep``."""
-    none = F.array().cast("array<string>")
-    found = F.flatten(F.array(*[F.regexp_extract_all(c, F.lit("(?iU)" + p), F.lit(0)) for _, p in rules]))
-    kept = F.slice(F.array_distinct(F.filter(F.transform(found, fold), lambda s: s != "")), 1, keep)
-    return F.when(_may_hit(c, rules), kept).otherwise(none)
+    found = F.flatten(F.array_compact(
+        _by_rule(c, rules, lambda label, p: F.regexp_extract_all(c, F.lit("(?iU)" + p), F.lit(0)))))
+    distinct = F.array_distinct(F.filter(F.transform(found, fold), lambda s: s != ""))
+    return F.coalesce(F.slice(distinct, 1, keep), F.array().cast("array<string>"))
 
 
 def filename_type(file_name: Column, hints=R.FILENAME_HINTS) -> Column:
