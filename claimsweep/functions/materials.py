@@ -10,7 +10,7 @@ from .text import contains_any, count_contained, fold, strip
 
 
 def meaningful_chars(text: Column) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, "(?U)" + R.MEANINGFUL_CHARS + "+", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, "(?U)" + R.MEANINGFUL_CHARS.replace(r"\s", r"\s\x1c-\x1f") + "+", ""))
 
 
 def text_quality(c: Column, keywords=R.QUALITY_KEYWORDS) -> Column:

@@ -14,11 +14,15 @@ REPLY_SCHEMA = "struct<fields:map<string,struct<value:string,confidence:double,s
 # ---------------------------------------------------------------- structured responses
 
 def _unwrapped(v: Column, keys) -> Column:
-    """The first non-empty wrapper member of an object, or the value itself."""
-    def member(key):
-        inner = F.try_variant_get(v, f"$.{key}", "variant")
-        return F.when(F.try_variant_get(v, f"$.{key}", "string") != "", inner)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), F.coalesce(*[member(k) for k in keys])).otherwise(v)
+    """The first non-empty wrapper member of an object, or the value itself.
+
+    Runs as a one-element ``transform``, so that nested calls refer to the value once.
+    """
+    def opened(x):
+        member = lambda key: F.when(F.try_variant_get(x, f"$.{key}", "string") != "", F.try_variant_get(x, f"$.{key}", "variant"))
+        return F.when(F.schema_of_variant(x).startswith("OBJECT"), F.coalesce(*[member(k) for k in keys])).otherwise(x)
+
+    return F.element_at(F.transform(F.array(v), opened), 1)
 
 
 def structured_response_fields(responses: DataFrame, field_map=None, container: str = R.API_FIELDS_PATH,

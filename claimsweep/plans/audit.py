@@ -12,7 +12,8 @@ from ..operators import policy as P
 from ..operators import risks as R
 from ..operators.checks import with_checks
 from ..operators.extract import FIELDS, first_hits, wide_to_fields, with_field_hits
-from ..rules.materials import MATERIAL_LABELS, MIN_READABLE_CHARS
+from ..functions.text import contains_any
+from ..rules.materials import DEFAULT_EXPENSE_TYPE, EXPENSE_KEYWORDS, MATERIAL_LABELS, MIN_READABLE_CHARS
 from ..rules.risks import LEVELS
 from ..staging import stage
 
@@ -24,6 +25,15 @@ def document_text(pages: DataFrame) -> DataFrame:
     return pages.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
 
 
+def expense_type_infer(files: DataFrame) -> DataFrame:
+    """Expense type per claim from its file names; the first keyword group that any name matches."""
+    name = F.lower("file_name")
+    hits = files.groupBy("claim_id").agg(
+        *[F.bool_or(contains_any(name, words)).alias(kind) for kind, words in EXPENSE_KEYWORDS.items()])
+    return hits.select("claim_id", F.coalesce(
+        *[F.when(F.col(kind), kind) for kind in EXPENSE_KEYWORDS], F.lit(DEFAULT_EXPENSE_TYPE)).alias("expense_type"))
+
+
 SIGNAL_COLUMNS = ("file_order", "file_name", "document_id", "material", "synthetic", "short", "level", "snippets")
 
 

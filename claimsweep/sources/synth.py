@@ -177,3 +177,89 @@ def candidates(claims: DataFrame) -> DataFrame:
              .when(every(11), F.concat(F.substring(body, 1, 20), F.lit("}")))
              .otherwise(body))
     return claims.where(every(67)).select("claim_id", reply.alias("payload"))
+
+
+# ---------------------------------------------------------------- policies, from the supplier and part tables
+
+EXPENSE_TYPES = ("TRAVEL", "EXPENSE", "MEDICAL", "PURCHASE")
+
+
+def policy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One policy per supplier; some open-ended, one in seven still a draft."""
+    s = F.col("s")
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("s"))
+    start = F.date_add(F.lit("1995-01-01").cast("date"), (s * 97 % 2400).cast("int"))
+    return suppliers.select(
+        "s", padded("UP-", s, 6).alias("policy_id"), F.concat(F.lit("制度"), (s % 20).cast("string")).alias("name"),
+        F.concat(F.lit("V"), (s % 3 + 1).cast("string")).alias("version"), pick(DEPARTMENTS, s).alias("department"),
+        pick(EXPENSE_TYPES, s).alias("expense_type"),
+        F.when(s % 6 == 0, "").otherwise(start.cast("string")).alias("effective_from"),
+        F.when(s % 3 == 0, "").otherwise(F.date_add(start, 400).cast("string")).alias("effective_to"),
+        F.when(s % 7 == 0, "draft").otherwise("published").alias("status"))
+
+
+def policy_clauses(documents: DataFrame) -> DataFrame:
+    """Two clauses per policy: a lodging limit for one city, and one of its expense type."""
+    s = F.col("s")
+    lodging = F.concat(pick(CITIES, s), F.lit("的住宿标准为"), (s % 300 + 300).cast("string"), F.lit("元/晚。"))
+    general = F.concat(pick(("交通费凭票报销第", "费用报销须附明细第", "医药费凭处方报销第", "设备采购须附询价记录第"), s),
+                       s.cast("string"), F.lit("号。"))
+    clause = lambda n, text: F.struct(F.lit(n).alias("n"), text.alias("content"))
+    return documents.select("*", F.inline(F.array(clause("001", lodging), clause("002", general)))).select(
+        F.concat_ws("-", "policy_id", "version", "n").alias("chunk_id"), "policy_id", F.lit("4.2").alias("section_path"),
+        "content", "version", "department", "expense_type", "effective_from", "effective_to")
+
+
+def policy_events(documents: DataFrame) -> DataFrame:
+    """Life cycle of every policy: created, cut, published; some refused, re-created or disabled."""
+    s = F.col("s")
+    meta = {"name": F.when(s % 9 == 0, "").otherwise(F.col("name"))}
+    for c in ("version", "department", "expense_type"):
+        meta[c] = F.col(c)
+    meta["effective_from"] = F.when(F.col("effective_from") == "", "1995-01-01").otherwise(F.col("effective_from"))
+    meta["effective_to"] = F.col("effective_to")
+
+    def event(step, action, when=None, chunks=None):
+        filled = [(v if action == "create" else F.lit(None).cast("string")).alias(k) for k, v in meta.items()]
+        e = F.struct((F.lit(step) * 1000000 + s).alias("event_no"), F.lit(action).alias("action"), *filled,
+                     F.lit(chunks).cast("int").alias("chunk_count"))
+        return e if when is None else F.when(when, e)
+
+    steps = F.array_compact(F.array(
+        event(1, "create"), event(2, "chunk", s % 8 != 0, 2), event(3, "publish"),
+        event(4, "disable", s % 5 == 0), event(5, "create", s % 10 == 0), event(6, "publish", s % 20 == 0)))
+    return documents.select("policy_id", F.inline(steps))
+
+
+def policy_files(documents: DataFrame) -> DataFrame:
+    """Policy files as JSON text: a table and a sentence each."""
+    s = F.col("s")
+    prefix = pick(("TRAVEL", "EXP", "PHARM", "OFFICE"), s)
+    base = F.concat(prefix, F.lit("-V"), (s % 2 + 1).cast("string"), F.lit("-"), s.cast("string"))
+    table = F.concat(F.lit("表 标准(元):\n| 费用类型 | 上限 | 适用部门 |\n|---|---|---|\n| 住宿 | "), (s % 500).cast("string"),
+                     F.lit(" | "), pick(DEPARTMENTS, s), F.lit(" |\n| 餐补 | "), (s % 90).cast("string"), F.lit(" | 全员 |"))
+    row = lambda suffix, text: F.struct(F.concat(base, F.lit(suffix)).alias("chunk_id"), F.lit("4.3").alias("section"),
+                                        text.alias("content"))
+    body = F.to_json(F.array(row("-T", table), row("-P", F.concat(F.lit(" 逾期须说明"), s.cast("string"), F.lit(" ")))))
+    return documents.select(F.format_string("policy_%06d.json", s).alias("source_file"), body.alias("body"))
+
+
+def part_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small pipe table per part; every fifth part has a plain sentence instead."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    table = F.concat(F.lit("部件表\n|名称|品牌|尺寸|\n| --- | --- | --- |\n| "), "p_name", F.lit(" | "), "p_brand", F.lit(" | "),
+                     F.col("p_size").cast("string"), F.lit(" |\n| "), "p_type", F.lit(" |  | ALL"))
+    plain = F.concat(F.lit("部件 "), "p_name", F.lit(" | 无表格"))
+    return p.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, plain).otherwise(table).alias("content"))
+
+
+def tasks(claims: DataFrame) -> DataFrame:
+    """The task record behind each claim."""
+    return claims.select(
+        "claim_id", "department", F.col("submitted_at").alias("created_at"),
+        F.when(every(83), "FAILED").when(every(79), "READY").when(every(73), "CREATED").otherwise("COMPLETED").alias("status"),
+        F.when(every(3), "").otherwise(F.col("applicant_name")).alias("applicant"),
+        pick(("TRAVEL", "HOTEL", "住宿费", ""), F.col("k")).alias("expense_type"),
+        F.when(every(5), F.concat(F.lit("2019.2.19 出差 "), F.col("k").cast("string"))).otherwise("").alias("note"),
+        F.when(every(89), F.concat(F.lit(" 手工\t命名 "), F.col("k").cast("string"))).alias("title"),
+        every(89).alias("title_locked"))
