@@ -11,7 +11,7 @@ from .functions import text as FT
 from .functions import values as FV
 from .operators import chunking, duplicates, evaluate, extract, merge, policy, review, risks, search, tasks
 from .operators.checks import check_readiness as planned_steps
-from .operators.checks import checks_long
+from .operators.checks import with_checks
 from .plans import audit as A
 from .rules import policies as P
 from .session import configure, shared_dir
@@ -121,9 +121,15 @@ def joined(c, sep="|"):
     return F.array_join(c, sep)
 
 
-def one_check(x: Inputs, *names) -> DataFrame:
-    rows = checks_long(x.audit.claims).where(F.col("name").isin(*names))
-    return rows.select("claim_id", "name", "passed", "detail", joined("evidence_refs").alias("evidence_refs"))
+def one_check(x: Inputs, tool: str) -> DataFrame:
+    """One check of the registry, over the inputs it needs and no others."""
+    wide = x.facts
+    if tool == "hotel_limit":
+        wide = A.with_evidence(wide, x.chunks)
+    elif tool == "check_duplicate_invoice":
+        wide = duplicates.with_duplicate_hits(wide, duplicates.registry_rows(wide))
+    rows = with_checks(wide, (tool,)).select("claim_id", F.col("checks")[0].alias("c")).select("claim_id", "c.*")
+    return rows.withColumn("evidence_refs", joined("evidence_refs"))
 
 
 def flat_risks(df: DataFrame) -> DataFrame:
@@ -412,7 +418,7 @@ def clause_match_expense(x):
 
 @query
 def duplicate_invoice(x):
-    return one_check(x, "duplicate_invoice", "invoice_number_conflict")
+    return one_check(x, "check_duplicate_invoice")
 
 
 @query
@@ -439,7 +445,7 @@ def date_range(x):
 
 @query
 def hotel_limit(x):
-    return one_check(x, "hotel_limit", "rule_missing")
+    return one_check(x, "hotel_limit")
 
 
 @query
