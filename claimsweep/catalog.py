@@ -776,5 +776,6 @@ def stream_duplicate_registry(x):
 def stream_material_ingest(x):
     out, checkpoint, store, registry = _stream_dirs(x, "stream-materials", 4)
     claims = x.claims.select("claim_id", "submitted_at", "department")
-    jobs.stream_material_ingest(_as_stream(x, x.materials, "arriving-files"), claims, store, registry, out, checkpoint).awaitTermination()
+    jobs.stream_material_ingest(_as_stream(x, x.materials, "arriving-files"), claims, store, registry, out, checkpoint,
+                                corrections=synth.corrections(x.claims)).awaitTermination()
     return jobs.latest_by_batch(x.spark, out).select("claim_id", "status", "n_high", "n_medium", "n_low", "n_info", "unreadable_code")

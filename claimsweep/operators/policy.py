@@ -13,7 +13,6 @@ from ..functions.text import LINE_BREAKS, WS, contains_any, strip
 from ..rules import policies as P
 
 EVIDENCE = "array<struct<rank:int,chunk_id:string,section:string,content:string,score:double>>"
-OPEN_END = "9999-12-31"
 
 
 # ---------------------------------------------------------------- clauses from policy rows

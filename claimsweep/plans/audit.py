@@ -117,7 +117,7 @@ class Audit:
 
     documents: DataFrame   # staged document facts (no texts)
     facts: DataFrame       # staged wide claim rows: fields, material flags, counts
-    claims: DataFrame      # the same with checks, check risks and readability
+    claims: DataFrame      # staged: the same with clauses, checks and check risks
     engine: str = "mock"
 
     @property
@@ -235,7 +235,7 @@ def audit_facts(facts: DataFrame, documents: DataFrame, chunks: DataFrame, publi
     known = own if registry is None else D.registry_upsert(registry, own)
     wide = with_checks(D.with_duplicate_hits(with_evidence(facts, chunks, published), known))
     wide = wide.withColumn("check_risks", R.check_risks(F.col("checks"), F.col("evidence")))
-    return Audit(documents=documents, facts=facts, claims=wide)
+    return Audit(documents=documents, facts=facts, claims=stage(wide, "checked"))
 
 
 def audit(claims: DataFrame, pages: DataFrame, chunks: DataFrame, published: DataFrame | None = None,

@@ -414,7 +414,7 @@ CLAIM_ORACLES = {
         count_if(v.status = 'PASS') as passed, count_if(v.status = 'UNDETERMINED') as undetermined from tasks t left join verdicts v using (claim_id)"""),
     "review_progress": over("""select claim_id, pending, approved, rejected, concat_ws(' / ', case when pending > 0 then '待复核 ' || pending end,
         case when approved > 0 then '通过 ' || approved end, case when rejected > 0 then '驳回 ' || rejected end) as progress from (
-        select claim_id, count_if(decision is null)::bigint as pending, count_if(decision = 'APPROVED')::bigint as approved, count_if(decision = 'REJECTED')::bigint as rejected
+        select claim_id, count(*) filter (decision is null) as pending, count(*) filter (decision = 'APPROVED') as approved, count(*) filter (decision = 'REJECTED') as rejected
         from decided group by claim_id)"""),
     "title_autofill": over(f"""select claim_id, case when k % 89 = 0 then '手工 命名 ' || k else {title("person", "sd", "ed")} end as title, k % 89 = 0 as title_locked from (
         select t.*, coalesce(nullif(t.applicant, ''), f.applicant_name, '') as person, coalesce(f.travel_start_date::date, try_cast(f.invoice_date as date)) as sd,
