@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import contains_any, expand_piece, tokenize
+from ..functions.text import contains_any, tokenize
 from ..rules import policies as P
 
 
@@ -16,14 +16,14 @@ def doc_frequency(corpus: DataFrame) -> DataFrame:
         F.count("*").alias("df"))
 
 
-def term_counts(tokens: Column) -> Column:
-    """array<struct(token, tf)> of one document, by run lengths of its sorted tokens: no shuffle."""
-    ordered = F.array_sort(tokens)
-    starts = F.filter(F.sequence(F.lit(1), F.size(ordered)),
-                      lambda i: (i == 1) | (F.element_at(ordered, i) != F.try_element_at(ordered, F.greatest(i - 1, F.lit(1)))))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(ordered) + 1))
-    runs = F.zip_with(starts, ends, lambda s, e: F.struct(F.element_at(ordered, s).alias("token"), (e - s).alias("tf")))
-    return F.when(F.size(ordered) > 0, runs)
+def term_rows(texts: DataFrame, key: str) -> DataFrame:
+    """(key, token, tf) by run lengths over each text's sorted tokens: narrow, no shuffle."""
+    ordered = texts.select(key, F.array_sort(tokenize(F.col("text"))).alias("o")).where(F.size("o") > 0)
+    new_run = lambda i: (i == 1) | (F.element_at("o", i) != F.element_at("o", F.greatest(i - 1, F.lit(1))))
+    starts = ordered.select(key, "o", F.filter(F.sequence(F.lit(1), F.size("o")), new_run).alias("s"))
+    ends = starts.select(key, "o", "s", F.concat(F.slice("s", 2, F.size("s")), F.array(F.size("o") + 1)).alias("e"))
+    runs = F.zip_with("s", "e", lambda s, e: F.struct(F.element_at("o", s).alias("token"), (e - s).alias("tf")))
+    return ends.select(key, F.inline(runs))
 
 
 def city_factor(query: Column, content: Column) -> Column:
@@ -52,11 +52,9 @@ def keyword_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     Document terms are cut to the queries' vocabulary before anything is shuffled; what travels is one
     partial sum per query and document.
     """
-    asked = queries.select("query_id", F.explode(term_counts(tokenize(F.col("text")))).alias("q")).select(
-        "query_id", F.col("q.token").alias("token"), F.col("q.tf").alias("qtf"))
+    asked = term_rows(queries, "query_id").withColumnRenamed("tf", "qtf")
     vocabulary = asked.select("token").distinct()
-    terms = corpus.select("doc_id", F.explode(term_counts(tokenize(F.col("text")))).alias("t")).select(
-        "doc_id", F.col("t.token").alias("token"), F.col("t.tf").alias("tf")).join(vocabulary, "token", "left_semi")
+    terms = term_rows(corpus, "doc_id").join(vocabulary, "token", "left_semi")
     total = corpus.agg(F.count("*").alias("n"))
     df = terms.groupBy("token").agg(F.count("*").alias("df"), F.max(F.lit(1)).alias("one"))
     idf = df.join(total.withColumn("one", F.when(F.col("n") >= 0, 1)), "one").select(

@@ -152,7 +152,7 @@ states as (
 GATES = {t: " or ".join(f"contains(content, '{w}')" for w in words) for t, words in P.EXPENSE_GATES.items()}
 
 TABLE_ORACLES = {
-    "material_scan": f"""select file_name, case when reason is null then substr(sha256(raw::blob), 1, 16) end as document_id,
+    "material_scan": f"""select file_name, case when reason is null then substr(sha256(raw), 1, 16) end as document_id,
         case when reason is null then (case when doc_id % 20 = 2 then 'pdf_text' else 'text' end) end as kind,
         case when reason is null then strlen(raw)::int end as size, case when reason is null and doc_id % 20 <> 2 then length(text)::int end as chars, reason from (
         select doc_id, text, 'doc_' || doc_id || ({FILE_SUFFIX}) as file_name, case when doc_id % 10 = 0 then chr(65279) || text else text end as raw,
