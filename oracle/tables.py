@@ -7,7 +7,7 @@ from claimsweep.sources.synth import CITIES, DEPARTMENTS, EXPENSE_TYPES
 from .claims import CLAIMS, FIRST_TIER, RATIO, array, lit, over
 
 WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-MEANINGFUL = WS[:-1] + r"\x{4e00}-\x{9fff}A-Za-z0-9，。：；、（）()%¥￥—.,:;/\\''""*#&+-]"
+MEANINGFUL = WS[:-1] + r'''\x{4e00}-\x{9fff}A-Za-z0-9，。：；、（）()%¥￥—.,:;/\\''"*#&+-]'''
 
 
 def strip(c):
