@@ -41,6 +41,7 @@ def materials_from_bytes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def material_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Files below ``path``. Spark's listing skips zero-byte files, so those appear in neither table."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return materials_from_bytes(files.select("path", "content"))
 
