@@ -16,14 +16,12 @@ def doc_frequency(corpus: DataFrame) -> DataFrame:
         F.count("*").alias("df"))
 
 
-def term_rows(texts: DataFrame, key: str) -> DataFrame:
-    """(key, token, tf) by run lengths over each text's sorted tokens: narrow, no shuffle."""
-    ordered = texts.select(key, F.array_sort(tokenize(F.col("text"))).alias("o")).where(F.size("o") > 0)
-    new_run = lambda i: (i == 1) | (F.element_at("o", i) != F.element_at("o", F.greatest(i - 1, F.lit(1))))
-    starts = ordered.select(key, "o", F.filter(F.sequence(F.lit(1), F.size("o")), new_run).alias("s"))
-    ends = starts.select(key, "o", "s", F.concat(F.slice("s", 2, F.size("s")), F.array(F.size("o") + 1)).alias("e"))
-    runs = F.zip_with("s", "e", lambda s, e: F.struct(F.element_at("o", s).alias("token"), (e - s).alias("tf")))
-    return ends.select(key, F.inline(runs))
+def term_rows(texts: DataFrame, key: str, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(key, token, tf), cut to a vocabulary first where one is given; counts combine map-side."""
+    tokens = texts.select(key, F.explode(tokenize(F.col("text"))).alias("token"))
+    if vocabulary is not None:
+        tokens = tokens.join(vocabulary, "token", "left_semi")
+    return tokens.groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
 def city_factor(query: Column, content: Column) -> Column:
@@ -54,7 +52,7 @@ def keyword_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """
     asked = term_rows(queries, "query_id").withColumnRenamed("tf", "qtf")
     vocabulary = asked.select("token").distinct()
-    terms = term_rows(corpus, "doc_id").join(vocabulary, "token", "left_semi")
+    terms = term_rows(corpus, "doc_id", vocabulary)
     total = corpus.agg(F.count("*").alias("n"))
     df = terms.groupBy("token").agg(F.count("*").alias("df"), F.max(F.lit(1)).alias("one"))
     idf = df.join(total.withColumn("one", F.when(F.col("n") >= 0, 1)), "one").select(
