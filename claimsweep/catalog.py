@@ -44,7 +44,8 @@ class Inputs:
         return cls._made[key]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return synth.spread(df) if name in ("documents", "pages") else df
 
     @cached_property
     def claims(self) -> DataFrame:
