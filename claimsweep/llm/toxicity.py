@@ -28,7 +28,7 @@ ATTENTION = 8
 TRIGRAMS = 4096
 KNOWN_WORDS = 4096
 #: A word gets a vector of its own if it is in so many texts of the sample.
-LEAST_TEXTS = 4
+LEAST_TEXTS = 8
 #: Bounds of the labelled sample that the network is fitted on: rows of each label, bytes altogether.
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 64 << 20
 #: Words whose input a worker remembers; windows that run through the network at a time.
@@ -227,12 +227,13 @@ class Network:
         return loss, g
 
 
-def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, batch: int = 64, rate: float = 0.01,
-          seed: int = 0) -> Network:
+def train(texts: list[str], labels: list[int], share: float, steps: int = 400, batch: int = 64, rate: float = 0.01,
+          decay: float = 0.2, seed: int = 0) -> Network:
     """Fits a network to whole texts and their labels; ``share`` of all texts are labelled 1.
 
-    At first a random window stands for its text, later the window that scores worst, so that what makes
-    a text toxic is found in it, and clean texts teach by what looks worst in them.
+    Epochs are run until ``steps`` batches have been learnt from. At first a random window stands for its
+    text, later the window that scores worst, so that what makes a text toxic is found in it, and clean
+    texts teach by what looks worst in them.
     """
     rng = np.random.default_rng(seed)
     words, y = [text_words(t) for t in texts], np.array(labels, np.float32)
@@ -242,8 +243,9 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, ba
     mean, square = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
     starts = [window_starts(len(ws)) for ws in words]
-    for epoch in range(epochs):
-        worst = None
+    epoch = -1
+    while step < steps:
+        epoch, worst = epoch + 1, None
         if epoch > 1:
             net.cache, net.rows = {}, []
             worst = [int(s.argmax()) for s in net.window_scores(words)]
@@ -261,6 +263,8 @@ def train(texts: list[str], labels: list[int], share: float, epochs: int = 6, ba
             for k, g in grads.items():
                 mean[k] += 0.1 * (g - mean[k])
                 square[k] += 0.001 * (g * g - square[k])
+                if k not in ("bias", "base"):
+                    net.p[k] *= 1 - rate * decay
                 net.p[k] -= rate * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.999 ** step)) + 1e-6)
     net.cache, net.rows = {}, []
     top = np.array([float(s.max()) for s in net.window_scores(words)])
