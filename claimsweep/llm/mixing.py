@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .common import words_of
+from .common import fresh, with_row_id, words_of
 
 #: Pareto ranks are cut into so many ranges of each source; only the range that the cut falls in matters
 #: row by row, and no task holds more than one range of a source.
@@ -103,3 +103,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
                         (copies * F.col("size")).alias("taken"), *keep)
 
 
+
+
+def take(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (a stored table), with all their columns, each as often as the mixture takes it."""
+    row, copies = fresh(docs, "row"), fresh(docs, "copies")
+    numbered = with_row_id(docs, row)
+    taken = mix(numbered, keep=(row,), **options).where("copies > 0").select(F.col(row).alias("r"), F.col("copies").cast("int").alias("c"))
+    out = numbered.join(taken, F.col(row) == F.col("r"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.array_repeat(F.lit(0), F.col("c"))).alias(copies)).drop(copies)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .common import lower_ascii, words_of
+from .common import fresh, lower_ascii, with_row_id, words_of
 
 #: A line in more different texts of one host than this is boilerplate there.
 LINE_LIMIT = 20
@@ -44,7 +44,7 @@ def document_facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, k
     parts = parts.select("*", words_of(F.col("text")).alias("words"),
                          F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     line = F.transform("lines", lambda x: F.struct(
-        F.xxhash64(F.array_join(words_of(lower_ascii(x)), " ")).alias("line"), F.size(words_of(x)).alias("n")))
+        _line_hash(x).alias("line"), F.size(words_of(x)).alias("n")))
     return parts.select(
         "doc_id", "host", *keep, F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"),
         F.size("words").cast("long").alias("n_words"),
@@ -54,6 +54,25 @@ def document_facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, k
         repeated_words(F.col("words")).alias("n_repeat_words"), line.alias("lines"))
 
 
+def _line_hash(line: Column) -> Column:
+    return F.xxhash64(F.array_join(words_of(lower_ascii(line)), " "))
+
+
+def _common_lines(facts: DataFrame, line_limit: int) -> DataFrame:
+    """``(host, t1, t2, line, n)``: boilerplate lines of each different text of a host, n words in each."""
+    host = ["host", "t1", "t2"]
+    # each different text of a host once, its lines once each with the words that they hold altogether
+    texts = facts.select(*host, "lines").dropDuplicates(host)
+    lines = texts.select(*host, F.explode("lines").alias("x")).select(*host, "x.line", "x.n")
+    lines = lines.groupBy(*host, "line").agg(F.sum("n").alias("n"))
+    common = lines.groupBy("host", "line").count().where(F.col("count") > line_limit)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    common = common.select(F.col("host").alias("h"), F.col("line").alias("l"), salts.alias("s"))
+    salted = lines.withColumn("salt", F.pmod("t2", F.lit(SALTS)).cast("int"))
+    return salted.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")) & (F.col("salt") == F.col("s"))).select(
+        *host, "line", "n")
+
+
 def apply_rules(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: int = LEAST_LEFT, min_words: int = 20,
                 most_repeated: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
                 keep: tuple[str, ...] = ()) -> DataFrame:
@@ -68,16 +87,7 @@ def apply_rules(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: int =
     rows give no rows. Columns named in ``keep`` are carried along, others are ignored.
     """
     facts = stage(document_facts(docs, id_col, text_col, host_col, keep), "quality-facts")
-    host = ["host", "t1", "t2"]
-    # each different text of a host once, its lines once each with the words that they hold altogether
-    texts = facts.select(*host, "lines").dropDuplicates(host)
-    lines = texts.select(*host, F.explode("lines").alias("x")).select(*host, "x.line", "x.n")
-    lines = lines.groupBy(*host, "line").agg(F.sum("n").alias("n"))
-    common = lines.groupBy("host", "line").count().where(F.col("count") > line_limit)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    common = common.select(F.col("host").alias("h"), F.col("line").alias("l"), salts.alias("s"))
-    salted = lines.withColumn("salt", F.pmod("t2", F.lit(SALTS)).cast("int"))
-    met = salted.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")) & (F.col("salt") == F.col("s")))
+    met, host = _common_lines(facts, line_limit), ["host", "t1", "t2"]
     removed = met.groupBy(*host).agg(F.sum("n").alias("removed"))
     removed = removed.select(F.col("host").alias("h"), F.col("t1").alias("x1"), F.col("t2").alias("x2"), "removed")
     judged = facts.drop("lines").join(removed, F.col("host").eqNullSafe(F.col("h")) & (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2")), "left")
@@ -86,3 +96,27 @@ def apply_rules(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: int =
     depleted = 100 * words_left < least_left * F.col("n_words")
     return judged.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          base.alias("base_failed"), words_left.cast("long").alias("words_left"), (~base & ~depleted).alias("kept"))
+
+
+def without_common_lines(docs: DataFrame, line_limit: int = LINE_LIMIT, id_col: str = "doc_id", text_col: str = "text",
+                         host_col: str = "source") -> DataFrame:
+    """``docs`` (a stored table) with boilerplate lines taken out of the texts; null texts stay null."""
+    row = fresh(docs, "row")
+    numbered = with_row_id(docs, row)
+    facts = stage(document_facts(numbered, id_col, text_col, host_col, (row,)), "quality-facts")
+    lines = _common_lines(facts, line_limit).groupBy("host", "t1", "t2").agg(F.collect_set("line").alias("gone"))  # lines of one text
+    lines = lines.select(F.col("host").alias("h"), F.col("t1").alias("x1"), F.col("t2").alias("x2"), "gone")
+    found = facts.select(F.col(row).alias("r"), "host", "t1", "t2").join(
+        lines, F.col("host").eqNullSafe(F.col("h")) & (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2"))).select("r", "gone")
+    out = numbered.join(found, F.col(row) == F.col("r"), "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("gone", _line_hash(x))), "\n")
+    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (a stored table) that the rules keep, with all their columns."""
+    row = fresh(docs, "row")
+    numbered = with_row_id(docs, row)
+    good = apply_rules(numbered, keep=(row,), **options).where("kept").select(F.col(row).alias(fresh(numbered, "kept_row")))
+    return numbered.join(good, F.col(row) == F.col(good.columns[0]), "left_semi").drop(row)

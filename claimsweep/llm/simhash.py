@@ -301,21 +301,21 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
     """
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_of(F.col(text_col)).alias("fp"))
-    return grouped(stage(own, "simhash-documents"), radius, crowded)
+    return grouped(stage(own, "simhash-documents"), radius, crowded).drop("root")
 
 
 def grouped(own: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataFrame:
-    """The same from a stored table ``(doc_id, fp)``; its further columns stay."""
+    """The same from a stored table ``(doc_id, fp)``, and ``root``, one number for each group; further columns stay."""
     each = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"))
     each = stage(each, "simhash-fingerprints")
     roots = components(links(each.select("fp"), radius, crowded))
     placed = each.join(roots, each["fp"] == roots["u"], "left").select(
         "fp", "least_id", "n_copies", F.coalesce("v", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    label = placed.join(named, "root").select("fp", "n_copies", "component_id")
+    label = placed.join(named, "root").select("fp", "root", "n_copies", "component_id")
     # a hot fingerprint is one row of ``label``: adaptive execution splits its documents over tasks
     return own.join(label, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies",
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_copies", "root",
         *[c for c in own.columns if c not in ("doc_id", "fp")])
 
 
@@ -330,7 +330,5 @@ def keep_one(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col:
     own = numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("at"),
                           fingerprint_of(F.col(text_col)).alias("fp"))
     groups = grouped(stage(own, "simhash-documents"), radius)
-    # groups without any id have a null component; the fingerprint's own root would name them, so use the pair
-    first = groups.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f")).agg(
-        F.min_by("at", F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias(seen))
+    first = groups.groupBy("root").agg(F.min_by("at", F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias(seen))
     return numbered.join(first.select(seen), F.col(row) == F.col(seen), "left_semi").drop(row)

@@ -231,8 +231,8 @@ def train(texts: list[str], labels: list[int], share: float, steps: int = 400, b
           decay: float = 0.2, seed: int = 0) -> Network:
     """Fits a network to whole texts and their labels; ``share`` of all texts are labelled 1.
 
-    Epochs are run until ``steps`` batches have been learnt from. At first a random window stands for its
-    text, later the window that scores worst, so that what makes a text toxic is found in it, and clean
+    Epochs are run until ``steps`` batches have been learnt from. In the first quarter a random window stands
+    for its text, later the window that scores worst, so that what makes a text toxic is found in it, and clean
     texts teach by what looks worst in them.
     """
     rng = np.random.default_rng(seed)
@@ -243,10 +243,9 @@ def train(texts: list[str], labels: list[int], share: float, steps: int = 400, b
     mean, square = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     step = 0
     starts = [window_starts(len(ws)) for ws in words]
-    epoch = -1
     while step < steps:
-        epoch, worst = epoch + 1, None
-        if epoch > 1:
+        worst = None
+        if 4 * step >= steps:
             net.cache, net.rows = {}, []
             worst = [int(s.argmax()) for s in net.window_scores(words)]
         chosen = []
