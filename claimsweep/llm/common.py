@@ -46,6 +46,28 @@ def lower_ascii(text: Column) -> Column:
         F.translate(text, upper, upper.lower()))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once for each row: the only element of an array has a name."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def window_hashes(words: Column, k: int) -> Column:
+    """64-bit hashes of all runs of k words, in order; an empty array for shorter texts.
+
+    Hashes of runs are doubled in length, from pairs of their halves; a last step joins two overlapping
+    runs where k is no power of two.
+    """
+    def joined(hashes: Column, by: int) -> Column:
+        return bound(hashes, lambda a: F.transform(
+            F.slice(a, 1, F.greatest(F.size(a) - by, F.lit(0))), lambda h, i: F.xxhash64(h, F.get(a, i + by))))
+
+    out, have = F.transform(words, lambda w: F.xxhash64(w)), 1
+    while have < k:
+        step = min(have, k - have)
+        out, have = joined(out, step), have + step
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once a session, so that they can import its functions."""
     context = spark.sparkContext

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .common import fresh, lower_ascii, with_row_id, words_of
+from .common import bound, fresh, lower_ascii, window_hashes, with_row_id, words_of
 
 #: A line in more different texts of one host than this is boilerplate there.
 LINE_LIMIT = 20
@@ -20,31 +20,43 @@ SALTS = 16
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in ``window``-word windows that occur twice or more in the text, the first included."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - window + 1, F.lit(1)))
-    hashes = F.when(F.size(words) >= window, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, window))))
-    repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)  # most texts end here
+    def twins(order: Column) -> Column:  # places of windows whose hash has a neighbour in the sorted windows
+        def same(entry, at):
+            return (F.get(order, at - 1)["h"] == entry["h"]) | (F.get(order, at + 1)["h"] == entry["h"])
 
-    def covered(order: Column) -> Column:
-        def twin(entry, at):
-            return ((F.get(order, at - 1)["h"] == entry["h"]) | (F.get(order, at + 1)["h"] == entry["h"]))
+        return F.array_sort(F.transform(F.filter(order, lambda e, at: F.coalesce(same(e, at), F.lit(False))), lambda e: e["i"]))
 
-        places = F.array_sort(F.transform(F.filter(order, lambda e, i: F.coalesce(twin(e, i), F.lit(False))), lambda e: e["i"]))
-        return F.aggregate(F.transform(places, lambda p, j: F.least(
-            F.lit(window), F.coalesce(F.get(places, j + 1) - p, F.lit(window)))), F.lit(0), lambda a, x: a + x)
+    def covered(places: Column) -> Column:
+        reach = F.transform(places, lambda p, j: F.least(F.lit(window), F.coalesce(F.get(places, j + 1) - p, F.lit(window))))
+        return F.aggregate(reach, F.lit(0), lambda total, x: total + x)
 
-    order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    # a one-element array binds the sorted windows to a name, so that they are built once for each text
-    return F.when(repeats, F.element_at(F.transform(F.array(order), covered), 1)).otherwise(0).cast("long")
+    def count(hashes: Column) -> Column:
+        order = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        repeats = F.size(F.array_distinct(hashes)) < F.size(hashes)  # most texts end here
+        return F.when(repeats, bound(bound(order, twins), covered)).otherwise(0)
+
+    return bound(window_hashes(words, window), count).cast("long")
+
+
+def normal_line(line: Column) -> Column:
+    """A-Z in lower case, white space between words as one blank, none around them."""
+    return F.trim(F.regexp_replace(lower_ascii(line), r"[\x20\x09\x0B-\x0D]+", " "))
+
+
+def normal_lines(text: Column) -> Column:
+    """The normalised lines that hold a word; a text is normalised as a whole, then cut."""
+    whole = F.regexp_replace(lower_ascii(text), r"[\x20\x09\x0B-\x0D]+", " ")
+    return F.array_remove(F.transform(F.split(whole, "\n", -1), lambda x: F.trim(x)), "")
 
 
 def document_facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One pass over the texts; what leaves it is numbers and a hash for each line."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"), *keep)
-    parts = parts.select("*", words_of(F.col("text")).alias("words"),
+    parts = parts.select("*", words_of(F.col("text")).alias("words"), normal_lines(F.col("text")).alias("normal"),
                          F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    line = F.transform("lines", lambda x: F.struct(
-        _line_hash(x).alias("line"), F.size(words_of(x)).alias("n")))
+    line = F.transform("normal", lambda x: F.struct(
+        F.xxhash64(x).alias("line"), (F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
     return parts.select(
         "doc_id", "host", *keep, F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"),
         F.size("words").cast("long").alias("n_words"),
@@ -54,10 +66,6 @@ def document_facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, k
         repeated_words(F.col("words")).alias("n_repeat_words"), line.alias("lines"))
 
 
-def _line_hash(line: Column) -> Column:
-    return F.xxhash64(F.array_join(words_of(lower_ascii(line)), " "))
-
-
 def _common_lines(facts: DataFrame, line_limit: int) -> DataFrame:
     """``(host, t1, t2, line, n)``: boilerplate lines of each different text of a host, n words in each."""
     host = ["host", "t1", "t2"]
@@ -109,7 +117,7 @@ def without_common_lines(docs: DataFrame, line_limit: int = LINE_LIMIT, id_col:
     found = facts.select(F.col(row).alias("r"), "host", "t1", "t2").join(
         lines, F.col("host").eqNullSafe(F.col("h")) & (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2"))).select("r", "gone")
     out = numbered.join(found, F.col(row) == F.col("r"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("gone", _line_hash(x))), "\n")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x)))), "\n")
     text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)
     return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
