@@ -44,8 +44,7 @@ class Inputs:
         return cls._made[key]
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return synth.spread(df) if name in ("documents", "pages") else df
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def claims(self) -> DataFrame:
@@ -300,7 +299,9 @@ def injection_scan(x):
 
 @query
 def material_type(x):
-    names = x.api.groupBy("claim_id").agg(F.collect_set("name").alias("names"))
+    # claims with and without structured fields
+    some = x.claims.where(F.col("k") % 71 == 0).select("claim_id")
+    names = x.api.join(some, "claim_id", "left_semi").groupBy("claim_id").agg(F.collect_set("name").alias("names"))
     rows = x.materials.join(names, "claim_id", "left")
     return rows.select("claim_id", "file_order", FM.material_type(F.col("file_name"), F.col("text")).alias("material"),
                        FM.material_type(F.col("file_name"), F.col("text"), F.col("names")).alias("with_fields"))
@@ -576,8 +577,12 @@ def city_rerank(x):
 
 @query
 def chunk_text(x):
-    texts = x.table("documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("policy_id"), F.lit("V1").alias("version"), "text")
-    return chunking.chunk_text(texts)
+    one = x.table("documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("policy_id"), "doc_id", "text")
+    # a second version of every policy: a chapter before the text and a table behind it
+    longer = F.concat(F.lit("第一章 总则\n"), "text", F.lit("\n1.1 附则\n| a | b |\n|---|---|\n| "), F.col("doc_id").cast("string"), F.lit(" | x |"))
+    both = one.select("policy_id", F.inline(F.array(
+        F.struct(F.lit("V1").alias("version"), F.col("text").alias("text")), F.struct(F.lit("V2").alias("version"), longer.alias("text")))))
+    return chunking.chunk_text(both)
 
 
 @query

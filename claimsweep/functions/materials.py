@@ -1,7 +1,5 @@
 """Scalar expressions over one material: quality, hard regions, injection, type, readability."""
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,46 +55,37 @@ def hard_level(c: Column, keywords=R.HANDWRITING_KEYWORDS) -> Column:
             .when(noisy, "hard").otherwise("normal"))
 
 
-def _needed_words(pattern: str) -> list[list[str]]:
-    """Word groups of a pattern of which every match contains at least one word each."""
-    groups = []
-    required = re.sub(r"\(\?:[^()]*\)[?*]", "*", pattern)  # optional groups say nothing
-    for body in re.findall(r"\(\?:([^()]*)\)(?![?*{])", required):
-        words = []
-        for option in body.split("|"):
-            head = re.match(r"[^\\\[\]{}?*+.^$]*", option).group()
-            if option[len(head):len(head) + 1] in tuple("?*{"):
-                head = head[:-1]
-            words.append(head.lower())
-        if all(words):
-            groups.append(words)
-    return groups
-
-
-def _may_hit(folded: Column, pattern: str) -> Column:
+def _may_hit(folded: Column, groups) -> Column:
     """Necessary condition for one rule on case-folded text: plain word searches, far cheaper than it."""
     possible = F.lit(True)
-    for words in _needed_words(pattern):
+    for words in groups:
         possible = possible & contains_any(folded, words)
     return possible
 
 
-def _by_rule(c: Column, rules, found) -> Column:
-    """``found(label, pattern)`` for the rules that may hit at all, null for the others."""
+def _by_rule(c: Column, rules, words, found) -> Column:
+    """``found(label, pattern)`` for the rules that may hit at all, null for the others.
+
+    ``words`` holds each rule's word groups as the rule pack states them; without it every rule is run.
+    """
+    if rules is None:
+        rules, words = R.INJECTION_RULES, R.INJECTION_WORDS
+    if not words:
+        return F.array(*[found(label, p) for label, p in rules])
     folded = F.lower(F.upper(c))
-    return F.array(*[F.when(_may_hit(folded, p), found(label, p)) for label, p in rules])
+    return F.array(*[F.when(_may_hit(folded, groups), found(label, p)) for (label, p), groups in zip(rules, words, strict=True)])
 
 
-def injection_labels(c: Column, rules=R.INJECTION_RULES) -> Column:
+def injection_labels(c: Column, rules=None, words=None) -> Column:
     """Labels of the rules that hit, in rule order; a label repeats when two of its rules hit."""
-    hits = F.array_compact(_by_rule(c, rules, lambda label, p: F.when(c.rlike("(?iU)" + p), label)))
+    hits = F.array_compact(_by_rule(c, rules, words, lambda label, p: F.when(c.rlike("(?iU)" + p), label)))
     return F.coalesce(hits, F.array().cast("array<string>"))
 
 
-def injection_snippets(c: Column, rules=R.INJECTION_RULES, keep: int = R.MAX_INJECTION_SNIPPETS) -> Column:
+def injection_snippets(c: Column, rules=None, words=None, keep: int = R.MAX_INJECTION_SNIPPETS) -> Column:
     """Distinct folded snippets in rule order, at most ``keep``."""
     found = F.flatten(F.array_compact(
-        _by_rule(c, rules, lambda label, p: F.regexp_extract_all(c, F.lit("(?iU)" + p), F.lit(0)))))
+        _by_rule(c, rules, words, lambda label, p: F.regexp_extract_all(c, F.lit("(?iU)" + p), F.lit(0)))))
     distinct = F.array_distinct(F.filter(F.transform(found, fold), lambda s: s != ""))
     return F.coalesce(F.slice(distinct, 1, keep), F.array().cast("array<string>"))
 

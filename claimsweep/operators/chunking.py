@@ -24,17 +24,17 @@ def chunk_text(texts: DataFrame) -> DataFrame:
     is_rule = is_table & F.col("body").rlike(r"^[|\-: ]+$")
     lines = lines.select("*", chapter.alias("chapter"), is_table.alias("table"), is_rule.alias("rule"))
 
-    run = W.partitionBy("policy_id").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = W.partitionBy("policy_id", "version").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
     lines = lines.select(
         "*", F.count("heading").over(run).alias("section"),
         F.last("chapter", True).over(run).alias("parent"), F.last("heading", True).over(run).alias("own"),
-        F.lead("rule").over(W.partitionBy("policy_id").orderBy("n")).alias("next_rule"),
-        F.lead("heading").over(W.partitionBy("policy_id").orderBy("n")).alias("next_heading"))
+        F.lead("rule").over(W.partitionBy("policy_id", "version").orderBy("n")).alias("next_rule"),
+        F.lead("heading").over(W.partitionBy("policy_id", "version").orderBy("n")).alias("next_heading"))
     path = (F.when(F.col("own").isNull(), P.DEFAULT_SECTION)
             .when(F.col("own").rlike("(?U)" + P.CHAPTER_PATTERN) | F.col("parent").isNull(), F.col("own"))
             .otherwise(F.concat_ws("·", "parent", "own")))
 
-    sec = W.partitionBy("policy_id", "section").orderBy("n")
+    sec = W.partitionBy("policy_id", "version", "section").orderBy("n")
     before = sec.rowsBetween(W.unboundedPreceding, -1)
     sofar = sec.rowsBetween(W.unboundedPreceding, W.currentRow)
     lines = lines.select(
@@ -53,8 +53,8 @@ def chunk_text(texts: DataFrame) -> DataFrame:
         F.min("n").alias("n"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda p: p["piece"]), " ").alias("unit_text"))
     keeper = F.col("table") | (F.length("unit_text") >= P.MIN_PIECE_CHARS)
-    order = W.partitionBy("policy_id").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
-    in_section = W.partitionBy("policy_id", "section").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("policy_id", "version").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
+    in_section = W.partitionBy("policy_id", "version", "section").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow)
     numbered = units.withColumn("keeper", keeper).select(
         "*", F.sum(F.col("keeper").cast("int")).over(order).alias("chunk_no"),
         F.sum(F.col("keeper").cast("int")).over(in_section).alias("in_section")).where("in_section > 0")

@@ -53,37 +53,40 @@ def earliest_lookup(registry: DataFrame) -> DataFrame:
     )
 
 
-def with_duplicate_hits(claims: DataFrame, registry: DataFrame) -> DataFrame:
-    """Adds ``dup_exact`` and ``dup_any``: the first earlier record of another claim, if there is one.
+def duplicate_hits(claims: DataFrame, registry: DataFrame) -> DataFrame:
+    """``(claim_id, dup_exact, dup_any)`` of claims with an earlier record of another claim, and no others.
 
     ``registry`` holds one row per (claim, number), each claim's own among them. Since the earliest
     record of a key precedes all others, it is either the claim's own (then nothing came before) or
-    the answer, so no pair of claims is ever formed.
+    the answer, so no pair of claims is ever formed. Only the compared values travel; each claim asks
+    one lookup table twice, by number and by all that it has.
     """
-    lookup = earliest_lookup(registry)
-    number = blank_to_null(F.col("invoice_number"))
-    date, amount = blank_to_null(F.col("invoice_date")), blank_to_null(F.col("invoice_amount"))
-    keyed = claims.select(
-        # claims without a number get a key of their own, so they spread instead of meeting in one task
-        "*", F.coalesce(number, F.concat(F.lit("\u0000"), "claim_id")).alias("key_number"), F.coalesce(date, F.lit("")).alias("key_date"),
-        F.coalesce(amount, F.lit("")).alias("key_amount"),
-        (date.isNotNull().cast("int") + amount.isNotNull().cast("int") * 2).alias("mode"))
-    own = F.struct(F.col("submitted_at"), F.col("claim_id"))
-
-    def earlier(c: Column) -> Column:
-        return F.when((c["claim_id"] != F.col("claim_id"))
-                      & (F.struct(c["created_at"], c["claim_id"]) < own), c)
-
-    any_first = lookup.where("mode = 0").select(
-        F.col("invoice_number").alias("key_number"), F.col("first").alias("any_first"))
-    exact_first = lookup.select(
-        "mode", F.col("invoice_number").alias("key_number"), "key_date", "key_amount",
-        F.col("first").alias("exact_first"))
-    joined = (keyed.join(any_first, "key_number", "left")
-              .join(exact_first, ["mode", "key_number", "key_date", "key_amount"], "left"))
-    return joined.select(
+    number, date, amount = (blank_to_null(F.col(c)) for c in ("invoice_number", "invoice_date", "invoice_amount"))
+    mode = date.isNotNull().cast("int") + amount.isNotNull().cast("int") * 2
+
+    def key(kind: Column, day: Column, price: Column) -> Column:
+        return F.struct(kind.alias("mode"), day.alias("key_date"), price.alias("key_amount"))
+
+    none = F.lit("")
+    asked = claims.select(
+        "claim_id", "submitted_at", number.alias("invoice_number"), mode.alias("own_mode"),
+        F.explode(F.array_distinct(F.array(key(F.lit(0), none, none), key(
+            mode, F.coalesce(date, none), F.coalesce(amount, none))))).alias("key")).where("invoice_number is not null")
+    asked = asked.select("claim_id", "submitted_at", "invoice_number", "own_mode", "key.*")
+    found = asked.join(earliest_lookup(registry), ["mode", "invoice_number", "key_date", "key_amount"])
+    found = found.where((F.col("first.claim_id") != F.col("claim_id")) & (
+        F.struct(F.col("first.created_at"), F.col("first.claim_id")) < F.struct(F.col("submitted_at"), F.col("claim_id"))))
+    return found.groupBy("claim_id").agg(
+        F.max(F.when(F.col("mode") == F.col("own_mode"), F.col("first"))).alias("dup_exact"),
+        F.max(F.when(F.col("mode") == 0, F.col("first"))).alias("dup_any"))
+
+
+def with_duplicate_hits(claims: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adds ``dup_exact`` and ``dup_any``: the first earlier record of another claim, if there is one."""
+    number, date, amount = (blank_to_null(F.col(c)) for c in ("invoice_number", "invoice_date", "invoice_amount"))
+    return claims.join(duplicate_hits(claims, registry), "claim_id", "left").select(
         *claims.columns, number.alias("clean_number"), date.alias("clean_date"), amount.alias("clean_amount"),
-        earlier(F.col("exact_first")).alias("dup_exact"), earlier(F.col("any_first")).alias("dup_any"))
+        "dup_exact", "dup_any")
 
 
 def duplicate_check(check) -> Column:

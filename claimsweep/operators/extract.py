@@ -1,7 +1,5 @@
 """Labelled field extraction from material pages."""
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +23,11 @@ def field_struct(source: int, value: Column, confidence: Column, document_id: Co
         source_text.alias("source_text"))
 
 
-def _leading_labels(pattern: str) -> list[str]:
-    """The literal labels a pattern starts with, if it starts with a group of them."""
-    head = re.match(r"\(\?:([^()\[\]\\]+)\)", pattern)
-    return head.group(1).split("|") if head else []
-
-
-def _from_first_label(text: Column, pattern: str) -> Column:
-    """The text from its first label on, where every match must start; null when there is no label."""
-    labels = _leading_labels(pattern)
-    if not labels:
+def _from_first_start(text: Column, starts) -> Column:
+    """The text from the first word that a match may start with; null without one; all of it if none are stated."""
+    if not starts:
         return text
-    places = [F.nullif(F.instr(text, label), F.lit(0)) for label in labels]
+    places = [F.nullif(F.instr(text, word), F.lit(0)) for word in starts]
     first = places[0] if len(places) == 1 else F.least(*places)
     return F.when(first.isNotNull(), F.substr(text, first))
 
@@ -51,14 +42,19 @@ def _accepted(name: str, pattern: str, text: Column, value: Column) -> Column:
     return (value != "") & ~value.isin(*refused) & ~F.coalesce(signed, F.lit(False))
 
 
-def with_field_hits(pages: DataFrame, patterns=None, prefix: str = "f_") -> DataFrame:
+def with_field_hits(pages: DataFrame, patterns=None, prefix: str = "f_", starts=None) -> DataFrame:
     """Adds one struct column per field: the first accepted hit over its patterns, null without one.
 
-    Three narrow projections: where a pattern may start, what it matches there, what is kept. Byte
-    searches for the labels come first, so a pattern runs only on pages that can match it.
+    Three narrow projections: where a pattern may start, what it matches there, what is kept. Where the
+    rule pack states the words that matches start with (``starts``, by field and pattern), byte searches
+    for them come first, so a pattern runs only on pages that can match it; other patterns run on all.
     """
-    rules = [(n, i, p) for n, ps in (patterns or R.FIELD_PATTERNS).items() for i, p in enumerate(ps)]
-    starts = pages.select("*", *[_from_first_label(F.col("text"), p).alias(f"t_{n}_{i}") for n, i, p in rules])
+    if patterns is None:
+        patterns, starts = R.FIELD_PATTERNS, R.FIELD_STARTS
+    stated = starts or {}
+    rules = [(n, i, p) for n, ps in patterns.items() for i, p in enumerate(ps)]
+    starts = pages.select("*", *[
+        _from_first_start(F.col("text"), stated[n][i] if n in stated else ()).alias(f"t_{n}_{i}") for n, i, p in rules])
     matched = starts.select(*pages.columns, *[
         c for n, i, p in rules for c in (
             strip(F.regexp_extract(f"t_{n}_{i}", "(?U)" + p, 1)).alias(f"v_{n}_{i}"),
@@ -91,11 +87,11 @@ def wide_to_fields(wide: DataFrame, names=FIELDS, prefix: str = "f_") -> DataFra
     return wide.select("claim_id", F.inline(entries))
 
 
-def field_extract(pages: DataFrame, patterns=None) -> DataFrame:
+def field_extract(pages: DataFrame, patterns=None, starts=None) -> DataFrame:
     """``fields(claim_id, name, value, confidence, document_id, page_no, source_text)``.
 
     One scan and one shuffle: page texts stay where they are read, only hits travel.
     """
     names = tuple(patterns or R.FIELD_PATTERNS)
-    wide = with_field_hits(pages, patterns).groupBy("claim_id").agg(*first_hits(names))
+    wide = with_field_hits(pages, patterns, starts=starts).groupBy("claim_id").agg(*first_hits(names))
     return wide_to_fields(wide, names)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank_to_null, error_class, model_json_parse, strip
 from ..functions.values import model_amount, model_date, value_normalize
 from ..rules import fields as R
+from ..staging import stage
 from .extract import API, FIELDS, MODEL, RULES, field_struct
 
 REPLY_SCHEMA = "struct<fields:map<string,struct<value:string,confidence:double,source_text:string,page_no:int>>>"
@@ -13,23 +14,29 @@ REPLY_SCHEMA = "struct<fields:map<string,struct<value:string,confidence:double,s
 
 # ---------------------------------------------------------------- structured responses
 
-def _unwrapped(v: Column, keys) -> Column:
-    """The first non-empty wrapper member of an object, or the value itself.
+def _nested() -> Column:
+    kind = F.schema_of_variant("v")
+    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
 
-    Runs as a one-element ``transform``, so that nested calls refer to the value once.
-    """
-    def opened(x):
-        member = lambda key: F.when(F.try_variant_get(x, f"$.{key}", "string") != "", F.try_variant_get(x, f"$.{key}", "variant"))
-        return F.when(F.schema_of_variant(x).startswith("OBJECT"), F.coalesce(*[member(k) for k in keys])).otherwise(x)
 
-    return F.element_at(F.transform(F.array(v), opened), 1)
+def _opened(rows: DataFrame, keys) -> DataFrame:
+    """One level of every value opened: an object's first non-empty wrapper member, a list's items in order."""
+    def member(key):
+        return F.when(F.try_variant_get("v", f"$.{key}", "string") != "", F.try_variant_get("v", f"$.{key}", "variant"))
+
+    kind, item = F.schema_of_variant("v"), lambda path, v: F.struct(path.alias("path"), v.alias("v"))
+    items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x, i: item(F.concat("path", F.array(i)), x))
+    inner = F.when(kind.startswith("ARRAY"), items).otherwise(F.array(item(F.col("path"), F.when(
+        kind.startswith("OBJECT"), F.coalesce(*[member(k) for k in keys])).otherwise(F.col("v")))))
+    return rows.select("claim_id", "name", F.inline(inner)).where("v is not null")
 
 
 def structured_response_fields(responses: DataFrame, field_map=None, container: str = R.API_FIELDS_PATH,
-                               keys=R.API_WRAPPER_KEYS, depth: int = 3) -> DataFrame:
+                               keys=R.API_WRAPPER_KEYS) -> DataFrame:
     """``(claim_id, name, value)`` from JSON responses: path walk, wrapper removal, normal form.
 
-    ``depth`` wrappers inside one another are opened.
+    Wrappers and lists are opened level by level until no value holds another, however deep: one small
+    job for each level that the data have. The parts of lists keep their order.
     """
     field_map = field_map or R.API_FIELD_MAP
     parsed = responses.select("claim_id", F.try_parse_json("body").alias("doc"))
@@ -37,16 +44,22 @@ def structured_response_fields(responses: DataFrame, field_map=None, container:
         F.struct(F.lit(name).alias("name"),
                  F.try_variant_get("doc", "$." + ".".join([container, path]), "variant").alias("v"))
         for name, path in field_map.items()])
-    rows = parsed.select("claim_id", F.inline(entries)).where(F.col("v").isNotNull())
-    for _ in range(depth):
-        rows = rows.withColumn("v", _unwrapped(F.col("v"), keys))
-    items = F.try_variant_get("v", "$", "array<variant>")
-    listed = F.array_join(F.filter(
-        F.transform(items, lambda x: value_normalize(F.col("name"), F.try_variant_get(_unwrapped(x, keys), "$", "string"))),
-        lambda t: t != ""), " ")
-    plain = value_normalize(F.col("name"), F.try_variant_get("v", "$", "string"))
-    value = F.when(F.schema_of_variant("v").startswith("ARRAY"), listed).otherwise(plain)
-    return rows.select("claim_id", "name", value.alias("value")).where("value <> ''")
+    rows = parsed.select("claim_id", F.inline(entries)).where(F.col("v").isNotNull()).select(
+        "claim_id", "name", F.array().cast("array<int>").alias("path"), "v")
+    leaves, plain = [], F.try_variant_get("v", "$", "string").alias("raw")
+    while True:
+        level = stage(_opened(rows, keys).select("claim_id", "name", "path", plain, _nested().alias("nested"), F.to_json("v").alias("json")), "api-level")
+        leaves.append(level.where("not nested").select("claim_id", "name", "path", "raw"))
+        left = level.where("nested")
+        if left.isEmpty():
+            break
+        rows = left.select("claim_id", "name", "path", F.parse_json("json").alias("v"))
+    every = leaves[0]
+    for part in leaves[1:]:
+        every = every.unionByName(part)
+    every = every.withColumn("value", value_normalize(F.col("name"), F.col("raw"))).where("value <> ''")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "value"))), lambda p: p["value"])
+    return every.groupBy("claim_id", "name").agg(F.array_join(parts, " ").alias("value"))
 
 
 def response_text(fields: DataFrame, field_map=None, labels=R.FIELD_TEXT_LABELS) -> DataFrame:

@@ -196,10 +196,42 @@ def _in_force(day: Column) -> Column:
         (F.coalesce("effective_to", F.lit("")) == "") | (day <= F.col("effective_to")))
 
 
-def _open_to(department: Column) -> Column:
-    """A claim without department, or of ALL, sees every department's clauses."""
+def _department_keys(department: Column) -> Column:
+    """A claim without department, or of ALL, sees every department's clauses; others their own and those for ALL."""
     everyone = F.coalesce(department, F.lit("")).isin("", "ALL")
-    return everyone | F.col("chunk_department").isin("ALL") | (F.col("chunk_department") == department)
+    return F.explode(F.when(everyone, F.array(F.lit("*"))).otherwise(F.array(F.lit("ALL"), department)))
+
+
+def _reaches_month() -> Column:
+    """Whether a clause is in force on some day of ``month``."""
+    start, end = F.col("effective_from"), F.coalesce("effective_to", F.lit(""))
+    return ((start == "") | (F.col("month") >= F.substring(start, 1, 7))) & (
+        (end == "") | (F.col("month") <= F.substring(end, 1, 7)))
+
+
+def named_in_force(combos: DataFrame, published: DataFrame, keep: int) -> DataFrame:
+    """Published clauses that name the city of ``(city, department, as_of, expense_type)`` and hold for it.
+
+    Clauses are spread over months and departments before they meet the days. Of those in force all
+    month only the first ``keep`` of a (city, month, department, type) go on: they score alike, so no
+    later one can be among a day's first ``keep``.
+    """
+    columns = ["ord", "chunk_id", "section_path", "content"]
+    asked = combos.select("*", F.substring("as_of", 1, 7).alias("month"), _department_keys(F.col("department")).alias("dept_key"))
+    clauses = published.select(*columns, F.col("department").alias("chunk_department"),
+                               F.col("expense_type").alias("chunk_type"), "effective_from", "effective_to")
+    pairs = naming_pairs(combos.select("city").distinct(), clauses)
+    by_month = pairs.join(asked.select("city", "month").distinct(), "city").where(_reaches_month())
+    by_month = by_month.select("*", F.explode(F.array_distinct(F.array(F.col("chunk_department"), F.lit("*")))).alias("dept_key"))
+    end = F.coalesce("effective_to", F.lit(""))
+    all_month = ((F.col("effective_from") <= F.concat("month", F.lit("-01")))
+                 & ((end == "") | (end >= F.concat("month", F.lit("-31"))))).alias("all_month")
+    by_month = by_month.select("*", all_month)
+    order = W.partitionBy("city", "month", "dept_key", "chunk_type", "all_month").orderBy("ord")
+    by_month = by_month.withColumn("n", F.row_number().over(order)).where(~F.col("all_month") | (F.col("n") <= keep))
+    return (asked.join(by_month, ["city", "month", "dept_key"])
+            .where((F.col("chunk_type").isin("") | (F.col("chunk_type") == F.col("expense_type"))) & _in_force(F.col("as_of")))
+            .select(*combos.columns, *columns))
 
 
 def clause_match_city(claims: DataFrame, chunks: DataFrame, published: DataFrame | None = None,
@@ -218,11 +250,8 @@ def clause_match_city(claims: DataFrame, chunks: DataFrame, published: DataFrame
         ranked = _numbered(best, keys, keep)
     else:
         best = combos.select(*keys).join(best, "city")
-        open_chunks = published.where("expense_type in ('TRAVEL', '')").select(
-            *columns, F.col("department").alias("chunk_department"), "effective_from", "effective_to")
-        named = (naming_pairs(combos.select("city").distinct(), open_chunks).join(combos, "city")
-                 .where(_open_to(F.col("department")) & _in_force(F.col("as_of")))
-                 .select(*keys, *columns, F.lit(P.SCORE_PUBLISHED_CITY).alias("score"), F.lit(1).alias("source_rank")))
+        named = named_in_force(combos.withColumn("expense_type", F.lit("TRAVEL")), published, keep).select(
+            *keys, *columns, F.lit(P.SCORE_PUBLISHED_CITY).alias("score"), F.lit(1).alias("source_rank"))
         ranked = _numbered(best.unionByName(named), keys, keep)
     return attach_evidence(keyed, _collected(ranked, keys), keys, claims.columns)
 
@@ -247,17 +276,13 @@ def applicable_chunks(combos: DataFrame, published: DataFrame) -> DataFrame:
     clauses of its month; open ends need no artificial horizon.
     """
     asked = combos.select("department", "expense_type", "as_of", F.substring("as_of", 1, 7).alias("month"))
-    everyone = F.coalesce("department", F.lit("")).isin("", "ALL")
-    asked = asked.select("*", F.explode(F.when(everyone, F.array(F.lit("*")))
-                                        .otherwise(F.array(F.lit("ALL"), F.col("department")))).alias("dept_key"))
+    asked = asked.select("*", _department_keys(F.col("department")).alias("dept_key"))
     months = asked.select("expense_type", "month").distinct().select(
         F.explode(F.array(F.col("expense_type"), F.lit(""))).alias("chunk_type"), "expense_type", "month")
     clauses = published.select(
         "ord", "chunk_id", "section_path", "content", "policy_id", "version", "effective_from", "effective_to",
         F.col("department").alias("chunk_department"), F.col("expense_type").alias("chunk_type"))
-    by_month = clauses.join(months, "chunk_type").where(
-        ((F.col("effective_from") == "") | (F.col("month") >= F.substring("effective_from", 1, 7)))
-        & ((F.coalesce("effective_to", F.lit("")) == "") | (F.col("month") <= F.substring("effective_to", 1, 7))))
+    by_month = clauses.join(months, "chunk_type").where(_reaches_month())
     by_month = by_month.select("*", F.explode(F.array(F.col("chunk_department"), F.lit("*"))).alias("dept_key"))
     return (asked.join(by_month, ["expense_type", "month", "dept_key"])
             .where(_in_force(F.col("as_of"))).drop("month", "dept_key", "chunk_type"))
@@ -297,8 +322,6 @@ def clause_match_expense(claims: DataFrame, chunks: DataFrame, published: DataFr
     base = _numbered(base, ["city", "gate"], keep).drop("rank")
     pool = combos.withColumn("gate", gate).join(base, ["city", "gate"]).drop("gate")
     if published is not None:
-        open_chunks = published.select(*columns, F.col("department").alias("chunk_department"),
-                                       F.col("expense_type").alias("chunk_type"), "effective_from", "effective_to")
         types = combos.select("expense_type", "department", "as_of").distinct()
         head = applicable_chunks(types, published)
         head = head.withColumn("n", F.row_number().over(
@@ -307,10 +330,7 @@ def clause_match_expense(claims: DataFrame, chunks: DataFrame, published: DataFr
                                ["expense_type", "department", "as_of"])
                    .where((F.col("city") == "") | ~F.col("content").contains(F.col("city")))
                    .withColumn("score", F.lit(P.SCORE_PUBLISHED)))
-        local = (naming_pairs(cities, open_chunks).join(combos, "city")
-                 .where(F.col("chunk_type").isin("") | (F.col("chunk_type") == F.col("expense_type")))
-                 .where(_open_to(F.col("department")) & _in_force(F.col("as_of")))
-                 .withColumn("score", F.lit(P.SCORE_PUBLISHED_CITY)))
+        local = named_in_force(combos.where("city <> ''"), published, keep).withColumn("score", F.lit(P.SCORE_PUBLISHED_CITY))
         both = general.select(*keys, *columns, "score").unionByName(local.select(*keys, *columns, "score"))
         pool = pool.unionByName(both.withColumn("source_rank", F.lit(1)))
     ranked = _numbered(pool, keys, keep)

@@ -30,8 +30,11 @@ def expense_type_infer(files: DataFrame) -> DataFrame:
     name = F.lower("file_name")
     hits = files.groupBy("claim_id").agg(
         *[F.bool_or(contains_any(name, words)).alias(kind) for kind, words in EXPENSE_KEYWORDS.items()])
-    return hits.select("claim_id", F.coalesce(
-        *[F.when(F.col(kind), kind) for kind in EXPENSE_KEYWORDS], F.lit(DEFAULT_EXPENSE_TYPE)).alias("expense_type"))
+    return hits.select("claim_id", _first_kind("").alias("expense_type"))
+
+
+def _first_kind(prefix: str) -> Column:
+    return F.coalesce(*[F.when(F.col(prefix + kind), kind) for kind in EXPENSE_KEYWORDS], F.lit(DEFAULT_EXPENSE_TYPE))
 
 
 SIGNAL_COLUMNS = ("file_order", "file_name", "document_id", "material", "synthetic", "short", "level", "snippets")
@@ -84,6 +87,8 @@ def claim_facts(document_facts: DataFrame, api: DataFrame | None = None, candida
     facts = slim.groupBy("claim_id").agg(
         *first_hits(),
         *[F.coalesce(F.bool_or(F.col("material") == kind), F.lit(False)).alias(f"has_{kind}") for kind in MATERIAL_LABELS],
+        *[F.coalesce(F.bool_or(contains_any(F.lower("file_name"), words)), F.lit(False)).alias(f"names_{kind}")
+          for kind, words in EXPENSE_KEYWORDS.items()],
         F.count("material").alias("n_documents"),
         F.count_if("synthetic").alias("n_synthetic"), F.count_if("short").alias("n_short"))
     if corrections is None:
@@ -220,12 +225,22 @@ def staged_facts(claims: DataFrame, facts: DataFrame, name: str = "facts") -> Da
         *[F.coalesce(f"has_{k}", F.lit(False)).alias(f"has_{k}") for k in MATERIAL_LABELS],
         *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_documents", "n_synthetic", "n_short")],
         *[F.col(f"f_{n}.value").alias(n) for n in ("invoice_number", "invoice_date", "invoice_amount")],
-        F.col("f_travel_city.value").alias("city"))
+        F.col("f_travel_city.value").alias("city"), _first_kind("names_").alias("expense_type"))
     return stage(joined.withColumn("unreadable_code", readability_code()), name)
 
 
 def with_evidence(facts: DataFrame, chunks: DataFrame, published: DataFrame | None = None) -> DataFrame:
-    return P.clause_match_city(facts, chunks, published)
+    """Facts with their clauses: travel claims by city, others by the keyword gate of their expense type.
+
+    Clauses are found over a few columns of each claim and attached by claim id.
+    """
+    slim = facts.select("claim_id", "city", "department", "as_of", "expense_type")
+    travel = F.col("expense_type") == DEFAULT_EXPENSE_TYPE
+    found = P.clause_match_city(slim.where(travel), chunks, published).unionByName(
+        P.clause_match_expense(slim.where(~travel), chunks, published))
+    found = found.where(F.size("evidence") > 0).select("claim_id", F.col("evidence").alias("found"))
+    return facts.join(found, "claim_id", "left").select(
+        *facts.columns, F.coalesce("found", F.array().cast(P.EVIDENCE)).alias("evidence"))
 
 
 def audit_facts(facts: DataFrame, documents: DataFrame, chunks: DataFrame, published: DataFrame | None = None,

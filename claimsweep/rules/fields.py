@@ -27,6 +27,22 @@ FIELD_PATTERNS = {
     "payment_party": (r"(?:收款方|收款人|收款单位|收款账户名)\s*[:：]?\s*([\u4e00-\u9fffA-Za-z0-9（）()·\-]{2,32})",),
 }
 
+#: field -> for each of its patterns the words one of which every match starts with; a pattern without such words
+#: is tried on every page
+FIELD_STARTS = {
+    "invoice_amount": (("发票金额", "价税合计", "住宿金额"), ("发票金额", "价税合计", "住宿金额")),
+    "payment_amount": (("付款金额", "支付金额", "实付金额"), ("付款金额", "支付金额", "实付金额")),
+    "invoice_date": (("发票日期", "开票日期"),),
+    "travel_start_date": (("出差开始", "出差起始日期"),),
+    "travel_end_date": (("出差结束", "出差结束日期"),),
+    "travel_city": (("出差城市", "目的地"),),
+    "invoice_number": (("发票号码", "发票号"),),
+    "invoice_code": (("发票代码",),),
+    "applicant_name": (("申请人", "报销人"),),
+    "invoice_buyer": (("购买方", "购方名称", "发票抬头"), ()),
+    "payment_party": (("收款方", "收款人", "收款单位", "收款账户名"),),
+}
+
 #: labels that mark a signature row, and the payee values that are only labels
 SIGNATURE_LABELS = ("收款人", "复核", "开票人", "审核人", "签章")
 REJECTED_VALUES = {"payment_party": ("复核", "开票人", "收款人", "收款方", "审核", "审核人", "签章")}

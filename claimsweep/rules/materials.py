@@ -44,6 +44,17 @@ INJECTION_RULES = (
     ("角色扮演", r"(?:你现在是|从现在开始你是|扮演)[^\n]{0,12}(?:角色|助手|审核员)"),
     ("越权特批", r"(?:已|已经)?(?:由)?[^\n]{0,8}(?:总监|总经理|老板|CEO)[^\n]{0,6}(?:特批|批准)[^\n]{0,8}(?:无需|不用|不必)"),
 )
+#: for each rule the word groups of which every match holds one word each, in lower case
+INJECTION_WORDS = (
+    (("忽略",), ("以上", "上述", "之前", "前面", "所有", "全部"), ("规则", "指令", "要求", "说明")),
+    (("ignore",), ("previous", "above", "prior"), ("instruction",)),
+    (("系统", "管理员", "平台"), ("指令", "提示", "要求"), (":", "：")),
+    (("system", "override"),),
+    (("直接", "请", "应当", "必须"), ("判定", "输出", "给出", "返回"), ("合规", "通过", "pass")),
+    (("跳过", "无需", "不用", "不要"), ("检查", "审核", "核对")),
+    (("你现在是", "从现在开始你是", "扮演"), ("角色", "助手", "审核员")),
+    (("总监", "总经理", "老板", "ceo"), ("特批", "批准"), ("无需", "不用", "不必")),
+)
 MAX_INJECTION_SNIPPETS = 3
 
 SYNTHETIC_MARKERS = ("【OCR-MOCK】", "【OCR-STUB】")

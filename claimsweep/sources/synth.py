@@ -36,19 +36,10 @@ def money_text(cents: Column) -> Column:
     return (cents.cast("decimal(18,2)") / F.lit(100)).cast("decimal(18,2)").cast("string")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores when the input came as fewer splits than there are cores.
-
-    Only small inputs in one unsplittable file are concerned; a large table has splits enough.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def claims_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per submitted claim: what is true of it before any file is read."""
-    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), "o_totalprice", "o_orderdate"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), "o_totalprice", "o_orderdate")
     copies = F.explode(F.when(every(50), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     cents = F.when(every(29), F.lit(60000).cast("bigint")).otherwise(
         F.round(F.col("o_totalprice") * 100).cast("bigint") % 90000 + 10000)
@@ -83,7 +74,10 @@ def _line(label: str | Column, value: Column) -> Column:
 
 
 def materials(claims: DataFrame) -> DataFrame:
-    """(claim_id, file_order, document_id, file_name, page_no, text), one page per file."""
+    """(claim_id, file_order, document_id, file_name, page_no, text), one page per file.
+
+    File names of every 21st claim speak of medical, of every 35th of purchase expenses.
+    """
     renamed = every(7)
 
     def text(*pieces):
@@ -117,8 +111,8 @@ def materials(claims: DataFrame) -> DataFrame:
         F.lit("测试样例，非真实审批单。\n"))
     files = F.array_compact(F.array(
         file(1, ~every(43), name("invoice.txt", 1), invoice),
-        file(2, ~every(37), name("payment.txt", 2), payment),
-        file(3, ~every(41), name("approval.txt", 3), approval),
+        file(2, ~every(37), F.when(F.col("k") % 21 == 4, "门诊处方_付款.txt").otherwise(name("payment.txt", 2)), payment),
+        file(3, ~every(41), F.when(F.col("k") % 35 == 8, "办公采购_审批.txt").otherwise(name("approval.txt", 3)), approval),
         file(4, every(53), F.lit("note.txt"), text(F.lit(NOTE_TEXT))),
     ))
     return (
@@ -141,15 +135,24 @@ def corrections(claims: DataFrame) -> DataFrame:
 
 
 def api_responses(claims: DataFrame) -> DataFrame:
-    """Structured invoice responses (JSON) for every 71st claim; every 142nd disagrees on the amount."""
+    """A structured invoice response (JSON) for every claim; every 142nd disagrees on the amount.
+
+    Buyers are wrapped twice, in every fifth claim five times, and given as nested lists in every seventh.
+    """
+    wrap = lambda c, *names: c if not names else F.struct(wrap(c, *names[1:]).alias(names[0]))
+    buyer = F.col("invoice_buyer")
+    deep = F.to_json(wrap(buyer, "content", "word", "text", "value", "value"))
+    lists = F.concat(F.lit("[["), F.to_json(wrap(F.substring(buyer, 1, 1), "text")), F.lit("],["),
+                     F.to_json(wrap(F.substring(buyer, 2, 9), "value", "word")), F.lit("]]"))
     body = F.to_json(F.struct(F.struct(
         F.struct(F.col("invoice_number").alias("word")).alias("InvoiceNum"),
         F.regexp_replace("invoice_date", r"^(\d+)-(\d+)-(\d+)$", "$1年$2月$3日").alias("InvoiceDate"),
         F.concat(F.lit("￥"), money_text(F.when(every(142), F.col("invoice_cents") + 1)
                                        .otherwise(F.col("invoice_cents")))).alias("AmountInFiguers"),
-        F.struct(F.struct(F.col("invoice_buyer").alias("text")).alias("value")).alias("PurchaserName"),
+        F.lit("<buyer>").alias("PurchaserName"),
     ).alias("words_result")))
-    return claims.where(every(71)).select("claim_id", body.alias("body"))
+    named = F.when(every(5), deep).when(every(7), lists).otherwise(F.to_json(wrap(buyer, "value", "text")))
+    return claims.select("claim_id", F.replace(body, F.lit('"<buyer>"'), named).alias("body"))
 
 
 def candidates(claims: DataFrame) -> DataFrame:

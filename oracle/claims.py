@@ -52,13 +52,13 @@ texts as (
       || '发票金额：' || {money('invoice_cents')} || chr(10) || '购买方：' || invoice_buyer || chr(10)
       || '测试样例，非真实票据，不得用于报销。' || chr(10) end as text from seen where inv_file
   union all
-  select claim_id, k, 2, case when renamed then '微信图片_' || k || '_2.txt' else 'payment.txt' end,
+  select claim_id, k, 2, case when k % 21 = 4 then '门诊处方_付款.txt' when renamed then '微信图片_' || k || '_2.txt' else 'payment.txt' end,
     case when not readable then '略' else '付款金额：' || {money('payment_cents')} || chr(10)
       || coalesce('收款方：' || payment_party || chr(10), '')
       || (case when renamed then '流水号：LS' || k || chr(10) else '' end)
       || '测试样例，非真实支付凭证。' || chr(10) end from seen where pay_file
   union all
-  select claim_id, k, 3, case when renamed then '微信图片_' || k || '_3.txt' else 'approval.txt' end,
+  select claim_id, k, 3, case when k % 35 = 8 then '办公采购_审批.txt' when renamed then '微信图片_' || k || '_3.txt' else 'approval.txt' end,
     case when not readable then '略' else '申请人：' || applicant_name || chr(10)
       || coalesce('出差城市：' || travel_city || chr(10), '') || '出差开始：' || travel_start::varchar || chr(10)
       || '出差结束：' || travel_end::varchar || chr(10)
@@ -81,6 +81,7 @@ facts as (
     case when app then travel_city end as travel_city, case when app then travel_start::varchar end as travel_start_date,
     case when app then travel_end::varchar end as travel_end_date,
     inv_file::int + pay_file::int + app_file::int + note_file::int as n_docs,
+    case when pay_file and k % 21 = 4 then 'MEDICAL' when app_file and k % 35 = 8 then 'PURCHASE' else 'TRAVEL' end as kind,
     not readable or not (inv_file or pay_file or app_file or note_file) as unread_text,
     readable and note_file and not (inv_file or pay_file or app_file) and k % 61 <> 0 as unread_fields
   from read),
@@ -94,8 +95,10 @@ dup as (
 parsed as (
   select f.*, try_cast(invoice_amount as decimal(20,2)) as a, try_cast(payment_amount as decimal(20,2)) as b,
     try_cast(invoice_date as date) as d, travel_start_date::date as s, travel_end_date::date as e,
-    case when travel_city is null then null when travel_city in {FIRST_TIER} then 'TRAVEL-V1-4.2-A' else 'TRAVEL-V1-4.2-B' end as clause,
-    case when travel_city in {FIRST_TIER} then 600.00 else 450.00 end::decimal(20,2) as lim,
+    case when kind = 'MEDICAL' then case when travel_city is null then 'PHARM-V1-3.2|PHARM-V1-3.3' end
+      when kind = 'PURCHASE' then case when travel_city is null then 'OFFICE-V2-2.1|OFFICE-V2-2.3' end
+      when travel_city is null then null when travel_city in {FIRST_TIER} then 'TRAVEL-V1-4.2-A' else 'TRAVEL-V1-4.2-B' end as clause,
+    case when kind <> 'TRAVEL' then null when travel_city in {FIRST_TIER} then 600.00 else 450.00 end::decimal(20,2) as lim,
     dup.any_id, dup.any_date, dup.any_amount, dup.exact_id
   from facts f left join dup using (claim_id)),
 missing as (
@@ -115,10 +118,10 @@ checks as (
     case when d is null or s is null or e is null then '' else 'invoice_date|travel_start_date|travel_end_date' end from parsed
   union all
   select claim_id, 4, 'hotel_limit', case when clause is null then 'rule_missing' else 'hotel_limit' end,
-    case when clause is null or a is null then null else a <= lim end,
+    case when clause is null or a is null or lim is null then null else a <= lim end,
     case when clause is null then '未检索到适用的住宿标准条款，缺少规则依据，需人工确认' when a is null then '缺少住宿金额或适用制度'
-      else '示例按一晚计算：实际' || a::varchar || '元，上限' || lim::varchar || '元，超出' || greatest(a - lim, 0)::decimal(20,2)::varchar || '元' end,
-    case when clause is null or a is null then '' else 'invoice_amount|' || clause end from parsed
+      when lim is null then '制度条款中未找到可计算上限' else '示例按一晚计算：实际' || a::varchar || '元，上限' || lim::varchar || '元，超出' || greatest(a - lim, 0)::decimal(20,2)::varchar || '元' end,
+    case when clause is null or a is null or lim is null then '' else 'invoice_amount|' || clause end from parsed
   union all
   select claim_id, 5, 'applicant_match', 'applicant_match',
     case when applicant_name is null then null
@@ -209,8 +212,8 @@ tasks as (
 api as (
   select claim_id, k, u.* from claims, lateral (select * from (values
     ('invoice_number', replace(invoice_number, '-', '')), ('invoice_date', invoice_date),
-    ('invoice_amount', {money('case when k % 142 = 0 then invoice_cents + 1 else invoice_cents end')}), ('invoice_buyer', invoice_buyer)) v(name, value)) u
-  where k % 71 = 0),
+    ('invoice_amount', {money('case when k % 142 = 0 then invoice_cents + 1 else invoice_cents end')}), ('invoice_buyer',
+      case when k % 5 <> 0 and k % 7 = 0 then invoice_buyer[1:1] || ' ' || invoice_buyer[2:] else invoice_buyer end)) v(name, value)) u),
 replies as (
   select claim_id, k, payment_cents, invoice_number, k % 7 <> 0 and (k % 3 = 0 or k % 11 <> 0) as sound from claims where k % 67 = 0),
 proposed as (
@@ -243,7 +246,7 @@ results as (
   select c.claim_id, c.category, case when len(wanted) > 0 then 'REVIEW_REQUIRED' else 'PASS' end as expected_status,
     case when failed then 'ERROR' else v.status end as actual_status, list_sort(wanted) as expected_risks,
     case when failed then []::varchar[] else coalesce((select list_sort(list_distinct(list(risk_type))) from risks r where r.claim_id = c.claim_id), []) end as actual_risks,
-    case when wanted_clause is not null and (failed or p.clause is null) then [wanted_clause] else []::varchar[] end as missing_policy_refs,
+    case when wanted_clause is not null and (failed or p.clause is distinct from wanted_clause) then [wanted_clause] else []::varchar[] end as missing_policy_refs,
     case when failed then []::varchar[] else list_filter([case when not exists(select 1 from shown_fields s where s.claim_id = c.claim_id and name = 'invoice_number' and value = c.invoice_number) then 'invoice_number' end,
       case when c.travel_city is not null and not exists(select 1 from shown_fields s where s.claim_id = c.claim_id and name = 'travel_city' and value = c.travel_city) then 'travel_city' end],
       lambda x: x is not null) end as wrong_fields,
@@ -315,7 +318,7 @@ def shown(*names):
 
 LOG_INPUTS = {
     1: "''", 2: shown("invoice_amount", "payment_amount"), 3: shown("invoice_date", "travel_start_date", "travel_end_date"),
-    4: shown("invoice_amount") + " || ', policy_evidence=list[' || (case when clause is null then 0 else 1 end) || ']'",
+    4: shown("invoice_amount") + " || ', policy_evidence=list[' || (case when clause is null then 0 when contains(clause, '|') then 2 else 1 end) || ']'",
     5: shown("applicant_name", "invoice_buyer", "payment_party"),
     6: shown("invoice_number", "invoice_date", "invoice_amount") + " || ', task_id=' || p.claim_id",
 }
@@ -357,7 +360,8 @@ CLAIM_ORACLES = {
           when text <> '略' and renamed and file_order in (2, 3) then 'other'
           when text <> '略' and file_order = 3 then 'invoice' else 'invoice' end as with_fields
         from docs join (select claim_id, renamed from seen) using (claim_id)"""),
-    "expense_type_infer": over("""select claim_id, case when bool_or(file_order = 2 and k % 9 = 0) then 'MEDICAL' when bool_or(file_order = 1 and k % 6 = 0) then 'PURCHASE'
+    "expense_type_infer": over("""select claim_id, case when bool_or(file_order = 2 and (k % 9 = 0 or k % 21 = 4)) then 'MEDICAL'
+        when bool_or((file_order = 1 and k % 6 = 0) or (file_order = 3 and k % 35 = 8)) then 'PURCHASE'
         else 'TRAVEL' end as expense_type from docs group by claim_id"""),
     "claim_title": over(f"""select claim_id, title, regexp_replace(title, '[\\\\/:*?"<>|\\s]+', '_', 'g') as file_title from (
         select t.claim_id, {title('applicant', 'travel_start', '(case when k % 4 = 0 then travel_start else travel_end end)', 't.claim_id')} as title
@@ -369,18 +373,16 @@ CLAIM_ORACLES = {
           from tasks t join claims c using (claim_id) where t.k % 101 <> 0))"""),
     "field_extract": over("select claim_id, name, value, 1.0::double as confidence, document_id, 1 as page_no, source_text from rule_fields"),
     "candidate_validate": over("""select claim_id, name, kept as value, confidence::double as confidence, 1 as page_no, document_id, reject_reason, reject_class from validated"""),
-    "field_merge": over("""select claim_id, name, value, confidence, document_id, page_no, source_text, api_conflict from (
-        select coalesce(r.claim_id, a.claim_id, m.claim_id, f.claim_id) as claim_id, coalesce(r.name, a.name, m.name, f.name) as name,
-          coalesce(f.value, a.value, r.value, m.kept) as value,
-          case when f.value is not null then 1.0 when a.value is not null then 0.99 when r.value is not null then 1.0 else m.confidence end::double as confidence,
-          case when f.value is not null then f.document_id when a.value is not null then 'ocr-api' when r.value is not null then r.document_id else m.document_id end as document_id,
-          1 as page_no,
-          case when f.value is not null then f.source_text when a.value is not null then 'OCR结构化字段：' || a.name || '=' || a.value
-            when r.value is not null then r.source_text else m.source end as source_text,
-          case when a.value is not null and coalesce(r.value, m.kept) <> a.value then coalesce(r.value, m.kept) end as api_conflict
-        from rule_fields r full join api a on r.claim_id = a.claim_id and r.name = a.name
-        full join (select * from validated where reject_reason is null) m on m.claim_id = coalesce(r.claim_id, a.claim_id) and m.name = coalesce(r.name, a.name)
-        full join (select * from final_fields where source_text like '人工%') f on f.claim_id = coalesce(r.claim_id, a.claim_id, m.claim_id) and f.name = coalesce(r.name, a.name, m.name))"""),
+    "field_merge": over("""select claim_id, name, arg_min(value, prio) as value, arg_min(confidence, prio) as confidence,
+        arg_min(document_id, prio) as document_id, 1 as page_no, arg_min(source_text, prio) as source_text,
+        case when coalesce(max(value) filter (prio = 2), max(value) filter (prio = 3)) <> max(value) filter (prio = 1)
+          then coalesce(max(value) filter (prio = 2), max(value) filter (prio = 3)) end as api_conflict
+      from (
+        select claim_id, name, value, 1.0::double as confidence, document_id, source_text, 0 as prio from final_fields where source_text like '人工%'
+        union all select claim_id, name, value, 0.99::double, 'ocr-api', 'OCR结构化字段：' || name || '=' || value, 1 from api
+        union all select claim_id, name, value, 1.0::double, document_id, source_text, 2 from rule_fields
+        union all select claim_id, name, kept, confidence::double, document_id, source, 3 from validated where reject_reason is null)
+      group by claim_id, name"""),
     "correction_latest": over(f"""select claim_id, 'payment_amount' as field_name, case when pay then {money('payment_cents')} end as original_value,
         {money('invoice_cents')} as corrected_value, '以银行回单为准' as reason, {STAMP.format('submitted_at + interval 2 hour')} as created_at from read where k % 61 = 0"""),
     "duplicate_invoice": one_check(6), "required_documents": one_check(1), "subject_match": one_check(5),
@@ -401,7 +403,7 @@ CLAIM_ORACLES = {
     "review_queue": over(f"""select claim_id, 'stored' as queue, risk_type, reason from risks union all
         select claim_id, 'agent', risk_type, '[' || level || '·' || (case level {ACTIONS} end) || '] ' || reason from risks where {REVIEW}"""),
     "check_log": over("select claim_id, 0 as step, 'retrieve_policy' as tool, case when clause is null then 'skipped' else 'success' end as status, "
-                      "'检索到' || (case when clause is null then 0 else 1 end) || '条制度' as detail, coalesce(clause, '') as evidence_refs, '' as inputs from parsed "
+                      "'检索到' || (case when clause is null then 0 when contains(clause, '|') then 2 else 1 end) || '条制度' as detail, coalesce(clause, '') as evidence_refs, '' as inputs from parsed "
                       + " ".join(f"union all select c.claim_id, c.pos, c.tool, case when passed then 'success' when not passed then 'failed' else 'skipped' end, detail, evidence_refs, {i} "
                                  f"from checks c join parsed p using (claim_id) where c.pos = {n}" for n, i in LOG_INPUTS.items())),
     "audit_summary": over("""select v.claim_id, status, case when status = 'UNDETERMINED' then '材料未被真正识别，本次结论为“无法判定”：' || reason

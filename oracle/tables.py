@@ -31,6 +31,41 @@ def split_rows():
     return ", ".join(rows)
 
 
+HEADING = r"^\s*(?:第\s*[一二三四五六七八九十百零\d]+\s*[章节条款]|\d+(?:\.\d+)*[、.\s]|[一二三四五六七八九十]+、)\s*(\S.*)$"
+CHAPTER = r"^\s*(?:第\s*[一二三四五六七八九十百零\d]+\s*章|[一二三四五六七八九十]+、|\d+\s*[、.]?\s*(?:[^\d.]|$))"
+CHUNKS = f"""with src as (
+  select 'D' || doc_id as policy_id, v.version, case v.version when 'V1' then text else '第一章 总则' || chr(10) || text || chr(10) || '1.1 附则' || chr(10)
+    || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| ' || doc_id || ' | x |' end as text from documents, (values ('V1'), ('V2')) v(version)),
+cut as (select policy_id, version, string_split(text, chr(10)) as l from src),
+raw as (select policy_id, version, i - 1 as n, {strip("l[i]")} as body, l[i] as line from (select *, unnest(range(1, len(l) + 1)) as i from cut)),
+marked as (
+  select *, case when regexp_matches(line, '{HEADING}') then left(body, 60) end as heading, contains(line, '|') as tab,
+    contains(line, '|') and regexp_full_match(body, '[-|: ]+') as rule from raw),
+chaptered as (select *, case when regexp_matches(heading, '{CHAPTER}') then heading end as chapter from marked),
+placed as (
+  select *, count(heading) over w as section, last_value(heading ignore nulls) over w as own, last_value(chapter ignore nulls) over w as parent,
+    lead(rule) over (partition by policy_id, version order by n) as next_rule, lead(heading) over (partition by policy_id, version order by n) as next_heading
+  from chaptered window w as (partition by policy_id, version order by n rows between unbounded preceding and current row)),
+sectioned as (
+  select *, case when own is null then '正文' when regexp_matches(own, '{CHAPTER}') or parent is null then own else parent || '·' || own end as path,
+    first_value(case when tab and not rule then body end ignore nulls) over (partition by policy_id, version, section order by n
+      rows between unbounded preceding and 1 preceding) as header,
+    count_if(tab or body = '') over (partition by policy_id, version, section order by n) as paragraph from placed),
+pieces as (
+  select policy_id, version, section, path, n, tab, case when tab then -n - 1 else paragraph end as unit,
+    case when tab and header is not null then header || chr(10) || body else body end as piece from sectioned
+  where (tab and not rule and not (header is null and coalesce(next_rule, false) and next_heading is null) and coalesce(header <> body, true)) or (not tab and body <> '')),
+units as (
+  select policy_id, version, section, path, tab, min(n) as n, string_agg(piece, ' ' order by n) as unit_text from pieces
+  group by policy_id, version, section, path, unit, tab),
+numbered as (
+  select *, count_if(tab or length(unit_text) >= 12) over (partition by policy_id, version order by n) as chunk_no,
+    count_if(tab or length(unit_text) >= 12) over (partition by policy_id, version, section order by n) as in_section from units)
+select policy_id, chunk_no::int as chunk_no, policy_id || '-' || version || '-' || format('{{:03d}}', chunk_no::bigint) as chunk_id,
+  arg_min(case when tab then path || '·表格行' else path end, n) as section_path, string_agg(unit_text, ' ' order by n) as content
+from numbered where in_section > 0 group by policy_id, version, chunk_no"""
+
+
 POLICIES = f"""
 chunks as (select * from (values {split_rows()}) t(ord, chunk_id, section, content)),
 policies as (
@@ -224,6 +259,7 @@ TABLE_ORACLES = {
     "city_rerank": reranked(P.CLAUSES_KEPT, P.CLAUSES_KEPT),
     "retrieval_hit_rate": city_hits(P.CLAUSES_KEPT, f""" select n as total_cases, e as evaluated_cases, h as passed_cases, e - h as failed_cases, {RATIO.format('h', 'e')} as hit_rate from (
         select count(*) as n, count(wanted_clause) as e, count(*) filter (exists(select 1 from hits where query_id = travel_city and doc_id = wanted_clause)) as h from cases)"""),
+    "chunk_text": CHUNKS,
     "table_row_split": """select p_partkey, u.* from part, lateral (select * from (values
           ('', '部件 ' || p_name || ' | 无表格', true), ('-R1', '名称 ｜ 品牌 ｜ 尺寸｜' || p_name || ' ｜ ' || p_brand || ' ｜ ' || p_size, false),
           ('-R2', '名称 ｜ 品牌 ｜ 尺寸｜' || p_type || ' ｜  ｜ ALL', false)) v(suffix, content, plain)) u(suffix, content, plain)
