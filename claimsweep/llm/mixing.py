@@ -88,7 +88,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     drawn = drawn.withColumn("rank", rank)
     # monotone in rank and about even over the rows of a source
     even = 1 - 1 / (1 + F.col("rank") * (F.col("mean_p") / (1 - F.col("mean_p"))))
-    drawn = drawn.withColumn("range", F.coalesce(F.least(F.floor(even * RANGES), F.lit(RANGES)), F.lit(RANGES + 1)).cast("int"))
+    # rows without a draw need no order: they are only spread
+    place = F.when(F.col("rank").isNull(), -1 - F.floor(F.col("u") * RANGES)).otherwise(F.least(F.floor(even * RANGES), F.lit(RANGES)))
+    drawn = drawn.withColumn("range", place.cast("int"))
     drawn = drawn.repartition(F.col("source"), F.col("range"))
     ranges = drawn.where("rank is not null").groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
