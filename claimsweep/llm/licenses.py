@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, lower_ascii, with_row_id
+from .common import fresh, lower_ascii, window_hashes, with_row_id
 
 #: Everything but ASCII letters and digits and all characters beyond ASCII separates words.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -68,20 +68,13 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAKS), "")
 
 
-def grams(words: Column, k: int) -> Column:
-    """XXH64 of each run of k words, in order; none for shorter texts."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(words) >= k, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, k)))).otherwise(none)
-
-
 def template_grams(spark: SparkSession, templates: dict[str, list[str]], k: int) -> DataFrame:
     """``(gram, template, label, at, run, n)``: each k-gram of each template with its place and words."""
     rows = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text"))
             for i, (label, text) in enumerate((x, t) for x in sorted(templates) for t in templates[x])]
     one = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     one = one.select("template", "label", license_words(F.col("text")).alias("w"))
-    return one.select("template", "label", F.size("w").alias("n"), "w", F.posexplode(grams(F.col("w"), k)).alias("at", "gram")).select(
+    return one.select("template", "label", F.size("w").alias("n"), "w", F.posexplode(window_hashes(F.col("w"), k)).alias("at", "gram")).select(
         "gram", "template", "label", "at", "n", F.slice("w", F.col("at") + 1, k).alias("run"))
 
 
@@ -130,7 +123,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     facts = own.select(row, "doc_id", F.size("words").cast("long").alias("n_words"), *_phrase_facts(F.col("words"), phrases))
 
     known = F.broadcast(template_grams(docs.sparkSession, templates, k))
-    met = own.select(row, "doc_id", "words", F.posexplode(grams(F.col("words"), k)).alias("place", "g")).join(
+    met = own.select(row, "doc_id", "words", F.posexplode(window_hashes(F.col("words"), k)).alias("place", "g")).join(
         known, F.col("g") == F.col("gram"))
     met = met.where(F.slice("words", F.col("place") + 1, k) == F.col("run"))
     diagonal = F.col("place") - F.col("at")
