@@ -39,8 +39,16 @@ def case_compare(cases: DataFrame, actual: DataFrame) -> DataFrame:
     return r.select("*", passed.alias("passed"))
 
 
+LATENCIES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95, "latency_max_ms": 1.0}
+
+
 def eval_metrics(results: DataFrame) -> DataFrame:
-    """One row of metrics over case results; a single aggregation."""
+    """One row of metrics over case results: one aggregation, and the percentiles of their durations."""
+    one = nearest_rank_percentile(results.select(F.lit("all").alias("key"), "duration_ms"), "key", "duration_ms", LATENCIES)
+    return _scores(results).select("*", *[F.coalesce(one.select(name).scalar(), F.lit(0.0)).alias(name) for name in LATENCIES])
+
+
+def _scores(results: DataFrame) -> DataFrame:
     n_true = lambda c: F.count_if(c)
     sums = results.agg(
         F.count("*").alias("total"), n_true(F.col("passed")).alias("ok"),
@@ -74,21 +82,39 @@ def category_breakdown(results: DataFrame) -> DataFrame:
     return results.groupBy("category").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed_cases"))
 
 
-def nearest_rank_percentile(values: DataFrame, key: str, value: str, quantiles) -> DataFrame:
+#: Ranges that a key's values are counted in before any are ranked.
+RANGES = 4096
+
+
+def nearest_rank_percentile(values: DataFrame, key: str, value: str, quantiles, ranges: int = RANGES) -> DataFrame:
     """The element at the half-even rounded rank ``q * (n - 1)`` per key, one decimal.
 
-    Values are counted first, so the running count walks over distinct values only and a key that
-    holds much of the data does not have its rows in one task.
+    Two passes: values are counted in even ranges between a key's smallest and largest, which says in
+    which range each wanted rank lies; only the values of those ranges are ranked, each range by itself.
+    What a task sorts is one range of one key.
     """
-    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("c"))
-    w = W.partitionBy(key).orderBy(value)
-    running = counted.select(
-        key, value, (F.sum("c").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).alias("upto"),
-        F.sum("c").over(W.partitionBy(key)).alias("n"))
-    ranks = [F.bround(F.lit(q) * (F.col("n") - 1)).cast("bigint").alias(name) for name, q in quantiles.items()]
-    placed = running.select("*", *ranks)
-    picks = [F.bround(F.min(F.when(F.col("upto") > F.col(name), F.col(value))), 1).alias(name) for name in quantiles]
-    return placed.groupBy(key).agg(F.max("n").alias("n"), *picks)
+    rows = values.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    # floating point rank of a value inside its key; equal values share a range and order is kept
+    ends = rows.groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
+    step = F.col("v") - F.col("low")
+    place = F.when(F.col("high") > F.col("low"), F.least(F.floor(step / (F.col("high") - F.col("low")) * ranges), F.lit(ranges))).otherwise(0)
+    ended = ends.select(F.col("k").alias("k_"), "low", "high", "n")
+    ranged = rows.join(ended, F.col("k").eqNullSafe(F.col("k_"))).select("k", "v", "n", place.alias("r"))
+    counts = ranged.groupBy("k", "r").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    before = W.partitionBy("k").orderBy("r").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = counts.withColumn("upto", F.sum("c").over(before))
+    asked = counts.select("*", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.bround(F.lit(q) * (F.col("n") - 1)).cast("bigint").alias("rank"))
+        for name, q in quantiles.items()])).alias("a")).where(
+        (F.col("a.rank") < F.col("upto")) & (F.col("a.rank") >= F.col("upto") - F.col("c")))
+    asked = asked.select(F.col("k").alias("k_"), F.col("r").alias("r_"), "a.name", (F.col("a.rank") - F.col("upto") + F.col("c")).alias("inside"), "n")
+    wanted = asked.select("k_", "r_").distinct()
+    inside = ranged.join(wanted, F.col("k").eqNullSafe(F.col("k_")) & (F.col("r") == F.col("r_")), "left_semi")
+    numbered = inside.withColumn("i", F.row_number().over(W.partitionBy("k", "r").orderBy("v")) - 1)
+    found = numbered.join(asked.drop("n"), F.col("k").eqNullSafe(F.col("k_")) & (F.col("r") == F.col("r_")) & (F.col("i") == F.col("inside")))
+    picks = [F.bround(F.max(F.when(F.col("name") == name, F.col("v"))), 1).alias(name) for name in quantiles]
+    out = found.groupBy("k").agg(*picks)
+    return ended.join(out, F.col("k_").eqNullSafe(F.col("k"))).select(F.col("k_").alias(key), "n", *quantiles)
 
 
 def field_compare(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Window as W
 
 from ..functions.text import contains_any, tokenize
 from ..rules import policies as P
+from ..staging import stage
+
+#: Parts that a corpus is dealt into for vector search; each query meets each part.
+PARTS = 64
 
 
 # ---------------------------------------------------------------- keyword search
@@ -47,18 +51,17 @@ def expand_city_query(city: Column) -> Column:
 def keyword_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) for every document sharing a token with the query, unadjusted.
 
-    Document terms are cut to the queries' vocabulary before anything is shuffled; what travels is one
-    partial sum per query and document.
+    The corpus is read and tokenized once, cut to the queries' vocabulary, and its term counts are
+    written. They are then dealt out by document, so that sums are complete where they are made and a
+    top-k over them is cut in every task before anything travels by query. Query weights are written
+    too: Spark knows their size and broadcasts them if they are small.
     """
     asked = term_rows(queries, "query_id").withColumnRenamed("tf", "qtf")
-    vocabulary = asked.select("token").distinct()
-    terms = term_rows(corpus, "doc_id", vocabulary)
-    total = corpus.agg(F.count("*").alias("n"))
-    df = terms.groupBy("token").agg(F.count("*").alias("df"), F.max(F.lit(1)).alias("one"))
-    idf = df.join(total.withColumn("one", F.when(F.col("n") >= 0, 1)), "one").select(
-        "token", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weights = asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w"))
-    return terms.join(weights, "token").groupBy("query_id", "doc_id").agg(
+    terms = stage(term_rows(corpus, "doc_id", asked.select("token").distinct()), "search-terms")
+    n = F.lit(corpus.count())
+    idf = terms.groupBy("token").agg((F.ln((n + 1) / (F.count("*") + 1)) + 1).alias("idf"))
+    weights = stage(asked.join(idf, "token").select("query_id", "token", (F.col("qtf") * F.col("idf")).alias("w")), "search-weights")
+    return terms.repartition("doc_id").join(weights, "token").groupBy("doc_id", "query_id").agg(
         F.sum(F.col("w") * (F.ln("tf") + 1)).alias("score"))
 
 
@@ -122,27 +125,32 @@ def l2_squared(a: Column, b: Column) -> Column:
                        F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = P.RERANK_POOL, filter_on: str = "filter_key") -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = P.RERANK_POOL, filter_on: str | None = "filter_key",
+                parts: int = PARTS) -> DataFrame:
     """Exact nearest vectors per query among the rows its metadata filter admits; lower is better.
 
-    ``queries(query_id, vector, <filter>)`` meet ``corpus(doc_id, vector, <filter>)`` on the filter
-    column. A query over everything is written as one query row per filter value.
+    ``queries(query_id, vector, <filter>)`` meet ``corpus(doc_id, vector, <filter>)`` on the filter column
+    and on the part that a document falls in, so that no filter value gathers in one task; without a
+    filter every query searches the whole corpus. Each task cuts to its ``k`` best before the last shuffle.
     """
-    pairs = queries.select("query_id", F.col("vector").alias("q"), filter_on).join(
-        corpus.select("doc_id", "vector", filter_on), filter_on)
+    keys = ["part"] + ([filter_on] if filter_on else [])
+    own = corpus.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+    asked = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = asked.select("query_id", F.col("vector").alias("q"), *keys).join(own.select("doc_id", "vector", *keys), keys)
     scored = pairs.select("query_id", "doc_id", F.sqrt(l2_squared(F.col("q"), F.col("vector"))).alias("distance"))
     hits = top_k(scored, k, F.round("distance", 9), "doc_id")
     return hits.select("query_id", "rank", "doc_id", F.bround("distance", 4).alias("score"))
 
 
-def sparse_scores(queries: DataFrame, corpus: DataFrame, filter_on: str = "filter_key") -> DataFrame:
+def sparse_scores(queries: DataFrame, corpus: DataFrame, filter_on: str | None = "filter_key") -> DataFrame:
     """Inner product of sparse vectors, given as ``map<int,double>``, over shared entries only."""
-    q = queries.select("query_id", filter_on, F.explode("sparse").alias("dim", "qw"))
-    d = corpus.select("doc_id", filter_on, F.explode("sparse").alias("dim", "dw"))
-    return q.join(d, [filter_on, "dim"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("product"))
+    keys = [filter_on] if filter_on else []
+    q = queries.select("query_id", *keys, F.explode("sparse").alias("dim", "qw"))
+    d = corpus.select("doc_id", *keys, F.explode("sparse").alias("dim", "dw"))
+    return q.join(d, [*keys, "dim"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("product"))
 
 
-def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int, sparse_weight: float, filter_on: str = "filter_key") -> DataFrame:
+def hybrid_topk(queries: DataFrame, corpus: DataFrame, k: int, sparse_weight: float, filter_on: str | None = "filter_key") -> DataFrame:
     """Weighted fusion of a dense and a sparse candidate pool of ``max(3k, 10)`` each.
 
     Each side is scaled to 0..1 over its own pool (best = 1; a pool of equal values counts 1), a

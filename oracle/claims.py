@@ -431,12 +431,13 @@ CLAIM_ORACLES = {
           {RATIO.format('rk', 'n')} as risk_accuracy, {RATIO.format('fd', 'n')} as field_accuracy, {RATIO.format('pr', 'n')} as policy_ref_accuracy,
           {RATIO.format('tp', 'tp + fp')} as risk_precision, {RATIO.format('tp', 'tp + fn')} as risk_recall, {RATIO.format('tpass', 'ttot - topen')} as tool_success_rate,
           topen::bigint as tool_skipped_total, {RATIO.format('topen', 'ttot')} as tool_param_missing_rate, {RATIO.format('sel', 'decl')} as tool_selection_accuracy,
-          ttot::bigint as tool_calls_total, {RATIO.format('rev', 'n')} as review_rate, {RATIO.format('er', 'n')} as dead_loop_rate, er as error_cases
+          ttot::bigint as tool_calls_total, {RATIO.format('rev', 'n')} as review_rate, {RATIO.format('er', 'n')} as dead_loop_rate, er as error_cases, latency_p50_ms, latency_p95_ms, latency_max_ms
         from (select count(*) as n, count_if(passed)::bigint as ok, count_if(expected_status = actual_status)::bigint as st,
           count_if(len(missing_risks) = 0 and len(unexpected_risks) = 0)::bigint as rk, count_if(len(wrong_fields) = 0)::bigint as fd, count_if(len(missing_policy_refs) = 0)::bigint as pr,
           sum(len(expected_risks) - len(missing_risks)) as tp, sum(len(unexpected_risks)) as fp, sum(len(missing_risks)) as fn, sum(tool_total) as ttot, sum(tool_passed) as tpass,
           sum(tool_skipped) as topen, count(tools_selected) as decl, count_if(tools_selected)::bigint as sel, count_if(actual_status = 'REVIEW_REQUIRED')::bigint as rev, count_if(error is not null)::bigint as er
-          from outcomes))"""),
+          from outcomes), (select {", ".join(f"round(ms[round_even({q} * (len(ms) - 1), 0)::bigint + 1], 1) as {n}" for n, q in (("latency_p50_ms", 0.5), ("latency_p95_ms", 0.95), ("latency_max_ms", 1.0)))}
+          from (select list((regexp_extract(claim_id, '([0-9]+)$', 1)::bigint % 50)::double order by regexp_extract(claim_id, '([0-9]+)$', 1)::bigint % 50) as ms from outcomes)))"""),
     "category_breakdown": over("select category, count(*) as cases, count_if(passed)::bigint as passed_cases from outcomes group by category"),
     "candidate_metrics": over("""select (select count(*) from replies) as total_cases,
         (select count(*) from replies r where not exists(select 1 from validated v where v.claim_id = r.claim_id and reject_reason is null)) as fallback_cases,

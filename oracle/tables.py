@@ -135,6 +135,9 @@ dims as (select label, i, round(avg(v[i]), 6) as m from corpus, range(1, 65) r(i
 centers as (select label, list(m order by i) as q from dims group by label),
 dist as (select c.label as query_id, vec_id as doc_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (q[i] - v[i]) * (q[i] - v[i])))) as x,
   list_sum(list_transform(range(1, 65), lambda i: case when q[i] > 0.02 and v[i] > 0.1 then q[i] * v[i] end)) as p from centers c join corpus e on e.label = c.label),
+every as (select c.label + 100 as query_id, vec_id as doc_id, sqrt(list_sum(list_transform(range(1, 65), lambda i: (q[i] - v[i]) * (q[i] - v[i])))) as x
+  from centers c, corpus e),
+free as (select *, round_even(x, 4) as score, row_number() over (partition by query_id order by round(x, 9), doc_id) as rank from every),
 near as (select *, round_even(x, 4) as score, row_number() over (partition by query_id order by round(x, 9), doc_id) as rank from dist),
 alike as (select *, round_even(p, 4) as score, row_number() over (partition by query_id order by round(p, 9) desc, doc_id) as rank from dist where p is not null)
 """
@@ -247,7 +250,8 @@ TABLE_ORACLES = {
     "doc_frequency": f"select token, count(*) as df from (select distinct doc_id, unnest({tokens('text')}) as token from documents) group by token",
     "tfidf_search": "with " + keyword_hits("select item_id as query_id, text from benchmark", "select doc_id, text from documents", 5, "doc_id")
                     + "select query_id, rank, doc_id, round_even(score, 4) as score from hits",
-    "vector_topk": "with " + VECTORS + "select query_id, rank, doc_id, score from near where rank <= 6",
+    "vector_topk": "with " + VECTORS + """select query_id, rank, doc_id, score from near where rank <= 6
+        union all select query_id, rank, doc_id, score from free where rank <= 6""",
     "hybrid_topk": "with " + VECTORS + """, d as (select query_id, doc_id, case when max(score) over w = min(score) over w then 1.0
           else (score - max(score) over w) / (min(score) over w - max(score) over w) end as v from near where rank <= 15 window w as (partition by query_id)),
         s as (select query_id, doc_id, case when max(score) over w = min(score) over w then 1.0
