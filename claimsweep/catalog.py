@@ -16,7 +16,7 @@ from .plans import audit as A
 from .rules import policies as P
 from .session import configure, shared_dir
 from .sources import files, synth
-from .staging import stage
+from .staging import release, stage
 from .streaming import jobs
 
 # English rule packs for the document table, whose texts hold none of the default labels
@@ -43,6 +43,12 @@ class Inputs:
             cls._made[key] = cls(configure(spark), sf_dir)
         return cls._made[key]
 
+    @classmethod
+    def close(cls, spark: SparkSession) -> None:
+        """Forgets the session's inputs and removes their stage tables."""
+        cls._made = {k: v for k, v in cls._made.items() if k[0] != spark.sparkContext.applicationId}
+        release(spark)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -212,10 +218,20 @@ def _reports(x):
 def report_export(x):
     path = shared_dir(x.spark, "reports")
     review.report_export(_reports(x), path)
-    back = x.spark.read.parquet(path)
-    size = lambda p: F.coalesce(F.json_array_length(F.get_json_object("report_json", p)), F.lit(0))
-    return back.select("claim_id", "status", size("$.risks").alias("risks"), size("$.checks").alias("checks"),
-                       size("$.fields").alias("fields"))
+    back = x.spark.read.parquet(f"{path}/reports")
+
+    def flat(part, *columns):
+        rows = x.spark.read.parquet(f"{path}/{part}").select("claim_id", F.struct("position", F.concat_ws(":", *[
+            F.col(c).cast("string") for c in columns]).alias("t")).alias("r"))
+        return rows.groupBy("claim_id").agg(joined(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"])).alias(part))
+
+    body = F.from_json("report_json", "fields array<struct<name string, value string>>, risks array<struct<risk_type string, level string>>")
+    out = back.select("claim_id", "status", body.alias("b")).select(
+        "claim_id", "status", joined(F.transform("b.fields", lambda f: F.concat_ws("=", f["name"], f["value"]))).alias("json_fields"),
+        joined(F.transform("b.risks", lambda r: F.concat_ws(":", r["risk_type"], r["level"]))).alias("json_risks"))
+    for part, columns in (("risks", ("risk_type", "level", "reason")), ("checks", ("name", "passed")), ("fields", ("name", "value"))):
+        out = out.join(flat(part, *columns), "claim_id", "left")
+    return out.select("claim_id", "status", "json_fields", "json_risks", *[F.coalesce(c, F.lit("")).alias(c) for c in ("risks", "checks", "fields")])
 
 
 @query
@@ -507,7 +523,11 @@ def check_log(x):
 
 @query
 def audit_summary(x):
-    return review.audit_summary(x.audit.verdicts(), x.audit.unreadable())
+    out = review.audit_summary(x.audit.verdicts(), x.audit.unreadable(), _reports(x))
+    text = lambda c, *names: joined(F.transform(c, lambda e: F.concat_ws(":", *[e[n] for n in names]))).alias(c)
+    return out.select("claim_id", "status", "conclusion", "next_action", text("key_fields", "name", "value"),
+                      text("risks", "risk_type", "level", "next_action"), text("checks", "name", "status"),
+                      text("policy_evidence", "chunk_id"))
 
 
 # ---------------------------------------------------------------- search

@@ -36,13 +36,20 @@ def build_session(name: str = "claimsweep", master: str | None = None, **extra)
     return builder.getOrCreate()
 
 
+_temporary: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Only where no such folder is configured (tests, one machine) is a temporary one set.
+    Only a session on one machine may do without that setting; it gets one temporary folder. Elsewhere
+    executors would write to disks of their own, so a missing setting is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="claimsweep-")
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = _temporary.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="claimsweep-")
+        _temporary[context.applicationId] = root
     return f"{root.rstrip('/')}/{purpose}-{os.urandom(6).hex()}"

@@ -339,8 +339,13 @@ CLAIM_ORACLES = {
     "case_scan": over("""select claim_id as case_id, '' as name, case when k % 3 = 0 then 'data/demo/' else 'dir/' end || claim_id as documents_dir,
         'PASS' as expected_status, case when k % 2 = 0 then concat_ws('|', 'A', travel_city) else '' end as expected_risks, 'uncategorized' as category,
         0 as n_fields from claims"""),
-    "report_export": over("""select claim_id, status, (select count(*) from risks r where r.claim_id = v.claim_id)::int as risks, 6 as checks,
-        (select count(*) from shown_fields s where s.claim_id = v.claim_id)::int as fields from verdicts v"""),
+    "report_export": over("""select v.claim_id, status, coalesce(f.plain, '') as json_fields, coalesce(r.plain, '') as json_risks,
+        coalesce(r.full_text, '') as risks, k.t as checks, coalesce(f.coloned, '') as fields
+      from verdicts v left join (select claim_id, string_agg(name || '=' || value, '|' order by name) as plain,
+          string_agg(name || ':' || value, '|' order by name) as coloned from shown_fields group by 1) f using (claim_id)
+        left join (select claim_id, string_agg(risk_type || ':' || level, '|' order by part, pos) as plain,
+          string_agg(concat_ws(':', risk_type, level, reason), '|' order by part, pos) as full_text from risks group by 1) r using (claim_id)
+        join (select claim_id, string_agg(concat_ws(':', name, passed::varchar), '|' order by pos) as t from checks group by 1) k using (claim_id)"""),
     "registry_upsert": over(f"select claim_id, invoice_number, invoice_date, {money('invoice_cents')} as invoice_amount, {STAMP.format('submitted_at')} as created_at from claims"),
     "value_normalize": over(f"""select claim_id, u.* from claims c, lateral (select * from (values
         (0, 'invoice_date', travel_start::varchar), (1, 'travel_end_date', travel_start::varchar), (2, 'invoice_date', travel_start::varchar),
@@ -410,8 +415,17 @@ CLAIM_ORACLES = {
           when n_high + n_medium + n_low + n_info = 0 then '当前材料在已实现规则下未发现风险。'
           else '发现' || (n_high + n_medium + n_low + n_info) || '项需要复核的风险，请优先查看风险说明和制度依据。' end as conclusion,
         case when status = 'UNDETERMINED' then '按上面的提示配置真实识别引擎（或换清晰材料）后重新提交，本次结果不能作为审批依据。'
-          when n_high + n_medium + n_low + n_info = 0 then '可进入人工抽检或报告导出。' else '请财务审核员核对风险项对应的原始字段和制度条款。' end as next_action
-        from verdicts v left join unreadable using (claim_id)"""),
+          when n_high + n_medium + n_low + n_info = 0 then '可进入人工抽检或报告导出。' else '请财务审核员核对风险项对应的原始字段和制度条款。' end as next_action,
+        coalesce(f.t, '') as key_fields, coalesce(r.t, '') as risks, k.t as checks, coalesce(p.clause, '') as policy_evidence
+        from verdicts v left join unreadable using (claim_id) join (select claim_id, clause from parsed) p using (claim_id)
+        left join (select claim_id, string_agg(name || ':' || value, '|' order by name) as t from shown_fields group by 1) f using (claim_id)
+        left join (select claim_id, string_agg(concat_ws(':', risk_type, level, case risk_type when 'REQUIRED_DOCUMENTS' then '补充缺失材料后重新审核。'
+          when 'AMOUNT_MATCH' then '核对发票金额与付款凭证金额。' when 'DATE_RANGE' then '核对发票日期和出差日期范围。'
+          when 'HOTEL_LIMIT' then '核对住宿标准、入住晚数和是否存在例外审批。' when 'APPLICANT_MATCH' then '核对申请人、发票购买方和付款收款方是否为同一主体。'
+          when 'MATERIAL_UNREADABLE' then '配置真实 OCR 引擎（OCR_ENGINE=tesseract|http|mineru）或重新上传清晰材料后重跑。' else '由财务审核员确认处理方式。' end),
+          '|' order by part, pos) as t from risks group by 1) r using (claim_id)
+        join (select claim_id, string_agg(name || ':' || case when passed then 'PASS' when not passed then 'RISK' else 'REVIEW' end, '|' order by pos) as t
+          from checks group by 1) k using (claim_id)"""),
     "status_dashboard": over("""select count(*) as total, count_if(t.status = 'READY') as ready, count_if(v.status = 'REVIEW_REQUIRED') as review_required,
         count_if(v.status = 'PASS') as passed, count_if(v.status = 'UNDETERMINED') as undetermined from tasks t left join verdicts v using (claim_id)"""),
     "review_progress": over("""select claim_id, pending, approved, rejected, concat_ws(' / ', case when pending > 0 then '待复核 ' || pending end,
