@@ -776,19 +776,30 @@ def _stream_dirs(x, name, n):
     return [f"{base}/{part}" for part in ("out", "checkpoint", "a", "b")[:n]]
 
 
-def _as_stream(x, table, name):
+FILES_A_BATCH = 4
+
+
+def _as_stream(x, parts, name):
+    """A file stream that delivers the tables ``parts`` one after the other, a batch each."""
     path = shared_dir(x.spark, name)
-    table.write.parquet(path)
-    return x.spark.readStream.schema(table.schema).parquet(path)
+    for part in parts:  # files are taken in the order in which they were written
+        part.repartition(FILES_A_BATCH).write.mode("append").parquet(path)
+    return x.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", FILES_A_BATCH).parquet(path)
+
+
+def _thirds(df, time):
+    """Three tables by time: what comes later is in a later table."""
+    cuts = df.select(F.percentile_approx(F.col(time).cast("timestamp"), [1 / 3, 2 / 3])).first()[0] or [None, None]
+    low, high = (F.lit(c).cast("timestamp") for c in cuts)
+    at = F.col(time).cast("timestamp")
+    return [df.where(at <= low), df.where((at > low) & (at <= high)), df.where(at > high)]
 
 
 @query
 def stream_event_counts(x):
-    schema = x.table("events").schema
-    events = x.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(x.sf_dir).select(
-        F.col("ts").cast("timestamp").alias("created_at"), "event_type")
+    events = x.table("events").select(F.col("ts").cast("timestamp").alias("created_at"), "event_type")
     out, checkpoint = _stream_dirs(x, "stream-events", 2)
-    jobs.stream_event_counts(events, out, checkpoint).awaitTermination()
+    jobs.stream_event_counts(_as_stream(x, _thirds(events, "created_at"), "arriving-events"), out, checkpoint).awaitTermination()
     return jobs.event_counts(x.spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
@@ -796,7 +807,8 @@ def stream_event_counts(x):
 def stream_duplicate_registry(x):
     out, checkpoint, registry = _stream_dirs(x, "stream-duplicates", 3)
     claims = x.facts.select("claim_id", "submitted_at", "invoice_number", "invoice_date", "invoice_amount")
-    jobs.stream_duplicate_registry(_as_stream(x, claims, "arriving-claims"), registry, out, checkpoint).awaitTermination()
+    arriving = _as_stream(x, _thirds(claims, "submitted_at"), "arriving-claims")
+    jobs.stream_duplicate_registry(arriving, registry, out, checkpoint).awaitTermination()
     return jobs.latest_by_batch(x.spark, out).select("claim_id", "name", "passed", "detail", joined("evidence_refs").alias("evidence_refs"))
 
 
@@ -804,6 +816,9 @@ def stream_duplicate_registry(x):
 def stream_material_ingest(x):
     out, checkpoint, store, registry = _stream_dirs(x, "stream-materials", 4)
     claims = x.claims.select("claim_id", "submitted_at", "department")
-    jobs.stream_material_ingest(_as_stream(x, x.materials, "arriving-files"), claims, store, registry, out, checkpoint,
+    # invoices first, then payments, then the rest: claims are audited again as their files arrive
+    order = F.col("file_order")
+    parts = [x.materials.where(order == 1), x.materials.where(order == 2), x.materials.where(order > 2)]
+    jobs.stream_material_ingest(_as_stream(x, parts, "arriving-files"), claims, store, registry, out, checkpoint,
                                 corrections=synth.corrections(x.claims)).awaitTermination()
     return jobs.latest_by_batch(x.spark, out).select("claim_id", "status", "n_high", "n_medium", "n_low", "n_info", "unreadable_code")

@@ -21,9 +21,13 @@ def registry_rows(claims: DataFrame) -> DataFrame:
 
 def registry_upsert(registry: DataFrame, new_rows: DataFrame) -> DataFrame:
     """One row per (claim, number): the latest registration replaces earlier ones."""
+    return registry_latest(registry.unionByName(new_rows))
+
+
+def registry_latest(rows: DataFrame) -> DataFrame:
     record = F.struct("created_at", "invoice_date", "invoice_amount")
     return (
-        registry.unionByName(new_rows).groupBy(*REGISTRY_KEY).agg(F.max(record).alias("r"))
+        rows.groupBy(*REGISTRY_KEY).agg(F.max(record).alias("r"))
         .select("claim_id", "invoice_number", "r.invoice_date", "r.invoice_amount", "r.created_at")
     )
 
