@@ -1,8 +1,8 @@
 """Oracles over the synthetic claims, from the columns of ``orders``."""
 
-from claimsweep.rules import policies as P
-from claimsweep.rules import risks as R
-from claimsweep.sources.synth import CITIES, DEPARTMENTS
+from . import constants as P
+from . import constants as R
+from .constants import CITIES, DEPARTMENTS
 
 
 def lit(s):
@@ -304,11 +304,11 @@ def title(person, start, end, fallback="claim_id"):
 def readiness():
     parts = []
     for i, (tool, needs) in enumerate(NEEDS.items(), 1):
-        col = lambda n: "travel_city" if n == "policy_evidence" else n
+        col = lambda n: "clause" if n == "policy_evidence" else n
         lacking = "''" if not needs else "concat_ws('、', " + ", ".join(f"case when {col(n)} is null then {lit(n)} end" for n in needs) + ")"
         parts.append(f"select claim_id, {i} as step_order, 'check_{tool}' as step_name, '{tool}' as tool, {lit(R.PLAN_REASONS[tool])} as reason, "
                      f"{lacking} = '' as required, {lacking} <> '' as may_skip, "
-                     f"case when {lacking} <> '' then '{tool} 缺少字段 ' || {lacking} || '，该步可能无结论' end as note from facts")
+                     f"case when {lacking} <> '' then '{tool} 缺少字段 ' || {lacking} || '，该步可能无结论' end as note from parsed")
     return " union all ".join(parts)
 
 

@@ -1,9 +1,7 @@
 """Oracles over the driver's own tables, and over the policies derived from them."""
 
-from claimsweep.catalog import EVENT_STATES
-from claimsweep.rules import policies as P
-from claimsweep.sources.synth import CITIES, DEPARTMENTS, EXPENSE_TYPES
-
+from . import constants as P
+from .constants import CITIES, DEPARTMENTS, EVENT_STATES, EXPENSE_TYPES
 from .claims import CLAIMS, FIRST_TIER, RATIO, array, lit, over
 
 WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
