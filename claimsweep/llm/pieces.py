@@ -14,6 +14,7 @@ from heapq import heappop, heappush, nsmallest
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +24,16 @@ from .vocab import Cache, parsed, vocabulary
 
 MARK = "▁"
 #: Segments remembered in a worker.
-CACHED = 400_000
+CACHED = 300_000
 #: How far below the worst piece a character without a piece of its own scores, as the library has it.
 UNKNOWN_PENALTY = 10.0
 
 ENCODED = ("ids array<int>, score double, others array<struct<score: double, changes: array<struct<"
            "first: int, last: int, ids: array<int>>>>>, round_trip boolean")
+OTHERS = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.struct([
+    ("first", pa.int32()), ("last", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
+#: Documents whose piece ids a worker holds at once.
+ROWS = 200
 
 
 def segment_pattern(pieces) -> regex.Pattern:
@@ -56,8 +61,9 @@ class PieceModel:
         n = sp.get_piece_size()
         self.texts = [sp.id_to_piece(i) for i in range(n)]
         self.bytes = {int(self.texts[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.silent = {i for i in range(n) if sp.is_control(i)}
+        self.spelled = [b"" if sp.is_control(i) else t.encode() for i, t in enumerate(self.texts)]
+        for value, i in self.bytes.items():
+            self.spelled[i] = bytes([value])
         self.unknown = sp.unk_id()
         usual = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.pieces = {self.texts[i]: (i, sp.get_score(i)) for i in usual}
@@ -67,7 +73,10 @@ class PieceModel:
         self.matches.make_automaton()
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.segments = segment_pattern(self.pieces)
-        self.cache = Cache(self.solve, CACHED)
+        self.singles = {p for p in self.pieces if len(p) == 1}
+        self.cuts_at_marks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
+        self.cache = Cache(self.solve, CACHED // 4)
+        self.marked = Cache(self.solve_marked, CACHED)
         self.n_choices = 3
         self.choices = Cache(lambda segment: self.n_best(segment, self.n_choices), CACHED // 10)
         self.prefix = sp.normalize("x") == MARK + "x"
@@ -119,15 +128,38 @@ class PieceModel:
 
     def solve(self, text: str) -> tuple[bytes, float, float]:
         """(ids as 32-bit numbers, score, how much worse the next best segmentation is) of a segment."""
-        _, best, back, second = self.forward(text)
-        edges, gap, end = [], float("inf"), len(text)
+        n, worst = len(text), float("-inf")
+        if self.singles.issuperset(text):  # forward pass without unknown characters, edge by edge
+            best, second, starts, ids = [worst] * (n + 1), [worst] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+            best[0] = 0.0
+            for last, (length, piece, score) in self.matches.iter(text):
+                end = last + 1
+                score += best[end - length]
+                if score > best[end]:
+                    second[end], best[end], starts[end], ids[end] = best[end], score, end - length, piece
+                elif score > second[end]:
+                    second[end] = score
+        else:
+            _, best, back, second = self.forward(text)
+            starts, ids = [x[0] for x in back], [x[1] for x in back]
+        path, gap, end = [], float("inf"), n
         while end:
             if best[end] - second[end] < gap:
                 gap = best[end] - second[end]  # leaving the best path here; what follows stays best
-            start, piece, _ = back[end]
-            edges.append((start, end, piece))
+            start = starts[end]
+            path.append((start, end, ids[end]))
             end = start
-        return array("i", self.spell(text, edges[::-1])).tobytes(), best[-1], gap
+        path.reverse()
+        out = [x[2] for x in path]
+        return array("i", self.spell(text, path) if -1 in out else out).tobytes(), best[n], gap
+
+    def solve_marked(self, word: str) -> tuple[bytes, float, float]:
+        """The same for a word behind a blank mark, from its parts where no piece crosses."""
+        found = self.segments.findall(MARK + word)
+        if len(found) == 1:
+            return self.solve(found[0])
+        parts = [self.marked[found[0][1:]], *[self.cache[part] for part in found[1:]]]
+        return b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), min([p[2] for p in parts])
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a segment, best first: A-star from its end."""
@@ -150,22 +182,28 @@ class PieceModel:
 
     def encode(self, text: str, n: int):
         """(ids, score, others): others holds the next n - 1 segmentations as score and changed runs of ids."""
-        segments = self.segments.findall(self.normalize(text))
-        solved = list(map(self.cache.__getitem__, segments))
+        normal = self.normalize(text)
+        if self.cuts_at_marks and normal.startswith(MARK) and MARK * 2 not in normal:
+            segments, mark = normal[1:].split(MARK), MARK  # words with one mark before each
+            solved = list(map(self.marked.__getitem__, segments))
+        else:
+            segments, mark = self.segments.findall(normal), ""
+            solved = list(map(self.cache.__getitem__, segments))
         parts = [s[0] for s in solved]
         score = sum([s[1] for s in solved])
-        others = self.others(segments, parts, np.array([s[2] for s in solved]), score, n) if n > 1 else []
-        self.cache.trim()
-        self.choices.trim()
+        others = self.others(segments, mark, parts, np.array([s[2] for s in solved]), score, n) if n > 1 else []
+        for cache in (self.cache, self.marked, self.choices):
+            cache.trim()
         return np.frombuffer(b"".join(parts), np.int32), score, others
 
-    def others(self, segments: list[str], parts: list[bytes], gaps: np.ndarray, score: float, n: int) -> list[dict]:
+    def others(self, segments: list[str], mark: str, parts: list[bytes], gaps: np.ndarray, score: float, n: int) -> list[dict]:
         # the n - 1 next segmentations leave the best path only in the n - 1 segments where that costs least
         nearest = np.arange(len(gaps)) if len(gaps) < n else np.sort(np.argpartition(gaps, n - 2)[:n - 1])
         nearest = [int(i) for i in nearest if gaps[i] < np.inf]
         combined = [(0.0, ())]
         for i in nearest:
-            choices = self.choices[segments[i]] if n == self.n_choices else self.n_best(segments[i], n)
+            segment = mark + segments[i]
+            choices = self.choices[segment] if n == self.n_choices else self.n_best(segment, n)
             lost = [(choices[0][0] - s, ids) for s, ids in choices]
             combined = nsmallest(n, ((c + d, (*ch, (i, ids)) if k else ch) for c, ch in combined
                                      for k, (d, ids) in enumerate(lost)), key=lambda x: x[0])
@@ -175,47 +213,42 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """The text of ids: marks become blanks, runs of bytes are read as UTF-8, control pieces are silent."""
-        texts, out, run = self.texts, [], bytearray()
-        ids = list(ids)
-        if not self.byte_of.keys() & set(ids) and not self.silent & set(ids):
-            joined = "".join([texts[i] for i in ids])
-        else:
-            for i in ids:
-                if i in self.byte_of:
-                    run.append(self.byte_of[i])
-                    continue
-                if run:
-                    out.append(run.decode("utf-8", "replace"))
-                    run = bytearray()
-                if i not in self.silent:
-                    out.append(texts[i])
-            joined = "".join(out) + run.decode("utf-8", "replace")
-        joined = joined.replace(MARK, " ")
-        return joined[1:] if self.prefix and joined.startswith(" ") else joined
-
-
-def encode(spark: SparkSession, text: Column, path: str = "piece_bpe_32k.model", n_best: int = 3) -> Column:
-    """A struct: ids and score of the best segmentation, the next ``n_best - 1``, and whether decoding gives the text.
-
-    others: by falling score, each the best one's ids with the runs first..last replaced; fewer where the
-    lattice has fewer paths. Equal scores come in a fixed order. Null texts give null, empty ones no ids,
-    score 0 and no others. No begin or end pieces are added; their strings in a text are ordinary text.
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+
+def encode_documents(docs: DataFrame, path: str = "piece_bpe_32k.model", n_best: int = 3, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """``(doc_id, ids, score, others, round_trip)``, a row for each row of ``docs``.
+
+    ids and score are those of the best segmentation; others holds the next ``n_best - 1`` by falling score,
+    each the best one's ids with the runs first..last replaced; fewer where the lattice has fewer paths.
+    round_trip says whether decoding the ids gives the text. Equal scores come in a fixed order. No begin or
+    end pieces are added; their strings in a text are ordinary text. Null and empty texts have no ids,
+    score 0 and no others; ids of rows may be null or repeated; other columns are ignored; no rows give no rows.
     """
+    spark = docs.sparkSession
     ship(spark)
     data = vocabulary(spark, path)
 
-    @F.pandas_udf(ENCODED)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        model, rows = parsed(PieceModel, data.value), []
-        for t in texts:
-            if t is None:
-                rows.append((None, None, None, None))
-            else:
-                ids, score, others = model.encode(t, n_best)
-                rows.append((ids, score, others, model.decode(ids.tolist()) == t))
-        return pd.DataFrame(rows, columns=["ids", "score", "others", "round_trip"])
-
-    return run(text)
+    def run(batches):
+        model = parsed(PieceModel, data.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):  # piece ids of a few documents at a time
+                part = batch.slice(at, ROWS)
+                texts = part.column("text").to_pylist()
+                solved = [model.encode(t, n_best) for t in texts]
+                places = np.cumsum([0] + [len(ids) for ids, _, _ in solved], dtype=np.int32)
+                values = np.concatenate([ids for ids, _, _ in solved])
+                yield pa.RecordBatch.from_arrays([
+                    part.column("doc_id"), pa.ListArray.from_arrays(pa.array(places), pa.array(values, pa.int32())),
+                    pa.array([s for _, s, _ in solved], pa.float64()), pa.array([o for _, _, o in solved], OTHERS),
+                    pa.array([model.decode(ids.tolist()) == t for t, (ids, _, _) in zip(texts, solved)])],
+                    ["doc_id", "ids", "score", "others", "round_trip"])
+
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = own.schema["doc_id"].dataType.simpleString()
+    return own.mapInArrow(run, f"doc_id {kind}, {ENCODED}")
 
 
 def decode(spark: SparkSession, ids: Column, path: str = "piece_bpe_32k.model") -> Column:
@@ -229,13 +262,3 @@ def decode(spark: SparkSession, ids: Column, path: str = "piece_bpe_32k.model")
         return batch.map(lambda x: None if x is None else model.decode(np.asarray(x).tolist()), na_action=None)
 
     return run(ids)
-
-
-def encode_documents(docs: DataFrame, path: str = "piece_bpe_32k.model", n_best: int = 3, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids, score, others, round_trip)``, a row for each row of ``docs``; null texts count as empty.
-
-    Ids may be null or repeated; other columns are ignored; no rows give no rows.
-    """
-    e = encode(docs.sparkSession, F.coalesce(F.col(text_col), F.lit("")), path, n_best)
-    return docs.select(F.col(id_col).alias("doc_id"), e.alias("e")).select("doc_id", "e.*")
