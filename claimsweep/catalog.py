@@ -85,6 +85,15 @@ class Inputs:
     def audit(self) -> A.Audit:
         return A.audit_facts(self.facts, self.documents, self.chunks)
 
+    @cached_property
+    def verdicts(self) -> DataFrame:
+        """Status and level counts per claim, as lists and dashboards read them."""
+        return stage(self.audit.verdicts(), "verdicts")
+
+    @cached_property
+    def risks(self) -> DataFrame:
+        return stage(self.audit.risks(), "risks")
+
     @cached_property
     def parsed(self) -> DataFrame:
         return stage(merge.parse_candidates(synth.candidates(self.claims)), "candidates")
@@ -190,7 +199,7 @@ def structured_response_fields(x):
 
 @query
 def task_files_summary(x):
-    every = x.audit.risks()
+    every = x.risks
     summary = tasks.task_files_summary(x.tasks, x.materials, every, review.stored_items(every))
     return tasks.newest_first(summary).select(
         "claim_id", "status", "applicant", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
@@ -211,7 +220,7 @@ def case_scan(x):
 
 def _reports(x):
     a = x.audit
-    return review.reports(a.verdicts(), a.claims, a.report_fields(), a.risks())
+    return review.reports(x.verdicts, a.claims, a.report_fields(), x.risks)
 
 
 @query
@@ -513,7 +522,7 @@ def review_route(x):
 
 @query
 def review_queue(x):
-    return review.review_queue(x.audit.risks())
+    return review.review_queue(x.risks)
 
 
 @query
@@ -523,7 +532,7 @@ def check_log(x):
 
 @query
 def audit_summary(x):
-    out = review.audit_summary(x.audit.verdicts(), x.audit.unreadable(), _reports(x))
+    out = review.audit_summary(x.verdicts, x.audit.unreadable(), _reports(x))
     text = lambda c, *names: joined(F.transform(c, lambda e: F.concat_ws(":", *[e[n] for n in names]))).alias(c)
     return out.select("claim_id", "status", "conclusion", "next_action", text("key_fields", "name", "value"),
                       text("risks", "risk_type", "level", "next_action"), text("checks", "name", "status"),
@@ -617,7 +626,7 @@ def table_row_split(x):
 
 @query
 def status_dashboard(x):
-    return tasks.status_dashboard(x.tasks, x.audit.verdicts())
+    return tasks.status_dashboard(x.tasks, x.verdicts)
 
 
 def _decisions(x, items):
@@ -632,7 +641,87 @@ def _decisions(x, items):
 
 @query
 def review_progress(x):
-    items = review.stored_items(x.audit.risks())
+    items = review.stored_items(x.risks)
+    return review.review_progress(items, _decisions(x, items))
+
+
+def _events(x):
+    return x.table("events").select(F.col("user_id").alias("task_id"), "event_id", "event_type", F.col("ts").alias("created_at"))
+
+
+@query
+def task_state(x):
+    state = tasks.task_state(_events(x), EVENT_STATES)
+    return state.select("task_id", "state", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
+@query
+def event_timeline(x):
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return tasks.event_timeline(_events(x)).select(
+        "task_id", "event_id", "event_type", "position", stamp("created_at").alias("created_at"), stamp("previous_at").alias("previous_at"))
+
+
+@query
+def title_autofill(x):
+    return tasks.title_autofill(x.tasks, x.facts).select("claim_id", "title", "title_locked")
+
+
+def _policy_state(x):
+    return policy.policy_status(synth.policy_events(x.policies))
+
+
+@query
+def policy_status(x):
+    return _policy_state(x).select("policy_id", "name", "version", "status", "chunk_count", "published_at", "refused", "last_refusal")
+
+
+@query
+def policy_version_switch(x):
+    return policy.policy_version_switch(_policy_state(x)).select("policy_id", "name", "version", "status", "switched_off")
+
+
+def _cases(x):
+    k = F.col("k")
+    limit = F.when(F.col("travel_city").isin(*P.FIRST_TIER_CITIES), 60000).otherwise(45000)
+    planted = F.array_compact(F.array(
+        F.when(k % 13 == 0, "AMOUNT_MATCH"), F.when(k % 11 == 0, "APPLICANT_MATCH"),
+        F.when(F.col("invoice_cents") > limit, "HOTEL_LIMIT"), F.when((k % 4 == 3) | (k % 31 == 0), "DATE_RANGE"),
+        F.when(F.col("resubmitted") == 1, "DUPLICATE_INVOICE"), F.when(F.col("travel_city").isNull(), "RULE_MISSING"),
+        F.when(k % 40 == 1, "INVOICE_NUMBER_CONFLICT"))).cast("array<string>")
+    clause = F.when(F.col("travel_city").isin(*P.FIRST_TIER_CITIES), "TRAVEL-V1-4.2-A").otherwise("TRAVEL-V1-4.2-B")
+    none = F.array().cast("array<string>")
+    fields = F.array_compact(F.array(F.struct(F.lit("invoice_number").alias("key"), F.col("invoice_number").alias("value")),
+                                     F.when(F.col("travel_city").isNotNull(), F.struct(F.lit("travel_city").alias("key"), F.col("travel_city").alias("value")))))
+    return x.claims.select(
+        F.col("claim_id").alias("case_id"), F.when(F.size(planted) > 0, "REVIEW_REQUIRED").otherwise("PASS").alias("expected_status"),
+        planted.alias("expected_risks"), F.when(F.col("travel_city").isNull(), none).otherwise(F.array(clause)).alias("expected_policy_refs"),
+        F.map_from_entries(fields).alias("expected_fields"),
+        F.when(k % 40 == 1, F.array(F.lit("invoice_number_conflict"))).when(k % 2 == 0, F.array(F.lit("AMOUNT_MATCH"))).otherwise(none).alias("expected_tools"),
+        F.when(k % 13 == 0, "金额不一致").when(k % 11 == 0, "主体不一致").otherwise("正常合规").alias("category"), "k", "travel_city")
+
+
+def _actual(x):
+    a = x.audit
+    found = x.risks.groupBy("claim_id").agg(F.collect_set("risk_type").alias("risks"))
+    fields = a.field_maps().withColumnRenamed("values", "fields")
+    checks = a.claims.select(
+        "claim_id", F.transform("evidence", lambda e: e["chunk_id"]).alias("policy_refs"),
+        F.transform("checks", lambda c: c["name"]).alias("tools"), F.size("checks").alias("tool_total"),
+        F.size(F.filter("checks", lambda c: c["passed"])).alias("tool_passed"),
+        F.size(F.filter("checks", lambda c: c["passed"].isNull())).alias("tool_skipped"))
+    k = F.regexp_extract("claim_id", r"(\d+)$", 1).cast("bigint")
+    when = lambda d: F.lit("2002-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(d))
+    choice = F.when(k % 3 == 0, "APPROVED").when(k % 3 == 1, "REJECTED")
+    decided = items.select("review_item_id", F.inline(F.array(
+        F.struct(F.lit("REJECTED").alias("decision"), when(1).alias("decided_at"), choice.isNotNull().alias("real")),
+        F.struct(choice.alias("decision"), when(2).alias("decided_at"), choice.isNotNull().alias("real")))))
+    return decided.where("real").drop("real")
+
+
+@query
+def review_progress(x):
+    items = review.stored_items(x.risks)
     return review.review_progress(items, _decisions(x, items))
 
 
@@ -702,7 +791,7 @@ def _actual(x):
         F.size(F.filter("checks", lambda c: c["passed"])).alias("tool_passed"),
         F.size(F.filter("checks", lambda c: c["passed"].isNull())).alias("tool_skipped"))
     k = F.regexp_extract("claim_id", r"(\d+)$", 1).cast("bigint")
-    return (a.verdicts().select("claim_id", "status").join(checks, "claim_id").join(found, "claim_id", "left").join(fields, "claim_id", "left")
+    return (x.verdicts.select("claim_id", "status").join(checks, "claim_id").join(found, "claim_id", "left").join(fields, "claim_id", "left")
             .withColumn("duration_ms", (k % 50).cast("double")).withColumn("error", F.when(k % 97 == 0, "RuntimeError: max_steps"))
             .withColumn("fields", F.coalesce("fields", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
             .withColumnRenamed("claim_id", "case_id"))
@@ -760,7 +849,7 @@ def retrieval_hit_rate(x):
 
 @query
 def risk_level_summary(x):
-    return risks.risk_level_summary(x.audit.risks()).select("claim_id", "level_text", F.size("level_counts").alias("levels"))
+    return risks.risk_level_summary(x.risks).select("claim_id", "level_text", F.size("level_counts").alias("levels"))
 
 
 @query

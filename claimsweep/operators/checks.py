@@ -153,11 +153,6 @@ def with_checks(wide: DataFrame, names=tuple(REGISTRY)) -> DataFrame:
     return parsed.select(*wide.columns, F.array(*[get_check(n).build() for n in names]).alias("checks"))
 
 
-def checks_long(checked: DataFrame) -> DataFrame:
-    return checked.select("claim_id", F.posexplode("checks").alias("pos", "c")).select(
-        "claim_id", (F.col("pos") + 1).alias("check_order"), "c.*")
-
-
 def check_readiness(wide: DataFrame) -> DataFrame:
     """The planned steps of every claim: which inputs are missing and whether the step may end open."""
     has_evidence = F.size("evidence") > 0

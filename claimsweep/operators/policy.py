@@ -174,7 +174,11 @@ def _other_tier() -> Column:
 
 
 def _fallback_head(chunks: DataFrame, keep: int, gate: str | None = None) -> DataFrame:
-    """The first ``keep`` fallback clauses (per gate); more can never reach the top."""
+    """The first ``keep`` fallback clauses (per gate).
+
+    Exact: a clause of this head that also names the city is skipped there, but then it takes a place
+    among the top with a higher score, so no later fallback clause can be among the first ``keep``.
+    """
     found = chunks.where(F.col("content").contains(P.FALLBACK_PHRASE))
     if gate is None:
         return found.orderBy("ord").limit(keep)
@@ -289,7 +293,11 @@ def applicable_chunks(combos: DataFrame, published: DataFrame) -> DataFrame:
 
 
 def policy_as_of_join(claims: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every clause in force for every claim, by department, expense type and day."""
+    """Every clause in force for every claim, by department, expense type and day.
+
+    Clauses are found once for each (department, type, day) that occurs; the result is the requested
+    product of claims and clauses. For a claim's best clauses use the matching operators below.
+    """
     keys = ["department", "expense_type", "as_of"]
     filled = claims.select("claim_id", F.coalesce("department", F.lit("")).alias("department"),
                            F.coalesce("expense_type", F.lit("TRAVEL")).alias("expense_type"), "as_of")

@@ -49,13 +49,6 @@ def risk_build(checked: DataFrame) -> DataFrame:
     return checked.select("claim_id", F.inline(check_risks(F.col("checks"), F.col("evidence"))))
 
 
-def document_signals(documents: DataFrame) -> DataFrame:
-    """Documents with what may raise a risk: ``level`` of difficulty and injected ``snippets``."""
-    text = F.col("text")
-    return documents.select("claim_id", "file_order", "file_name", "document_id",
-                            hard_level(text).alias("level"), injection_snippets(text).alias("snippets"))
-
-
 def hard_region_risk(signals: DataFrame, used_documents: DataFrame) -> DataFrame:
     """Handwriting is for review; a hard document is only for information once it produced a field."""
     used = used_documents.select("claim_id", "document_id", F.lit(True).alias("used")).distinct()

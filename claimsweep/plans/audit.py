@@ -185,9 +185,17 @@ class Audit:
 
     def report_fields(self) -> DataFrame:
         """Reported fields: of an unreadable claim only what a person entered."""
-        shown = self.facts.select("claim_id", *[
+        return wide_to_fields(self._shown())
+
+    def _shown(self) -> DataFrame:
+        return self.facts.select("claim_id", *[
             F.when(F.col("unreadable_code").isNull() | F.col(f"manual_{n}"), F.col(f"f_{n}")).alias(f"f_{n}") for n in FIELDS])
-        return wide_to_fields(shown)
+
+    def field_maps(self) -> DataFrame:
+        """Reported field values as one map per claim, straight from the wide rows."""
+        entries = F.array_compact(F.array(*[F.when(F.col(f"f_{n}").isNotNull(), F.struct(
+            F.lit(n).alias("key"), F.col(f"f_{n}.value").alias("value"))) for n in FIELDS]))
+        return self._shown().select("claim_id", F.map_from_entries(entries).alias("values"))
 
     def verdicts(self, failed: DataFrame | None = None) -> DataFrame:
         """Status and level counts per claim. ``failed(claim_id, failure)`` names runs that were stopped."""

@@ -40,10 +40,25 @@ def materials_from_bytes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materials, marked.where("reason is not null").select("path", "file_name", "reason")
 
 
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, content)`` of zero-byte files below ``path``, which Spark's own listing leaves out.
+
+    The file system is listed on the driver, as Spark does before any scan; only empty files are kept.
+    """
+    context = spark.sparkContext
+    top = context._jvm.org.apache.hadoop.fs.Path(path)
+    found, files = [], top.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(top, True)
+    while files.hasNext():
+        file = files.next()
+        if file.getLen() == 0 and not file.getPath().getName().startswith(("_", ".")):
+            found.append((file.getPath().toString(), bytearray()))
+    return spark.createDataFrame(found, "path string, content binary")
+
+
 def material_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Files below ``path``. Spark's listing skips zero-byte files, so those appear in neither table."""
+    """(materials, rejects) of the files below ``path``; zero-byte files are among the rejects."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return materials_from_bytes(files.select("path", "content"))
+    return materials_from_bytes(files.select("path", "content").unionByName(empty_files(spark, path)))
 
 
 def policy_rows(files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Golden rows for the scalar expressions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from claimsweep.functions import materials as M
@@ -66,3 +67,35 @@ def test_table_rows(spark):
     rows = one(spark, "表\n| a | b |\n|---|---|\n| 1 | 2 |", table_row_split)
     assert [(r["suffix"], r["content"]) for r in rows] == [("-R1", "a ｜ b｜1 ｜ 2")]
     assert one(spark, "a | b", table_row_split)[0]["content"] == "a | b"
+
+
+def test_stages_need_a_shared_folder_and_can_be_released(spark):
+    from types import SimpleNamespace
+
+    from claimsweep.session import shared_dir
+    from claimsweep.staging import release, stage
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(
+        getConf=lambda: {}, master="spark://host:7077", applicationId="x"))
+    with pytest.raises(RuntimeError):
+        shared_dir(cluster, "stage")
+    table = stage(spark.range(3), "kept")
+    assert table.count() == 3
+    release(spark)
+    with pytest.raises(Exception, match="(?i)exist|not find"):
+        spark.read.parquet(*table.inputFiles()).count()
+
+
+def test_percentiles_by_ranges(spark):
+    import random
+
+    from claimsweep.operators.evaluate import nearest_rank_percentile
+
+    r = random.Random(3)
+    rows = [(k, v) for k, n in (("a", 500), ("b", 1), ("c", 40), (None, 7)) for v in [r.choice([r.gauss(0, 1e3), 5.0]) for _ in range(n)]]
+    df = spark.createDataFrame(rows + [("d", 2.0)] * 30 + [("a", None)], "k string, v double")
+    got = {x["k"]: (x["n"], x["p50"], x["p95"], x["max"]) for x in nearest_rank_percentile(
+        df, "k", "v", {"p50": 0.5, "p95": 0.95, "max": 1.0}, ranges=7).collect()}
+    for key in ("a", "b", "c", None, "d"):
+        values = sorted(v for k, v in rows + [("d", 2.0)] * 30 if k == key)
+        assert got[key] == (len(values), *[round(values[round(q * (len(values) - 1))], 1) for q in (0.5, 0.95, 1.0)])

@@ -85,12 +85,11 @@ def test_material_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("﻿发票号码：A".encode())
     (tmp_path / "b.exe").write_bytes(b"x")
     (tmp_path / "c.txt").write_bytes(b"\xff\xfe")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "d.txt").write_bytes(b"")
     good, bad = files.material_scan(spark, str(tmp_path))
     assert [(r["file_name"], r["text"]) for r in good.collect()] == [("a.txt", "发票号码：A")]
-    assert {r["file_name"] for r in bad.collect()} == {"b.exe", "c.txt"}
-    # Spark's file listing leaves zero-byte files out; rows without content are refused
-    _, empty = files.materials_from_bytes(spark.createDataFrame([("d.txt", bytearray())], "path string, content binary"))
-    assert [r["file_name"] for r in empty.collect()] == ["d.txt"]
+    assert {r["file_name"] for r in bad.collect()} == {"b.exe", "c.txt", "d.txt"}
 
 
 def test_json_sources(spark, tmp_path):
