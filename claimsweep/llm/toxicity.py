@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .common import fresh, ship
+from .vocab import held
 
 WORD = regex.compile(r"[^\W_]+")
 #: Words of a window, and from one window's start to the next.
@@ -61,8 +62,8 @@ class Network:
     p: dict[str, np.ndarray]
     scale: float = 1.0
     shift: float = 0.0
-    cache: dict = field(default_factory=dict)
-    rows: list = field(default_factory=list)
+    cache: dict = field(default_factory=dict)  # word -> its row in ``table``
+    table: np.ndarray | None = None
 
     @classmethod
     def start(cls, known: dict[str, int], rng: np.random.Generator) -> Network:
@@ -114,27 +115,39 @@ class Network:
         score = pooled @ p["out"] + p["base"]
         return (score, (saved, both, seen, weight, pooled)) if keep else score
 
+    def forget(self) -> None:
+        self.cache, self.table = {}, None
+
+    def _project(self, new_words: list[str]) -> np.ndarray:
+        """The inputs of both directions' gates for all words seen, after adding those of new words."""
+        if self.table is None or len(self.cache) > len(self.table):
+            larger = np.zeros((max(2 * len(self.cache), 4096), 2, 3 * HIDDEN), np.float32)
+            if self.table is not None:
+                larger[:len(self.table)] = self.table
+            self.table = larger
+        first = len(self.cache) - len(new_words)
+        for i in range(0, len(new_words), 1 << 14):
+            x, _ = self.inputs(new_words[i:i + (1 << 14)])
+            self.table[first + i:first + i + len(x)] = (x @ self.p["in"] + self.p["bias"]).transpose(1, 0, 2)
+        return self.table
+
     def window_scores(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The scores of every window of every text."""
         if len(self.cache) > CACHED:
-            self.cache, self.rows = {}, []
-        cache, fresh_words = self.cache, []
-        ids = []
+            self.forget()
+        cache, new_words, ids = self.cache, [], []
         for words in texts:
-            row = []
-            for w in words:
-                i = cache.get(w)
-                if i is None:
-                    i = cache[w] = len(cache)
-                    fresh_words.append(w)
-                row.append(i)
-            ids.append(np.array(row, np.int64))
-        for i in range(0, len(fresh_words), 1 << 14):
-            x, _ = self.inputs(fresh_words[i:i + (1 << 14)])
-            self.rows.append((x @ self.p["in"] + self.p["bias"]).transpose(1, 0, 2))
-        if len(self.rows) > 1:
-            self.rows = [np.concatenate(self.rows)]
-        table = self.rows[0] if self.rows else np.zeros((1, 2, 3 * HIDDEN), np.float32)
+            row = list(map(cache.get, words))
+            if None in row:
+                for j, i in enumerate(row):
+                    if i is None:
+                        i = cache.get(words[j])
+                        if i is None:
+                            i = cache[words[j]] = len(cache)
+                            new_words.append(words[j])
+                        row[j] = i
+            ids.append(np.array(row, np.int32))
+        table = self._project(new_words)
         full, short, where = [], [], []
         for words in ids:
             starts = window_starts(len(words))
@@ -246,7 +259,7 @@ def train(texts: list[str], labels: list[int], share: float, steps: int = 400, b
     while step < steps:
         worst = None
         if 4 * step >= steps:
-            net.cache, net.rows = {}, []
+            net.forget()
             worst = [int(s.argmax()) for s in net.window_scores(words)]
         chosen = []
         for i, s in enumerate(starts):
@@ -265,10 +278,10 @@ def train(texts: list[str], labels: list[int], share: float, steps: int = 400, b
                 if k not in ("bias", "base"):
                     net.p[k] *= 1 - rate * decay
                 net.p[k] -= rate * (mean[k] / (1 - 0.9 ** step)) / (np.sqrt(square[k] / (1 - 0.999 ** step)) + 1e-6)
-    net.cache, net.rows = {}, []
+    net.forget()
     top = np.array([float(s.max()) for s in net.window_scores(words)])
     net.scale, net.shift = calibrate(top, y, np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)))
-    net.cache, net.rows = {}, []
+    net.forget()
     return net
 
 
@@ -342,16 +355,9 @@ def with_score(docs: DataFrame, network: Network | None, name: str, text_col: st
     return docs.withColumn(name, score(F.col(text_col)))
 
 
-_networks: dict[int, Network] = {}
-
-
 def _worker_network(sent) -> Network:
-    key = zlib.crc32(sent.value[1]["out"].tobytes() + sent.value[1]["in"].tobytes())
-    if key not in _networks:
-        known, p, scale, shift = sent.value
-        _networks.clear()
-        _networks[key] = Network(known, p, scale, shift)
-    return _networks[key]
+    known, p, scale, shift = sent.value
+    return held(("network", zlib.crc32(p["out"].tobytes() + p["in"].tobytes())), lambda: Network(known, p, scale, shift))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

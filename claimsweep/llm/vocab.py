@@ -8,7 +8,15 @@ import os
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-_parsed: dict[tuple, object] = {}
+_held: dict = {}
+
+
+def held(key, make):
+    """``make()``, kept in this worker process until another key is asked for: one model and its caches at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
 
 
 def vocabulary(spark: SparkSession, path: str) -> Broadcast:
@@ -22,11 +30,8 @@ def vocabulary(spark: SparkSession, path: str) -> Broadcast:
 
 
 def parsed(kind: type, data: bytes):
-    """One object of ``kind`` for each vocabulary and worker process; its caches serve all tasks there."""
-    key = (kind.__name__, hashlib.md5(data).digest())
-    if key not in _parsed:
-        _parsed[key] = kind(data)
-    return _parsed[key]
+    """One object of ``kind`` for a vocabulary; its caches serve all tasks of a worker process."""
+    return held((kind.__name__, hashlib.md5(data).digest()), lambda: kind(data))
 
 
 class Cache(dict):
