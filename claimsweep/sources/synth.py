@@ -156,7 +156,7 @@ def api_responses(claims: DataFrame) -> DataFrame:
 
 
 def candidates(claims: DataFrame) -> DataFrame:
-    """Model replies for every 67th claim: one sound field and one planted fault by ``k % 5``."""
+    """A model reply for every claim: one sound field and one planted fault by ``k % 5``; some are no JSON."""
     def field(value, confidence, source):
         return F.struct(value.alias("value"), F.lit(confidence).alias("confidence"),
                         source.alias("source_text"), F.lit(1).alias("page_no"))
@@ -179,7 +179,7 @@ def candidates(claims: DataFrame) -> DataFrame:
              .when(every(3), F.concat(F.lit("```json\n"), body, F.lit("\n```")))
              .when(every(11), F.concat(F.substring(body, 1, 20), F.lit("}")))
              .otherwise(body))
-    return claims.where(every(67)).select("claim_id", reply.alias("payload"))
+    return claims.select("claim_id", reply.alias("payload"))
 
 
 # ---------------------------------------------------------------- policies, from the supplier and part tables

@@ -215,7 +215,7 @@ api as (
     ('invoice_amount', {money('case when k % 142 = 0 then invoice_cents + 1 else invoice_cents end')}), ('invoice_buyer',
       case when k % 5 <> 0 and k % 7 = 0 then invoice_buyer[1:1] || ' ' || invoice_buyer[2:] else invoice_buyer end)) v(name, value)) u),
 replies as (
-  select claim_id, k, payment_cents, invoice_number, k % 7 <> 0 and (k % 3 = 0 or k % 11 <> 0) as sound from claims where k % 67 = 0),
+  select claim_id, k, payment_cents, invoice_number, k % 7 <> 0 and (k % 3 = 0 or k % 11 <> 0) as sound from claims),
 proposed as (
   select r.claim_id, r.k, u.name, u.value, u.confidence, u.source, (select first(document_id order by file_order) from docs d where d.claim_id = r.claim_id) as document_id,
     exists(select 1 from docs d where d.claim_id = r.claim_id and u.source <> '' and contains(d.text, u.source)) as found
