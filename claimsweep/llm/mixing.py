@@ -82,7 +82,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
         F.sum(F.when(open_, F.col("p") * F.col("size"))).alias("hoped_words"),
         F.sum(F.when(open_, F.col("size"))).alias("open_words"))
     left = left.select(F.col("source").alias("s"), "wanted",
-                       F.least(F.coalesce(F.col("hoped_words") / F.col("open_words"), F.lit(0.5)), F.lit(1 - 1e-9)).alias("mean_p"))
+                       F.least(F.coalesce(F.try_divide("hoped_words", "open_words"), F.lit(0.5)), F.lit(1 - 1e-9)).alias("mean_p"))
     drawn = hoped.join(left, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rank = F.when(open_, (F.col("u") / (1 - F.col("u"))) * ((1 - F.col("p")) / F.col("p")))
     drawn = drawn.withColumn("rank", rank)

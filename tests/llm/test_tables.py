@@ -77,6 +77,15 @@ def test_likelier_documents_are_drawn_more_often(spark, tmp_path):
     assert drawn[True] / drawn[False] == pytest.approx(3, rel=0.25)
 
 
+def test_sources_of_empty_texts_take_nothing(spark, tmp_path):
+    rows = [(1, "", "a"), (2, None, "a"), (3, "", "b"), (4, "x y z", "b"), (5, "x y z", "b"), (6, "", None)]
+    docs = stored(spark, rows, tmp_path / "d").selectExpr("doc_id", "text", "source", "if(doc_id = 3, 1.5D, 1.0D) as w")
+    for weight in (None, "w"):
+        got = {r["doc_id"]: r for r in mixing.mix(docs, weight_col=weight).collect()}
+        assert len(got) == 6 and all(got[i]["taken"] == 0 for i in (1, 2, 3, 6)) and got[1]["target"] == 0
+        assert got[4]["taken"] + got[5]["taken"] == 9
+
+
 def plain_rules(rows, limit, left):
     seen = defaultdict(set)
     norm = lambda x: " ".join(words("".join(c.lower() if "A" <= c <= "Z" else c for c in x)))
