@@ -23,8 +23,10 @@ from .common import ship
 from .vocab import Cache, parsed, vocabulary
 
 MARK = "▁"
-#: Segments remembered in a worker.
-CACHED = 300_000
+#: Words remembered in a worker, and the longest of them.
+CACHED, LONGEST = 400_000, 64
+#: Signs that often end a word.
+CLOSING = frozenset(".,;:!?|)]}\"'")
 #: How far below the worst piece a character without a piece of its own scores, as the library has it.
 UNKNOWN_PENALTY = 10.0
 
@@ -36,18 +38,47 @@ OTHERS = pa.list_(pa.struct([("score", pa.float64()), ("changes", pa.list_(pa.st
 ROWS = 200
 
 
-def segment_pattern(pieces) -> regex.Pattern:
-    """Cuts a text only where no piece of this vocabulary can lie across: checked on all its pieces.
+def cut_rules(pieces) -> tuple[bool, bool]:
+    """Where no piece of this vocabulary can lie across, checked on all its pieces.
 
-    Before a blank mark, if pieces hold it only at their start; then also around line ends, if no piece
-    has one, and between a letter and what is neither letter, mark nor digit, if no piece joins those.
+    First: before a blank mark, if pieces hold it only at their start. Second: also around line ends, if no
+    piece has one, and between a letter and what is neither letter, mark nor digit, if no piece joins those.
     """
-    if any(MARK in p.lstrip(MARK) for p in pieces):
-        return regex.compile(r"(?s).+")
-    word, apart = r"\p{L}\p{M}\p{N}", regex.compile(rf"[\p{{L}}\p{{M}}][^\p{{L}}\p{{M}}\p{{N}}{MARK}]")
-    if any("\n" in p or apart.search(p) for p in pieces):
-        return regex.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
-    return regex.compile(rf"{MARK}*[^{MARK}\n{word}]*[{word}]*[\p{{L}}\p{{M}}](?![{word}])|\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+    apart = regex.compile(rf"[\p{{L}}\p{{M}}][^\p{{L}}\p{{M}}\p{{N}}{MARK}]")
+    marks = not any(MARK in p.lstrip(MARK) for p in pieces)
+    return marks, marks and not any("\n" in p or apart.search(p) for p in pieces)
+
+
+def segment_pattern(marks: bool, words: bool) -> regex.Pattern:
+    """The segments of a text by these rules."""
+    word = r"\p{L}\p{M}\p{N}"
+    if words:
+        return regex.compile(rf"{MARK}*[^{MARK}\n{word}]*[{word}]*[\p{{L}}\p{{M}}](?![{word}])|\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+    return regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if marks else r"(?s).+")
+
+
+class Words(dict):
+    """Solutions of words behind a blank mark. What is put together from parts is not remembered."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> tuple[bytes, float, float]:
+        model = self.model
+        if model.cuts_words and word[-1:] in CLOSING and word[:-1].isalpha():
+            return joined([self[word[:-1]], model.cache[word[-1]]])
+        found = [MARK + word] if word.isalpha() else model.segments.findall(MARK + word)
+        if len(found) == 1:
+            value = model.solve(found[0])
+            if len(word) <= LONGEST:
+                self[word] = value
+            return value
+        return joined([self[found[0][1:]], *[model.cache[part] for part in found[1:]]])
+
+
+def joined(parts: list[tuple[bytes, float, float]]) -> tuple[bytes, float, float]:
+    return b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), min([p[2] for p in parts])
 
 
 class PieceModel:
@@ -72,13 +103,13 @@ class PieceModel:
             self.matches.add_word(piece, (len(piece), i, score))
         self.matches.make_automaton()
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
-        self.segments = segment_pattern(self.pieces)
+        self.cuts_marks, self.cuts_words = cut_rules(self.pieces)
+        self.segments = segment_pattern(self.cuts_marks, self.cuts_words)
         self.singles = {p for p in self.pieces if len(p) == 1}
-        self.cuts_at_marks = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.cache = Cache(self.solve, CACHED // 4)
-        self.marked = Cache(self.solve_marked, CACHED)
+        self.marked = Words(self)
         self.n_choices = 3
-        self.choices = Cache(lambda segment: self.n_best(segment, self.n_choices), CACHED // 10)
+        self.choices = Cache(lambda segment: self.n_best(segment, self.n_choices), CACHED // 20)
         self.prefix = sp.normalize("x") == MARK + "x"
 
     def edges(self, text: str) -> list[list[tuple[int, int, float]]]:
@@ -142,24 +173,19 @@ class PieceModel:
         else:
             _, best, back, second = self.forward(text)
             starts, ids = [x[0] for x in back], [x[1] for x in back]
-        path, gap, end = [], float("inf"), n
+        out, ends, gap, end = [], [], float("inf"), n
         while end:
-            if best[end] - second[end] < gap:
-                gap = best[end] - second[end]  # leaving the best path here; what follows stays best
-            start = starts[end]
-            path.append((start, end, ids[end]))
-            end = start
-        path.reverse()
-        out = [x[2] for x in path]
-        return array("i", self.spell(text, path) if -1 in out else out).tobytes(), best[n], gap
-
-    def solve_marked(self, word: str) -> tuple[bytes, float, float]:
-        """The same for a word behind a blank mark, from its parts where no piece crosses."""
-        found = self.segments.findall(MARK + word)
-        if len(found) == 1:
-            return self.solve(found[0])
-        parts = [self.marked[found[0][1:]], *[self.cache[part] for part in found[1:]]]
-        return b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), min([p[2] for p in parts])
+            lost = best[end] - second[end]  # by leaving the best path here; what follows stays best
+            if lost < gap:
+                gap = lost
+            out.append(ids[end])
+            ends.append(end)
+            end = starts[end]
+        out.reverse()
+        if -1 in out:
+            ends = [0, *reversed(ends)]
+            out = self.spell(text, list(zip(ends, ends[1:], out)))
+        return array("i", out).tobytes(), best[n], gap
 
     def n_best(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a segment, best first: A-star from its end."""
@@ -183,7 +209,7 @@ class PieceModel:
     def encode(self, text: str, n: int):
         """(ids, score, others): others holds the next n - 1 segmentations as score and changed runs of ids."""
         normal = self.normalize(text)
-        if self.cuts_at_marks and normal.startswith(MARK) and MARK * 2 not in normal:
+        if self.cuts_marks and normal.startswith(MARK) and MARK * 2 not in normal:
             segments, mark = normal[1:].split(MARK), MARK  # words with one mark before each
             solved = list(map(self.marked.__getitem__, segments))
         else:
@@ -192,8 +218,10 @@ class PieceModel:
         parts = [s[0] for s in solved]
         score = sum([s[1] for s in solved])
         others = self.others(segments, mark, parts, np.array([s[2] for s in solved]), score, n) if n > 1 else []
-        for cache in (self.cache, self.marked, self.choices):
-            cache.trim()
+        self.cache.trim()
+        self.choices.trim()
+        if len(self.marked) > CACHED:
+            self.marked.clear()
         return np.frombuffer(b"".join(parts), np.int32), score, others
 
     def others(self, segments: list[str], mark: str, parts: list[bytes], gaps: np.ndarray, score: float, n: int) -> list[dict]:
@@ -207,9 +235,10 @@ class PieceModel:
             lost = [(choices[0][0] - s, ids) for s, ids in choices]
             combined = nsmallest(n, ((c + d, (*ch, (i, ids)) if k else ch) for c, ch in combined
                                      for k, (d, ids) in enumerate(lost)), key=lambda x: x[0])
-        sizes = np.cumsum([0, *map(len, parts)]) // 4 if nearest else []
-        return [{"score": score - lost, "changes": [{"first": int(sizes[i]), "last": int(sizes[i + 1]) - 1, "ids": ids}
-                                                    for i, ids in changes]} for lost, changes in combined[1:]]
+        begins = {i: sum(map(len, parts[:i])) // 4 for i in nearest}  # places of the segments' first ids
+        return [{"score": score - lost, "changes": [
+            {"first": begins[i], "last": begins[i] + len(parts[i]) // 4 - 1, "ids": ids} for i, ids in changes]}
+            for lost, changes in combined[1:]]
 
     def decode(self, ids) -> str:
         """The text of ids: marks become blanks, runs of bytes are read as UTF-8, control pieces are silent."""
