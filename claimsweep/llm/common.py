@@ -26,12 +26,13 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """Adds the row's place in the input.
+    """Adds the row's place in the stored files: a hash of the file's path, and the row's number in that file.
 
-    ``df`` has to be a plain read of stored files: then a second read, or a task that is run again,
-    gives the same numbers.
+    ``df`` has to be a plain read of Parquet files. The place is a fact of the file, not of the read, so it
+    stays the same however a read packs files into tasks, and when executors join or are lost between two reads.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    return df.select("*", F.struct(F.xxhash64("_metadata.file_path").alias("file"),
+                                   F.col("_metadata.row_index").alias("at")).alias(name))
 
 
 def words_of(text: Column) -> Column:

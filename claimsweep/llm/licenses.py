@@ -119,7 +119,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     """
     phrases, templates = phrases or PHRASES, TEMPLATES if templates is None else templates
     row = fresh(docs, "row")
-    own = with_row_id(docs.select(F.col(id_col).alias("doc_id"), license_words(F.col(text_col)).alias("words")), row)
+    own = with_row_id(docs, row).select(row, F.col(id_col).alias("doc_id"), license_words(F.col(text_col)).alias("words"))
     facts = own.select(row, "doc_id", F.size("words").cast("long").alias("n_words"), *_phrase_facts(F.col("words"), phrases))
 
     known = F.broadcast(template_grams(docs.sparkSession, templates, k))

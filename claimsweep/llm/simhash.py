@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ..staging import stage
-from .common import fresh, ship
+from .common import fresh, ship, with_row_id
 from .components import components
 
 BITS = 64
@@ -322,11 +322,12 @@ def grouped(own: DataFrame, radius: int = 2, crowded: int = CROWDED) -> DataFram
 def keep_one(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group of near-duplicates, with all columns of ``docs`` (a stored table).
 
-    The one with the smallest id stays; of rows with that id, or without any, the first in the table.
+    The one with the smallest id stays; of rows with that id, or without any, the first in a fixed order of the
+    files (by a hash of their paths) and of the rows in them.
     """
     ship(docs.sparkSession)
     row, seen = fresh(docs, "row"), fresh(docs, "kept_row")
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    numbered = with_row_id(docs, row)
     own = numbered.select(F.col(id_col).cast("long").alias("doc_id"), F.col(row).alias("at"),
                           fingerprint_of(F.col(text_col)).alias("fp"))
     groups = grouped(stage(own, "simhash-documents"), radius)
