@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
 from .common import bound, fresh, lower_ascii, window_hashes, with_row_id, words_of
+from .components import components
 
 #: A line in more different texts of one host than this is boilerplate there.
 LINE_LIMIT = 20
 #: A document with less than this percentage of its words outside boilerplate lines is depleted.
 LEAST_LEFT = 20
 WINDOW = 8
+#: Judged by share, a line is boilerplate in more than this part of a host's groups of near copies (20 of 500), and
+#: in more than LINE_LIMIT of them: in fewer, nothing tells boilerplate from chance.
+LINE_SHARE = 0.04
+#: Near copies: runs of NEAR_RUN words are sampled to their NEAR_SAMPLE smallest hashes; texts that agree in all
+#: NEAR_ROWS minima of one of NEAR_BANDS bands are linked. One edit in 50 words leaves a link in 999 of 1,000 cases.
+NEAR_RUN, NEAR_SAMPLE, NEAR_BANDS, NEAR_ROWS = 4, 128, 8, 3
 SYMBOLS = r"[^#*$%&|<>]+"
 #: Copies of a small table's row for each side's salt, so that a line in a third of all texts meets in many tasks.
 SALTS = 16
@@ -49,8 +58,22 @@ def normal_lines(text: Column) -> Column:
     return F.array_remove(F.transform(F.split(whole, "\n", -1), lambda x: F.trim(x)), "")
 
 
-def document_facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One pass over the texts; what leaves it is numbers and a hash for each line."""
+def near_bands(words: Column) -> Column:
+    """A hash for each band of minima over the text's word runs (shorter texts: none)."""
+    def minimum(sample: Column, i: int) -> Column:  # each mask puts the hashes in another order
+        mask = int.from_bytes(hashlib.md5(b"near %d" % i).digest()[:8], "big", signed=True)
+        return F.array_min(F.transform(sample, lambda h: h.bitwiseXOR(F.lit(mask))))
+
+    def bands(sample: Column) -> Column:
+        some = [F.xxhash64(F.lit(b), *[minimum(sample, b * NEAR_ROWS + i) for i in range(NEAR_ROWS)]) for b in range(NEAR_BANDS)]
+        return F.when(F.size(sample) > 0, F.array(*some)).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(F.slice(F.sort_array(F.array_distinct(window_hashes(words, NEAR_RUN))), 1, NEAR_SAMPLE), bands)
+
+
+def document_facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, keep: tuple[str, ...] = (),
+                   bands: bool = False) -> DataFrame:
+    """One pass over the texts; what leaves it is numbers, a hash for each line, and those of :func:`near_bands` if asked for."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"), *keep)
     parts = parts.select("*", words_of(F.col("text")).alias("words"), normal_lines(F.col("text")).alias("normal"),
@@ -63,7 +86,44 @@ def document_facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, k
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.char_length(F.regexp_replace("text", SYMBOLS, "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"), line.alias("lines"))
+        repeated_words(F.col("words")).alias("n_repeat_words"), line.alias("lines"),
+        *([near_bands(F.col("words")).alias("bands")] if bands else []))
+
+
+def _near_copies(texts: DataFrame) -> DataFrame:
+    """``(u, v)``: each node of ``texts(node, host, bands)`` that is a near copy of another of its host, and its group's least."""
+    meets = texts.select("node", F.explode("bands").alias("band"), "host").select(
+        "node", F.xxhash64("band", F.col("host").isNull(), "host").alias("band"))
+    first = meets.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+    edges = meets.join(first.select(F.col("band").alias("b"), "least"), F.col("band") == F.col("b")).where("node <> least")
+    return components(edges.select(F.col("node").alias("u"), F.col("least").alias("v")))
+
+
+def _shared_lines(facts: DataFrame, least: int, share: float) -> DataFrame:
+    """As :func:`_common_lines`, judged by the share of the host's groups of near copies that hold the line."""
+    host = ["host", "t1", "t2"]
+    texts = facts.select(*host, "bands").dropDuplicates(host)
+    texts = texts.select("host", F.xxhash64(F.col("host").isNull(), *host).alias("node"), "bands")
+    roots = _near_copies(texts)
+    sizes = texts.join(roots, F.col("node") == F.col("u"), "left").groupBy("host").agg((F.count("*") - F.count("v")).alias("groups"))
+    # lines of too few texts are of too few groups; few are left, each with the texts that hold it
+    met = stage(_common_lines(facts, least), "quality-lines")
+    own = met.select("host", "line", F.xxhash64(F.col("host").isNull(), *host).alias("node"))
+    own = own.join(roots, F.col("node") == F.col("u"), "left").select("host", "line", F.coalesce("v", "node").alias("group")).distinct()
+    counts = own.groupBy("host", "line").agg(F.count("*").alias("n_groups"))
+    sizes = sizes.select(F.col("host").alias("h"), "groups")
+    common = counts.join(sizes, F.col("host").eqNullSafe(F.col("h"))).where(
+        (F.col("n_groups") > least) & (F.col("n_groups") > share * F.col("groups")))
+    return _meet(met, common.select("host", "line"))
+
+
+def _meet(lines: DataFrame, common: DataFrame) -> DataFrame:
+    """The rows of ``lines(host, t1, t2, line, n)`` whose host and line are in ``common``."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    common = common.select(F.col("host").alias("h"), F.col("line").alias("l"), salts.alias("s"))
+    salted = lines.withColumn("salt", F.pmod("t2", F.lit(SALTS)).cast("int"))
+    return salted.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")) & (F.col("salt") == F.col("s"))).select(
+        "host", "t1", "t2", "line", "n")
 
 
 def _common_lines(facts: DataFrame, line_limit: int) -> DataFrame:
@@ -74,11 +134,7 @@ def _common_lines(facts: DataFrame, line_limit: int) -> DataFrame:
     lines = texts.select(*host, F.explode("lines").alias("x")).select(*host, "x.line", "x.n")
     lines = lines.groupBy(*host, "line").agg(F.sum("n").alias("n"))
     common = lines.groupBy("host", "line").count().where(F.col("count") > line_limit)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    common = common.select(F.col("host").alias("h"), F.col("line").alias("l"), salts.alias("s"))
-    salted = lines.withColumn("salt", F.pmod("t2", F.lit(SALTS)).cast("int"))
-    return salted.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")) & (F.col("salt") == F.col("s"))).select(
-        *host, "line", "n")
+    return _meet(lines, common)
 
 
 def apply_rules(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: int = LEAST_LEFT, min_words: int = 20,
@@ -95,15 +151,20 @@ def apply_rules(docs: DataFrame, line_limit: int = LINE_LIMIT, least_left: int =
     rows give no rows. Columns named in ``keep`` are carried along, others are ignored.
     """
     facts = stage(document_facts(docs, id_col, text_col, host_col, keep), "quality-facts")
-    met, host = _common_lines(facts, line_limit), ["host", "t1", "t2"]
-    removed = met.groupBy(*host).agg(F.sum("n").alias("removed"))
-    removed = removed.select(F.col("host").alias("h"), F.col("t1").alias("x1"), F.col("t2").alias("x2"), "removed")
-    judged = facts.drop("lines").join(removed, F.col("host").eqNullSafe(F.col("h")) & (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2")), "left")
+    return _judged(facts, _common_lines(facts, line_limit), least_left, min_words, most_repeated).select(
+        "doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "words_left", "kept")
+
+
+def _judged(facts: DataFrame, met: DataFrame, least_left: int, min_words: int, most_repeated: int) -> DataFrame:
+    """``facts`` without lines, plus ``gone`` (hashes of the removed lines), ``base_failed``, ``words_left`` and ``kept``."""
+    removed = met.groupBy("host", "t1", "t2").agg(F.sum("n").alias("removed"), F.collect_set("line").alias("gone"))  # lines of one text
+    removed = removed.select(F.col("host").alias("h"), F.col("t1").alias("x1"), F.col("t2").alias("x2"), "removed", "gone")
+    judged = facts.drop("lines", "bands").join(
+        removed, F.col("host").eqNullSafe(F.col("h")) & (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2")), "left")
     words_left = F.col("n_words") - F.coalesce("removed", F.lit(0))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     depleted = 100 * words_left < least_left * F.col("n_words")
-    return judged.select("doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         base.alias("base_failed"), words_left.cast("long").alias("words_left"), (~base & ~depleted).alias("kept"))
+    return judged.select("*", base.alias("base_failed"), words_left.cast("long").alias("words_left"), (~base & ~depleted).alias("kept"))
 
 
 def without_common_lines(docs: DataFrame, line_limit: int = LINE_LIMIT, id_col: str = "doc_id", text_col: str = "text",
@@ -117,14 +178,35 @@ def without_common_lines(docs: DataFrame, line_limit: int = LINE_LIMIT, id_col:
     found = facts.select(F.col(row).alias("r"), "host", "t1", "t2").join(
         lines, F.col("host").eqNullSafe(F.col("h")) & (F.col("t1") == F.col("x1")) & (F.col("t2") == F.col("x2"))).select("r", "gone")
     out = numbered.join(found, F.col(row) == F.col("r"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("gone", F.xxhash64(normal_line(x)))), "\n")
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(kept)
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[_cut(c, "gone").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (a stored table) that the rules keep, with all their columns."""
-    row = fresh(docs, "row")
-    numbered = with_row_id(docs, row)
-    good = apply_rules(numbered, keep=(row,), **options).where("kept").select(F.col(row).alias(fresh(numbered, "kept_row")))
-    return numbered.join(good, F.col(row) == F.col(good.columns[0]), "left_semi").drop(row)
+def _cut(text_col: str, gone: str) -> Column:
+    """The text without the lines whose hashes are in ``gone`` (null: none)."""
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(normal_line(x)))), "\n")
+    return F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)
+
+
+def keep_good(docs: DataFrame, line_limit: int | None = None, least_left: int = LEAST_LEFT, min_words: int = 20,
+              most_repeated: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
+              line_share: float = LINE_SHARE, least_groups: int = LINE_LIMIT) -> DataFrame:
+    """The rows of ``docs`` (a stored table) that the rules keep, with all their columns.
+
+    Near copies of a text count once, and a line is boilerplate if more than ``least_groups`` and more than
+    ``line_share`` of the host's groups of near copies hold it: a group alone makes no line boilerplate, and
+    a larger host does not lose more. With ``line_limit``, lines are judged by that number of different texts,
+    as in :func:`apply_rules`.
+
+    Verdict and cut hang on host and text alone, so rows are met by these: no row numbers are needed.
+    """
+    facts = stage(document_facts(docs, id_col, text_col, host_col, bands=line_limit is None), "quality-facts")
+    met = _shared_lines(facts, least_groups, line_share) if line_limit is None else _common_lines(facts, line_limit)
+    good = _judged(facts, met, least_left, min_words, most_repeated).where("kept").select(
+        "host", "t1", "t2", "gone").dropDuplicates(["host", "t1", "t2"])
+    own = {c: fresh(docs, c) for c in ("good_host", "good_t1", "good_t2", "gone")}
+    good = good.select(F.col("host").alias(own["good_host"]), F.col("t1").alias(own["good_t1"]), F.col("t2").alias(own["good_t2"]),
+                       F.col("gone").alias(own["gone"]))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out = docs.join(good, F.col(host_col).eqNullSafe(F.col(own["good_host"])) & (F.xxhash64(text) == F.col(own["good_t1"]))
+                    & (F.xxhash64(F.lit(1), text) == F.col(own["good_t2"])))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
