@@ -60,7 +60,7 @@ TEMPLATES = {
 K = 4
 #: Diagonals this close belong to one occurrence: words were put in or left out between them.
 GAP = 3
-#: Share of a template's words that an occurrence has to cover.
+#: Share of a template's words that an occurrence has to cover, and of the words in k-grams of no other label.
 LEAST_COVER = 0.5
 
 
@@ -69,13 +69,25 @@ def license_words(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: dict[str, list[str]], k: int) -> DataFrame:
-    """``(gram, template, label, at, run, n)``: each k-gram of each template with its place and words."""
+    """``(gram, template, label, at, run, n, own, n_own)``: each k-gram of each template with its place and words.
+
+    own says that no other label has the gram; n_own counts the template's words in such grams.
+    """
     rows = [F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text"))
             for i, (label, text) in enumerate((x, t) for x in sorted(templates) for t in templates[x])]
     one = spark.range(1).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     one = one.select("template", "label", license_words(F.col("text")).alias("w"))
-    return one.select("template", "label", F.size("w").alias("n"), "w", F.posexplode(window_hashes(F.col("w"), k)).alias("at", "gram")).select(
+    grams = one.select("template", "label", F.size("w").alias("n"), "w", F.posexplode(window_hashes(F.col("w"), k)).alias("at", "gram")).select(
         "gram", "template", "label", "at", "n", F.slice("w", F.col("at") + 1, k).alias("run"))
+    alike = Window.partitionBy("gram")
+    grams = grams.withColumn("own", F.min("label").over(alike) == F.max("label").over(alike))
+    places = F.collect_list(F.when(F.col("own"), F.col("at"))).over(Window.partitionBy("template"))
+    return grams.withColumn("n_own", _covered(places, k))
+
+
+def _covered(places: Column, k: int) -> Column:
+    """How many words the k-grams at these places cover."""
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + k - 1)))))
 
 
 def _phrase_facts(words: Column, phrases: dict[str, str]) -> list[Column]:
@@ -108,14 +120,17 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
 
     documents: ``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)``, a row for
     each row of ``docs``. Base labels come from the phrases; the method adds the labels of templates of
-    which a verified span covers at least ``least_cover``. score is the largest covered share, 1 where a
-    phrase stands. spans: ``(doc_id, row, label, template, first_word, last_word, votes, cover)``.
+    which a verified span covers at least ``least_cover``, of all words and of those in k-grams that no other
+    label has: words that notices of several licenses begin with name none of them. score is the largest
+    covered share, 1 where a phrase stands. spans: ``(doc_id, row, label, template, first_word, last_word, votes, cover)``.
     Null and empty texts have no words, labels '' and score 0; repeated rows are scanned alike; rows with
     null ids stay; other columns are ignored; no rows give no rows.
 
     Diagonal voting: every k-gram of every text meets the templates' k-grams (a few hundred rows made of
     the parameter); a hit votes for its diagonal, the offset of text to template. Neighbouring
-    diagonals join into one occurrence. Hits count only if their words agree, not just their hashes.
+    diagonals join into one occurrence, and so do the parts of one that follow each other in text and
+    template, with no more words between them than the template has: longer insertions cut a notice into
+    such parts. Hits count only if their words agree, not just their hashes.
     """
     phrases, templates = phrases or PHRASES, TEMPLATES if templates is None else templates
     row = fresh(docs, "row")
@@ -131,17 +146,33 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     lines = met.groupBy(*key, diagonal.alias("diagonal")).agg(
         F.first("doc_id").alias("doc_id"), F.first("label").alias("label"), F.first("n").alias("n"),
         F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("votes"),
-        F.collect_set("at").alias("places"))  # at most the template's length
+        F.min("at").alias("low_at"), F.max("at").alias("high_at"), F.first("n_own").alias("n_own"),
+        F.collect_set("at").alias("places"), F.collect_set(F.when(F.col("own"), F.col("at"))).alias("owned"))  # at most the template's length
     # an occurrence: diagonals within ``gap`` of the one before
     order = Window.partitionBy(*key).orderBy("diagonal")
     opens = (F.col("diagonal") - F.lag("diagonal").over(order) > gap).cast("int")
     runs = lines.withColumn("run_no", F.sum(F.coalesce(opens, F.lit(0))).over(order))
-    spans = runs.groupBy(*key, "run_no").agg(
-        F.first("doc_id").alias("doc_id"), F.first("label").alias("label"), F.first("n").alias("n"),
-        F.min("low").alias("first_word"), (F.max("high") + k - 1).alias("last_word"), F.sum("votes").alias("votes"),
-        F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + k - 1)))))
-    spans = spans.withColumn("cover", covered / F.col("n")).where(F.col("cover") >= least_cover).drop("places", "run_no", "n")
+
+    def together(parts: DataFrame, number: str) -> DataFrame:
+        def union(name: str) -> Column:
+            return F.array_distinct(F.flatten(F.collect_list(name))).alias(name)
+
+        return parts.groupBy(*key, number).agg(
+            *[F.first(c).alias(c) for c in ("doc_id", "label", "n", "n_own")], F.min("low").alias("low"), F.max("high").alias("high"),
+            F.min("low_at").alias("low_at"), F.max("high_at").alias("high_at"), F.sum("votes").alias("votes"), union("places"), union("owned")).drop(number)
+
+    # parts in text order: each is held against the one before it that reaches farthest; one inside another stays alone
+    parts, text = together(runs, "run_no"), Window.partitionBy(*key).orderBy("low", F.col("high").desc(), "low_at")
+    before = F.max(F.struct("high", "high_at")).over(text.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("before", before).withColumn("inside", F.coalesce(F.col("high") <= F.col("before.high"), F.lit(False)))
+    follows = (F.col("low_at") > F.col("before.high_at")) & (F.col("low") - F.col("before.high") - k <= F.col("n"))
+    parts = parts.withColumn("opens", (~F.col("inside") & ~F.coalesce(follows, F.lit(False))).cast("int"))
+    number = F.struct(F.sum("opens").over(text), F.when(F.col("inside"), F.row_number().over(text)))
+    spans = together(parts.withColumn("part_no", number), "part_no")
+    cover = _covered(F.col("places"), k) / F.col("n")
+    own_cover = F.try_divide(_covered(F.col("owned"), k), F.col("n_own"))
+    spans = spans.withColumn("cover", cover).where((F.col("cover") >= least_cover) & (own_cover >= least_cover)).select(
+        "doc_id", row, "template", "label", F.col("low").alias("first_word"), (F.col("high") + k - 1).alias("last_word"), "votes", "cover")
     found = spans.groupBy(F.col(row).alias("r")).agg(F.collect_set("label").alias("added"), F.max("cover").alias("cover"))
     out = facts.join(found, F.col(row) == F.col("r"), "left")
     none = F.array().cast("array<string>")
