@@ -190,12 +190,12 @@ def _cut(text_col: str, gone: str) -> Column:
 def keep_good(docs: DataFrame, line_limit: int | None = None, least_left: int = LEAST_LEFT, min_words: int = 20,
               most_repeated: int = 30, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
               line_share: float = LINE_SHARE, least_groups: int = LINE_LIMIT) -> DataFrame:
-    """The rows of ``docs`` (a stored table) that the rules keep, with all their columns.
+    """The rows of ``docs`` (a stored table) that the rules keep, with boilerplate lines taken out of their texts.
 
     Near copies of a text count once, and a line is boilerplate if more than ``least_groups`` and more than
     ``line_share`` of the host's groups of near copies hold it: a group alone makes no line boilerplate, and
     a larger host does not lose more. With ``line_limit``, lines are judged by that number of different texts,
-    as in :func:`apply_rules`.
+    as in :func:`apply_rules`. Other columns stay as they are, those that were computed from the text too.
 
     Verdict and cut hang on host and text alone, so rows are met by these: no row numbers are needed.
     """
@@ -209,4 +209,4 @@ def keep_good(docs: DataFrame, line_limit: int | None = None, least_left: int =
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.join(good, F.col(host_col).eqNullSafe(F.col(own["good_host"])) & (F.xxhash64(text) == F.col(own["good_t1"]))
                     & (F.xxhash64(F.lit(1), text) == F.col(own["good_t2"])))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[_cut(c, own["gone"]).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])

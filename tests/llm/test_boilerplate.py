@@ -1,7 +1,8 @@
-"""Lines of a group of near copies, lines of large hosts."""
+"""Lines of a group of near copies, lines of large hosts, and boilerplate that the quality stage takes out."""
 
 import random
 
+import corpus_pipeline
 from helpers import stored
 
 from claimsweep.llm import quality
@@ -24,3 +25,23 @@ def test_near_copies_do_not_make_each_other_boilerplate(spark, tmp_path):
     got = {x["doc_id"]: x["text"] for x in quality.keep_good(docs).collect()}
     assert {i: got.get(i) for i in range(60)} == {i: t for i, t, _ in rows[:60]}
     assert {100 + i for i in range(40)} <= set(got)
+
+
+def test_lines_are_judged_by_their_share_of_a_host(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(i, "\n".join((["rare but shared"] if i < 30 else []) + (["in one of ten texts"] if i % 10 == 0 else []) + lines(r, 4, 10)), "a")
+            for i in range(1000)]
+    got = {x["doc_id"]: x["text"] for x in quality.keep_good(stored(spark, rows, tmp_path / "d")).collect()}
+    assert len(got) == 1000
+    assert sum("rare but shared" in t for t in got.values()) == 30
+    assert not any("in one of ten" in t for t in got.values())
+
+
+def test_quality_stage_takes_boilerplate_out(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, "\n".join(["All rights  RESERVED", *lines(r, 5), "", "all rights reserved"]), None) for i in range(40)] + [(90, None, None)]
+    docs = stored(spark, rows, tmp_path / "d")
+    out = corpus_pipeline.quality_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert {x["doc_id"]: x["text"] for x in out.collect()} == {
+        i: "\n".join(x for x in t.split("\n") if x.lower().split() != ["all", "rights", "reserved"]) for i, t, _ in rows[:40]}
