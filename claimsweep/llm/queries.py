@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import cotraining, licenses, mixing, oracles, pieces, quality, sharding, simhash, tokens, topk, toxicity
+from . import alignment, cotraining, licenses, mixing, oracles, pieces, quality, sharding, simhash, tokens, topk, toxicity
 from .common import read_table
 
 
@@ -52,6 +52,13 @@ def piece_encodings(spark, sf_dir):
         F.transform("others", lambda o: o["score"]).alias("next_scores"), "round_trip")
 
 
+def aligned_tokens(spark, sf_dir):
+    """Digests of the groups; the groups themselves stay with the operator."""
+    e = alignment.align(read_table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return e.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 QUERIES = {
     "op1_simhash": near_duplicates,
     "op2_sharding": shards,
@@ -63,6 +70,7 @@ QUERIES = {
     "op8_exact_top_k": exact_search,
     "op9_licenses": license_labels,
     "op10_sentencepiece": piece_encodings,
+    "op13_alignment": aligned_tokens,
 }
 ORACLES = {
     "op2_sharding": oracles.sharding(),
