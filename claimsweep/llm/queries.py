@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import alignment, cotraining, licenses, mixing, oracles, pieces, quality, sharding, simhash, tokens, topk, toxicity
+from . import alignment, cotraining, licenses, mixing, oracles, overlap, pieces, quality, sharding, simhash, tokens, topk, toxicity
 from .common import read_table
 
 
@@ -52,6 +52,10 @@ def piece_encodings(spark, sf_dir):
         F.transform("others", lambda o: o["score"]).alias("next_scores"), "round_trip")
 
 
+def similar_documents(spark, sf_dir):
+    return overlap.similar_documents(read_table(spark, sf_dir, "documents"))
+
+
 def aligned_tokens(spark, sf_dir):
     """Digests of the groups; the groups themselves stay with the operator."""
     e = alignment.align(read_table(spark, sf_dir, "documents"))
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_exact_top_k": exact_search,
     "op9_licenses": license_labels,
     "op10_sentencepiece": piece_encodings,
+    "op11_jaccard_join": similar_documents,
     "op13_alignment": aligned_tokens,
 }
 ORACLES = {
