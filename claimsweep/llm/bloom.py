@@ -27,16 +27,31 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_ALL = (1 << 64) - 1
+
+
+def _mixed_one(x: int, seed: int) -> int:
+    x = x + (seed + 1) * 0x9E3779B97F4A7C15 & _ALL
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+    return x ^ x >> 31
+
+
 def _places(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
     return (mixed(keys, 7 + probe) & np.uint64(bits - 1)).astype(np.int64)
 
 
 class Bloom:
     def __init__(self, data: bytes):
-        self.data = np.frombuffer(data, np.uint8)
+        self.raw, self.data = data, np.frombuffer(data, np.uint8)
 
     def __contains__(self, key: int) -> bool:
-        return bool(self.has(np.array([key], np.uint64))[0])
+        last = 8 * len(self.raw) - 1
+        for probe in range(PROBES):
+            at = _mixed_one(key, 7 + probe) & last
+            if not self.raw[at >> 3] >> (at & 7) & 1:
+                return False
+        return True
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), bool)
@@ -53,12 +68,12 @@ def bloom(keys: DataFrame, bits: int = BITS) -> Broadcast:
 
     def marks(batches):
         """The filter of a task's keys: the slices of it that are not empty."""
-        own = np.zeros(bits, bool)
+        packed = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for probe in range(PROBES):
-                own[_places(values, probe, bits)] = True
-        packed = np.packbits(own, bitorder="little")
+                at = _places(values, probe, bits)
+                np.bitwise_or.at(packed, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         for at in range(0, len(packed), SLICE):
             part = packed[at:at + SLICE]
             if part.any():

@@ -148,3 +148,43 @@ pairs as (
   from ints q join ints c on q.vec_id % {every} = 0 and q.vec_id <> c.vec_id),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= {k}"""
+
+
+def collocations() -> str:
+    return r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+split as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+starts as (
+  select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from split, (values (1), (2), (3), (4)) as t(k) where len(w) >= k),
+counts as (
+  select lang, w[i:i + k - 1] as words, count(*)::bigint as f from starts group by 1, 2),
+total as (
+  select lang, sum(f)::bigint as n from counts where len(words) = 1 group by 1),
+candidates as (
+  select lang, words, f as a from counts where len(words) > 1 and f >= 30),
+cuts as (
+  select lang, words, a, unnest(range(1, len(words))) as k from candidates),
+scored as (
+  select c.lang, c.words, c.a, k, x.f as l, y.f as r, 2000000::hugeint * c.a // (x.f + y.f) as score
+  from cuts c join counts x on x.lang = c.lang and x.words = c.words[1:k]
+    join counts y on y.lang = c.lang and y.words = c.words[k + 1:len(c.words)]),
+lowest as (
+  select * from scored qualify row_number() over (partition by lang, words order by score, k) = 1),
+sizes as (
+  select lang, words, a, unnest(range(2, len(words))) as size from candidates where len(words) > 2),
+places as (
+  select *, unnest(range(1, len(words) - size + 2)) as p from sizes),
+inner_ones as (
+  select lang, words[p:p + size - 1] as words, max(a) as longer from places group by 1, 2),
+kept as (
+  select s.* from lowest s left join inner_ones i on i.lang = s.lang and i.words = s.words
+  where coalesce(100::hugeint * i.longer < 80::hugeint * s.a, true)),
+ranked as (
+  select lang, array_to_string(words, ' ') as phrase, a, l, r, score::bigint as score from kept)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::int as rank, phrase, a, l, r, n, score
+from ranked join total using (lang)
+qualify rank <= 2000"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import alignment, cotraining, licenses, mixing, oracles, overlap, pieces, quality, sharding, simhash, tokens, topk, toxicity
+from . import alignment, cotraining, licenses, mixing, oracles, overlap, phrases, pieces, quality, sharding, simhash, tokens, topk, toxicity
 from .common import read_table
 
 
@@ -56,6 +56,10 @@ def similar_documents(spark, sf_dir):
     return overlap.similar_documents(read_table(spark, sf_dir, "documents"))
 
 
+def phrase_collocations(spark, sf_dir):
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def aligned_tokens(spark, sf_dir):
     """Digests of the groups; the groups themselves stay with the operator."""
     e = alignment.align(read_table(spark, sf_dir, "documents"))
@@ -75,6 +79,7 @@ QUERIES = {
     "op9_licenses": license_labels,
     "op10_sentencepiece": piece_encodings,
     "op11_jaccard_join": similar_documents,
+    "op12_collocations": phrase_collocations,
     "op13_alignment": aligned_tokens,
 }
 ORACLES = {
@@ -83,4 +88,5 @@ ORACLES = {
     "op6_mixing": oracles.mixing(),
     "op8_exact_top_k": oracles.top_k(),
     "op9_licenses": oracles.licenses(),
+    "op12_collocations": oracles.collocations(),
 }
