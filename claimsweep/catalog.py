@@ -711,86 +711,6 @@ def _actual(x):
         F.size(F.filter("checks", lambda c: c["passed"])).alias("tool_passed"),
         F.size(F.filter("checks", lambda c: c["passed"].isNull())).alias("tool_skipped"))
     k = F.regexp_extract("claim_id", r"(\d+)$", 1).cast("bigint")
-    when = lambda d: F.lit("2002-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.lit(d))
-    choice = F.when(k % 3 == 0, "APPROVED").when(k % 3 == 1, "REJECTED")
-    decided = items.select("review_item_id", F.inline(F.array(
-        F.struct(F.lit("REJECTED").alias("decision"), when(1).alias("decided_at"), choice.isNotNull().alias("real")),
-        F.struct(choice.alias("decision"), when(2).alias("decided_at"), choice.isNotNull().alias("real")))))
-    return decided.where("real").drop("real")
-
-
-@query
-def review_progress(x):
-    items = review.stored_items(x.risks)
-    return review.review_progress(items, _decisions(x, items))
-
-
-def _events(x):
-    return x.table("events").select(F.col("user_id").alias("task_id"), "event_id", "event_type", F.col("ts").alias("created_at"))
-
-
-@query
-def task_state(x):
-    state = tasks.task_state(_events(x), EVENT_STATES)
-    return state.select("task_id", "state", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
-
-
-@query
-def event_timeline(x):
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return tasks.event_timeline(_events(x)).select(
-        "task_id", "event_id", "event_type", "position", stamp("created_at").alias("created_at"), stamp("previous_at").alias("previous_at"))
-
-
-@query
-def title_autofill(x):
-    return tasks.title_autofill(x.tasks, x.facts).select("claim_id", "title", "title_locked")
-
-
-def _policy_state(x):
-    return policy.policy_status(synth.policy_events(x.policies))
-
-
-@query
-def policy_status(x):
-    return _policy_state(x).select("policy_id", "name", "version", "status", "chunk_count", "published_at", "refused", "last_refusal")
-
-
-@query
-def policy_version_switch(x):
-    return policy.policy_version_switch(_policy_state(x)).select("policy_id", "name", "version", "status", "switched_off")
-
-
-def _cases(x):
-    k = F.col("k")
-    limit = F.when(F.col("travel_city").isin(*P.FIRST_TIER_CITIES), 60000).otherwise(45000)
-    planted = F.array_compact(F.array(
-        F.when(k % 13 == 0, "AMOUNT_MATCH"), F.when(k % 11 == 0, "APPLICANT_MATCH"),
-        F.when(F.col("invoice_cents") > limit, "HOTEL_LIMIT"), F.when((k % 4 == 3) | (k % 31 == 0), "DATE_RANGE"),
-        F.when(F.col("resubmitted") == 1, "DUPLICATE_INVOICE"), F.when(F.col("travel_city").isNull(), "RULE_MISSING"),
-        F.when(k % 40 == 1, "INVOICE_NUMBER_CONFLICT"))).cast("array<string>")
-    clause = F.when(F.col("travel_city").isin(*P.FIRST_TIER_CITIES), "TRAVEL-V1-4.2-A").otherwise("TRAVEL-V1-4.2-B")
-    none = F.array().cast("array<string>")
-    fields = F.array_compact(F.array(F.struct(F.lit("invoice_number").alias("key"), F.col("invoice_number").alias("value")),
-                                     F.when(F.col("travel_city").isNotNull(), F.struct(F.lit("travel_city").alias("key"), F.col("travel_city").alias("value")))))
-    return x.claims.select(
-        F.col("claim_id").alias("case_id"), F.when(F.size(planted) > 0, "REVIEW_REQUIRED").otherwise("PASS").alias("expected_status"),
-        planted.alias("expected_risks"), F.when(F.col("travel_city").isNull(), none).otherwise(F.array(clause)).alias("expected_policy_refs"),
-        F.map_from_entries(fields).alias("expected_fields"),
-        F.when(k % 40 == 1, F.array(F.lit("invoice_number_conflict"))).when(k % 2 == 0, F.array(F.lit("AMOUNT_MATCH"))).otherwise(none).alias("expected_tools"),
-        F.when(k % 13 == 0, "金额不一致").when(k % 11 == 0, "主体不一致").otherwise("正常合规").alias("category"), "k", "travel_city")
-
-
-def _actual(x):
-    a = x.audit
-    found = a.risks().groupBy("claim_id").agg(F.collect_set("risk_type").alias("risks"))
-    fields = a.report_fields().groupBy("claim_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("fields"))
-    checks = a.claims.select(
-        "claim_id", F.transform("evidence", lambda e: e["chunk_id"]).alias("policy_refs"),
-        F.transform("checks", lambda c: c["name"]).alias("tools"), F.size("checks").alias("tool_total"),
-        F.size(F.filter("checks", lambda c: c["passed"])).alias("tool_passed"),
-        F.size(F.filter("checks", lambda c: c["passed"].isNull())).alias("tool_skipped"))
-    k = F.regexp_extract("claim_id", r"(\d+)$", 1).cast("bigint")
     return (x.verdicts.select("claim_id", "status").join(checks, "claim_id").join(found, "claim_id", "left").join(fields, "claim_id", "left")
             .withColumn("duration_ms", (k % 50).cast("double")).withColumn("error", F.when(k % 97 == 0, "RuntimeError: max_steps"))
             .withColumn("fields", F.coalesce("fields", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
@@ -862,7 +782,7 @@ def dedupe_documents(x):
 
 def _stream_dirs(x, name, n):
     base = shared_dir(x.spark, name)
-    return [f"{base}/{part}" for part in ("out", "checkpoint", "a", "b")[:n]]
+    return [f"{base}/{part}" for part in ("out", "checkpoint", "registry")[:n]]
 
 
 FILES_A_BATCH = 4
@@ -881,7 +801,7 @@ def _thirds(df, time):
     cuts = df.select(F.percentile_approx(F.col(time).cast("timestamp"), [1 / 3, 2 / 3])).first()[0] or [None, None]
     low, high = (F.lit(c).cast("timestamp") for c in cuts)
     at = F.col(time).cast("timestamp")
-    return [df.where(at <= low), df.where((at > low) & (at <= high)), df.where(at > high)]
+    return [df.where(at <= low), df.where((at > low) & (at <= high)), df.where((at > high) | at.isNull())]
 
 
 @query
@@ -903,11 +823,11 @@ def stream_duplicate_registry(x):
 
 @query
 def stream_material_ingest(x):
-    out, checkpoint, store, registry = _stream_dirs(x, "stream-materials", 4)
+    out, checkpoint, registry = _stream_dirs(x, "stream-materials", 3)
     claims = x.claims.select("claim_id", "submitted_at", "department")
     # invoices first, then payments, then the rest: claims are audited again as their files arrive
     order = F.col("file_order")
     parts = [x.materials.where(order == 1), x.materials.where(order == 2), x.materials.where(order > 2)]
-    jobs.stream_material_ingest(_as_stream(x, parts, "arriving-files"), claims, store, registry, out, checkpoint,
+    jobs.stream_material_ingest(_as_stream(x, parts, "arriving-files"), claims, registry, out, checkpoint,
                                 corrections=synth.corrections(x.claims)).awaitTermination()
     return jobs.latest_by_batch(x.spark, out).select("claim_id", "status", "n_high", "n_medium", "n_low", "n_info", "unreadable_code")
