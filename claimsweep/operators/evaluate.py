@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.values import ratio
+from ..staging import stage
 
 
 def case_compare(cases: DataFrame, actual: DataFrame) -> DataFrame:
@@ -44,8 +45,11 @@ LATENCIES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95, "latency_max_ms": 1.
 
 def eval_metrics(results: DataFrame) -> DataFrame:
     """One row of metrics over case results: one aggregation, and the percentiles of their durations."""
+    results = stage(results, "case-results")
     one = nearest_rank_percentile(results.select(F.lit("all").alias("key"), "duration_ms"), "key", "duration_ms", LATENCIES)
-    return _scores(results).select("*", *[F.coalesce(one.select(name).scalar(), F.lit(0.0)).alias(name) for name in LATENCIES])
+    scores = _scores(results)
+    return scores.withColumn("key", F.lit("all")).join(one, "key", "left").select(
+        *scores.columns, *[F.coalesce(name, F.lit(0.0)).alias(name) for name in LATENCIES])
 
 
 def _scores(results: DataFrame) -> DataFrame:
@@ -82,39 +86,72 @@ def category_breakdown(results: DataFrame) -> DataFrame:
     return results.groupBy("category").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed_cases"))
 
 
-#: Ranges that a key's values are counted in before any are ranked.
-RANGES = 4096
+#: Bits of the ordered image that a round looks at, and values of a range that are listed one by one.
+DIGIT, LISTED = 16, 50_000
+#: Bits of the ordered image, and of the part of it below the exponent.
+IMAGE, FRACTION = 63, 50
 
 
-def nearest_rank_percentile(values: DataFrame, key: str, value: str, quantiles, ranges: int = RANGES) -> DataFrame:
-    """The element at the half-even rounded rank ``q * (n - 1)`` per key, one decimal.
+def ordered_image(v: Column) -> Column:
+    """A whole number from 0 to 2**63 - 1 that never falls as ``v`` rises: sign, exponent and leading bits of a double.
 
-    Two passes: values are counted in even ranges between a key's smallest and largest, which says in
-    which range each wanted rank lies; only the values of those ranges are ranked, each range by itself.
-    What a task sorts is one range of one key.
+    Values that differ in their last bits only, or by rounding at a power of two, may share a number. NaN is last.
+    """
+    a = F.abs(v)
+    e = F.when(a == float("inf"), 1024).otherwise(F.greatest(F.least(F.floor(F.log2(a)), F.lit(1024)), F.lit(-1075))).cast("int")
+    half = F.floor(e / 2)
+    scaled = F.when(a == float("inf"), 1.0).otherwise(a * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), -(e - half)))
+    low = F.least(F.greatest(F.floor((scaled - 1) * float(1 << FRACTION)), F.lit(0)), F.lit((1 << FRACTION) - 1))
+    size = F.shiftleft((e + 1076).cast("long"), FRACTION) + low.cast("long")
+    image = F.when(a == 0, F.lit(0).cast("long")).when(v < 0, -size).otherwise(size) + F.lit(1 << (IMAGE - 1))
+    return F.when(F.isnan(v), F.lit((1 << IMAGE) - 1)).otherwise(image)
+
+
+def nearest_rank_percentile(values: DataFrame, key: str, value: str, quantiles, listed: int = LISTED) -> DataFrame:
+    """The element at the half-even rounded rank ``q * (n - 1)`` per key, one decimal; ``n`` values that are not null.
+
+    Radix selection: a round counts values by the next leading bits of their ordered image, which says under which
+    bits each wanted rank lies, and only values there go on. Counts combine map-side and rounds depend on the bits
+    alone, so one value far off the others changes nothing. Rounds end when no wanted range holds more than ``listed``
+    values, or no bit is left; then equal values are counted together and few different ones are put in order.
     """
     rows = values.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    # floating point rank of a value inside its key; equal values share a range and order is kept
-    ends = rows.groupBy("k").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
-    step = F.col("v") - F.col("low")
-    place = F.when(F.col("high") > F.col("low"), F.least(F.floor(step / (F.col("high") - F.col("low")) * ranges), F.lit(ranges))).otherwise(0)
-    ended = ends.select(F.col("k").alias("k_"), "low", "high", "n")
-    ranged = rows.join(ended, F.col("k").eqNullSafe(F.col("k_"))).select("k", "v", "n", place.alias("r"))
-    counts = ranged.groupBy("k", "r").agg(F.count("*").alias("c"), F.max("n").alias("n"))
-    before = W.partitionBy("k").orderBy("r").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counts = counts.withColumn("upto", F.sum("c").over(before))
-    asked = counts.select("*", F.explode(F.array(*[
+    rows = stage(rows.withColumn("image", ordered_image(F.col("v"))), "percentile-values")
+    ends = stage(rows.groupBy("k").agg(F.count("*").alias("n")), "percentile-keys")
+    # what is asked: the rank inside the range of those images that start with ``head``
+    asked = ends.select("k", F.col("n").alias("size"), F.lit(0).cast("long").alias("head"), F.explode(F.array(*[
         F.struct(F.lit(name).alias("name"), F.bround(F.lit(q) * (F.col("n") - 1)).cast("bigint").alias("rank"))
-        for name, q in quantiles.items()])).alias("a")).where(
-        (F.col("a.rank") < F.col("upto")) & (F.col("a.rank") >= F.col("upto") - F.col("c")))
-    asked = asked.select(F.col("k").alias("k_"), F.col("r").alias("r_"), "a.name", (F.col("a.rank") - F.col("upto") + F.col("c")).alias("inside"), "n")
-    wanted = asked.select("k_", "r_").distinct()
-    inside = ranged.join(wanted, F.col("k").eqNullSafe(F.col("k_")) & (F.col("r") == F.col("r_")), "left_semi")
-    numbered = inside.withColumn("i", F.row_number().over(W.partitionBy("k", "r").orderBy("v")) - 1)
-    found = numbered.join(asked.drop("n"), F.col("k").eqNullSafe(F.col("k_")) & (F.col("r") == F.col("r_")) & (F.col("i") == F.col("inside")))
+        for name, q in quantiles.items()])).alias("a")).select("k", "head", "size", "a.*")
+    left = IMAGE
+    while left and (asked.agg(F.max("size")).first()[0] or 0) > listed:
+        step = min(DIGIT, left)
+        inside = _in_ranges(rows, asked, left)
+        left -= step
+        counts = inside.groupBy("k", "head", F.shiftright("image", left).alias("next")).agg(F.count("*").alias("c"))
+        asked = stage(_narrowed(counts, asked, "next", F.col("c")).select(
+            "k", F.col("next").alias("head"), F.col("c").alias("size"), "name", "rank"), "percentile-ranges")
+    counts = _in_ranges(rows, asked, left).groupBy("k", "head", "v").agg(F.count("*").alias("c"))
+    found = _narrowed(counts, asked, "v", F.col("c"))
     picks = [F.bround(F.max(F.when(F.col("name") == name, F.col("v"))), 1).alias(name) for name in quantiles]
-    out = found.groupBy("k").agg(*picks)
-    return ended.join(out, F.col("k_").eqNullSafe(F.col("k"))).select(F.col("k_").alias(key), "n", *quantiles)
+    out = found.groupBy("k").agg(*picks).withColumnRenamed("k", "k_")
+    return ends.join(out, F.col("k").eqNullSafe(F.col("k_"))).select(F.col("k").alias(key), "n", *quantiles)
+
+
+def _in_ranges(rows: DataFrame, asked: DataFrame, left: int) -> DataFrame:
+    """The values in ranges that are asked for; ``left`` bits of the images are not looked at yet."""
+    wanted = asked.select(F.col("k").alias("k_"), F.col("head").alias("head_")).distinct()
+    head = rows.withColumn("head", F.shiftright("image", left) if left < IMAGE else F.lit(0).cast("long"))
+    return head.join(wanted, F.col("k").eqNullSafe(F.col("k_")) & (F.col("head") == F.col("head_")), "left_semi")
+
+
+def _narrowed(counts: DataFrame, asked: DataFrame, by: str, n: Column) -> DataFrame:
+    """For each rank asked inside (k, head): the part ``by`` that holds it, and its rank inside that part."""
+    before = W.partitionBy("k", "head").orderBy(by).rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = counts.withColumn("upto", F.sum(n).over(before))
+    ranks = asked.select(F.col("k").alias("k_"), F.col("head").alias("head_"), "name", "rank")
+    met = upto.join(ranks, F.col("k").eqNullSafe(F.col("k_")) & (F.col("head") == F.col("head_")))
+    met = met.where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - n))
+    return met.withColumn("rank", F.col("rank") - F.col("upto") + n)
 
 
 def field_compare(expected: DataFrame, actual: DataFrame) -> DataFrame:

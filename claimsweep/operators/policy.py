@@ -137,19 +137,38 @@ def clean_city(c: Column) -> Column:
     return F.when(cleaned != "", cleaned)
 
 
-def _pieces(content: Column) -> Column:
-    """All one- and two-character pieces of a text."""
-    n = F.length(content)
-    one = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(content, i, F.lit(1)))
-    two = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(content, i, F.lit(2)))
-    return F.array_distinct(F.concat(one, two))
+def _runs(text: Column, size: int) -> Column:
+    """All different runs of ``size`` characters of a text; none of a shorter one."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(size)))))
 
 
-def naming_pairs(cities: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Every (city, clause) where the clause's text contains the city."""
-    keyed = cities.select("city", F.substring("city", 1, 2).alias("piece"))
-    index = chunks.select("*", F.explode(_pieces(F.col("content"))).alias("piece"))
-    return keyed.join(index, "piece").where(F.col("content").contains(F.col("city"))).drop("piece")
+#: Clauses that hold a piece, beyond which its rows are dealt out to more tasks.
+HOT_PIECE = 4096
+
+
+def naming_pairs(cities: DataFrame, chunks: DataFrame, hot: int = HOT_PIECE) -> DataFrame:
+    """Every (city, clause) where the clause's text contains the city.
+
+    A city asks for the rarest of its two-character pieces only (its one character, if it has no more): the one
+    that the fewest clauses hold. Pieces that many clauses hold are dealt out in shares, and a city that has
+    no rarer piece asks all shares.
+    """
+    size = F.when(F.length("city") > 1, 2).otherwise(1)
+    parts = cities.where("city is not null").distinct().select("city", F.explode(
+        F.when(size == 2, _runs(F.col("city"), 2)).otherwise(F.array("city"))).alias("piece"))
+    wanted = parts.select("piece").distinct()
+    content = F.coalesce(F.col("content"), F.lit(""))
+    none = F.array().cast("array<string>")
+    every = F.explode(F.concat(F.coalesce(_runs(content, 1), none), F.coalesce(_runs(content, 2), none))).alias("piece")
+    seen = chunks.select(every).join(wanted, "piece", "left_semi").groupBy("piece").agg(F.count("*").alias("df"))
+    rarest = parts.join(seen, "piece", "left").groupBy("city").agg(
+        F.min(F.coalesce("df", F.lit(0))).alias("df"), F.min_by("piece", F.struct(F.coalesce("df", F.lit(0)), "piece")).alias("piece"))
+    rarest = rarest.where("df > 0").withColumn("shares", F.ceil(F.col("df") / hot).cast("long"))
+    asked = rarest.select("city", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    index = chunks.select("*", every).join(rarest.select("piece", "shares").distinct(), "piece").withColumn(
+        "share", F.pmod(F.xxhash64("content", *[c for c in ("chunk_id", "ord") if c in chunks.columns]), F.col("shares"))).drop("shares")
+    return asked.join(index, ["piece", "share"]).where(F.col("content").contains(F.col("city"))).drop("piece", "share")
 
 
 def _numbered(candidates: DataFrame, keys, keep: int) -> DataFrame:
@@ -206,34 +225,74 @@ def _department_keys(department: Column) -> Column:
     return F.explode(F.when(everyone, F.array(F.lit("*"))).otherwise(F.array(F.lit("ALL"), department)))
 
 
-def _reaches_month() -> Column:
-    """Whether a clause is in force on some day of ``month``."""
-    start, end = F.col("effective_from"), F.coalesce("effective_to", F.lit(""))
-    return ((start == "") | (F.col("month") >= F.substring(start, 1, 7))) & (
-        (end == "") | (F.col("month") <= F.substring(end, 1, 7)))
+#: Levels of the tree of days: 2**22 days reach past the year 9999.
+DAY_LEVELS = 22
+
+
+def _day_number(day: Column) -> Column:
+    """Days since the year 1; null for what is no ISO day."""
+    return F.datediff(day.try_cast("date"), F.lit("0001-01-01").cast("date")).cast("long")
+
+
+def _halved(n: Column, level: Column) -> Column:
+    return F.call_function("shiftright", n, level)
+
+
+def _valid_nodes() -> Column:
+    """The fewest nodes (level, node) of the tree of days that make up a clause's validity, ends included.
+
+    At most two on each level, however long the interval is. An end that is empty, or no day, is open.
+    """
+    first = F.coalesce(_day_number(F.col("effective_from")), F.lit(0).cast("long"))
+    last = F.coalesce(_day_number(F.coalesce("effective_to", F.lit(""))), F.lit((1 << DAY_LEVELS) - 1).cast("long"))
+
+    def on(level):
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        low, high = _halved(first + size - 1, level), _halved(last + 1, level)
+        node = lambda n: F.struct(level.alias("level"), n.alias("node"))
+        return F.array(F.when((low < high) & (low % 2 == 1), node(low)), F.when((high % 2 == 1) & (low + low % 2 < high), node(high - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(DAY_LEVELS)), on)))
+
+
+def _nodes_of(day: Column) -> Column:
+    """The node of a day on each level."""
+    number = _day_number(day)
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(DAY_LEVELS)), lambda i: F.struct(i.alias("level"), _halved(number, i).alias("node")))
+    return F.when(number.isNotNull(), nodes)
+
+
+def _plain_days() -> Column:
+    """Whether both ends are ISO days or empty: then a clause holds on every day of its nodes."""
+    plain = lambda c: (c == "") | (c.try_cast("date").cast("string") == c)
+    return F.coalesce(plain(F.col("effective_from")) & plain(F.coalesce("effective_to", F.lit(""))), F.lit(False))
+
+
+def _first_of_nodes(index: DataFrame, keys, keep: int | None) -> DataFrame:
+    """Of the clauses of one node that score alike, only the first ``keep``: a day meets all of a node's clauses or none."""
+    if keep is None:
+        return index
+    order = W.partitionBy(*keys, "level", "node", "plain").orderBy("ord")
+    return index.withColumn("n", F.row_number().over(order)).where(~F.col("plain") | (F.col("n") <= keep)).drop("n")
 
 
 def named_in_force(combos: DataFrame, published: DataFrame, keep: int) -> DataFrame:
     """Published clauses that name the city of ``(city, department, as_of, expense_type)`` and hold for it.
 
-    Clauses are spread over months and departments before they meet the days. Of those in force all
-    month only the first ``keep`` of a (city, month, department, type) go on: they score alike, so no
-    later one can be among a day's first ``keep``.
+    A clause stands at the nodes of the tree of days that make up its validity, a day asks its node on each level:
+    each clause in force is met once, and a clause without end costs no more rows than one of a year. ``as_of`` is
+    an ISO day. Of a node only the first ``keep`` clauses of a (city, department, type) are kept.
     """
     columns = ["ord", "chunk_id", "section_path", "content"]
-    asked = combos.select("*", F.substring("as_of", 1, 7).alias("month"), _department_keys(F.col("department")).alias("dept_key"))
+    asked = combos.select("*", _department_keys(F.col("department")).alias("dept_key"))
+    asked = asked.select("*", F.inline(_nodes_of(F.col("as_of"))))
     clauses = published.select(*columns, F.col("department").alias("chunk_department"),
                                F.col("expense_type").alias("chunk_type"), "effective_from", "effective_to")
-    pairs = naming_pairs(combos.select("city").distinct(), clauses)
-    by_month = pairs.join(asked.select("city", "month").distinct(), "city").where(_reaches_month())
-    by_month = by_month.select("*", F.explode(F.array_distinct(F.array(F.col("chunk_department"), F.lit("*")))).alias("dept_key"))
-    end = F.coalesce("effective_to", F.lit(""))
-    all_month = ((F.col("effective_from") <= F.concat("month", F.lit("-01")))
-                 & ((end == "") | (end >= F.concat("month", F.lit("-31"))))).alias("all_month")
-    by_month = by_month.select("*", all_month)
-    order = W.partitionBy("city", "month", "dept_key", "chunk_type", "all_month").orderBy("ord")
-    by_month = by_month.withColumn("n", F.row_number().over(order)).where(~F.col("all_month") | (F.col("n") <= keep))
-    return (asked.join(by_month, ["city", "month", "dept_key"])
+    index = naming_pairs(combos.select("city").distinct(), clauses).withColumn("plain", _plain_days())
+    index = index.select("*", F.explode(F.array_distinct(F.array(F.col("chunk_department"), F.lit("*")))).alias("dept_key"))
+    index = index.select("*", F.inline(_valid_nodes()))
+    index = _first_of_nodes(index, ["city", "dept_key", "chunk_type"], keep)
+    return (asked.join(index, ["city", "dept_key", "level", "node"])
             .where((F.col("chunk_type").isin("") | (F.col("chunk_type") == F.col("expense_type"))) & _in_force(F.col("as_of")))
             .select(*combos.columns, *columns))
 
@@ -273,23 +332,23 @@ def evidence_long(claims: DataFrame) -> DataFrame:
     return claims.select("claim_id", F.inline("evidence"))
 
 
-def applicable_chunks(combos: DataFrame, published: DataFrame) -> DataFrame:
+def applicable_chunks(combos: DataFrame, published: DataFrame, keep: int | None = None) -> DataFrame:
     """(department, expense_type, as_of) x clause in force: an interval join made of equi-joins.
 
-    Clauses are first spread over the months their type is asked for, so a claim day meets only the
-    clauses of its month; open ends need no artificial horizon.
+    Clauses stand at nodes of the tree of days, see :func:`named_in_force`; with ``keep`` only the first ones
+    of each node and type.
     """
-    asked = combos.select("department", "expense_type", "as_of", F.substring("as_of", 1, 7).alias("month"))
-    asked = asked.select("*", _department_keys(F.col("department")).alias("dept_key"))
-    months = asked.select("expense_type", "month").distinct().select(
-        F.explode(F.array(F.col("expense_type"), F.lit(""))).alias("chunk_type"), "expense_type", "month")
-    clauses = published.select(
+    asked = combos.select("department", "expense_type", "as_of").distinct()
+    asked = asked.select("*", _department_keys(F.col("department")).alias("dept_key"),
+                         F.explode(F.array_distinct(F.array(F.col("expense_type"), F.lit("")))).alias("chunk_type"))
+    asked = asked.select("*", F.inline(_nodes_of(F.col("as_of"))))
+    index = published.select(
         "ord", "chunk_id", "section_path", "content", "policy_id", "version", "effective_from", "effective_to",
-        F.col("department").alias("chunk_department"), F.col("expense_type").alias("chunk_type"))
-    by_month = clauses.join(months, "chunk_type").where(_reaches_month())
-    by_month = by_month.select("*", F.explode(F.array(F.col("chunk_department"), F.lit("*"))).alias("dept_key"))
-    return (asked.join(by_month, ["expense_type", "month", "dept_key"])
-            .where(_in_force(F.col("as_of"))).drop("month", "dept_key", "chunk_type"))
+        F.col("department").alias("chunk_department"), F.col("expense_type").alias("chunk_type")).withColumn("plain", _plain_days())
+    index = index.select("*", F.explode(F.array(F.col("chunk_department"), F.lit("*"))).alias("dept_key"))
+    index = _first_of_nodes(index.select("*", F.inline(_valid_nodes())), ["dept_key", "chunk_type"], keep)
+    return (asked.join(index, ["chunk_type", "dept_key", "level", "node"])
+            .where(_in_force(F.col("as_of"))).drop("level", "node", "dept_key", "chunk_type", "plain"))
 
 
 def policy_as_of_join(claims: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -331,7 +390,7 @@ def clause_match_expense(claims: DataFrame, chunks: DataFrame, published: DataFr
     pool = combos.withColumn("gate", gate).join(base, ["city", "gate"]).drop("gate")
     if published is not None:
         types = combos.select("expense_type", "department", "as_of").distinct()
-        head = applicable_chunks(types, published)
+        head = applicable_chunks(types, published, keep)
         head = head.withColumn("n", F.row_number().over(
             W.partitionBy("expense_type", "department", "as_of").orderBy("ord"))).where(F.col("n") <= keep)
         general = (combos.join(head.select("expense_type", "department", "as_of", *columns),
