@@ -27,11 +27,13 @@ from .common import ship
 
 #: What ends a piece of text, and a byte that no UTF-8 text holds to stand for it.
 ENDS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
-#: Entries of a container before it bursts, of a task's tries before subtrees are written out, and words that a
-#: language of a task may number; languages that a task counts at a time.
-BURST, ENTRIES, WORDS, LANGUAGES = 4096, 800_000, 200_000, 8
+#: Entries of a container before it bursts, of a task's tries before subtrees are written out; languages of a task at a time.
+BURST, ENTRIES, LANGUAGES = 4096, 600_000, 8
+#: Frequent words that a language of a task may number before it starts anew, rare words that it remembers, and bits of
+#: the number that a run of words is packed into.
+WORDS, RARE, PACKED = 200_000, 20_000, 63
 #: Words counted in a task before they are handed on; runs of words entered at a time; texts read at a time.
-WORD_COUNTS, RUNS, ROWS = 400_000, 1 << 17, 200
+WORD_COUNTS, RUNS, ROWS = 300_000, 1 << 17, 200
 #: Prefix partitions for each task of the scan, and shares into which the successors of one prefix are dealt.
 PARTITIONS, SHARES = 4, 16
 
@@ -51,84 +53,116 @@ def _lang_hash(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode(), 4)
 
 
-class HatTrie:
-    """Counts of word-id runs. Containers (dicts of the remaining ids) below nodes (dicts by the next id)."""
+class Container(dict):
+    """A hash container: the words that remain of a run, packed into one number -> count."""
 
-    def __init__(self, burst: int | None = None):
-        self.root, self.size, self.burst = Container(), 0, burst or BURST
 
-    def add(self, runs: np.ndarray, counts: np.ndarray):
-        """Adds the counts of distinct runs, rows of ids in sorted order."""
-        self.root, more = _add(self.root, list(map(tuple, runs.tolist())), counts.tolist(), self.burst)
-        self.size += more
-
-    def take(self, at_most: int) -> list[tuple[tuple, dict]]:
-        """Removes the largest subtrees, until no more than ``at_most`` entries are left: (prefix, suffix -> count)."""
-        out = []
-        if isinstance(self.root, Container):
-            if self.size > at_most:
-                out, self.root, self.size = [((), dict(self.root))], Container(), 0
-            return out
-        sizes = sorted(((_size(child), word) for word, child in self.root.items()), reverse=True)
-        for size, word in sizes:
-            if self.size <= at_most:
-                break
-            out += _containers(self.root.pop(word), (word,))
-            self.size -= size
-        return out
+class HatTrie:
+    """Counts of runs of ``length`` word ids, each packed into one number, PACKED // length bits to a word.
+
+    Containers hang below nodes (dicts by the next word). The trie starts as one container; a container of several
+    remaining words that holds more than ``burst`` runs becomes a node with a container for each next word.
+    """
 
+    def __init__(self, length: int, burst: int | None = None):
+        self.length, self.bits, self.burst = length, PACKED // length, burst or BURST
+        self.root, self.size = Container(), 0
 
-class Container(dict):
-    """Remaining ids -> count."""
-
-
-def _add(place, runs: list[tuple], counts: list[int], burst: int):
-    """Adds runs below ``place``: (what stands there now, new entries)."""
-    if isinstance(place, Container):
-        before = len(place)
-        for run, n in zip(runs, counts):
-            place[run] = place.get(run, 0) + n
-        more = len(place) - before
-        if len(place) <= burst or len(next(iter(place))) == 1:
-            return place, more
+    def add(self, runs: np.ndarray, counts: np.ndarray):
+        """Adds the counts of distinct packed runs, in sorted order."""
+        if len(runs):
+            self.root = self._add(self.root, runs, counts, self.length - 1)
+
+    def _add(self, place, runs: np.ndarray, counts: np.ndarray, after: int):
+        """Adds runs, which have ``after`` words behind the next one, below ``place``; what stands there then."""
+        if isinstance(place, Container):
+            before, get = len(place), place.get
+            for run, n in zip(runs.tolist(), counts.tolist()):
+                place[run] = get(run, 0) + n
+            self.size += len(place) - before
+            return place if len(place) <= self.burst or not after else self._burst(place, after)
+        heads = runs >> self.bits * after
+        starts = np.nonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))[0]
+        rest = runs & (1 << self.bits * after) - 1
+        listed, times = rest.tolist(), counts.tolist()
+        for word, x, y in zip(heads[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(runs)]):
+            child = place.get(word)
+            if child is None:
+                child = place[word] = Container()
+            if isinstance(child, Container):
+                before, get = len(child), child.get
+                for run, n in zip(listed[x:y], times[x:y]):
+                    child[run] = get(run, 0) + n
+                self.size += len(child) - before
+                if len(child) > self.burst and after > 1:
+                    place[word] = self._burst(child, after - 1)
+            else:
+                place[word] = self._add(child, rest[x:y], counts[x:y], after - 1)
+        return place
+
+    def _burst(self, container: Container, after: int) -> dict:
         node: dict = {}
-        for run, n in place.items():  # bursts: a container for each next word
-            node.setdefault(run[0], Container())[run[1:]] = n
-        return node, more
-    more, at = 0, 0
-    while at < len(runs):
-        word, end = runs[at][0], at + 1
-        while end < len(runs) and runs[end][0] == word:
-            end += 1
-        child, new = _add(place.get(word, Container()), [r[1:] for r in runs[at:end]], counts[at:end], burst)
-        place[word] = child
-        more += new
-        at = end
-    return place, more
+        mask = (1 << self.bits * after) - 1
+        for run, n in container.items():
+            node.setdefault(run >> self.bits * after, Container())[run & mask] = n
+        return node
+
+    def take(self, at_most: int) -> tuple[np.ndarray, np.ndarray]:
+        """Removes the largest subtrees, until no more than ``at_most`` entries are left: their runs and counts."""
+        runs, counts = [], []
+
+        def collect(place, prefix: int, after: int):
+            if isinstance(place, Container):
+                runs.append(np.fromiter(place.keys(), np.int64, len(place)) | prefix)
+                counts.append(np.fromiter(place.values(), np.int64, len(place)))
+            else:
+                for word, child in place.items():
+                    collect(child, prefix | word << self.bits * after, after - 1)
+
+        if self.size > at_most:
+            if isinstance(self.root, Container):
+                collect(self.root, 0, self.length - 1)
+                self.root, self.size = Container(), 0
+            else:
+                for size, word in sorted(((_size(child), word) for word, child in self.root.items()), reverse=True):
+                    if self.size <= at_most:
+                        break
+                    collect(self.root.pop(word), word << self.bits * (self.length - 1), self.length - 2)
+                    self.size -= size
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *runs]), np.concatenate([none, *counts])
 
 
 def _size(place) -> int:
     return len(place) if isinstance(place, Container) else sum(map(_size, place.values()))
 
 
-def _containers(place, prefix: tuple) -> list[tuple[tuple, dict]]:
-    if isinstance(place, Container):
-        return [(prefix, place)]
-    return [x for word, child in place.items() for x in _containers(child, (*prefix, word))]
+def packed_ids(ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The runs of ``length`` ids that start at these places."""
+    runs = ids[at]
+    for i in range(1, length):
+        runs = runs << PACKED // length | ids[at + i]
+    return runs
 
 
 class _Numbers(dict):
-    """Ids of words in a task, from 1; 0 for what no phrase holds: rare words and ends of pieces."""
+    """Ids of frequent words in a task, from 1; 0 for what no phrase holds: rare words and ends of pieces."""
 
     def __init__(self, lang: int, frequent: Bloom):
         super().__init__({END: 0})
-        self.lang, self.frequent, self.hashes = lang, frequent, [0]
+        self.lang, self.frequent, self.hashes, self.rare = lang, frequent, [0], set()
 
     def __missing__(self, word: bytes) -> int:
+        if word in self.rare:
+            return 0
         name = word_hash(word)
-        self[word] = number = len(self.hashes) if name ^ self.lang in self.frequent else 0
-        if number:
-            self.hashes.append(name)
+        if name ^ self.lang not in self.frequent:
+            if len(self.rare) >= RARE:
+                self.rare.clear()
+            self.rare.add(word)
+            return 0
+        self[word] = number = len(self.hashes)
+        self.hashes.append(name)
         return number
 
 
@@ -136,11 +170,11 @@ def _pair_keys(first: np.ndarray, second: np.ndarray, lang: int) -> np.ndarray:
     return mixed(mixed(first, 1) ^ second, 2) ^ np.uint64(lang)
 
 
-def _sorted_run(found: list[tuple[tuple, dict]], length: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sorted_run(runs: np.ndarray, counts: np.ndarray, length: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Subtrees as one run: rows of word hashes in sorted order, and their counts."""
-    ids = np.array([prefix + suffix for prefix, entries in found for suffix in entries], np.int64).reshape(-1, length)
-    counts = np.fromiter((n for _, entries in found for n in entries.values()), np.int64, len(ids))
-    words = hashes[ids]
+    words = np.empty((len(runs), length), np.uint64)
+    for i in range(length):
+        words[:, i] = hashes[runs >> PACKED // length * (length - 1 - i) & (1 << PACKED // length) - 1]
     order = np.lexsort(words.T[::-1])
     return words[order], counts[order]
 
@@ -159,21 +193,32 @@ class _Counting:
     def __init__(self, lang: str, lengths: tuple[int, ...], words: Bloom, pairs: Bloom | None, parts: int):
         self.lang, self.name, self.lengths = lang, _lang_hash(lang), lengths
         self.words, self.pairs, self.parts = words, pairs, parts
+        # ids fit their bits: a part of a text adds half of the numbers at most, and starts with half of them free
+        self.limit = min(WORDS, 1 << PACKED // max(lengths))
+        self.step = min(RUNS, self.limit // 2 - 8)
         self.waiting: list[int] = []
+        self.tail = bytearray()  # 1: no run starts here, it is counted with the next part of the text
         self._fresh()
 
     def _fresh(self):
         self.numbers = _Numbers(self.name, self.words)
-        self.tries = {n: HatTrie() for n in self.lengths}
+        self.tries = {n: HatTrie(n) for n in self.lengths}
 
     def feed(self, words: list[bytes]):
-        self.waiting += map(self.numbers.__getitem__, words)
-        self.waiting.append(0)
-        if len(self.waiting) >= RUNS or len(self.numbers) > WORDS:
-            yield from self.enter()
+        number, over = self.numbers, max(self.lengths) - 1
+        for at in range(0, len(words), self.step):
+            part = words[at:at + self.step + over]
+            self.waiting += map(number.__getitem__, part)
+            self.waiting.append(0)
+            own = min(self.step, len(part))
+            self.tail += bytes(own) + b"\1" * (len(part) - own + 1)
+            if len(self.waiting) >= RUNS or len(number) > self.limit // 2:
+                yield from self.enter()
+                number = self.numbers
 
     def enter(self):
         ids, self.waiting = np.array(self.waiting, np.int64), []
+        own, self.tail = np.frombuffer(bytes(self.tail), np.uint8) == 0, bytearray()
         hashes = np.array(self.numbers.hashes, np.uint64)
         follows = (ids[:-1] > 0) & (ids[1:] > 0)
         if self.pairs is not None:
@@ -183,15 +228,9 @@ class _Counting:
             whole = follows[:max(len(follows) - length + 2, 0)].copy()
             for i in range(1, length - 1):
                 whole &= follows[i:len(whole) + i]
-            at = np.nonzero(whole)[0]
-            if len(at):
-                runs = ids[at[:, None] + np.arange(length)]
-                order = np.lexsort(runs.T[::-1])
-                runs = runs[order]
-                new = np.concatenate([[True], (runs[1:] != runs[:-1]).any(axis=1)])
-                starts = np.nonzero(new)[0]
-                trie.add(runs[starts], np.diff(np.append(starts, len(runs))))
-        if len(self.numbers) > WORDS:
+            whole &= own[:len(whole)]
+            trie.add(*np.unique(packed_ids(ids, np.nonzero(whole)[0], length), return_counts=True))
+        if len(self.numbers) > self.limit // 2:
             yield from self.rest()
 
     def size(self) -> int:
@@ -201,7 +240,7 @@ class _Counting:
         """Writes the largest subtrees out."""
         hashes = np.array(self.numbers.hashes, np.uint64)
         for length, trie in self.tries.items():
-            yield from self._written(length, trie.take(trie.size // 4), hashes)
+            yield from self._written(length, *trie.take(trie.size // 4), hashes)
 
     def rest(self):
         """Everything that is left, and a new start."""
@@ -209,13 +248,13 @@ class _Counting:
             yield from self.enter()
         hashes = np.array(self.numbers.hashes, np.uint64)
         for length, trie in self.tries.items():
-            yield from self._written(length, trie.take(-1), hashes)
+            yield from self._written(length, *trie.take(-1), hashes)
         self._fresh()
 
-    def _written(self, length: int, found: list, hashes: np.ndarray):
-        if not found or not any(entries for _, entries in found):
+    def _written(self, length: int, runs: np.ndarray, counts: np.ndarray, hashes: np.ndarray):
+        if not len(runs):
             return
-        words, counts = _sorted_run(found, length, hashes)
+        words, counts = _sorted_run(runs, counts, length, hashes)
         part = _prefix_partition(words, self.parts)
         order = np.argsort(part, kind="stable")  # inside a partition the run stays sorted
         part, words, counts = part[order], words[order], counts[order]
@@ -363,7 +402,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30, lang_col: str = "lang",
         return pd.Series(keys.view(np.int64))
 
     linked = bloom(pairs.select(pair_key("w1", "w2", "lang")))
-    longer = stage(_phrase_counts(texts, (3, 4), least, parts, frequent, linked), "phrases-longer")
+    used = bloom(pairs.select("lang", F.explode(F.array("w1", "w2")).alias("id")).distinct().select(keyed("id", "lang")))
+    longer = stage(_phrase_counts(texts, (3, 4), least, parts, used, linked), "phrases-longer")
     named = pairs.union(longer)
     for i in range(1, 5):  # a rare word that shares a frequent one's hash is told apart by no filter, but has no row here
         own = words.select("lang", F.col("id").alias(f"w{i}"), F.col("word").alias(f"word{i}"))

@@ -76,7 +76,7 @@ class Everything:
 def test_trie_bursts_and_writes_whole_subtrees(monkeypatch):
     monkeypatch.setattr(phrases, "RUNS", 500)
     monkeypatch.setattr(phrases, "BURST", 8)
-    monkeypatch.setattr(phrases, "WORDS", 60)
+    monkeypatch.setattr(phrases, "WORDS", 160)
     r = random.Random(3)
     words = [f"w{int(r.paretovariate(0.8)) % 90}".encode() for _ in range(30000)]
     docs = [words[i:i + 300] for i in range(0, len(words), 300)]
@@ -102,6 +102,7 @@ def test_trie_bursts_and_writes_whole_subtrees(monkeypatch):
             for row, n in zip(rows.tolist(), counts.tolist()):
                 assert tuple(row) not in merged  # a phrase is in one partition
                 merged[tuple(row)] = n
+        assert counting.step < 80  # texts were cut into parts
         names = {w: phrases.word_hash(w) for w in set(words)}
         expected = Counter(tuple(names[w] for w in doc[i:i + length]) for doc in docs for i in range(len(doc) - length + 1))
         assert merged == Counter({p: n for p, n in expected.items() if n >= 3})
@@ -109,16 +110,23 @@ def test_trie_bursts_and_writes_whole_subtrees(monkeypatch):
 
 def test_trie_counts_as_a_dict():
     r = np.random.default_rng(0)
-    trie, expected = phrases.HatTrie(5), Counter()
-    for _ in range(50):
-        runs, counts = np.unique(r.integers(1, 9, (200, 4)), axis=0, return_counts=True)
-        trie.add(runs, counts)
-        expected.update(dict(zip(map(tuple, runs.tolist()), counts.tolist())))
-    assert trie.size == len(expected)
-    taken = trie.take(1000)
-    assert trie.size <= 1000
-    got = Counter({p + s: n for p, entries in taken + trie.take(-1) for s, n in entries.items()})
-    assert got == expected and trie.size == 0
+    for length in (2, 3, 4):
+        trie, expected = phrases.HatTrie(length, 5), Counter()
+        for _ in range(50):
+            ids = r.integers(1, 9, 300)
+            runs, counts = np.unique(phrases.packed_ids(ids, np.arange(300 - length + 1), length), return_counts=True)
+            trie.add(runs, counts)
+            expected.update(tuple(ids[i:i + length].tolist()) for i in range(300 - length + 1))
+        assert trie.size == len(expected)
+        taken = trie.take(100)
+        assert trie.size <= 100
+        left = trie.take(-1)
+        names = np.arange(10).astype(np.uint64)
+        got = Counter()
+        for runs, counts in (taken, left):
+            for row, n in zip(*phrases._sorted_run(runs, counts, length, names)):
+                got[tuple(row.tolist())] += int(n)
+        assert got == expected and trie.size == 0
 
 
 def test_filter_has_all_its_keys_and_few_others(spark):
