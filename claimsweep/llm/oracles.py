@@ -140,13 +140,16 @@ from own left join base_sum b using (doc_id) left join added a using (doc_id)"""
 
 def top_k(k: int = 20, every: int = 20, scale: int = 64) -> str:
     return f"""
-with ints as (
+with good as (
   select vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ints as (
+  select row_number() over (order by vec_id, v) as r, * from good
+  where len(v) = (select len(v) from good group by len(v) order by count(*) desc, len(v) desc limit 1)),
 pairs as (
-  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score
-  from ints q join ints c on q.vec_id % {every} = 0 and q.vec_id <> c.vec_id),
-ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+  select q.r, q.vec_id as query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint as score
+  from ints q join ints c on q.vec_id % {every} = 0 and q.r <> c.r),
+ranked as (select *, row_number() over (partition by r order by score desc, vec_id) as rank from pairs)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= {k}"""
 
 

@@ -1,8 +1,10 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Each component is kept as the number of a cell between its smallest and largest value over all vectors.
-From cells alone a query bounds every candidate's score; candidates are then read exactly in the order
-of their upper bounds, until the k-th best exact score is above every bound that is left.
+Each component is kept as the number of a cell between its smallest and largest value over all vectors; a file of
+these cells is all that the scan moves and reads. From cells alone a query bounds every candidate's score. Candidates
+whose upper bound is below the k-th best lower bound over the whole table are out. The exact vectors of the others are
+then fetched in the order of their upper bounds: the first ones of each query, and of the rest those whose bound still
+reaches the k-th best exact score of these.
 """
 
 from __future__ import annotations
@@ -17,47 +19,72 @@ from .common import ship
 
 #: Cells of a component: 4 bits.
 CELLS = 16
-#: Rows of a block of candidates, and of queries: what a task holds at once.
-CANDIDATES, QUERIES = 8192, 1024
-#: Exact vectors read at a time.
-READ = 64
+#: Rows of a block of candidates (as cells) and of queries, and candidates that a task unpacks at a time.
+CANDIDATES, QUERIES, SLICE = 1 << 16, 1024, 8192
+#: Exact vectors that are read first, times k.
+READ = 2
+#: Shares into which copies of one vector are dealt.
+SHARES = 64
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+RESULT = "query_id long, rank int, vec_id long, score long"
 
 
 def integers(vector: Column, scale: int = 64) -> Column:
     """floor(scale * x) of each component; null where the vector, or a component, is null or not finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.when(vector.isNotNull() & ~F.coalesce(bad, F.lit(True)),
-                  F.transform(vector, lambda x: F.floor(scale * x.cast("double"))))
-
-
-def _best_of(query: np.ndarray, cells_mid: np.ndarray, cells_half: np.ndarray, exact: np.ndarray, ids: np.ndarray,
-             own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(rows, scores, vectors read) of the k best of a block for one query; ``own`` is its place there or -1."""
-    middle, half = cells_mid, cells_half
-    low, high = middle - half, middle + half
-    if own >= 0:
-        low, high = low.copy(), high.copy()
-        low[own] = high[own] = -np.inf
-    wanted = min(k, len(ids) - (own >= 0))
-    if wanted <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    sure = np.partition(low, len(low) - wanted)[len(low) - wanted]  # so many candidates score this at least
-    rows = np.nonzero(high >= max(sure, np.finfo(float).min))[0]
-    rows = rows[np.lexsort((ids[rows], -high[rows]))]
-    seen_rows, seen, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-    while at < len(rows):
-        if len(seen) >= wanted and high[rows[at]] < np.partition(seen, len(seen) - wanted)[len(seen) - wanted]:
-            break  # nothing left can reach the k-th score; equal bounds are still read, ids break ties
-        part = rows[at:at + READ]
-        seen_rows = np.concatenate([seen_rows, part])
-        seen = np.concatenate([seen, exact[part] @ query])
-        at += len(part)
-    order = np.lexsort((ids[seen_rows], -seen))[:wanted]
-    return seen_rows[order], seen[order], at
-
-
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, np.int64) for v in column])
+                  F.transform(vector, lambda x: F.floor(F.greatest(F.least(scale * x.cast("double"), F.lit(9.2e18)), F.lit(-9.2e18)))))
+
+
+class Cells:
+    """Marks of the cells of each component, and the cells of vectors, two to a byte."""
+
+    def __init__(self, low: list[int], high: list[int], cells: int):
+        self.cells, self.size = cells, len(low)
+        self.low, self.high = np.array(low, np.float64), np.array(high, np.float64)
+        self.width = (self.high - self.low + 1) / cells
+        # how far a bound computed in double precision may be off, for each unit of a query's largest component
+        reach = np.maximum(np.abs(self.low), np.abs(self.high)).sum() if low else 0.0
+        self.exact = reach * max(map(abs, [0, *low, *high])) < 2.0 ** 52
+        self.slack = 0.0 if self.exact else reach * 2.0 ** -44
+
+    def pack(self, vectors: np.ndarray) -> list[bytes]:
+        code = np.clip((vectors - self.low) // self.width, 0, self.cells - 1).astype(np.uint8)
+        if self.size % 2:
+            code = np.column_stack([code, np.zeros(len(code), np.uint8)])
+        return [row.tobytes() for row in code[:, ::2] << 4 | code[:, 1::2]]
+
+    def unpack(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(middle, half) of the values that the vectors' components lie between."""
+        both = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
+        code = np.empty((len(packed), 2 * both.shape[1]), np.float64)
+        code[:, ::2], code[:, 1::2] = both >> 4, both & 15
+        code = code[:, :self.size]
+        low, high = self.low + code * self.width, self.low + (code + 1) * self.width
+        if self.exact:  # a cell holds the whole numbers from its lower to below its upper mark
+            low, high = np.ceil(low), np.ceil(high) - 1
+        return (low + high) / 2, (high - low) / 2
+
+    def bounds(self, queries: np.ndarray, middle: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lower, upper) bounds of the products of each query with each vector."""
+        about, off = queries @ middle.T, np.abs(queries) @ half.T
+        off += self.slack * np.abs(queries).max(axis=1, initial=0.0)[:, None]
+        return np.clip(about - off, LEAST, MOST), np.clip(about + off, LEAST, MOST)
+
+
+def _kth(values: np.ndarray, k: int) -> float:
+    """The k-th largest value; less than all if there are fewer."""
+    return float(np.partition(values, len(values) - k)[len(values) - k]) if len(values) >= k else -np.inf
+
+
+def products(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Exact inner products; those beyond a long are its ends."""
+    a, b = np.stack([np.zeros(0, np.int64), *left][1:]), np.stack([np.zeros(0, np.int64), *right][1:])
+    top = max(1, a.shape[1]) * float(np.abs(a.astype(float)).max(initial=0)) * float(np.abs(b.astype(float)).max(initial=0))
+    if top < 2.0 ** 62:
+        return pd.Series(np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64)))
+    return pd.Series([min(max(sum(x * y for x, y in zip(u, v)), LEAST), MOST) for u, v in zip(a.tolist(), b.tolist())], dtype="int64")
 
 
 def top_k(vectors: DataFrame, k: int = 20, is_query: Column | None = None, id_col: str = "vec_id",
@@ -65,11 +92,11 @@ def top_k(vectors: DataFrame, k: int = 20, is_query: Column | None = None, id_co
           queries: int = QUERIES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k highest inner products over all other rows.
 
-    Scores are exact inner products of floor(scale * x); ties go to the smaller id; fewer than k
-    candidates give fewer rows. Vectors that are null or hold null or non-finite components take no
-    part, nor do rows without an id. All vectors need one length, or the job fails; components must keep
-    every score within 53 bits, else it fails too. Repeated ids are candidates each, but not for a query
-    of the same id; of rows that ask with one id, the one of the smallest components asks. No rows give no rows; other columns are ignored.
+    Scores are exact inner products of floor(scale * x); ties go to the smaller id; fewer than k candidates give
+    fewer rows. Vectors that are null or hold null or non-finite components take no part, nor do rows without an id,
+    nor vectors of another length than most (of equally frequent lengths the longest). Every row that asks is a query of
+    its own, and only that row is no candidate of it: rows of a repeated id ask and are found one by one. Components beyond a
+    long are taken as its ends, scores too. No rows give no rows; other columns are ignored.
 
     Queries (default: ids divisible by 20) and candidates are dealt into blocks of bounded size, and each
     pair of blocks is one task's group: what a task holds does not grow with the table.
@@ -78,67 +105,90 @@ def top_k(vectors: DataFrame, k: int = 20, is_query: Column | None = None, id_co
     ship(spark)
     own = vectors.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"),
                          (F.col(id_col) % 20 == 0 if is_query is None else is_query).alias("asks"))
-    own = own.where("v is not null and id is not null")
-    own = stage(own.withColumn("asks", F.coalesce("asks", F.lit(False))), "topk-vectors")
-    n, n_asking, shortest, longest, largest = own.agg(
-        F.count("*"), F.count_if("asks"), F.min(F.size("v")), F.max(F.size("v")),
-        F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
-    if n and shortest != longest:
-        raise ValueError(f"vectors of {shortest} and of {longest} components")
-    if n and longest and longest * float(largest) ** 2 >= 2 ** 53:
-        raise ValueError("components too large for exact scores")
+    own = own.where("v is not null and id is not null").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    # one number for each row, given once in a table that is written once
+    own = stage(own.withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
+    length = own.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
+    if length is None:
+        return spark.createDataFrame([], RESULT)
+    own = own.where(F.size("v") == length["d"])
     # marks of the cells: smallest and largest value of each component, two numbers each
     ends = own.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("a"), F.max("x").alias("b"))
     ends = {r["d"]: (r["a"], r["b"]) for r in ends.collect()}
-    start = np.array([ends[d][0] for d in range(len(ends))], np.float64)
-    width = np.array([(ends[d][1] - ends[d][0] + 1) / cells for d in range(len(ends))], np.float64)
+    marks = Cells([ends[d][0] for d in range(len(ends))], [ends[d][1] for d in range(len(ends))], cells)
 
-    n_c, n_q = max(1, -(-n // candidates)), max(1, -(-n_asking // queries))
+    # of copies of one vector only those with the smallest ids can be found, and one more for a query among them
+    share = F.pmod(F.xxhash64("row"), F.lit(SHARES))
+    few = own.withColumn("n", F.row_number().over(Window.partitionBy("v", share).orderBy("id", "row"))).where(F.col("n") <= k + 1)
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id", "row"))).where(F.col("n") <= k + 1)
 
-    def cell_file(batches):
+    def packed(batches):
         for batch in batches:
             if len(batch):
-                v = _matrix(batch["v"])
-                code = np.clip((v - start) // width if v.shape[1] else v, 0, cells - 1).astype(np.uint8)
-                batch["cells"] = [c.tobytes() for c in code]
-                yield batch[["id", "asks", "cells", "v"]]
-
-    file = stage(own.mapInPandas(cell_file, "id long, asks boolean, cells binary, v array<bigint>"), "topk-cells")
-    block = F.pmod(F.xxhash64("id"), F.lit(n_c)).cast("int")
-    ask_block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_q)).cast("int")
-    everyone = file.select("id", "cells", "v", block.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q"))
-    one_each = file.where("asks").groupBy("id").agg(F.min("v").alias("v"))
-    asking = one_each.select("id", "v", ask_block.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("c"))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "score": []}
+                v = np.stack([np.asarray(x, np.int64) for x in batch["v"]])
+                yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "cells": marks.pack(v)})
+
+    file = stage(few.select("row", "id", "v").mapInPandas(packed, "row long, id long, cells binary"), "topk-cells")
+    asking = own.where("asks").select("row", "v")
+    n, n_asking = file.count(), asking.count()
+    n_c, n_q = max(1, -(-n // candidates)), max(1, -(-n_asking // queries))
+
+    def dealt(name: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64("row", F.lit(name)), F.lit(blocks)).cast("int").alias(name)
+
+    def every(name: str, blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias(name)
+
+    def bounded(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """For each query: the candidates of the block that could be among its first k, with their bounds."""
+        out = {"query": [], "rows": [], "ids": [], "lows": [], "highs": []}
         if len(left) and len(right):
-            ids, exact = right["id"].to_numpy(), _matrix(right["v"])
-            code = np.frombuffer(b"".join(right["cells"]), np.uint8).reshape(len(ids), -1)
-            # a cell holds the whole numbers from its lower to below its upper mark
-            low, high = start + code * width, start + (code + 1) * width
-            low, high = np.ceil(low), np.ceil(high) - 1
-            middle, half = (low + high) / 2, (high - low) / 2
-            asked, q_ids = _matrix(left["v"]), left["id"].to_numpy()
-            for at in range(0, len(asked), 128):  # a few MB of bounds at a time
-                q = asked[at:at + 128].astype(np.float64)
-                mids, halves = q @ middle.T, np.abs(q) @ half.T
-                for i in range(len(q)):
-                    same = np.nonzero(ids == q_ids[at + i])[0]
-                    mine, exacts, names, m, h = -1, exact, ids, mids[i], halves[i]
-                    if len(same) == 1:
-                        mine = int(same[0])
-                    elif len(same) > 1:
-                        keep = np.nonzero(ids != q_ids[at + i])[0]
-                        exacts, names, m, h = exact[keep], ids[keep], m[keep], h[keep]
-                    rows, scores, _ = _best_of(asked[at + i], m, h, exacts, names, mine, k)
-                    out["query_id"].append(np.full(len(rows), q_ids[at + i]))
-                    out["vec_id"].append(names[rows])
-                    out["score"].append(scores)
-        return pd.DataFrame({c: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for c, x in out.items()})
-
-    found = asking.groupBy("q", "c").cogroup(everyone.groupBy("q", "c")).applyInPandas(
-        search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+            asked = np.stack([np.asarray(x, np.float64) for x in left["v"]])
+            mine, rows, ids = left["row"].to_numpy(), right["row"].to_numpy(), right["id"].to_numpy()
+            held: list[list[tuple]] = [[] for _ in mine]
+            for at in range(0, len(rows), SLICE):
+                middle, half = marks.unpack(right["cells"].iloc[at:at + SLICE].tolist())
+                some, names = rows[at:at + SLICE], ids[at:at + SLICE]
+                for first in range(0, len(mine), 128):  # a few MB of bounds at a time
+                    low, high = marks.bounds(asked[first:first + 128], middle, half)
+                    for i in range(len(low)):
+                        other = some != mine[first + i]
+                        lows = np.where(other, low[i], -np.inf)
+                        sure = _kth(np.concatenate([lows, *[h[2] for h in held[first + i]]]), k)
+                        keep = other & (high[i] >= sure)
+                        held[first + i].append((some[keep], names[keep], low[i][keep], high[i][keep]))
+            for q, parts in zip(mine.tolist(), held):
+                columns = [np.concatenate(x) for x in zip(*parts)]
+                keep = columns[3] >= _kth(columns[2], k)
+                out["query"].append(q)
+                for name, x in zip(("rows", "ids", "lows", "highs"), columns):
+                    out[name].append(x[keep].tobytes())
+        return pd.DataFrame(out)
+
+    met = asking.select("row", "v", dealt("q", n_q), every("c", n_c)).groupBy("q", "c").cogroup(
+        file.select("row", "id", "cells", dealt("c", n_c), every("q", n_q)).groupBy("q", "c")).applyInPandas(
+        bounded, "query long, rows binary, ids binary, lows binary, highs binary")
+
+    def left_over(group: pd.DataFrame) -> pd.DataFrame:
+        """A query's candidates after the threshold over all blocks, in the order in which they are read."""
+        rows, ids = (np.concatenate([np.frombuffer(x, np.int64) for x in group[c]]) for c in ("rows", "ids"))
+        lows, highs = (np.concatenate([np.frombuffer(x, np.float64) for x in group[c]]) for c in ("lows", "highs"))
+        keep = np.nonzero(highs >= _kth(lows, k))[0]
+        keep = keep[np.lexsort((ids[keep], -highs[keep]))]
+        return pd.DataFrame({"query": group["query"].iloc[0], "row": rows[keep], "high": highs[keep], "place": np.arange(len(keep))})
+
+    able = stage(met.groupBy("query").applyInPandas(left_over, "query long, row long, high double, place long"), "topk-able")
+    asked = own.where("asks").select(F.col("row").alias("query"), F.col("id").alias("query_id"), F.col("v").alias("q"))
+    product = F.pandas_udf(products, "long")
+
+    def read(some: DataFrame) -> DataFrame:
+        """Exact scores: only here are vectors of candidates fetched."""
+        pairs = some.join(own.select("row", F.col("id").alias("vec_id"), "v"), "row").join(asked, "query")
+        return pairs.select("query", "query_id", "vec_id", "row", product("q", "v").alias("score"))
+
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
+    first = stage(read(able.where(F.col("place") < READ * k).select("query", "row")), "topk-first")
+    certain = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query", F.col("score").alias("certain"))
+    rest = able.where(F.col("place") >= READ * k).join(certain, "query").where(F.col("high") >= F.col("certain"))
+    found = first.union(read(rest.select("query", "row")))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
