@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from ..staging import stage
 from .common import ship
 
-#: Cells of a component: 4 bits.
-CELLS = 16
+#: Cells of a component, 256 at most: with 32 about one vector in 60 is left after the scan of unstructured vectors, with 16
+#: one in four.
+CELLS = 32
 #: Rows of a block of candidates (as cells) and of queries, and candidates that a task unpacks at a time.
 CANDIDATES, QUERIES, SLICE = 1 << 16, 1024, 8192
 #: Exact vectors that are read first, times k.
@@ -38,7 +39,7 @@ def integers(vector: Column, scale: int = 64) -> Column:
 
 
 class Cells:
-    """Marks of the cells of each component, and the cells of vectors, two to a byte."""
+    """Marks of the cells of each component, and the cells of vectors, a byte each."""
 
     def __init__(self, low: list[int], high: list[int], cells: int):
         self.cells, self.size = cells, len(low)
@@ -51,16 +52,11 @@ class Cells:
 
     def pack(self, vectors: np.ndarray) -> list[bytes]:
         code = np.clip((vectors - self.low) // self.width, 0, self.cells - 1).astype(np.uint8)
-        if self.size % 2:
-            code = np.column_stack([code, np.zeros(len(code), np.uint8)])
-        return [row.tobytes() for row in code[:, ::2] << 4 | code[:, 1::2]]
+        return [row.tobytes() for row in code]
 
     def unpack(self, packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(middle, half) of the values that the vectors' components lie between."""
-        both = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-        code = np.empty((len(packed), 2 * both.shape[1]), np.float64)
-        code[:, ::2], code[:, 1::2] = both >> 4, both & 15
-        code = code[:, :self.size]
+        code = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), self.size).astype(np.float64)
         low, high = self.low + code * self.width, self.low + (code + 1) * self.width
         if self.exact:  # a cell holds the whole numbers from its lower to below its upper mark
             low, high = np.ceil(low), np.ceil(high) - 1
