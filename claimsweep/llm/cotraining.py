@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .common import ship
-from .toxicity import calibrate, held_out, sample
+from .toxicity import calibrate, held_out, labels_or_none, one_each, sample
 from .vocab import Cache
 
 #: Hashed features of each view; the text view has shape features beside them.
@@ -21,10 +22,12 @@ TEXT_SIZE, META_SIZE = 4096, 512
 SIGNS = "#*$%&|<>!?.,;:{}=_@/\\\"'"
 UPPER, DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
 SHAPES = len(SIGNS) + 6
-#: Bounds of what is fitted on: labelled rows of each label, rows of the unlabelled pool, bytes of each.
-LABELLED_ROWS, POOL_ROWS, SAMPLE_BYTES = 1500, 2000, 64 << 20
+#: Bounds of the labelled sample: rows of each label, bytes of their texts (and of the texts handed over in a round).
+LABELLED_ROWS, SAMPLE_BYTES = 1500, 64 << 20
 #: Rounds of the exchange, rows that a view may hand over in one, and how sure it has to be.
-ROUNDS, HANDED, SURE = 5, 200, 0.97
+ROUNDS, HANDED, SURE = 3, 200, 0.97
+#: The views, their penalties, the columns of the metadata view, and shares into which a source's rows are dealt.
+VIEWS, PENALTIES, META, SPREAD = ("text", "meta"), (1e-4, 1e-3), ("lang", "source", "n_chars"), 64
 CACHED = 300_000
 
 
@@ -102,75 +105,136 @@ class Model:
         return 0.5 * np.tanh(0.5 * (text + meta - self.prior)) + 0.5
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
-             share: float, rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> Model:
-    """Two views over labelled rows and a pool. A fifth of the labelled rows is kept for calibration only."""
+def balance(labels: np.ndarray, share: float) -> np.ndarray:
+    """Weights under which label 1 has its share."""
+    return np.where(labels > 0, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))
+
+
+def fit_view(x: np.ndarray, y: np.ndarray, apart: np.ndarray, taught: np.ndarray, taught_labels: np.ndarray, share: float,
+             penalty: float) -> View:
+    """A view from labelled rows and rows that the other view has labelled; ``apart`` are kept for calibration only."""
+    test = apart if apart.any() else ~apart
+    labels = np.concatenate([y[~apart], taught_labels])
+    view = View(logistic(np.vstack([x[~apart], taught]), labels, balance(labels, share), penalty))
+    view.scale, view.shift = calibrate(x[test] @ view.weights[:-1] + view.weights[-1], y[test], balance(y[test], share))
+    return view
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, share: float, hand_over, rounds: int = ROUNDS) -> Model:
+    """Two views that teach each other. A fifth of the labelled rows is kept for calibration only.
+
+    ``hand_over(model)`` looks at all unlabelled rows with the current views and says for each view which rows the
+    other one now teaches it: (features, labels), those of earlier rounds among them, or None if nothing is new.
+    """
     apart = np.arange(len(y)) % 5 == 0
     if len(set(y[apart])) < 2 or len(set(y[~apart])) < 2:
         apart = np.zeros(len(y), bool)
-    test = apart if apart.any() else ~apart
     prior = math.log(share / (1 - share))
-
-    def balance(labels):
-        return np.where(labels > 0, share / max(labels.mean(), 1e-9), (1 - share) / max(1 - labels.mean(), 1e-9))
-
-    views = [(text, pool_text, 1e-4), (meta, pool_meta, 1e-3)]
-    taught: list[dict[int, float]] = [{}, {}]  # rows of the pool with the label that the other view gave
-    fitted: list[View] = []
+    taught = [(np.zeros((0, x.shape[1]), np.float32), np.zeros(0)) for x in (text, meta)]
     for turn in range(rounds + 1):
-        fitted = []
-        for (x, pool, penalty), extra in zip(views, taught):
-            rows = sorted(extra)
-            labels = np.concatenate([y[~apart], np.array([extra[i] for i in rows], y.dtype)])
-            view = View(logistic(np.vstack([x[~apart], pool[rows]]), labels, balance(labels), penalty))
-            view.scale, view.shift = calibrate(x[test] @ view.weights[:-1] + view.weights[-1], y[test], balance(y[test]))
-            fitted.append(view)
-        if turn == rounds or not len(pool_text):
+        views = [fit_view(x, y, apart, *extra, share, penalty) for x, extra, penalty in zip((text, meta), taught, PENALTIES)]
+        model = Model(*views, prior)
+        if turn == rounds:
             break
-        given = 0
-        for me, view in enumerate(fitted):
-            odds = view.log_odds(views[me][1])
-            other = taught[1 - me]
-            for label, sign, part in ((1.0, -1, share), (0.0, 1, 1 - share)):
-                order = [i for i in np.argsort(sign * odds, kind="stable") if i not in other]
-                limit = math.log(sure / (1 - sure))
-                picked = [i for i in order[:max(1, round(handed * part))] if -sign * odds[i] >= limit]
-                other.update((int(i), label) for i in picked)
-                given += len(picked)
-        if not given:
+        more = hand_over(model)
+        if more is None:
             break
-    return Model(fitted[0], fitted[1], prior)
+        taught = more
+    return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = LABELLED_ROWS, pool: int = POOL_ROWS,
-        n_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """Learns from bounded samples of labelled rows that are not held out and of unlabelled rows."""
-    columns = ("lang", "source", "n_chars")
-    found, share = sample(docs, labels, target, rows, n_bytes, extra=columns)
-    if len({r["y"] for r in found}) < 2:
-        return None
-    known = labels.where("doc_id is not null").select(F.col("doc_id").alias("known_id"))
-    free = docs.select("doc_id").where("doc_id is not null").join(known, F.col("doc_id") == F.col("known_id"), "left_anti")
-    free = free.distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(pool).select(F.col("doc_id").alias("picked_id"))
-    others, size = [], 0
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *columns)
-    # ``pool`` ids: bounded by the parameter
-    for r in own.join(F.broadcast(free), F.col("doc_id") == F.col("picked_id")).dropDuplicates(["doc_id"]).orderBy(
-            F.md5(F.col("doc_id").cast("string")), "doc_id").toLocalIterator():
-        size += len(r["text"].encode())
-        if size > n_bytes:
-            break
-        others.append(r)
+def features(rows) -> tuple[np.ndarray, np.ndarray]:
+    if not rows:
+        return np.zeros((0, TEXT_SIZE + SHAPES), np.float32), np.zeros((0, META_SIZE), np.float32)
+    return (np.stack([text_features(r["text"]) for r in rows]),
+            np.stack([meta_features(r["lang"], r["source"], r["n_chars"]) for r in rows]))
 
-    def both(some):
-        if not some:
-            return np.zeros((0, TEXT_SIZE + SHAPES), np.float32), np.zeros((0, META_SIZE), np.float32)
-        return (np.stack([text_features(r["text"]) for r in some]),
-                np.stack([meta_features(r["lang"], r["source"], r["n_chars"]) for r in some]))
 
-    text, meta = both(found)
-    pool_text, pool_meta = both(others)
-    return co_train(text, meta, np.array([r["y"] for r in found], np.float64), pool_text, pool_meta, share)
+def odds_of(sent):
+    """A column function ``(text, lang, source, n_chars) -> struct<text, meta>`` with both views' log odds."""
+
+    @F.pandas_udf("text double, meta double")
+    def both(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
+        m, t, s = sent.value, np.empty(len(text)), np.empty(len(text))
+        for i, (a, b, c, d) in enumerate(zip(text, lang, source, n_chars)):
+            t[i] = m.text.log_odds(text_features(a))
+            s[i] = m.meta.log_odds(meta_features(b, c, None if pd.isna(d) else int(d)))
+        return pd.DataFrame({"text": t, "meta": s})
+
+    return both
+
+
+def most_confident(odds: DataFrame, share: float, handed: int, sure: float) -> DataFrame:
+    """``(view, label, source, row, odds)``: what each view hands over from ``odds(row, source, text, meta)``.
+
+    Of each label and source the rows that a view is most sure of: of all rows that it is sure of by ``sure`` or more,
+    each label hands over ``handed`` by the labels' shares, and each source a part of these by its number of
+    such rows, one at least. Ties go to the smaller row. Ranks are cut in shares of a source before they meet.
+    """
+    limit = math.log(sure / (1 - sure))
+    sides = [(view, label, sign, max(1, round(handed * part))) for view in VIEWS
+             for label, sign, part in ((1, 1.0, share), (0, -1.0, 1 - share))]
+    each = odds.select("row", "source", F.explode(F.array(*[F.struct(
+        F.lit(view).alias("view"), F.lit(label).alias("label"), F.lit(n).alias("wanted"), (sign * F.col(view)).alias("odds"))
+        for view, label, sign, n in sides])).alias("s")).select("row", "source", "s.*").where(F.col("odds") >= limit)
+    sizes = each.groupBy("view", "label", "source").agg(F.count("*").alias("n"))
+    total = Window.partitionBy("view", "label")
+    sizes = sizes.withColumn("all", F.sum("n").over(total))
+    key = ["view", "label", "source"]
+    order = [F.desc("odds"), "row"]
+    share_of = F.pmod(F.xxhash64("row"), F.lit(SPREAD))
+    first = each.withColumn("place", F.row_number().over(Window.partitionBy(*key, share_of).orderBy(*order))).where("place <= wanted")
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("place <= wanted")
+    sized = sizes.select(*[F.col(c).alias(f"of_{c}") for c in key], "n", "all")
+    met = first.join(sized, (F.col("view") == F.col("of_view")) & (F.col("label") == F.col("of_label")) & F.col("source").eqNullSafe(F.col("of_source")))
+    part = F.greatest(F.lit(1), F.round(F.col("wanted") * F.col("n") / F.col("all")))
+    return met.where(F.col("place") <= part).select(*key, "row", "odds")
+
+
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = LABELLED_ROWS, n_bytes: int = SAMPLE_BYTES,
+        rounds: int = ROUNDS, handed: int = HANDED, sure: float = SURE) -> Model | None:
+    """Learns from a bounded sample of labelled rows that are not held out, and from all rows without a label.
+
+    In each round both views score every unlabelled row, on the workers; what each is most sure of, in all sources,
+    goes over to the other one. The rows handed over are bounded by ``handed`` and the number of sources (a source
+    hands over one at least, up to ``handed`` sources by their most confident row).
+    """
+    spark = docs.sparkSession
+    found, share = sample(docs, labels, target, rows, n_bytes, extra=META)
+    if not labels_or_none(found, labels, target, "none"):
+        return None
+    text, meta = features(found)
+    known = labels.where("doc_id is not null").select(F.col("doc_id").alias("known_id"))
+    free = one_each(docs, "doc_id", "text", META).join(known, F.col("doc_id") == F.col("known_id"), "left_anti")
+    free = stage(free.withColumnRenamed("doc_id", "row"), "cotraining-pool")
+    kept: dict[str, dict] = {view: {} for view in VIEWS}  # row -> (label, record) that a view was taught
+
+    def hand_over(model: Model):
+        sent = spark.sparkContext.broadcast(model)
+        odds = free.select("row", "source", odds_of(sent)("text", "lang", "source", "n_chars").alias("o")).select("row", "source", "o.*")
+        picked = most_confident(stage(odds, "cotraining-odds"), share, handed, sure)
+        few = picked.orderBy(F.desc("odds"), "row").limit(4 * len(VIEWS) * handed)  # bounded, however many sources there are
+        own = few.join(free.drop("source"), "row").select("view", "label", "row", "source", "text", "lang", "n_chars")
+        new, size = 0, 0
+        for r in own.orderBy("view", F.desc("label"), F.md5(F.col("row").cast("string")), "row").toLocalIterator():
+            taught = kept[VIEWS[1 - VIEWS.index(r["view"])]]
+            size += len(r["text"].encode())
+            if r["row"] not in taught and size <= n_bytes:
+                taught[r["row"]] = (float(r["label"]), r["row"], features([r]))
+                new += 1
+            elif r["row"] not in taught:
+                size -= len(r["text"].encode())  # passed over: it does not fit
+        sent.destroy()
+        if not new:
+            return None
+        out = []
+        for i, view in enumerate(VIEWS):
+            given = [kept[view][row] for row in sorted(kept[view])]
+            width = (TEXT_SIZE + SHAPES, META_SIZE)[i]
+            out.append((np.vstack([np.zeros((0, width), np.float32), *[f[i] for _, _, f in given]]), np.array([y for y, _, _ in given], float)))
+        return out
+
+    return co_train(text, meta, np.array([r["y"] for r in found], np.float64), share, hand_over, rounds)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, target: str = "quality") -> DataFrame:
@@ -178,7 +242,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, target: str = "quality")
 
     Scores are chances of label 1 from 0 to 1; a row is kept from 0.5 on. Metadata are lang, source and
     n_chars; nulls are values of their own. Null and empty texts have no words. Repeated rows, unknown or
-    repeated labels and null labels do no harm; without both labels every score is 0.5 and all is kept.
+    repeated labels and null labels do no harm; of a repeated id the least row is learnt from; without both labels
+    every score is 0.5 and all is kept. Texts of any length are read whole; equal rows score alike. Rows without
+    an id are scored, but neither teach nor are taught.
     """
     ship(docs.sparkSession)
     model = fit(docs, labels, target)
@@ -189,14 +255,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, target: str = "quality")
                           F.lit(1).alias("predicted"), F.lit(True).alias("kept"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("text_score double, meta_score double, score double")
-    def score(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        m, t, s = sent.value, np.empty(len(text)), np.empty(len(text))
-        for i, (a, b, c, d) in enumerate(zip(text, lang, source, n_chars)):
-            t[i] = m.text.log_odds(text_features(a))
-            s[i] = m.meta.log_odds(meta_features(b, c, None if pd.isna(d) else int(d)))
-        chance = [0.5 * np.tanh(0.5 * x) + 0.5 for x in (t, s)]
-        return pd.DataFrame({"text_score": chance[0], "meta_score": chance[1], "score": m.combine(t, s)})
-
-    out = own.select("doc_id", "held_out", score("text", "lang", "source", "n_chars").alias("s")).select("doc_id", "held_out", "s.*")
+    chance = lambda odds: 1 / (1 + F.exp(-odds))
+    odds = own.select("doc_id", "held_out", odds_of(sent)("text", "lang", "source", "n_chars").alias("o"))
+    out = odds.select("doc_id", "held_out", chance(F.col("o.text")).alias("text_score"), chance(F.col("o.meta")).alias("meta_score"),
+                      chance(F.col("o.text") + F.col("o.meta") - F.lit(model.prior)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumn("kept", F.col("score") >= 0.5)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..staging import stage
 from .common import fresh, ship
 from .vocab import held
 
@@ -305,14 +306,26 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def one_each(docs: DataFrame, id_col: str, text_col: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each id: the one with the least text (then the least further columns). Null ids take no part."""
+    own = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
+    least = own.groupBy("doc_id").agg(F.min(F.struct("text", *extra)).alias("r"))
+    return least.select("doc_id", "r.*")
+
+
 def sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, n_bytes: int, id_col: str = "doc_id",
            text_col: str = "text", extra: tuple[str, ...] = ()) -> tuple[list, float]:
-    """(rows of the labelled sample, share of label 1 among all labels that may be learnt from).
+    """(rows of the labelled sample, share of label 1 among all labels of the table that may be learnt from).
 
-    Up to ``rows`` of each label, in the order of a hash of the id, until their texts fill ``n_bytes``.
+    Labels are met with the table's ids first. Up to ``rows`` of each label are taken, in the order of a hash of the
+    id. A text that does not fit into what is left of ``n_bytes`` is passed over, those after it are not; the first
+    text of a label is taken in any case. A repeated id counts once, with its least text.
     """
     known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(target).alias("y"))
+    there = docs.select(F.col(id_col).alias("there")).where("there is not null").distinct()
+    known = stage(known.join(there, F.col("doc_id") == F.col("there"), "left_semi"), "labels-known")
     n, ones = known.agg(F.count("*"), F.sum("y")).first()
     if not n or not ones or ones == n:
         return [], float(ones or 0) / max(n, 1)
@@ -320,23 +333,37 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, n_bytes:
     for y in (0, 1):
         side = known.where(F.col("y") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(rows)
         picked = side if picked is None else picked.union(side)
-    picked = picked.select(F.col("doc_id").alias("picked_id"), "y")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *extra)
     # 2 * rows ids: bounded by the parameter
-    found = own.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id")).drop("picked_id").dropDuplicates(["doc_id"])
-    out, size = [], 0
+    few = docs.join(F.broadcast(picked.select(F.col("doc_id").alias("picked_id"), "y")), F.col(id_col) == F.col("picked_id"))
+    found = one_each(few, id_col, text_col, ("y", *extra))
+    out, size, seen = [], 0, set()
     for r in found.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").toLocalIterator():
-        size += len(r["text"].encode())
-        if size > n_bytes and out:
-            break
-        out.append(r)
+        own = len(r["text"].encode())
+        if size + own <= n_bytes or r["y"] not in seen:
+            out.append(r)
+            size += own
+            seen.add(r["y"])
     return out, float(ones) / n
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, n_bytes: int = SAMPLE_BYTES, **columns) -> Network | None:
-    """The network learnt from a bounded labelled sample; None if one of the labels is missing."""
+class Unlearnable(ValueError):
+    """There are labels, but not both of them among the rows that may be learnt from."""
+
+
+def labels_or_none(found: list, labels: DataFrame, target: str, missing: str) -> bool:
+    """Whether ``found`` holds both labels. Without any label nothing can be said; with one only, that is an error to see."""
+    if len({r["y"] for r in found}) == 2:
+        return True
+    n = labels.where(F.col(target).isin(0, 1)).count()
+    if n and missing == "raise":
+        raise Unlearnable(f"{n} labels, but not both values of {target} on rows that may be learnt from")
+    return False
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, n_bytes: int = SAMPLE_BYTES, missing: str = "none", **columns) -> Network | None:
+    """The network learnt from a bounded labelled sample; None without labels of both kinds, or an error if ``missing`` says so."""
     found, share = sample(docs, labels, "toxic", rows, n_bytes, **columns)
-    if len({r["y"] for r in found}) < 2:
+    if not labels_or_none(found, labels, "toxic", missing):
         return None
     return train([r["text"] for r in found], [r["y"] for r in found], share)
 
@@ -365,7 +392,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     Learns from labelled rows that are not held out. Null and empty texts score as a window without
     words; ids may be null or repeated; labels of unknown documents, null and repeated labels (the larger
-    counts) do no harm; other columns are ignored; without both labels every score is 0.
+    counts) do no harm; of a repeated id the least text is learnt from; other columns are ignored; without both
+    labels every score is 0. Texts of any length are scored whole, window by window; equal texts score alike.
     """
     network = fit(docs, labels, id_col=id_col, text_col=text_col)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -375,6 +403,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below 0.5, with all their columns."""
+    """The rows of ``docs`` that score below 0.5, with all their columns.
+
+    Without any label all rows stay. Labels that cannot be learnt from (one value only, or on no row of ``docs`` that is
+    not held out) are an error: a filter that lets all pass must not go unseen. An empty table stays empty.
+    """
     name = fresh(docs, "toxicity")
-    return with_score(docs, fit(docs, labels, id_col=id_col, text_col=text_col), name, text_col).where(F.col(name) < 0.5).drop(name)
+    network = fit(docs, labels, id_col=id_col, text_col=text_col, missing="none" if docs.isEmpty() else "raise")
+    return with_score(docs, network, name, text_col).where(F.col(name) < 0.5).drop(name)

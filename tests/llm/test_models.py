@@ -93,12 +93,102 @@ def test_views_teach_each_other():
     y = rng.integers(0, 2, 600).astype(float)
     sign = (2 * y - 1)[:, None]
     text, meta = sign + rng.normal(0, 1.0, (600, 3)), sign + rng.normal(0, 1.0, (600, 2))
-    model = cotraining.co_train(text[:30], meta[:30], y[:30], text[30:400], meta[30:400], 0.5, sure=0.8)
+    pool = (text[30:400], meta[30:400])
+    kept = [{}, {}]
+
+    def hand_over(model):
+        """What a view is sure of goes to the other one."""
+        for me, view in enumerate((model.text, model.meta)):
+            odds = view.log_odds(pool[me])
+            for i in np.argsort(-np.abs(odds))[:60]:
+                if abs(odds[i]) > 1.4:
+                    kept[1 - me].setdefault(int(i), float(odds[i] > 0))
+        return [(pool[me][list(kept[me])], np.array(list(kept[me].values()))) for me in (0, 1)]
+
+    model = cotraining.co_train(text[:30], meta[:30], y[:30], 0.5, hand_over)
     chance = model.combine(model.text.log_odds(text[400:]), model.meta.log_odds(meta[400:]))
     assert ((chance >= 0.5) == (y[400:] > 0)).mean() > 0.93
     assert chance.min() >= 0 and chance.max() <= 1
 
 
+def test_what_is_handed_over_against_the_definition(spark):
+    r = random.Random(4)
+    rows = [(i, r.choice(["a", "a", "a", "b", None]), r.gauss(0, 4), r.gauss(1, 3)) for i in range(900)] + [(5000 + i, "c", 4.0, 4.0) for i in range(40)]
+    share, handed, sure = 0.3, 50, 0.9
+    got = cotraining.most_confident(spark.createDataFrame(rows, "row long, source string, text double, meta double"), share, handed, sure)
+    limit = np.log(sure / (1 - sure))
+    expected = set()
+    for at, view in ((2, "text"), (3, "meta")):
+        for label, sign, part in ((1, 1, share), (0, -1, 1 - share)):
+            able = [x for x in rows if sign * x[at] >= limit]
+            for source in {x[1] for x in able}:
+                own = sorted((x for x in able if x[1] == source), key=lambda x: (-sign * x[at], x[0]))
+                n = max(1, int(np.floor(round(handed * part) * len(own) / len(able) + 0.5)))
+                expected |= {(view, label, source, x[0]) for x in own[:min(n, round(handed * part))]}
+    assert {(x["view"], x["label"], x["source"], x["row"]) for x in got.collect()} == expected
+
+
+def test_every_unlabelled_row_is_looked_at(spark, tmp_path):
+    """The rows that teach most come last by any order of ids, and a very long text stands first."""
+    r = random.Random(6)
+    words = lambda bad: " ".join(r.choice(["alpha", "beta", "gamma"]) + ("##" if bad else "") for _ in range(30))
+    rows = [(i, words(i % 2), "s0" if i % 2 else "s1") for i in range(5200)] + [(99999, "long " * 400000, "s1")]
+    docs = stored(spark, rows, tmp_path / "d")
+    labels = spark.createDataFrame([(i, 1 - i % 2, None) for i in range(0, 60)], "doc_id long, quality int, toxic int")
+    seen = []
+    pick = cotraining.most_confident
+
+    def counted(odds, *rest):
+        seen.append(odds.count())
+        return pick(odds, *rest)
+
+    cotraining.most_confident = counted
+    try:
+        model = cotraining.fit(docs, labels, n_bytes=1 << 20)
+    finally:
+        cotraining.most_confident = pick
+    assert seen and set(seen) == {5201 - 60} and model is not None
+
+
+def test_scores_against_a_plain_computation(spark, tmp_path):
+    """op5: both views' linear scores, calibrated and added up, from the definition."""
+    rows = [(i, t, "s1" if bad else "s2") for i, t, bad in corpus(200, 3)]
+    docs = stored(spark, rows, tmp_path / "d")
+    labels = spark.createDataFrame([(i, int(s == "s2"), None) for i, _, s in rows[:120]], "doc_id long, quality int, toxic int")
+    model = cotraining.fit(docs, labels)
+    got = {x["doc_id"]: x for x in cotraining.score_documents(docs, labels).collect()}
+    for i, text, source in rows:
+        odds = []
+        for view, x in ((model.text, cotraining.text_features(text)), (model.meta, cotraining.meta_features("en", source, len(text)))):
+            raw = sum(float(a) * float(b) for a, b in zip(x, view.weights[:-1])) + float(view.weights[-1])
+            odds.append(min(max(view.scale * raw + view.shift, -15), 15))
+        assert got[i]["score"] == pytest.approx(1 / (1 + np.exp(-(odds[0] + odds[1] - model.prior))), abs=1e-4)
+
+
+def test_samples_pass_over_what_does_not_fit_and_meet_the_table_first(spark, tmp_path):
+    rows = [(i, "x" * (400_000 if i % 7 == 0 else 10)) for i in range(70)] + [(3, "less"), (None, "no id")]
+    docs = stored(spark, rows, tmp_path / "d")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(None, 1, 1)], "doc_id long, toxic int, quality int")
+    found, share = toxicity.sample(docs, labels, "toxic", 1000, 500_000)
+    able = [i for i in range(70) if __import__("zlib").crc32(str(i).encode()) % 5]
+    assert len(found) >= sum(i % 7 != 0 for i in able) and {x["doc_id"] for x in found} <= set(able)
+    assert sum(len(x["text"]) for x in found) <= 500_000 + 400_000
+    assert [x["text"] for x in found if x["doc_id"] == 3] in (["less"], [])
+    assert share == pytest.approx(sum(i % 2 for i in able) / len(able))
+    few, _ = toxicity.sample(docs, labels, "toxic", 5, 1 << 20)
+    assert len(few) == 10  # labels of absent documents take no place
+
+
+def test_a_filter_that_cannot_learn_is_an_error(spark, tmp_path):
+    docs = stored(spark, awkward(), tmp_path / "d")
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert toxicity.keep_clean(docs, none).count() == docs.count()
+    with pytest.raises(toxicity.Unlearnable):
+        toxicity.keep_clean(docs, spark.createDataFrame([(777777, 1, 0), (777778, 0, 0)], none.schema))
+    empty = stored(spark, [], tmp_path / "e")
+    assert toxicity.keep_clean(empty, spark.createDataFrame([(1, 1, 0)], none.schema)).count() == 0
+
+
 def test_held_out_fold(spark):
     import zlib
 
