@@ -33,11 +33,54 @@ TEMPLATES = {
         "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
         "materials provided with the distribution.",
     ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+    ],
+    "boost": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        "accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, "
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties "
+        "to whom the Software is furnished to do so, all subject to the following.",
+    ],
+    "bsd-3": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
+    ],
     "cc-by": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Licensed under CC BY 4.0.",
+    ],
+    "cc-by-nc": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
     ],
+    "cc-by-nc-nd": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-NC-ND 4.0.",
+    ],
+    "cc-by-nc-sa": [
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-NC-SA 4.0.",
+    ],
+    "cc-by-nd": [
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
+    ],
+    "cc-by-sa": [
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-SA 4.0.",
+    ],
+    "cc0": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights "
+        "to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0",
+    ],
     "gpl": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
@@ -45,6 +88,16 @@ TEMPLATES = {
         "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
         "This work is licensed under the GNU General Public License, version 3.",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+    ],
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the Software), to deal in the Software without restriction, including without limitation "
@@ -54,6 +107,15 @@ TEMPLATES = {
         "the Software.",
         "Released under the MIT License.",
     ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ],
 }
 
 #: Words of a k-gram.
@@ -124,7 +186,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     label has: words that notices of several licenses begin with name none of them. score is the largest
     covered share, 1 where a phrase stands. spans: ``(doc_id, row, label, template, first_word, last_word, votes, cover)``.
     Null and empty texts have no words, labels '' and score 0; repeated rows are scanned alike; rows with
-    null ids stay; other columns are ignored; no rows give no rows.
+    null ids stay; other columns are ignored; no rows give no rows. Texts of any length are scanned whole, in time
+    that grows with their length. A label of a variant (cc-by-sa) does not bring the one of its base (cc-by) along.
 
     Diagonal voting: every k-gram of every text meets the templates' k-grams (a few hundred rows made of
     the parameter); a hit votes for its diagonal, the offset of text to template. Neighbouring
@@ -137,10 +200,14 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     own = with_row_id(docs, row).select(row, F.col(id_col).alias("doc_id"), license_words(F.col(text_col)).alias("words"))
     facts = own.select(row, "doc_id", F.size("words").cast("long").alias("n_words"), *_phrase_facts(F.col("words"), phrases))
 
-    known = F.broadcast(template_grams(docs.sparkSession, templates, k))
-    met = own.select(row, "doc_id", "words", F.posexplode(window_hashes(F.col("words"), k)).alias("place", "g")).join(
-        known, F.col("g") == F.col("gram"))
-    met = met.where(F.slice("words", F.col("place") + 1, k) == F.col("run"))
+    known = template_grams(docs.sparkSession, templates, k)
+    # the templates' hashes (some hundred, made of the parameter) stand in the plan: only k-grams that a template has leave a
+    # row, each with its own words, so work is linear in the length of a text
+    wanted = [r["gram"] for r in known.select("gram").distinct().collect()]
+    words = F.col("words")
+    places = F.filter(F.transform(window_hashes(words, k), lambda h, i: F.struct(i.alias("place"), h.alias("g"))), lambda x: x["g"].isin(wanted))
+    hits = F.transform(places, lambda x: F.struct(x["place"].alias("place"), x["g"].alias("g"), F.slice(words, x["place"] + 1, k).alias("own_run")))
+    met = own.select(row, "doc_id", F.inline(hits)).join(F.broadcast(known), F.col("g") == F.col("gram")).where(F.col("own_run") == F.col("run"))
     diagonal = F.col("place") - F.col("at")
     key = [row, "template"]
     lines = met.groupBy(*key, diagonal.alias("diagonal")).agg(

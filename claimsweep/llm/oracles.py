@@ -119,16 +119,39 @@ base as (
 base_sum as (select doc_id, count(*) as n, min(i) as f, max(i) as l, list(distinct label) as labels from base group by 1),
 template(t, label, body) as (values {texts}),
 cut as (select t, label, regexp_extract_all({low.format("body")}, '{word}') as tw from template),
-tgram as (
+tgram0 as (
   select t, label, len(tw) as n, i - 1 as pos, tw[i:i + {K} - 1] as run from (select *, unnest(range(1, len(tw) - {K} + 2)) as i from cut)),
+tgram1 as (
+  select g.*, x.labels = 1 as own from tgram0 g join (select run, count(distinct label) as labels from tgram0 group by 1) x using (run)),
+tgram as (
+  select g.*, coalesce(x.n_own, 0) as n_own from tgram1 g left join (
+    select t, count(distinct p) as n_own from (select t, unnest(range(pos, pos + {K})) as p from tgram1 where own) group by 1) x using (t)),
 grams as (select doc_id, i - 1 as place, w[i:i + {K} - 1] as run from spots where i <= len(w) - {K} + 1),
-hits as (select doc_id, t, label, n, pos, place, place - pos as d from grams join tgram using (run)),
+hits as (select doc_id, t, label, n, n_own, own, pos, place, place - pos as d from grams join tgram using (run)),
 marks as (
   select *, case when d - lag(d) over (partition by doc_id, t order by d, pos) > {GAP} then 1 else 0 end as opens from hits),
 runs as (select *, sum(opens) over (partition by doc_id, t order by d, pos rows unbounded preceding) as r from marks),
+parts as (
+  select doc_id, t, r, min(place) as low, max(place) as high, min(pos) as low_at, max(pos) as high_at, any_value(n) as n
+  from runs group by 1, 2, 3),
+before as (
+  select *, max(high * 1000000 + high_at) over (partition by doc_id, t order by low, high desc, low_at
+    rows between unbounded preceding and 1 preceding) as b, row_number() over (partition by doc_id, t order by low, high desc, low_at) as i
+  from parts),
+placed as (
+  select *, coalesce(high <= b // 1000000, false) as inside, coalesce(low_at > b % 1000000 and low - b // 1000000 - {K} <= n, false) as follows
+  from before),
+numbered as (
+  select *, sum(case when not inside and not follows then 1 else 0 end) over (partition by doc_id, t order by i) as s,
+    case when inside then i else 0 end as alone from placed),
+covered as (
+  select x.*, s, alone from runs x join numbered using (doc_id, t, r)),
+words_in as (
+  select doc_id, t, s, alone, any_value(label) as label, any_value(n) as n, any_value(n_own) as n_own, count(distinct p) as c,
+    count(distinct case when own then p end) as c_own
+  from (select *, unnest(range(pos, pos + {K})) as p from covered) group by 1, 2, 3, 4),
 cover as (
-  select doc_id, t, r, any_value(label) as label, count(distinct p) / any_value(n)::double as cover
-  from (select *, unnest(range(pos, pos + {K})) as p from runs) group by 1, 2, 3),
+  select doc_id, label, c / n::double as cover from words_in where n_own > 0 and c_own / n_own::double >= {LEAST_COVER}),
 added as (
   select doc_id, list(distinct label) as labels, max(cover) as cover from cover where cover >= {LEAST_COVER} group by 1)
 select own.doc_id, len(w)::bigint as n_words, coalesce(b.n, 0)::bigint as n_base, b.f::bigint as first_word, b.l::bigint as last_word,
