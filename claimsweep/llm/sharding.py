@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
+from .common import fresh, with_row_id
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text",
                    overhead: int = 8) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)``, a row for each row of ``docs``.
 
-    Documents are put in the order of their ids (null ids first; rows with one id in input order). A
+    Documents are put in the order of their ids (null ids first; rows with one id in the order of the
+    stored files and of the rows in them, the same in every run). ``docs`` is a plain read of Parquet files. A
     document lies in the shard in which the bytes before it end, so a shard is a run of that order and
     misses the equal target by less than one document at each end; slot counts from 0 inside the shard.
     size is the text's UTF-8 bytes plus ``overhead``. A null text has no bytes and the CRC of an empty
@@ -22,9 +24,9 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
     position, and written once: the partition numbers then hold for every later read. Totals are one row
     for each partition.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
-                      F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("place"))
+    text, row = F.coalesce(F.col(text_col), F.lit("")), fresh(docs, "place")
+    own = with_row_id(docs, row).select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
+                      F.crc32(text).alias("text_crc32"), F.col(row).alias("place"))
     dealt = own.repartitionByRange(F.col("doc_id"), F.col("place")).sortWithinPartitions("doc_id", "place")
     rows = stage(dealt.withColumn("part", F.spark_partition_id()), "shard-rows")
 
