@@ -19,9 +19,10 @@ WINDOW = 8
 #: Judged by share, a line is boilerplate in more than this part of a host's groups of near copies (20 of 500), and
 #: in more than LINE_LIMIT of them: in fewer, nothing tells boilerplate from chance.
 LINE_SHARE = 0.04
-#: Near copies: runs of NEAR_RUN words are sampled to their NEAR_SAMPLE smallest hashes; texts that agree in all
-#: NEAR_ROWS minima of one of NEAR_BANDS bands are linked. One edit in 50 words leaves a link in 999 of 1,000 cases.
-NEAR_RUN, NEAR_SAMPLE, NEAR_BANDS, NEAR_ROWS = 4, 128, 8, 3
+#: Near copies: of the hashes of all runs of NEAR_RUN words the minima under NEAR_BANDS * NEAR_ROWS orders; texts that
+#: agree in all NEAR_ROWS minima of a band are linked, of two texts in more than nine of ten cases if every fifteenth
+#: word of one is another one, whatever their length.
+NEAR_RUN, NEAR_BANDS, NEAR_ROWS = 4, 12, 3
 SYMBOLS = r"[^#*$%&|<>]+"
 #: Copies of a small table's row for each side's salt, so that a line in a third of all texts meets in many tasks.
 SALTS = 16
@@ -60,15 +61,15 @@ def normal_lines(text: Column) -> Column:
 
 def near_bands(words: Column) -> Column:
     """A hash for each band of minima over the text's word runs (shorter texts: none)."""
-    def minimum(sample: Column, i: int) -> Column:  # each mask puts the hashes in another order
+    def minimum(runs: Column, i: int) -> Column:  # each mask puts the hashes in another order
         mask = int.from_bytes(hashlib.md5(b"near %d" % i).digest()[:8], "big", signed=True)
-        return F.array_min(F.transform(sample, lambda h: h.bitwiseXOR(F.lit(mask))))
+        return F.array_min(F.transform(runs, lambda h: h.bitwiseXOR(F.lit(mask))))
 
-    def bands(sample: Column) -> Column:
-        some = [F.xxhash64(F.lit(b), *[minimum(sample, b * NEAR_ROWS + i) for i in range(NEAR_ROWS)]) for b in range(NEAR_BANDS)]
-        return F.when(F.size(sample) > 0, F.array(*some)).otherwise(F.array().cast("array<bigint>"))
+    def bands(runs: Column) -> Column:
+        some = [F.xxhash64(F.lit(b), *[minimum(runs, b * NEAR_ROWS + i) for i in range(NEAR_ROWS)]) for b in range(NEAR_BANDS)]
+        return F.when(F.size(runs) > 0, F.array(*some)).otherwise(F.array().cast("array<bigint>"))
 
-    return bound(F.slice(F.sort_array(F.array_distinct(window_hashes(words, NEAR_RUN))), 1, NEAR_SAMPLE), bands)
+    return bound(window_hashes(words, NEAR_RUN), bands)
 
 
 def document_facts(docs: DataFrame, id_col: str, text_col: str, host_col: str, keep: tuple[str, ...] = (),

@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
+import pytest
 from helpers import stored
+from pyspark.sql import functions as F
 
 from claimsweep.llm import quality
 
@@ -45,3 +47,17 @@ def test_quality_stage_takes_boilerplate_out(spark, tmp_path):
     assert out.columns == docs.columns
     assert {x["doc_id"]: x["text"] for x in out.collect()} == {
         i: "\n".join(x for x in t.split("\n") if x.lower().split() != ["all", "rights", "reserved"]) for i, t, _ in rows[:40]}
+
+
+@pytest.mark.parametrize("n", [20, 60, 120, 400])
+def test_links_of_near_copies_do_not_hang_on_length(spark, n):
+    r, rows = random.Random(n), []
+    for i in range(250):
+        words = [f"w{r.randrange(50000)}" for _ in range(n)]
+        copy = [f"x{j}" if j % 15 == 7 else w for j, w in enumerate(words)]
+        rows.append((" ".join(words), " ".join(copy), " ".join(f"w{r.randrange(50000)}" for _ in range(n))))
+    band = lambda c: quality.near_bands(quality.words_of(F.col(c)))
+    got = spark.createDataFrame(rows, "a string, b string, c string").select(
+        F.arrays_overlap(band("a"), band("b")).cast("int").alias("near"), F.arrays_overlap(band("a"), band("c")).cast("int").alias("far"))
+    near, far = got.agg(F.avg("near"), F.avg("far")).first()
+    assert near >= 0.9 and far < 0.01
