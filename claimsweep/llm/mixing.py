@@ -1,7 +1,7 @@
 """Mixing sources to target weights: certain whole copies, then Pareto order sampling of the rest.
 
-A document's expected copies are e = target of its source * weight / (sum of size * weight); floor(e)
-copies are certain. The rest of the target is filled by order sampling: with u uniform and
+A document's expected copies are e = rate of its source * weight, at most ``most``; the rate is such that the
+sizes times e add up to the source's target. floor(e) copies are certain. The rest of the target is filled by order sampling: with u uniform and
 p = e - floor(e), documents come in the order of (u / (1 - u)) / (p / (1 - p)), until the words that are
 still wanted are taken. The sample's size is fixed in words: it misses by half a document at most.
 """
@@ -43,20 +43,34 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
         "*", ((F.sum(F.col("source_size").cast("double")).over(Window.partitionBy()) * float(share)
                - F.coalesce(F.sum("limit").over(earlier), F.lit(0.0))) / F.sum("weight").over(later)).alias("rate"))
     rate = F.min(F.struct(F.when(F.col("rate") <= F.col("ratio"), F.col("ratio")).isNull().alias("no"),
-                          "ratio", "rate")).over(Window.partitionBy())
+                          "ratio", F.col("source").isNull().alias("last"), "source", "rate")).over(Window.partitionBy())  # first in that order
     fits = rates.select("*", rate.alias("first"))
     return fits.select("source", "source_size", F.when(
         F.col("first.no"), F.col("limit")).otherwise(F.least("limit", F.col("first.rate") * F.col("weight"))).alias("target"))
 
 
+def rates(levels: DataFrame, most: float) -> DataFrame:
+    """``(source, rate)`` from ``levels(source, own, words, target)``: words of each weight of each source.
+
+    Documents of the largest weights reach ``most`` copies first; what they cannot take goes to the others. The rate
+    is null where all weights reach it. A source has few different weights: they stand in one window.
+    """
+    order = Window.partitionBy("source").orderBy(F.desc("own"))
+    earlier, later = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    full = F.coalesce(F.sum(F.col("words") * float(most)).over(earlier), F.lit(0.0))
+    rate = (F.col("target") - full) / F.sum(F.col("words") * F.col("own")).over(later)
+    fits = levels.where("own > 0 and words > 0").withColumn("rate", rate)
+    return fits.groupBy("source").agg(F.max_by("rate", F.when(F.col("rate") * F.col("own") <= most, F.col("own"))).alias("rate"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0,
         weight_col: str | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, source, size, source_size, target, copies, taken)``, a row for each row of ``docs``.
 
     ``weight_col`` makes documents of a source more or less likely (default: all alike, so likelihoods
-    differ between sources only); null or non-positive weights count as 0, and a source whose weights
-    are all 0 takes no copies. taken = copies * size; no document is taken more than ``most`` times.
+    differ between sources only); it holds few different values, such as classes of length. Null or non-positive
+    weights count as 0, and a source whose weights are all 0 takes no copies. taken = copies * size; no document is taken more than ``most`` times.
     Null and empty texts have size 0. Null sources form one source, ordered last. Rows are drawn by id,
     by the text where the id is null; repeated rows are drawn one by one, in a fixed order. No rows give
     no rows. Columns named in ``keep`` are carried along.
@@ -67,12 +81,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
                         F.size(words_of(F.col(text_col))).cast("long").alias("size"),
                         weight.alias("own"), uniform(key, seed).alias("u"), *keep)
     facts = stage(facts, "mix-facts")
-    sizes = facts.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("own")).alias("weighed"))
-    goals = targets(sizes.select("source", "source_size"), weights, share, most)
-    goals = goals.join(sizes.select(F.col("source").alias("s"), "weighed"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    sizes = facts.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goals = stage(targets(sizes, weights, share, most), "mix-targets")
+    own_source = goals.select(F.col("source").alias("s"), "target")
+    levels = facts.groupBy("source", "own").agg(F.sum("size").alias("words")).join(
+        own_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rate = rates(levels, most).select(F.col("source").alias("s"), "rate")
+    goals = goals.join(rate, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     # one row for each source; Spark broadcasts it only if it is small, and else splits a hot source's rows
     hoped = facts.join(goals.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    expected = F.when(F.col("weighed") > 0, F.least(F.col("target") * F.col("own") / F.col("weighed"), F.lit(float(most)))).otherwise(0.0)
+    expected = F.when((F.col("own") > 0) & (F.col("target") > 0), F.coalesce(F.least(F.col("rate") * F.col("own"), F.lit(float(most))), F.lit(float(most)))).otherwise(0.0)
     hoped = hoped.withColumn("expected", expected).withColumn("certain", F.floor("expected").cast("long"))
     hoped = hoped.withColumn("p", F.col("expected") - F.col("certain"))
     # words left to draw, and what may be drawn, for each source
@@ -105,6 +123,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
                         (copies * F.col("size")).alias("taken"), *keep)
 
 
+def middle_length(text: Column, few: int = 50, many: int = 1000) -> Column:
+    """A weight of 2 for texts of ``few`` to ``many`` words, else 1: fragments and very long texts come less often."""
+    return F.when(F.size(words_of(text)).between(few, many), 2.0).otherwise(1.0)
 
 
 def take(docs: DataFrame, **options) -> DataFrame:

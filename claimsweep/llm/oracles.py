@@ -74,8 +74,9 @@ def mixing(weights=(3.0, 1.0, 2.0), share=1.5, most=2.0, seed=7) -> str:
     return rf"""
 with own as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size,
+    case when len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) between 50 and 1000 then 2.0::double else 1.0::double end as own,
     (('0x' || substr(md5('{seed}|' || doc_id::varchar), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from documents),
-sizes as (select source, sum(size)::bigint as source_size, sum(size)::double as weighed from own group by 1),
+sizes as (select source, sum(size)::bigint as source_size from own group by 1),
 turn as (
   select *, ({turns})[(row_number() over (order by source is null, source) - 1) % {len(weights)} + 1] as weight from sizes),
 limits as (select *, source_size * {most}::double as cap, source_size * {most}::double / weight as ratio from turn),
@@ -83,13 +84,21 @@ rates as (
   select *, (sum(source_size::double) over () * {share}::double
     - coalesce(sum(cap) over (order by ratio, source rows between unbounded preceding and 1 preceding), 0.0))
     / sum(weight) over (order by ratio, source rows between current row and unbounded following) as rate from limits),
-chosen as (select (select arg_min(rate, ratio) from rates where rate <= ratio) as rate),
+chosen as (select (select rate from rates where rate <= ratio order by ratio, source limit 1) as rate),
 goals as (
-  select source, source_size, weighed, case when chosen.rate is null then cap else least(cap, chosen.rate * weight) end as target
+  select source, source_size, case when chosen.rate is null then cap else least(cap, chosen.rate * weight) end as target
   from rates, chosen),
+levels as (
+  select own.source, own, sum(size)::double as words, any_value(target) as target
+  from own join goals on own.source is not distinct from goals.source group by 1, 2 having sum(size) > 0),
+rated as (
+  select source, own, (target - coalesce(sum(words * {most}::double) over (partition by source order by own desc
+      rows between unbounded preceding and 1 preceding), 0.0))
+    / sum(words * own) over (partition by source order by own desc rows between current row and unbounded following) as rate from levels),
+own_rate as (select source, arg_max(rate, own) filter (rate * own <= {most}::double) as rate from rated group by 1),
 hoped as (
-  select own.*, source_size, target, case when weighed > 0 then least(target / weighed, {most}::double) else 0.0 end as e
-  from own join goals on own.source is not distinct from goals.source),
+  select own.*, source_size, target, coalesce(least(own_rate.rate * own, {most}::double), {most}::double) as e
+  from own join goals on own.source is not distinct from goals.source left join own_rate on own.source is not distinct from own_rate.source),
 parts as (select *, floor(e)::bigint as certain, e - floor(e) as p from hoped),
 wanted as (select source, any_value(target) - sum(certain * size) as wanted from parts group by 1),
 ranked as (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import alignment, cotraining, licenses, mixing, oracles, overlap, phrases, pieces, quality, sharding, simhash, tokens, topk, toxicity
-from .common import read_table
+from .common import fresh, read_table
 
 
 def near_duplicates(spark, sf_dir):
@@ -29,7 +29,10 @@ def quality_classifier(spark, sf_dir):
 
 
 def mixture(spark, sf_dir):
-    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = read_table(spark, sf_dir, "documents")
+    weight = fresh(docs, "length_weight")
+    docs = docs.withColumn(weight, mixing.middle_length(F.col("text")))
+    return mixing.mix(docs, weight_col=weight).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def toxicity_scores(spark, sf_dir):

@@ -1,11 +1,13 @@
 """Sharding, mixing, quality rules and licenses on awkward tables, against plain Python."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from helpers import awkward, stored
+from pyspark.sql import functions as F
 
 from claimsweep.llm import licenses, mixing, quality, sharding
 
@@ -69,12 +71,30 @@ def test_mixture_meets_targets(spark, tmp_path, weight):
     assert mixing.mix(stored(spark, [], tmp_path / "e")).count() == 0
 
 
+def test_weights_by_length_meet_targets_and_change_odds(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i, "w " * r.choice([2, 30, 60, 200]), r.choice(["a", "a", "a", "b", None])) for i in range(3000)]
+    docs = stored(spark, rows, tmp_path / "d").withColumn("w", mixing.middle_length(F.col("text")))
+    for share in (0.4, 1.5):
+        got = mixing.mix(docs, share=share, weight_col="w").collect()
+        sizes, taken, copies = defaultdict(int), defaultdict(int), defaultdict(list)
+        for x in got:
+            sizes[x["source"]] += x["size"]
+            taken[x["source"]] += x["taken"]
+            copies[x["source"], 50 <= x["size"] <= 1000].append(x["copies"])
+        for source, goal in plain_targets(sizes, share=share).items():
+            assert abs(taken[source] - goal) <= 100
+            if goal < 1.2 * sizes[source]:  # not all taken twice
+                more, less = (sum(copies[source, k]) / len(copies[source, k]) for k in (True, False))
+                assert more / less == pytest.approx(2, rel=0.2)
+
+
 def test_likelier_documents_are_drawn_more_often(spark, tmp_path):
     rows = [(i, "a b", "s" if i % 2 else "t") for i in range(4000)]
     docs = stored(spark, rows, tmp_path / "d").selectExpr("doc_id", "text", "source", "if(doc_id % 4 < 2, 3.0, 1.0) as w")
     got = mixing.mix(docs, share=0.4, weights=(1.0,), weight_col="w").groupBy((mixing.F.col("doc_id") % 4 < 2).alias("k")).sum("copies")
     drawn = {r["k"]: r["sum(copies)"] for r in got.collect()}
-    assert drawn[True] / drawn[False] == pytest.approx(3, rel=0.25)
+    assert drawn[True] / drawn[False] == pytest.approx(3, rel=0.25) and sum(drawn.values()) == 1600  # sources of one size share alike
 
 
 def test_sources_of_empty_texts_take_nothing(spark, tmp_path):
