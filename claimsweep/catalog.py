@@ -72,18 +72,23 @@ class Inputs:
     def published(self) -> DataFrame:
         return policy.published_chunks(synth.policy_clauses(self.policies), self.policies)
 
+    @cached_property
+    def scanned(self) -> DataFrame:
+        """Structured fields of the claims whose invoice was sent to a recognition service."""
+        return self.api.join(synth.scanned(self.claims), "claim_id", "left_semi")
+
     @cached_property
     def documents(self) -> DataFrame:
-        return stage(A.document_facts(self.materials), "document-facts")
+        return stage(A.document_facts(self.materials, api=self.scanned), "document-facts")
 
     @cached_property
     def facts(self) -> DataFrame:
-        return A.staged_facts(self.claims.select("claim_id", "submitted_at", "department"),
-                              A.claim_facts(self.documents, corrections=synth.corrections(self.claims)))
+        return A.staged_facts(self.claims.select("claim_id", "submitted_at", "department"), A.claim_facts(
+            self.documents, self.scanned, self.validated, synth.corrections(self.claims)))
 
     @cached_property
     def audit(self) -> A.Audit:
-        return A.audit_facts(self.facts, self.documents, self.chunks)
+        return A.audit_facts(self.facts, self.documents, self.chunks, self.published)
 
     @cached_property
     def verdicts(self) -> DataFrame:
@@ -140,7 +145,7 @@ def one_check(x: Inputs, tool: str) -> DataFrame:
     """One check of the registry, over the inputs it needs and no others."""
     wide = x.facts
     if tool == "hotel_limit":
-        wide = A.with_evidence(wide, x.chunks)
+        wide = A.with_evidence(wide, x.chunks, x.published)
     elif tool == "check_duplicate_invoice":
         wide = duplicates.with_duplicate_hits(wide, duplicates.registry_rows(wide))
     rows = with_checks(wide, (tool,)).select("claim_id", F.col("checks")[0].alias("c")).select("claim_id", "c.*")
@@ -324,9 +329,7 @@ def injection_scan(x):
 
 @query
 def material_type(x):
-    # claims with and without structured fields
-    some = x.claims.where(F.col("k") % 71 == 0).select("claim_id")
-    names = x.api.join(some, "claim_id", "left_semi").groupBy("claim_id").agg(F.collect_set("name").alias("names"))
+    names = x.api.groupBy("claim_id").agg(F.collect_set("name").alias("names"))
     rows = x.materials.join(names, "claim_id", "left")
     return rows.select("claim_id", "file_order", FM.material_type(F.col("file_name"), F.col("text")).alias("material"),
                        FM.material_type(F.col("file_name"), F.col("text"), F.col("names")).alias("with_fields"))
@@ -477,7 +480,7 @@ def hotel_limit(x):
 
 @query
 def check_readiness(x):
-    return planned_steps(A.with_evidence(x.facts, x.chunks))
+    return planned_steps(A.with_evidence(x.facts, x.chunks, x.published))
 
 
 @query
@@ -829,5 +832,6 @@ def stream_material_ingest(x):
     order = F.col("file_order")
     parts = [x.materials.where(order == 1), x.materials.where(order == 2), x.materials.where(order > 2)]
     jobs.stream_material_ingest(_as_stream(x, parts, "arriving-files"), claims, registry, out, checkpoint,
-                                corrections=synth.corrections(x.claims)).awaitTermination()
+                                corrections=synth.corrections(x.claims), chunks=x.chunks, published=x.published,
+                                api=x.scanned, candidates=x.validated).awaitTermination()
     return jobs.latest_by_batch(x.spark, out).select("claim_id", "status", "n_high", "n_medium", "n_low", "n_info", "unreadable_code")

@@ -2,7 +2,7 @@
 
 from . import constants as P
 from . import constants as R
-from .constants import CITIES, DEPARTMENTS
+from .constants import CITIES, DEPARTMENTS, EXPENSE_TYPES
 
 
 def lit(s):
@@ -23,6 +23,40 @@ def money(cents):
 
 FIRST_TIER = "(" + ", ".join(lit(c) for c in P.FIRST_TIER_CITIES) + ")"
 
+def split_rows():
+    """The 16 built-in clauses as values, split by hand from the table row."""
+    rows, n = [], 0
+    for _, kid, section, content in P.BASELINE_ROWS:
+        lines = [ln.strip() for ln in content.splitlines() if "|" in ln]
+        cells = [" ｜ ".join(c.strip() for c in ln.strip("|").split("|")) for ln in lines]
+        pieces = [(f"{kid}-R{i}", cells[0] + "｜" + row) for i, row in enumerate(cells[1:], 1)] or [(kid, content)]
+        for chunk_id, text in pieces:
+            rows.append(f"({n}, {lit(chunk_id)}, {lit(section)}, {lit(text)})")
+            n += 1
+    return ", ".join(rows)
+
+
+
+POLICY_TABLES = f"""
+chunks as (select * from (values {split_rows()}) t(ord, chunk_id, section, content)),
+policies as (
+  select s, 'UP-' || lpad(s::varchar, 6, '0') as policy_id, '制度' || (s % 20) as name, 'V' || (s % 3 + 1) as version,
+    {array(DEPARTMENTS)}[(s % 5) + 1] as department, {array(EXPENSE_TYPES)}[(s % 4) + 1] as expense_type,
+    case when s % 6 = 0 then '' else (date '1995-01-01' + (s * 97 % 2400)::int)::varchar end as effective_from,
+    case when s % 3 = 0 then '' else (date '1995-01-01' + (s * 97 % 2400)::int + 400)::varchar end as effective_to,
+    case when s % 7 = 0 then 'draft' else 'published' end as status
+  from (select s_suppkey as s from supplier)),
+clauses as (
+  select policy_id || '-' || version || '-' || n as chunk_id, p.*, content from policies p, lateral (select * from (values
+    ('001', {array(CITIES)}[(s % 8) + 1] || '的住宿标准为' || (s % 300 + 300) || '元/晚。'),
+    ('002', ['交通费凭票报销第', '费用报销须附明细第', '医药费凭处方报销第', '设备采购须附询价记录第'][(s % 4) + 1] || s || '号。')) v(n, content)) u
+  where status = 'published')"""
+
+GATES = {t: " or ".join(f"contains(content, '{w}')" for w in words) for t, words in P.EXPENSE_GATES.items()}
+
+#: Buyers of every seventh claim come as nested lists of two parts.
+API_BUYER = "case when k % 5 <> 0 and k % 7 = 0 then invoice_buyer[1:1] || ' ' || invoice_buyer[2:] else invoice_buyer end"
+
 CLAIMS = f"""
 claims as (
   select k, c, r as resubmitted,
@@ -43,7 +77,7 @@ claims as (
   where r = 0 or k % 50 = 0),
 seen as (
   select *, k % 59 <> 0 as readable,
-    k % 43 <> 0 as inv_file, k % 37 <> 0 as pay_file, k % 41 <> 0 as app_file, k % 53 = 0 as note_file, k % 7 = 0 as renamed
+    k % 4 = 2 as scanned, k % 43 <> 0 as inv_file, k % 37 <> 0 as pay_file, k % 41 <> 0 as app_file, k % 53 = 0 as note_file, k % 7 = 0 as renamed
   from claims),
 texts as (
   select claim_id, k, 1 as file_order, case when renamed then '微信图片_' || k || '_1.txt' else 'invoice.txt' end as file_name,
@@ -73,9 +107,11 @@ docs as (select *, substr(sha256(text), 1, 16) as document_id from texts),
 read as (
   select *, inv_file and readable as inv, pay_file and readable as pay, app_file and readable as app from seen),
 facts as (
-  select claim_id, k, c, resubmitted, submitted_at, department, readable, inv_file, pay_file, app_file, note_file, renamed,
-    case when inv then invoice_number end as invoice_number, case when inv then invoice_date end as invoice_date,
-    case when inv then {money('invoice_cents')} end as invoice_amount, case when inv then invoice_buyer end as invoice_buyer,
+  select claim_id, k, c, resubmitted, submitted_at, department, readable, inv_file, pay_file, app_file, note_file, renamed, scanned,
+    case when scanned then replace(invoice_number, '-', '') when inv then invoice_number end as invoice_number,
+    case when scanned or inv then invoice_date end as invoice_date,
+    case when scanned then {money('case when k % 142 = 0 then invoice_cents + 1 else invoice_cents end')} when inv then {money('invoice_cents')} end as invoice_amount,
+    case when scanned then {API_BUYER} when inv then invoice_buyer end as invoice_buyer,
     case when k % 61 = 0 then {money('invoice_cents')} when pay then {money('payment_cents')} end as payment_amount,
     case when pay then payment_party end as payment_party, case when app then applicant_name end as applicant_name,
     case when app then travel_city end as travel_city, case when app then travel_start::varchar end as travel_start_date,
@@ -83,7 +119,7 @@ facts as (
     inv_file::int + pay_file::int + app_file::int + note_file::int as n_docs,
     case when pay_file and k % 21 = 4 then 'MEDICAL' when app_file and k % 35 = 8 then 'PURCHASE' else 'TRAVEL' end as kind,
     not readable or not (inv_file or pay_file or app_file or note_file) as unread_text,
-    readable and note_file and not (inv_file or pay_file or app_file) and k % 61 <> 0 as unread_fields
+    readable and note_file and not (inv_file or pay_file or app_file) and k % 61 <> 0 and not scanned as unread_fields
   from read),
 registry as (select claim_id, invoice_number, invoice_date, invoice_amount, submitted_at from facts where invoice_number is not null),
 dup as (
@@ -92,19 +128,38 @@ dup as (
   from registry
   window by_number as (partition by invoice_number order by submitted_at, claim_id rows between unbounded preceding and 1 preceding),
     by_all as (partition by invoice_number, invoice_date, invoice_amount order by submitted_at, claim_id rows between unbounded preceding and 1 preceding)),
+asked as (
+  select claim_id, kind as etype, travel_city as city, department, strftime(submitted_at, '%Y-%m-%d') as as_of from facts),
+valid as (
+  select a.*, c.chunk_id, c.content from asked a join clauses c on c.expense_type = a.etype and (a.department = 'ALL' or c.department in ('ALL', a.department))
+    and (c.effective_from = '' or a.as_of >= c.effective_from) and (c.effective_to = '' or a.as_of <= c.effective_to)),
+offered as (
+  select claim_id, printf('%06d', ord) as o, 0 as src, chunk_id, content, case when contains(content, city) then 1.0 else 0.8 end as score from asked, chunks
+    where etype = 'TRAVEL' and chunk_id like 'TRAVEL%' and (contains(content, city) or (contains(content, '其他城市') and city not in {FIRST_TIER}))
+  union all select claim_id, chunk_id, 1, chunk_id, content, 1.05 from valid where etype = 'TRAVEL' and contains(content, city)
+  union all
+  select claim_id, printf('%06d', ord), 0, chunk_id, content, case when contains(content, coalesce(city, '~')) then 1.0 else 0.8 end from asked, chunks
+    where ((etype = 'MEDICAL' and ({GATES['MEDICAL']})) or (etype = 'PURCHASE' and ({GATES['PURCHASE']})))
+      and (city is null or contains(content, city) or (contains(content, '其他城市') and city not in {FIRST_TIER}))
+  union all select claim_id, chunk_id, 1, chunk_id, content, case when contains(content, coalesce(city, '~')) then 1.05 else 0.9 end from valid where etype <> 'TRAVEL'),
+kept_clauses as (
+  select *, row_number() over (partition by claim_id order by score desc, src, o) as rank from offered qualify rank <= 2),
+evid as (
+  select claim_id, string_agg(chunk_id, '|' order by rank) as clause,
+    try_cast(nullif(regexp_extract(arg_min(content, rank), '([0-9]+(?:\\.[0-9]+)?)元/晚', 1), '') as decimal(20,2)) as lim from kept_clauses group by 1),
 parsed as (
   select f.*, try_cast(invoice_amount as decimal(20,2)) as a, try_cast(payment_amount as decimal(20,2)) as b,
     try_cast(invoice_date as date) as d, travel_start_date::date as s, travel_end_date::date as e,
-    case when kind = 'MEDICAL' then case when travel_city is null then 'PHARM-V1-3.2|PHARM-V1-3.3' end
-      when kind = 'PURCHASE' then case when travel_city is null then 'OFFICE-V2-2.1|OFFICE-V2-2.3' end
-      when travel_city is null then null when travel_city in {FIRST_TIER} then 'TRAVEL-V1-4.2-A' else 'TRAVEL-V1-4.2-B' end as clause,
-    case when kind <> 'TRAVEL' then null when travel_city in {FIRST_TIER} then 600.00 else 450.00 end::decimal(20,2) as lim,
+    evid.clause, evid.lim,
     dup.any_id, dup.any_date, dup.any_amount, dup.exact_id
-  from facts f left join dup using (claim_id)),
+  from facts f left join dup using (claim_id) left join evid using (claim_id)),
 missing as (
-  select claim_id, concat_ws('、', case when not (inv_file and (readable or not renamed)) then '发票' end,
-    case when not (pay_file and (readable or not renamed)) then '付款凭证' end,
-    case when not (app_file and (readable or not renamed)) then '审批单' end) as lacking from facts),
+  select f.claim_id, concat_ws('、', case when not (case when scanned then coalesce(typed_invoice, false) else inv_file and (readable or not renamed) end) then '发票' end,
+    case when scanned or not (pay_file and (readable or not renamed)) then '付款凭证' end,
+    case when scanned or not (app_file and (readable or not renamed)) then '审批单' end) as lacking
+  from facts f left join (
+    -- with structured invoice fields every file of a claim looks like an invoice, or undecided
+    select claim_id, bool_or(not (text <> '略' and k % 7 = 0 and file_order in (2, 3))) as typed_invoice from docs group by 1) using (claim_id)),
 checks as (
   select claim_id, 1 as pos, 'required_documents' as tool, 'required_documents' as name, lacking = '' as passed,
     case when lacking = '' then '材料齐全' else '缺少：' || lacking end as detail, '' as evidence_refs from missing
@@ -121,7 +176,7 @@ checks as (
     case when clause is null or a is null or lim is null then null else a <= lim end,
     case when clause is null then '未检索到适用的住宿标准条款，缺少规则依据，需人工确认' when a is null then '缺少住宿金额或适用制度'
       when lim is null then '制度条款中未找到可计算上限' else '示例按一晚计算：实际' || a::varchar || '元，上限' || lim::varchar || '元，超出' || greatest(a - lim, 0)::decimal(20,2)::varchar || '元' end,
-    case when clause is null or a is null or lim is null then '' else 'invoice_amount|' || clause end from parsed
+    case when clause is null or a is null or lim is null then '' else 'invoice_amount|' || split_part(clause, '|', 1) end from parsed
   union all
   select claim_id, 5, 'applicant_match', 'applicant_match',
     case when applicant_name is null then null
@@ -185,6 +240,11 @@ verdicts as (
   select f.claim_id, case when u.claim_id is not null then 'UNDETERMINED' when coalesce(n_high + n_medium, 0) > 0 then 'REVIEW_REQUIRED' else 'PASS' end as status,
     {', '.join(f"coalesce(n_{lv.lower()}, 0)::int as n_{lv.lower()}" for lv in R.LEVELS)}, u.code as unreadable_code
   from facts f left join levels l using (claim_id) left join unreadable u using (claim_id)),
+api as (
+  select claim_id, k, u.* from claims, lateral (select * from (values
+    ('invoice_number', replace(invoice_number, '-', '')), ('invoice_date', invoice_date),
+    ('invoice_amount', {money('case when k % 142 = 0 then invoice_cents + 1 else invoice_cents end')}), ('invoice_buyer',
+      {API_BUYER})) v(name, value)) u),
 rule_fields as (
   select claim_id, name, value, document_id, label || value as source_text from (
     select d.claim_id, d.document_id, u.* from docs d join read r using (claim_id), lateral (
@@ -196,7 +256,11 @@ rule_fields as (
         (3, 'travel_start_date', '出差开始：', r.travel_start::varchar), (3, 'travel_end_date', '出差结束：', r.travel_end::varchar)
       ) v(ord, name, label, value) where v.ord = d.file_order and v.value is not null and r.readable) u)),
 final_fields as (
-  select claim_id, name, value, document_id, source_text from rule_fields where name <> 'payment_amount' or claim_id not in (select claim_id from claims where k % 61 = 0)
+  select claim_id, name, value, document_id, source_text from rule_fields
+  where (name <> 'payment_amount' or claim_id not in (select claim_id from claims where k % 61 = 0))
+    and (name not like 'invoice_%' or claim_id not in (select claim_id from claims where k % 4 = 2))
+  union all
+  select claim_id, name, value, 'ocr-api', 'OCR结构化字段：' || name || '=' || value from api where k % 4 = 2
   union all
   select claim_id, 'payment_amount', payment_amount,
     coalesce((select document_id from docs d where d.claim_id = f.claim_id and file_order = 2 and f.readable), 'manual'),
@@ -209,11 +273,6 @@ tasks as (
     case when k % 3 = 0 then '' else applicant_name end as applicant, ['TRAVEL', 'HOTEL', '住宿费', ''][(k % 4) + 1] as expense_type,
     case when k % 5 = 0 then '2019.2.19 出差 ' || k else '' end as note
   from claims),
-api as (
-  select claim_id, k, u.* from claims, lateral (select * from (values
-    ('invoice_number', replace(invoice_number, '-', '')), ('invoice_date', invoice_date),
-    ('invoice_amount', {money('case when k % 142 = 0 then invoice_cents + 1 else invoice_cents end')}), ('invoice_buyer',
-      case when k % 5 <> 0 and k % 7 = 0 then invoice_buyer[1:1] || ' ' || invoice_buyer[2:] else invoice_buyer end)) v(name, value)) u),
 replies as (
   select claim_id, k, payment_cents, invoice_number, k % 7 <> 0 and (k % 3 = 0 or k % 11 <> 0) as sound from claims),
 proposed as (
@@ -246,7 +305,7 @@ results as (
   select c.claim_id, c.category, case when len(wanted) > 0 then 'REVIEW_REQUIRED' else 'PASS' end as expected_status,
     case when failed then 'ERROR' else v.status end as actual_status, list_sort(wanted) as expected_risks,
     case when failed then []::varchar[] else coalesce((select list_sort(list_distinct(list(risk_type))) from risks r where r.claim_id = c.claim_id), []) end as actual_risks,
-    case when wanted_clause is not null and (failed or p.clause is distinct from wanted_clause) then [wanted_clause] else []::varchar[] end as missing_policy_refs,
+    case when wanted_clause is not null and (failed or p.clause is null or not list_contains(string_split(p.clause, '|'), wanted_clause)) then [wanted_clause] else []::varchar[] end as missing_policy_refs,
     case when failed then []::varchar[] else list_filter([case when not exists(select 1 from shown_fields s where s.claim_id = c.claim_id and name = 'invoice_number' and value = c.invoice_number) then 'invoice_number' end,
       case when c.travel_city is not null and not exists(select 1 from shown_fields s where s.claim_id = c.claim_id and name = 'travel_city' and value = c.travel_city) then 'travel_city' end],
       lambda x: x is not null) end as wrong_fields,
@@ -275,6 +334,9 @@ critique as (
 """
 
 
+CLAIMS = POLICY_TABLES + "," + CLAIMS
+
+
 def over(select):
     return "with " + CLAIMS + select
 
@@ -361,8 +423,7 @@ CLAIM_ORACLES = {
         case when k % 6 = 3 then 'invalid date value' when k % 6 > 3 then 'invalid date format' end as model_reason from claims"""),
     "material_type": over("""select claim_id, file_order, case when text = '略' and renamed and file_order < 4 then 'other'
           else ['invoice', 'payment', 'approval', 'other'][file_order] end as material,
-        case when k % 71 <> 0 then (case when text = '略' and renamed and file_order < 4 then 'other' else ['invoice', 'payment', 'approval', 'other'][file_order] end)
-          when text <> '略' and renamed and file_order in (2, 3) then 'other'
+        case when text <> '略' and renamed and file_order in (2, 3) then 'other'
           when text <> '略' and file_order = 3 then 'invoice' else 'invoice' end as with_fields
         from docs join (select claim_id, renamed from seen) using (claim_id)"""),
     "expense_type_infer": over("""select claim_id, case when bool_or(file_order = 2 and (k % 9 = 0 or k % 21 = 4)) then 'MEDICAL'

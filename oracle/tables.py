@@ -16,19 +16,6 @@ def fold(c):
     return f"trim(regexp_replace({c}, '{WS}+', ' ', 'g'))"
 
 
-def split_rows():
-    """The 16 built-in clauses as values, split by hand from the table row."""
-    rows, n = [], 0
-    for _, kid, section, content in P.BASELINE_ROWS:
-        lines = [ln.strip() for ln in content.splitlines() if "|" in ln]
-        cells = [" ｜ ".join(c.strip() for c in ln.strip("|").split("|")) for ln in lines]
-        pieces = [(f"{kid}-R{i}", cells[0] + "｜" + row) for i, row in enumerate(cells[1:], 1)] or [(kid, content)]
-        for chunk_id, text in pieces:
-            rows.append(f"({n}, {lit(chunk_id)}, {lit(section)}, {lit(text)})")
-            n += 1
-    return ", ".join(rows)
-
-
 HEADING = r"^\s*(?:第\s*[一二三四五六七八九十百零\d]+\s*[章节条款]|\d+(?:\.\d+)*[、.\s]|[一二三四五六七八九十]+、)\s*(\S.*)$"
 CHAPTER = r"^\s*(?:第\s*[一二三四五六七八九十百零\d]+\s*章|[一二三四五六七八九十]+、|\d+\s*[、.]?\s*(?:[^\d.]|$))"
 CHUNKS = f"""with src as (
@@ -65,19 +52,6 @@ from numbered where in_section > 0 group by policy_id, version, chunk_no"""
 
 
 POLICIES = f"""
-chunks as (select * from (values {split_rows()}) t(ord, chunk_id, section, content)),
-policies as (
-  select s, 'UP-' || lpad(s::varchar, 6, '0') as policy_id, '制度' || (s % 20) as name, 'V' || (s % 3 + 1) as version,
-    {array(DEPARTMENTS)}[(s % 5) + 1] as department, {array(EXPENSE_TYPES)}[(s % 4) + 1] as expense_type,
-    case when s % 6 = 0 then '' else (date '1995-01-01' + (s * 97 % 2400)::int)::varchar end as effective_from,
-    case when s % 3 = 0 then '' else (date '1995-01-01' + (s * 97 % 2400)::int + 400)::varchar end as effective_to,
-    case when s % 7 = 0 then 'draft' else 'published' end as status
-  from (select s_suppkey as s from supplier)),
-clauses as (
-  select policy_id || '-' || version || '-' || n as chunk_id, p.*, content from policies p, lateral (select * from (values
-    ('001', {array(CITIES)}[(s % 8) + 1] || '的住宿标准为' || (s % 300 + 300) || '元/晚。'),
-    ('002', ['交通费凭票报销第', '费用报销须附明细第', '医药费凭处方报销第', '设备采购须附询价记录第'][(s % 4) + 1] || s || '号。')) v(n, content)) u
-  where status = 'published'),
 asking as (select claim_id, k, travel_city as city, department, strftime(submitted_at, '%Y-%m-%d') as as_of from claims),
 in_force as (
   select a.*, t.etype, c.chunk_id, c.content, c.policy_id, c.version from asking a, lateral (select unnest({array(EXPENSE_TYPES)}) as etype) t, clauses c
