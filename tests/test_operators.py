@@ -145,3 +145,36 @@ def test_clauses_follow_the_expense_type(spark):
     assert got == {"trip": ["TRAVEL-V1-4.2-A"], "clinic": [], "desk": ["OFFICE-V2-2.1", "OFFICE-V2-2.3"]}
     risks = {(r["claim_id"], r["risk_type"]) for r in run.risks().collect()}
     assert ("clinic", "RULE_MISSING") in risks and ("trip", "HOTEL_LIMIT") in risks and ("clinic", "HOTEL_LIMIT") not in risks
+
+
+def test_verdicts_turn_by_published_clauses_structured_fields_and_model_values(spark):
+    def pages(case, amount="500.00", payment="付款金额：500.00\n收款方：张三\n"):
+        texts = (f"发票号码：{case.upper()}-0001\n发票日期：2026-08-01\n发票金额：{amount}\n购买方：张三\n", payment,
+                 "申请人：张三\n出差城市：北京\n出差开始：2026-08-01\n出差结束：2026-08-02\n")
+        return [(case, i, f"{case}{i}", f, 1, t) for i, (f, t) in enumerate(zip(("invoice.txt", "payment.txt", "approval.txt"), texts))]
+
+    rows = pages("plain") + pages("clause") + pages("field") + pages("model", payment="转账 伍佰元整，实付500.00，收款方：张三\n")
+    table = spark.createDataFrame(rows, PAGE)
+    claims = spark.createDataFrame([(c, dt.datetime(2026, 8, 3), "研发部" if c == "clause" else "销售部") for c in ("plain", "clause", "field", "model")],
+                                   "claim_id string, submitted_at timestamp_ntz, department string")
+    lower = spark.createDataFrame([("P-1", "P-1", "4.2", "北京的住宿标准为400元/晚。", "P", "V1", "研发部", "TRAVEL", "2026-01-01", "")],
+                                  "ord string, chunk_id string, section_path string, content string, policy_id string, version string, "
+                                  "department string, expense_type string, effective_from string, effective_to string")
+    # one field is too little to make the other files look like invoices
+    api = spark.createDataFrame([("field", "invoice_amount", "500.01")], "claim_id string, name string, value string")
+    reply = spark.createDataFrame([("model", '{"fields": {"payment_amount": {"value": "500.00", "confidence": 0.9, "source_text": "实付500.00", "page_no": 1}}}')],
+                                  "claim_id string, payload string")
+    parsed = merge.parse_candidates(reply)
+    candidates = merge.candidate_validate(parsed, merge.claim_context(table, parsed))
+    base = policy.baseline_chunks(spark)
+
+    def status(**inputs):
+        return {r["claim_id"]: r["status"] for r in audit(claims, table, base, **inputs).verdicts().collect()}
+
+    before = status()
+    assert before == {"plain": "PASS", "clause": "PASS", "field": "PASS", "model": "REVIEW_REQUIRED"}
+    assert status(published=lower) == before | {"clause": "REVIEW_REQUIRED"}
+    assert status(api=api) == before | {"field": "REVIEW_REQUIRED"}
+    assert status(candidates=candidates) == before | {"model": "PASS"}
+    assert status(published=lower, api=api, candidates=candidates) == {
+        "plain": "PASS", "clause": "REVIEW_REQUIRED", "field": "REVIEW_REQUIRED", "model": "PASS"}
