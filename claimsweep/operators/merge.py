@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import blank_to_null, error_class, model_json_parse, strip
 from ..functions.values import model_amount, model_date, value_normalize
@@ -89,31 +90,63 @@ def parse_candidates(replies: DataFrame) -> DataFrame:
     ).withColumn("error_type", F.when(F.col("error").isNotNull(), error_class(F.col("error"))))
 
 
+#: What stands between two pages of a claim in the text that a model is shown.
+BETWEEN = "\n\n---\n\n"
+
+
 def claim_context(pages: DataFrame, claims: DataFrame) -> DataFrame:
-    """The text a model was shown for a claim, only for the claims that have a reply.
+    """The text a model was shown for a claim that has a reply, page by page: ``(claim_id, at, shown, first_document_id)``.
 
-    A claim's context fits one row: a reply exists only where a model read all of it at once.
+    The pages of a claim follow each other as ``at`` counts; ``shown`` is a page with its heading and what stands
+    before the next one. They are never put together into one row.
     """
     block = F.concat(F.lit("file="), "file_name", F.lit("\ndocument_id="), "document_id",
                      F.lit("\npage="), F.col("page_no").cast("string"), F.lit("\n"), "text")
     asked = claims.select("claim_id").distinct()
-    return (
-        pages.join(asked, "claim_id", "left_semi")
-        .groupBy("claim_id")
-        .agg(F.array_sort(F.collect_list(F.struct("file_order", "page_no", block.alias("block"), "document_id"))).alias("b"))
-        .select("claim_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n---\n\n").alias("context"),
-                F.col("b")[0]["document_id"].alias("first_document_id"))
-    )
+    order = ["file_order", "page_no", "block", "document_id"]
+    blocks = pages.join(asked, "claim_id", "left_semi").select("claim_id", "file_order", "page_no", block.alias("block"), "document_id")
+    first = blocks.groupBy("claim_id").agg(F.min(F.struct(*order))["document_id"].alias("first_document_id"))
+    within = W.partitionBy("claim_id").orderBy(*order)
+    placed = blocks.where("block is not null").select(
+        "claim_id", F.row_number().over(within).alias("at"), "block", F.lead(F.lit(1)).over(within).alias("more"))
+    shown = F.concat("block", F.when(F.col("more").isNotNull(), BETWEEN).otherwise(""))
+    return first.join(placed.select(F.col("claim_id").alias("c"), "at", shown.alias("shown")), F.col("claim_id") == F.col("c"), "left").drop("c")
+
+
+def found_in_context(asked: DataFrame, context: DataFrame) -> DataFrame:
+    """The rows of ``asked(claim_id, source_text)`` whose text stands in the claim's context, across pages too.
+
+    A text inside one page is found there. One that spans pages starts as the end of a page and goes on with the
+    next ones: from each place where the rest of a page is a beginning of the text, the text is followed page by page.
+    """
+    s, page = F.col("source_text"), F.col("shown")
+    met = asked.where("source_text <> ''").distinct().join(context.select("claim_id", "at", "shown"), "claim_id").where("shown is not null")
+    reach = F.least(F.length(s) - 1, F.length(page))
+    begun = F.filter(F.sequence(F.lit(1), reach), lambda n: F.right(page, n) == F.left(s, n))
+    met = stage(met.select("claim_id", "source_text", "at", page.contains(s).alias("inside"),
+                           F.when(reach > 0, begun).otherwise(F.array().cast("array<int>")).alias("begun")), "context-met")
+    found = met.where("inside").select("claim_id", "source_text")
+    open_ = met.where("size(begun) > 0").select("claim_id", "source_text", (F.col("at") + 1).alias("at"), F.explode("begun").alias("done"))
+    while not open_.isEmpty():
+        rest = F.substr(s, F.col("done") + 1)
+        on = open_.join(context.select("claim_id", "at", "shown"), ["claim_id", "at"]).withColumn("rest", rest)
+        on = stage(on.select("claim_id", "source_text", "at", (F.col("done") + F.length(page)).alias("done"),
+                             F.startswith(page, F.col("rest")).alias("ended"),
+                             ((F.length("rest") > F.length(page)) & F.startswith(F.col("rest"), page)).alias("goes_on")), "context-followed")
+        found = found.union(on.where("ended").select("claim_id", "source_text"))
+        open_ = on.where("goes_on").select("claim_id", "source_text", (F.col("at") + 1).alias("at"), "done")
+    return found.distinct()
 
 
 def candidate_validate(parsed: DataFrame, context: DataFrame, min_confidence: float = R.MIN_CONFIDENCE) -> DataFrame:
     """Every proposed field with its normal form or the reason it is refused."""
-    rows = parsed.where("fields is not null").select("claim_id", F.explode("fields").alias("name", "cand"))
-    rows = rows.join(context, "claim_id", "left").select(
+    rows = parsed.where("fields is not null").select("claim_id", F.explode("fields").alias("name", "cand")).select(
         "claim_id", "name", F.col("cand.value").alias("raw"), F.coalesce("cand.confidence", F.lit(0.0)).alias("confidence"),
-        F.coalesce("cand.source_text", F.lit("")).alias("source_text"),
-        F.coalesce("cand.page_no", F.lit(1)).alias("page_no"), "first_document_id",
-        F.coalesce(F.col("context").contains(F.col("cand.source_text")), F.lit(False)).alias("found"))
+        F.coalesce("cand.source_text", F.lit("")).alias("source_text"), F.coalesce("cand.page_no", F.lit(1)).alias("page_no"))
+    found = found_in_context(rows.select("claim_id", "source_text"), context).withColumn("found", F.lit(True))
+    first = context.groupBy("claim_id").agg(F.max("first_document_id").alias("first_document_id"))
+    rows = rows.join(first, "claim_id", "left").join(found, ["claim_id", "source_text"], "left").withColumn(
+        "found", F.coalesce("found", F.lit(False)))
     name, raw = F.col("name"), strip(F.col("raw"))
     money, day = model_amount(raw), model_date(raw)
     formats = [F.when((name == n) & ~F.coalesce(raw.rlike(f"^(?:{p})$"), F.lit(False)), why)

@@ -1,6 +1,7 @@
 """Operators on tiny tables: extraction rules, chunking against brute force, sources, audit of known cases."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +179,18 @@ def test_verdicts_turn_by_published_clauses_structured_fields_and_model_values(s
     assert status(candidates=candidates) == before | {"model": "PASS"}
     assert status(published=lower, api=api, candidates=candidates) == {
         "plain": "PASS", "clause": "REVIEW_REQUIRED", "field": "REVIEW_REQUIRED", "model": "PASS"}
+
+
+def test_source_texts_inside_and_across_pages(spark):
+    texts = ["alpha beta", "gam", "m", "a delta 中文", "", "end"]
+    pages = [("c", 1 + i // 2, "d", "f.txt", i, t) for i, t in enumerate(texts)] + [("e", 1, "d2", "g.txt", 1, "alone"), ("e", 2, "d2", "g.txt", 1, None)]
+    table = spark.createDataFrame(pages, PAGE)
+    block = lambda p: f"file={p[3]}\ndocument_id={p[2]}\npage={p[4]}\n{p[5]}"
+    whole = {c: "\n\n---\n\n".join(block(p) for p in sorted(pages, key=lambda p: (p[1], p[4])) if p[0] == c and p[5] is not None) for c in ("c", "e")}
+    r = random.Random(1)
+    asked = [("c", whole["c"][i:i + n]) for i, n in ((r.randrange(len(whole["c"])), r.randint(1, 120)) for _ in range(60))]
+    asked += [("c", whole["c"]), ("c", "gam\n\n---\n\nfile"), ("c", "gam\n\n---\n\nfilm"), ("c", "beta\n\n---\n\n"), ("c", "end\n\n---\n\n"), ("e", "alone"),
+              ("e", "alpha"), ("c", "中文"), ("c", "aa"), ("x", "alone")]
+    asks = spark.createDataFrame(asked, "claim_id string, source_text string")
+    got = {tuple(x) for x in merge.found_in_context(asks, merge.claim_context(table, asks)).collect()}
+    assert got == {(c, s) for c, s in asked if s and s in whole.get(c, "")}
