@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.naming import claim_title, sanitize_title
+from ..staging import stage
 
 
 def task_files_summary(tasks: DataFrame, files: DataFrame, risks: DataFrame, items: DataFrame,
@@ -71,22 +72,19 @@ def task_state(events: DataFrame, states: dict[str, str] | None = None) -> DataF
 def event_timeline(events: DataFrame) -> DataFrame:
     """Events of each task in (created_at, event_id) order with their position and the gap before.
 
-    A task's history may hold a large share of all events, so it is numbered in day slices: each
-    slice is numbered on its own, and the counts of earlier days are added.
+    Events are dealt out by ranges of (task, time, id), so a task with very many of them, on one day even, falls into
+    many parts. Each part is numbered on its own; a task's parts before it add their counts, one row for each.
     """
-    day = F.to_date("created_at").alias("day")
-    sliced = events.select("*", day)
-    days = sliced.groupBy("task_id", "day").agg(F.count("*").alias("n"), F.max("created_at").alias("last_at"))
-    w = W.partitionBy("task_id").orderBy("day")
-    offsets = days.select(
-        "task_id", "day",
-        F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.lag("last_at").over(w).alias("previous_last"))
-    inner = W.partitionBy("task_id", "day").orderBy("created_at", "event_id")
-    placed = sliced.select("*", F.row_number().over(inner).alias("k"), F.lag("created_at").over(inner).alias("prev"))
-    return placed.join(offsets, ["task_id", "day"]).select(
-        *events.columns, (F.col("k") + F.col("before")).alias("position"),
-        F.coalesce("prev", "previous_last").alias("previous_at"))
+    dealt = events.repartitionByRange("task_id", "created_at", "event_id").withColumn("_part", F.spark_partition_id())
+    rows = stage(dealt, "timeline-parts")
+    sizes = rows.groupBy("task_id", "_part").agg(F.count("*").alias("_n"), F.max("created_at").alias("_last"))
+    parts = W.partitionBy("task_id").orderBy("_part")
+    earlier = sizes.select("task_id", "_part", F.lag("_last").over(parts).alias("_previous"), F.coalesce(
+        F.sum("_n").over(parts.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inner = W.partitionBy("_part", "task_id").orderBy("created_at", "event_id")
+    placed = rows.select("*", F.row_number().over(inner).alias("_k"), F.lag("created_at").over(inner).alias("_gap"))
+    return placed.join(earlier, ["task_id", "_part"]).select(
+        *events.columns, (F.col("_k") + F.col("_before")).alias("position"), F.coalesce("_gap", "_previous").alias("previous_at"))
 
 
 def title_autofill(tasks: DataFrame, wide: DataFrame) -> DataFrame:
