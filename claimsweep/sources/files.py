@@ -40,25 +40,87 @@ def materials_from_bytes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materials, marked.where("reason is not null").select("path", "file_name", "reason")
 
 
-def empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, content)`` of zero-byte files below ``path``, which Spark's own listing leaves out.
+#: Partitions in which a folder of uploads is listed and read.
+LISTERS = 32
 
-    The file system is listed on the driver, as Spark does before any scan; only empty files are kept.
+
+def _file_source():
+    """A data source for all files below a folder: ``(path, content)``, empty files among them.
+
+    What stands directly in the folder is dealt out by name; each partition lists its own subfolders and reads its own
+    files, so nothing is listed on the driver. Of files that are too large for an upload only the beginning is read.
     """
-    context = spark.sparkContext
-    top = context._jvm.org.apache.hadoop.fs.Path(path)
-    found, files = [], top.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(top, True)
-    while files.hasNext():
-        file = files.next()
-        if file.getLen() == 0 and not file.getPath().getName().startswith(("_", ".")):
-            found.append((file.getPath().toString(), bytearray()))
-    return spark.createDataFrame(found, "path string, content binary")
+    import zlib
+
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    most = R.MAX_FILE_BYTES + 1
+
+    # classes of this function travel to the workers by value
+    class Reader(DataSourceReader):
+        def __init__(self, path, parts):
+            self.path, self.parts = path, parts
+
+        def partitions(self):
+            return [InputPartition(i) for i in range(self.parts)]
+
+        def read(self, partition):
+            from pyarrow import fs
+
+            files, top = fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
+            hidden = lambda name: name.startswith(("_", "."))
+            own = [x for x in files.get_file_info(fs.FileSelector(top)) if zlib.crc32(x.base_name.encode()) % self.parts == partition.value]
+            while own:
+                entry = own.pop()
+                if hidden(entry.base_name):
+                    continue
+                if entry.type == fs.FileType.Directory:
+                    own += files.get_file_info(fs.FileSelector(entry.path))
+                elif entry.type == fs.FileType.File:
+                    with files.open_input_stream(entry.path) as stream:
+                        yield entry.path, stream.read(most)
+
+    class Uploads(DataSource):
+        @classmethod
+        def name(cls):
+            return "claim_uploads"
+
+        def schema(self):
+            return "path string, content binary"
+
+        def reader(self, schema):
+            return Reader(self.options["path"], int(self.options["parts"]))
+
+    return Uploads
+
+
+def uploaded_files(spark: SparkSession, path: str, parts: int = LISTERS) -> DataFrame:
+    """``(path, content)`` of all files below a folder that all workers reach."""
+    spark.dataSource.register(_file_source())
+    return spark.read.format("claim_uploads").option("path", path).option("parts", parts).load()
+
+
+def write_files(files: DataFrame, path: str) -> int:
+    """Writes ``files(path, content)`` below a folder that all workers reach; a repeated task writes the same again."""
+    def write(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        out, top = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        for batch in batches:
+            for folder in {f"{top}/{p}".rpartition("/")[0] for p in batch["path"]}:
+                out.create_dir(folder)
+            for name, content in zip(batch["path"], batch["content"]):
+                with out.open_output_stream(f"{top}/{name}") as stream:
+                    stream.write(bytes(content))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def material_scan(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(materials, rejects) of the files below ``path``; zero-byte files are among the rejects."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return materials_from_bytes(files.select("path", "content").unionByName(empty_files(spark, path)))
+    return materials_from_bytes(uploaded_files(spark, path))
 
 
 def policy_rows(files: DataFrame) -> DataFrame:
