@@ -587,10 +587,12 @@ def hybrid_topk(x):
 
 
 def _city_hits(x, k):
-    """Keyword hits for the fixed question of every city the claims name, over the built-in clauses."""
+    """Keyword hits for the fixed question of every city the claims name, over the built-in and the published clauses."""
     asked = x.claims.select(F.col("travel_city").alias("city")).where("city is not null").distinct().select(
         F.col("city").alias("query_id"), "city", search.expand_city_query(F.col("city")).alias("text"))
-    corpus = x.chunks.select(F.col("chunk_id").alias("doc_id"), F.concat_ws(" ", "content", "section_path").alias("text"), "content", "ord")
+    clauses = [c.select(F.col("chunk_id").alias("doc_id"), F.concat_ws(" ", "content", "section_path").alias("text"), "content",
+                        F.concat(F.lit(first), F.col("ord").cast("string")).alias("ord")) for first, c in (("0", x.chunks), ("1", x.published))]
+    corpus = clauses[0].unionByName(clauses[1])
     hits = search.tfidf_search(asked, corpus, k, adjust_city=True)
     return hits.join(asked.select("query_id", "city", F.col("text").alias("query_text")), "query_id").join(
         corpus.select("doc_id", "content"), "doc_id")

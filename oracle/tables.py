@@ -88,7 +88,8 @@ hits as (select *, row_number() over (partition by query_id order by round(score
 FACTOR = f"""(case when query_id in {FIRST_TIER} then (case when contains(content, query_id) then 1.15 else 1.0 end)
   when contains(content, '其他城市') then 1.5 when contains(content, '的住宿标准') and ({' or '.join(f"contains(content, '{c}')" for c in P.FIRST_TIER_CITIES)}) then 0.4 else 1.0 end)"""
 CITY_QUERIES = "select distinct travel_city as query_id, travel_city || ' 住宿标准 差旅 报销 酒店' as text from claims where travel_city is not null"
-CHUNK_CORPUS = "select chunk_id as doc_id, content || ' ' || section as text, content, ord from chunks"
+CHUNK_CORPUS = ("select chunk_id as doc_id, content || ' ' || section as text, content, printf('0%06d', ord) as ord from chunks "
+                "union all select chunk_id, content || ' 4.2', content, '1' || chunk_id from clauses")
 
 
 def city_hits(k, select):
