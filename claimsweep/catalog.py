@@ -15,7 +15,7 @@ from .operators.checks import with_checks
 from .plans import audit as A
 from .rules import policies as P
 from .session import configure, shared_dir
-from .sources import files, synth
+from .sources import files, registry, synth
 from .staging import release, stage
 from .streaming import jobs
 
@@ -257,7 +257,12 @@ def registry_upsert(x):
     earlier = rows.where(F.substring("claim_id", -1, 1).isin("0", "4", "8")).select(
         "claim_id", "invoice_number", "invoice_date", F.lit("1.00").alias("invoice_amount"),
         (F.col("created_at") - F.make_dt_interval(days=F.lit(1))).alias("created_at"))
-    return duplicates.registry_upsert(earlier, rows).select(
+    path = shared_dir(x.spark, "registry")
+    table = "registry_" + path.rpartition("-")[2]
+    registry.create_registry(x.spark, table, path)
+    registry.upsert(x.spark, table, earlier)
+    registry.upsert(x.spark, table, rows)
+    return x.spark.table(table).select(
         "claim_id", "invoice_number", "invoice_date", "invoice_amount",
         F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
