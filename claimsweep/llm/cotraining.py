@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..staging import stage
 from .common import ship
-from .toxicity import calibrate, held_out, labels_or_none, one_each, sample
+from .toxicity import calibrate, held_out, labels_or_none, sample
 from .vocab import Cache
 
 #: Hashed features of each view; the text view has shape features beside them.
@@ -165,30 +165,29 @@ def odds_of(sent):
 
 
 def most_confident(odds: DataFrame, share: float, handed: int, sure: float) -> DataFrame:
-    """``(view, label, source, row, odds)``: what each view hands over from ``odds(row, source, text, meta)``.
+    """``(view, label, source, row, t, odds)``: what each view hands over from ``odds(row, t, source, text, meta)``.
 
     Of each label and source the rows that a view is most sure of: of all rows that it is sure of by ``sure`` or more,
     each label hands over ``handed`` by the labels' shares, and each source a part of these by its number of
-    such rows, one at least. Ties go to the smaller row. Ranks are cut in shares of a source before they meet.
+    such rows, one at least. Ties go to the smaller row, then ``t``. Ranks are cut in shares of a source before they meet.
     """
     limit = math.log(sure / (1 - sure))
     sides = [(view, label, sign, max(1, round(handed * part))) for view in VIEWS
              for label, sign, part in ((1, 1.0, share), (0, -1.0, 1 - share))]
-    each = odds.select("row", "source", F.explode(F.array(*[F.struct(
+    each = odds.select("row", "t", "source", F.explode(F.array(*[F.struct(
         F.lit(view).alias("view"), F.lit(label).alias("label"), F.lit(n).alias("wanted"), (sign * F.col(view)).alias("odds"))
-        for view, label, sign, n in sides])).alias("s")).select("row", "source", "s.*").where(F.col("odds") >= limit)
+        for view, label, sign, n in sides])).alias("s")).select("row", "t", "source", "s.*").where(F.col("odds") >= limit)
     sizes = each.groupBy("view", "label", "source").agg(F.count("*").alias("n"))
-    total = Window.partitionBy("view", "label")
-    sizes = sizes.withColumn("all", F.sum("n").over(total))
+    sizes = sizes.withColumn("all", F.sum("n").over(Window.partitionBy("view", "label")))
     key = ["view", "label", "source"]
-    order = [F.desc("odds"), "row"]
-    share_of = F.pmod(F.xxhash64("row"), F.lit(SPREAD))
+    order = [F.desc("odds"), "row", "t"]
+    share_of = F.pmod(F.xxhash64("row", "t"), F.lit(SPREAD))
     first = each.withColumn("place", F.row_number().over(Window.partitionBy(*key, share_of).orderBy(*order))).where("place <= wanted")
     first = first.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("place <= wanted")
     sized = sizes.select(*[F.col(c).alias(f"of_{c}") for c in key], "n", "all")
     met = first.join(sized, (F.col("view") == F.col("of_view")) & (F.col("label") == F.col("of_label")) & F.col("source").eqNullSafe(F.col("of_source")))
     part = F.greatest(F.lit(1), F.round(F.col("wanted") * F.col("n") / F.col("all")))
-    return met.where(F.col("place") <= part).select(*key, "row", "odds")
+    return met.where(F.col("place") <= part).select(*key, "row", "t", "odds")
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int = LABELLED_ROWS, n_bytes: int = SAMPLE_BYTES,
@@ -196,42 +195,44 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", rows: int =
     """Learns from a bounded sample of labelled rows that are not held out, and from all rows without a label.
 
     In each round both views score every unlabelled row, on the workers; what each is most sure of, in all sources,
-    goes over to the other one. The rows handed over are bounded by ``handed`` and the number of sources (a source
-    hands over one at least, up to ``handed`` sources by their most confident row).
+    goes over to the other one. Only numbers are shuffled for that; texts are fetched for the rows handed over.
+    These are bounded by ``handed`` (a source hands over one at least, up to that many sources by their surest row).
     """
     spark = docs.sparkSession
     found, share = sample(docs, labels, target, rows, n_bytes, extra=META)
     if not labels_or_none(found, labels, target, "none"):
         return None
     text, meta = features(found)
-    known = labels.where("doc_id is not null").select(F.col("doc_id").alias("known_id"))
-    free = one_each(docs, "doc_id", "text", META).join(known, F.col("doc_id") == F.col("known_id"), "left_anti")
-    free = stage(free.withColumnRenamed("doc_id", "row"), "cotraining-pool")
-    kept: dict[str, dict] = {view: {} for view in VIEWS}  # row -> (label, record) that a view was taught
+    known = labels.where("doc_id is not null").select(F.col("doc_id").alias("known_id")).distinct()
+    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), "text", *META)
+    kept: dict[str, dict] = {view: {} for view in VIEWS}  # rows that a view was taught: label and features
 
     def hand_over(model: Model):
         sent = spark.sparkContext.broadcast(model)
-        odds = free.select("row", "source", odds_of(sent)("text", "lang", "source", "n_chars").alias("o")).select("row", "source", "o.*")
-        picked = most_confident(stage(odds, "cotraining-odds"), share, handed, sure)
-        few = picked.orderBy(F.desc("odds"), "row").limit(4 * len(VIEWS) * handed)  # bounded, however many sources there are
-        own = few.join(free.drop("source"), "row").select("view", "label", "row", "source", "text", "lang", "n_chars")
+        odds = own.select("row", "t", "source", odds_of(sent)("text", *META).alias("o")).select("row", "t", "source", "o.*")
+        odds = stage(odds, "cotraining-odds").join(known, F.col("row") == F.col("known_id"), "left_anti")
+        picked = most_confident(odds.dropDuplicates(["row", "t", "source"]), share, handed, sure)
+        # bounded, however many sources there are
+        few = stage(picked.orderBy(F.desc("odds"), "row", "t").limit(4 * len(VIEWS) * handed), "cotraining-handed")
+        wanted = few.select(F.col("row").alias("r"), F.col("t").alias("u")).distinct()
+        texts = own.join(F.broadcast(wanted), (F.col("row") == F.col("r")) & (F.col("t") == F.col("u"))).groupBy("row", "t").agg(
+            F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), *META)).alias("x"))
         new, size = 0, 0
-        for r in own.orderBy("view", F.desc("label"), F.md5(F.col("row").cast("string")), "row").toLocalIterator():
+        for r in few.join(texts, ["row", "t"]).select("view", "label", "row", "t", "x.*").orderBy(
+                "view", F.desc("label"), F.md5(F.col("row").cast("string")), "row", "t").toLocalIterator():
             taught = kept[VIEWS[1 - VIEWS.index(r["view"])]]
-            size += len(r["text"].encode())
-            if r["row"] not in taught and size <= n_bytes:
-                taught[r["row"]] = (float(r["label"]), r["row"], features([r]))
+            key, length = (r["row"], r["t"]), len(r["text"].encode())
+            if key not in taught and size + length <= n_bytes:  # one that does not fit is passed over
+                taught[key] = (float(r["label"]), features([r]))
+                size += length
                 new += 1
-            elif r["row"] not in taught:
-                size -= len(r["text"].encode())  # passed over: it does not fit
         sent.destroy()
         if not new:
             return None
         out = []
-        for i, view in enumerate(VIEWS):
-            given = [kept[view][row] for row in sorted(kept[view])]
-            width = (TEXT_SIZE + SHAPES, META_SIZE)[i]
-            out.append((np.vstack([np.zeros((0, width), np.float32), *[f[i] for _, _, f in given]]), np.array([y for y, _, _ in given], float)))
+        for i, (view, width) in enumerate(zip(VIEWS, (TEXT_SIZE + SHAPES, META_SIZE))):
+            given = [kept[view][key] for key in sorted(kept[view])]
+            out.append((np.vstack([np.zeros((0, width), np.float32), *[f[i] for _, f in given]]), np.array([y for y, _ in given], float)))
         return out
 
     return co_train(text, meta, np.array([r["y"] for r in found], np.float64), share, hand_over, rounds)

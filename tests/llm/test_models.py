@@ -28,6 +28,46 @@ def test_gradients_against_differences():
             assert g[i] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=1e-5), name
 
 
+def plain_window(net, words):
+    """One window's score from the definition, a word at a time."""
+    p, h3 = {k: v.astype(np.float64) for k, v in net.p.items()}, toxicity.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    if not words:
+        return float(p["base"][0])
+    xs = [np.concatenate([p["words"][net.known[w]] if net.known.get(w, 0) else np.zeros(toxicity.WORD_SIZE),
+                          np.mean([p["chars"][g] for g in toxicity.trigrams(w)], axis=0)]) for w in words]
+
+    def states(seq, way):
+        h, out = np.zeros(h3), []
+        for x in seq:
+            a, g = x @ p["in"][way] + p["bias"][way, 0], h @ p["state"][way]
+            z, r = sig(a[:h3] + g[:h3]), sig(a[h3:2 * h3] + g[h3:2 * h3])
+            n = np.tanh(a[2 * h3:] + r * g[2 * h3:])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    both = [np.concatenate(pair) for pair in zip(states(xs, 0), states(xs[::-1], 1)[::-1])]
+    look = np.array([np.tanh(b @ p["look"]) @ p["mark"] for b in both])
+    weight = np.exp(look - look.max())
+    return float(sum(w * b for w, b in zip(weight / weight.sum(), both)) @ p["out"] + p["base"][0])
+
+
+def test_scores_against_a_plain_forward_pass():
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(50)] + ["Ünï", "日本", "x" * 40]
+    net = toxicity.Network.start({w: i + 1 for i, w in enumerate(words[:30])}, np.random.default_rng(1))
+    net.p = {k: (v * 3).astype(np.float32) for k, v in net.p.items()}
+    net.scale, net.shift = 1.7, -0.4
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 1, 5, 31, 32, 33, 57, 130)] + [None]
+    got = net.probabilities(texts)
+    for text, score in zip(texts, got):
+        own = toxicity.text_words(text)
+        starts = toxicity.window_starts(len(own))
+        best = max(plain_window(net, own[s:s + toxicity.WINDOW]) for s in starts)
+        assert score == pytest.approx(1 / (1 + np.exp(-(net.scale * best + net.shift))), abs=2e-4)
+
+
 def test_windows_cover_every_word_and_overlap():
     for n in (0, 1, 32, 33, 56, 57, 200):
         starts = toxicity.window_starts(n)
@@ -115,7 +155,8 @@ def test_what_is_handed_over_against_the_definition(spark):
     r = random.Random(4)
     rows = [(i, r.choice(["a", "a", "a", "b", None]), r.gauss(0, 4), r.gauss(1, 3)) for i in range(900)] + [(5000 + i, "c", 4.0, 4.0) for i in range(40)]
     share, handed, sure = 0.3, 50, 0.9
-    got = cotraining.most_confident(spark.createDataFrame(rows, "row long, source string, text double, meta double"), share, handed, sure)
+    table = spark.createDataFrame(rows, "row long, source string, text double, meta double").withColumn("t", F.lit(0).cast("long"))
+    got = cotraining.most_confident(table, share, handed, sure)
     limit = np.log(sure / (1 - sure))
     expected = set()
     for at, view in ((2, "text"), (3, "meta")):
