@@ -86,8 +86,8 @@ def category_breakdown(results: DataFrame) -> DataFrame:
     return results.groupBy("category").agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed_cases"))
 
 
-#: Bits of the ordered image that a round looks at, and values of a range that are listed one by one.
-DIGIT, LISTED = 16, 50_000
+#: Ranges that a round divides a range into, and values of a range that are listed one by one.
+RANGES, LISTED = 1 << 16, 50_000
 #: Bits of the ordered image, and of the part of it below the exponent.
 IMAGE, FRACTION = 63, 50
 
@@ -107,11 +107,12 @@ def ordered_image(v: Column) -> Column:
     return F.when(F.isnan(v), F.lit((1 << IMAGE) - 1)).otherwise(image)
 
 
-def nearest_rank_percentile(values: DataFrame, key: str, value: str, quantiles, listed: int = LISTED) -> DataFrame:
+def nearest_rank_percentile(values: DataFrame, key: str, value: str, quantiles, ranges: int = RANGES,
+                            listed: int = LISTED) -> DataFrame:
     """The element at the half-even rounded rank ``q * (n - 1)`` per key, one decimal; ``n`` values that are not null.
 
-    Radix selection: a round counts values by the next leading bits of their ordered image, which says under which
-    bits each wanted rank lies, and only values there go on. Counts combine map-side and rounds depend on the bits
+    Radix selection: a round counts values by the next leading bits of their ordered image (as many as tell ``ranges``
+    apart), which says under which bits each wanted rank lies, and only values there go on. Counts combine map-side and rounds depend on the bits
     alone, so one value far off the others changes nothing. Rounds end when no wanted range holds more than ``listed``
     values, or no bit is left; then equal values are counted together and few different ones are put in order.
     """
@@ -124,7 +125,7 @@ def nearest_rank_percentile(values: DataFrame, key: str, value: str, quantiles,
         for name, q in quantiles.items()])).alias("a")).select("k", "head", "size", "a.*")
     left = IMAGE
     while left and (asked.agg(F.max("size")).first()[0] or 0) > listed:
-        step = min(DIGIT, left)
+        step = min(max(1, ranges.bit_length() - 1), left)
         inside = _in_ranges(rows, asked, left)
         left -= step
         counts = inside.groupBy("k", "head", F.shiftright("image", left).alias("next")).agg(F.count("*").alias("c"))

@@ -28,7 +28,7 @@ def test_ranks_with_values_far_off(spark, listed):
             "odd": [float("inf"), float("-inf"), 5e-324, -5e-324, 1.7e308, -1.7e308] * 3, None: [float(i) for i in range(50)]}
     rows = [(k, v) for k, vs in keys.items() for v in vs] + [("far", None), ("none", None)]
     r.shuffle(rows)
-    got = evaluate.nearest_rank_percentile(spark.createDataFrame(rows, "k string, v double"), "k", "v", QUANTILES, listed).collect()
+    got = evaluate.nearest_rank_percentile(spark.createDataFrame(rows, "k string, v double"), "k", "v", QUANTILES, listed=listed).collect()
     assert {x["k"] for x in got} == set(keys)
     for x in got:
         own = keys[x["k"]]
