@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimsweep.functions import materials as FM
+from claimsweep.operators import merge
 from claimsweep.rules import materials as R
 
 
@@ -18,3 +19,14 @@ def test_text_is_folded_for_words_with_case_only(spark):
     assert sorted(found.collect()) == sorted(every.collect())
     cased = sum(w != w.upper() for groups in R.INJECTION_WORDS for ws in groups for w in ws)
     assert _plan(found).count("lower(upper(") <= cased
+
+
+def test_context_of_a_claim_needs_no_join_with_itself(spark):
+    pages = [("a", 1, None, "f", 1, "x"), ("a", 2, "d2", "g", 1, "y"), ("a", 3, "d3", "h", 1, "z"), ("b", 1, None, "f", 1, "x"),
+             ("b", 2, "d9", "f", 1, None), ("c", 1, "d1", "f", 1, "x")]
+    table = spark.createDataFrame(pages, "claim_id string, file_order int, document_id string, file_name string, page_no int, text string")
+    context = merge.claim_context(table, spark.createDataFrame([("a",), ("b",)], "claim_id string"))
+    block = lambda name, d, t: f"file={name}\ndocument_id={d}\npage=1\n{t}"
+    assert sorted((r.claim_id, r["at"] or 0, r.shown, r.first_document_id) for r in context.collect()) == [
+        ("a", 1, block("g", "d2", "y") + merge.BETWEEN, None), ("a", 2, block("h", "d3", "z"), None), ("b", 0, None, None)]
+    assert _plan(context).count("Join") == 1
