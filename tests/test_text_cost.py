@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimsweep.functions import materials as FM
-from claimsweep.operators import merge
+from claimsweep.operators import extract, merge
 from claimsweep.rules import materials as R
 
 
@@ -30,3 +30,13 @@ def test_context_of_a_claim_needs_no_join_with_itself(spark):
     assert sorted((r.claim_id, r["at"] or 0, r.shown, r.first_document_id) for r in context.collect()) == [
         ("a", 1, block("g", "d2", "y") + merge.BETWEEN, None), ("a", 2, block("h", "d3", "z"), None), ("b", 0, None, None)]
     assert _plan(context).count("Join") == 1
+
+
+def test_later_patterns_run_only_without_an_earlier_hit(spark):
+    pages = [(1, "发票金额：12.50\n价税合计（小写）￥99.00"), (2, "价税合计：壹佰元整\n（小写）￥99.00"), (3, "住宿金额 无"), (4, "收款方：复核")]
+    table = spark.createDataFrame([("c", n, "d", 1, t) for n, t in pages],
+                                  "claim_id string, file_order int, document_id string, page_no int, text string")
+    hits = extract.with_field_hits(table)
+    got = {r.file_order: (r.f_invoice_amount and r.f_invoice_amount.value, r.f_payment_party) for r in hits.collect()}
+    assert got == {1: ("12.50", None), 2: ("99.00", None), 3: (None, None), 4: (None, None)}
+    assert "s_invoice_amount_0" not in _plan(hits)  # the matched text is cut out for accepted values only
