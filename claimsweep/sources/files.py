@@ -40,21 +40,23 @@ def materials_from_bytes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materials, marked.where("reason is not null").select("path", "file_name", "reason")
 
 
-#: Partitions in which a folder of uploads is listed and read.
+#: Partitions in which a folder of uploads is listed, and the fewest in which its files are read.
 LISTERS = 32
+#: Paths that a lister hands over at a time, and bytes of files that a reader does.
+PATHS, READ_BYTES = 10_000, 1 << 25
 
 
 def _file_source():
-    """A data source for all files below a folder: ``(path, content)``, empty files among them.
+    """A data source that names all files below a folder: ``(path)``, empty files among them.
 
-    What stands directly in the folder is dealt out by name; each partition lists its own subfolders and reads its own
-    files, so nothing is listed on the driver. Of files that are too large for an upload only the beginning is read.
+    What stands directly in the folder is dealt out by name; each partition lists its own subfolders, so nothing is
+    listed on the driver.
     """
     import zlib
 
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-    most = R.MAX_FILE_BYTES + 1
+    batch = PATHS
 
     # classes of this function travel to the workers by value
     class Reader(DataSourceReader):
@@ -65,11 +67,14 @@ def _file_source():
             return [InputPartition(i) for i in range(self.parts)]
 
         def read(self, partition):
+            import pyarrow as pa
             from pyarrow import fs
 
             files, top = fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
             hidden = lambda name: name.startswith(("_", "."))
+            handed = lambda paths: pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
             own = [x for x in files.get_file_info(fs.FileSelector(top)) if zlib.crc32(x.base_name.encode()) % self.parts == partition.value]
+            paths = []
             while own:
                 entry = own.pop()
                 if hidden(entry.base_name):
@@ -77,8 +82,11 @@ def _file_source():
                 if entry.type == fs.FileType.Directory:
                     own += files.get_file_info(fs.FileSelector(entry.path))
                 elif entry.type == fs.FileType.File:
-                    with files.open_input_stream(entry.path) as stream:
-                        yield entry.path, stream.read(most)
+                    paths.append(entry.path)
+                if len(paths) >= batch:
+                    yield handed(paths)
+                    paths = []
+            yield handed(paths)
 
     class Uploads(DataSource):
         @classmethod
@@ -86,7 +94,7 @@ def _file_source():
             return "claim_uploads"
 
         def schema(self):
-            return "path string, content binary"
+            return "path string"
 
         def reader(self, schema):
             return Reader(self.options["path"], int(self.options["parts"]))
@@ -95,9 +103,33 @@ def _file_source():
 
 
 def uploaded_files(spark: SparkSession, path: str, parts: int = LISTERS) -> DataFrame:
-    """``(path, content)`` of all files below a folder that all workers reach."""
+    """``(path, content)`` of all files below a folder that all workers reach.
+
+    Paths are dealt out before files are read, so one full folder is read by all tasks. Of files that are too large for
+    an upload only the beginning is read.
+    """
     spark.dataSource.register(_file_source())
-    return spark.read.format("claim_uploads").option("path", path).option("parts", parts).load()
+    paths = spark.read.format("claim_uploads").option("path", path).option("parts", parts).load()
+    n = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most, bound = R.MAX_FILE_BYTES + 1, READ_BYTES
+
+    def read(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        files = fs.FileSystem.from_uri(path)[0] if ":" in path else fs.LocalFileSystem()
+        for batch in batches:
+            rows, size = [], 0
+            for name in batch["path"]:
+                with files.open_input_stream(name) as stream:
+                    rows.append((name, stream.read(most)))
+                size += len(rows[-1][1])
+                if size >= bound:
+                    yield pd.DataFrame(rows, columns=["path", "content"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return paths.repartition(n, "path").mapInPandas(read, "path string, content binary")
 
 
 def write_files(files: DataFrame, path: str) -> int:
