@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.naming import claim_title, sanitize_title
+from ..functions.naming import sanitize_title, with_claim_title
 from ..staging import stage
 
 
@@ -94,11 +94,11 @@ def title_autofill(tasks: DataFrame, wide: DataFrame) -> DataFrame:
     start = F.coalesce("x_travel_start_date", "x_invoice_date")
     end = F.coalesce("x_travel_end_date", "x_invoice_date")
     own = F.nullif(F.coalesce("applicant", F.lit("")), F.lit(""))
-    auto = claim_title(F.coalesce(own, F.col("x_applicant_name")), F.col("expense_type"), start, end,
-                       F.col("note"), F.col("claim_id"))
-    return tasks.join(fields, "claim_id", "left").select(
+    titled = with_claim_title(tasks.join(fields, "claim_id", "left"), "auto", F.coalesce(own, F.col("x_applicant_name")),
+                              F.col("expense_type"), start, end, F.col("note"), F.col("claim_id"))
+    return titled.select(
         *[c for c in tasks.columns if c != "title"],
-        F.when(F.col("title_locked"), sanitize_title(F.col("title"))).otherwise(auto).alias("title"))
+        F.when(F.col("title_locked"), sanitize_title(F.col("title"))).otherwise(F.col("auto")).alias("title"))
 
 
 def dedupe_documents(documents: DataFrame, content: str = "content", key: str = "doc_id") -> DataFrame:

@@ -2,9 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from claimsweep.functions import naming
 from claimsweep.sources import files
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_files_of_one_folder_are_read_by_many_tasks(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
     for n in range(60):
@@ -14,3 +19,17 @@ def test_files_of_one_folder_are_read_by_many_tasks(spark, tmp_path):
     rows = files.uploaded_files(spark, str(tmp_path)).select("path", F.length("content").alias("n"), F.spark_partition_id().alias("task")).collect()
     assert sorted(r["n"] for r in rows) == sorted([*range(60), 3])
     assert len({r["task"] for r in rows}) > 10
+
+
+def test_titles_in_steps_are_those_of_one_expression(spark):
+    notes = ["", None, "  客户 拜访 ", "2019.2.19 出差 7", "张三 2019-2-19 会议", "2019年2月19日\t会议", "2019.2.19\n甲\n乙"]
+    dates = [("2026-09-18", "2026-09-19"), ("2026-09-18", "2027-01-02"), ("2026-09-18", "2026-09-18"), (None, "2026-9-1"), ("x", ""), ("2026-13-01", "2026-01-02")]
+    rows = [(f"c{i}", who, kind, a, b, note) for i, who in enumerate(("张三", " ", None, "李\t四")) for kind in ("HOTEL", "hotel ", "机票x", "", None, "其他")
+            for a, b in dates for note in notes]
+    df = spark.createDataFrame(rows, "claim_id string, who string, kind string, a string, b string, note string")
+    parts = [F.col(c) for c in ("who", "kind", "a", "b", "note", "claim_id")]
+    both = naming.with_claim_title(df.withColumn("whole", naming.claim_title(*parts)), "title", *parts)
+    assert both.columns == [*df.columns, "whole", "title"]
+    assert both.where(~F.col("title").eqNullSafe(F.col("whole"))).count() == 0
+    steps = plan_of(naming.with_claim_title(df, "title", *parts))
+    assert steps.count("regexp_extract(") == 6 and steps.count("regexp_replace(") <= 11
