@@ -1,8 +1,11 @@
 """What the queries over all claims read, open and search, and how often."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from claimsweep.functions import naming
+from claimsweep.operators import merge
 from claimsweep.sources import files
 
 
@@ -21,6 +24,21 @@ def test_files_of_one_folder_are_read_by_many_tasks(spark, tmp_path):
     assert len({r["task"] for r in rows}) > 10
 
 
+def test_wrappers_are_opened_without_making_rows(spark, monkeypatch):
+    lists, whole = [], merge._opened
+    monkeypatch.setattr(merge, "_opened", lambda rows, keys: lists.append(1) or whole(rows, keys))
+
+    def fields(*values):
+        bodies = [(str(n), json.dumps({"words_result": {"PurchaserName": v}})) for n, v in enumerate(values)]
+        rows = merge.structured_response_fields(spark.createDataFrame(bodies, "claim_id string, body string")).collect()
+        return {int(r["claim_id"]): r["value"] for r in rows}
+
+    assert fields("a", {"text": {"value": {"word": {"content": "b"}}}}, {}, {"text": ""}, {"text": {}}, None, "", 7, {"value": "", "word": "c"}) == {
+        0: "a", 1: "b", 7: "7", 8: "c"}
+    assert not lists
+    assert fields(["a", {"text": ["b", {"word": "c"}]}], {"value": {"text": ["d"]}}) == {0: "a b c", 1: "d"} and lists
+
+
 def test_titles_in_steps_are_those_of_one_expression(spark):
     notes = ["", None, "  客户 拜访 ", "2019.2.19 出差 7", "张三 2019-2-19 会议", "2019年2月19日\t会议", "2019.2.19\n甲\n乙"]
     dates = [("2026-09-18", "2026-09-19"), ("2026-09-18", "2027-01-02"), ("2026-09-18", "2026-09-18"), (None, "2026-9-1"), ("x", ""), ("2026-13-01", "2026-01-02")]
