@@ -4,9 +4,18 @@ import json
 
 from pyspark.sql import functions as F
 
+from claimsweep import catalog
 from claimsweep.functions import naming
-from claimsweep.operators import merge
-from claimsweep.sources import files
+from claimsweep.operators import extract, merge
+from claimsweep.plans import audit as A
+from claimsweep.sources import files, synth
+
+
+def inputs(spark, tmp_path, n=70):
+    orders = spark.range(1, n + 1).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7).alias("o_custkey"), F.lit(100.5).alias("o_totalprice"),
+                                          F.lit("1997-03-01 00:00:00").cast("timestamp_ntz").alias("o_orderdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    return catalog.Inputs(spark, str(tmp_path))
 
 
 def plan_of(df):
@@ -24,6 +33,26 @@ def test_files_of_one_folder_are_read_by_many_tasks(spark, tmp_path):
     assert len({r["task"] for r in rows}) > 10
 
 
+def test_rule_fields_need_no_structured_responses(spark, tmp_path, monkeypatch):
+    x = inputs(spark, tmp_path)
+    monkeypatch.setattr(merge, "structured_response_fields", None)
+    wanted = sorted(map(str, extract.field_extract(x.materials).collect()))
+    assert wanted and sorted(map(str, x.rule_fields.collect())) == wanted
+
+
+def test_originals_are_read_for_corrected_claims_only(spark, tmp_path, monkeypatch):
+    x = inputs(spark, tmp_path, 130)
+    read, whole = [], A.document_facts
+    monkeypatch.setattr(A, "document_facts", lambda pages, *a, **k: read.append(pages) or whole(pages, *a, **k))
+    monkeypatch.setattr(catalog.Inputs, "of", classmethod(lambda cls, spark, sf_dir: x))
+    got = catalog.QUERIES["correction_latest"](spark, x.sf_dir).collect()
+    edited = {r["claim_id"] for r in synth.corrections(x.claims).collect()}
+    assert {r["claim_id"] for r in got} == edited and len(edited) == 2
+    assert {r["claim_id"] for r in read[0].collect()} == edited
+    fields = {(r["claim_id"], r["name"]): r["value"] for r in x.rule_fields.collect()}
+    assert all(r["original_value"] == fields.get((r["claim_id"], r["field_name"])) for r in got)
+
+
 def test_wrappers_are_opened_without_making_rows(spark, monkeypatch):
     lists, whole = [], merge._opened
     monkeypatch.setattr(merge, "_opened", lambda rows, keys: lists.append(1) or whole(rows, keys))
