@@ -1,12 +1,13 @@
 """What the queries over all claims read, open and search, and how often."""
 
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
 
 from claimsweep import catalog
-from claimsweep.functions import naming
-from claimsweep.operators import extract, merge
+from claimsweep.functions import naming, values
+from claimsweep.operators import extract, merge, policy
 from claimsweep.plans import audit as A
 from claimsweep.sources import files, synth
 
@@ -33,6 +34,35 @@ def test_files_of_one_folder_are_read_by_many_tasks(spark, tmp_path):
     assert len({r["task"] for r in rows}) > 10
 
 
+def test_clauses_are_sought_once_for_claims_that_ask_alike(spark, monkeypatch):
+    names = "claim_id string, expense_type string, city string, department string, as_of string"
+    asks = [("TRAVEL", "北京市", "研发部", "1997-03-01"), ("TRAVEL", None, None, "1997-03-01"), ("TRAVEL", "成都", None, None),
+            ("MEDICAL", "北京", None, "1997-03-01"), ("PURCHASE", None, "ALL", "1997-03-01"), (None, "上海", "ALL", "1997-03-01")]
+    claims = spark.createDataFrame([(f"c{n}", *asks[n % len(asks)]) for n in range(60)] + [("c0", *asks[0]), (None, *asks[0])], names)
+    clauses = spark.createDataFrame(
+        [(f"P{i}", f"{c}的住宿标准为300元/晚。", t) for i, (c, t) in enumerate((("北京", "TRAVEL"), ("上海", ""), ("成都", "TRAVEL"), ("北京", "MEDICAL")))],
+        "chunk_id string, content string, expense_type string").select(
+            "*", F.col("chunk_id").alias("ord"), F.lit("p").alias("policy_id"), F.lit("4").alias("section_path"), F.lit("V1").alias("version"),
+            F.lit("ALL").alias("department"), F.lit("").alias("effective_from"), F.lit("").alias("effective_to"))
+    base, asked = policy.baseline_chunks(spark), []
+    for name in ("clause_match_city", "clause_match_expense"):
+        whole = getattr(policy, name)
+        monkeypatch.setattr(policy, name, lambda df, *a, whole=whole: asked.append(df.count()) or whole(df, *a))
+    for published in (None, clauses):
+        asked.clear()
+        got = A.with_evidence(claims, base, published)
+        assert sorted(asked) == [2, 3]
+        assert got.columns == [*claims.columns, "evidence"]
+        travel = claims.where("expense_type = 'TRAVEL'")
+        other = claims.where("expense_type <> 'TRAVEL'")
+        alone = policy.clause_match_city(travel, base, published).unionByName(policy.clause_match_expense(other, base, published))
+        wanted = {r["claim_id"]: r["evidence"] for r in alone.where("claim_id is not null").collect()}
+        rows = got.collect()
+        assert len(rows) == 60 - 1 + 4 + 1  # a repeated claim id meets its clauses twice, as before
+        assert all(r["evidence"] == wanted.get(r["claim_id"], []) for r in rows if r["claim_id"] is not None)
+        assert any(wanted.values())
+
+
 def test_rule_fields_need_no_structured_responses(spark, tmp_path, monkeypatch):
     x = inputs(spark, tmp_path)
     monkeypatch.setattr(merge, "structured_response_fields", None)
@@ -68,6 +98,16 @@ def test_wrappers_are_opened_without_making_rows(spark, monkeypatch):
     assert fields(["a", {"text": ["b", {"word": "c"}]}], {"value": {"text": ["d"]}}) == {0: "a b c", 1: "d"} and lists
 
 
+def test_a_reply_is_searched_and_parsed_once(spark):
+    replies = spark.createDataFrame([("a", '说明 {"fields": {"x": {"value": "1"}}} 完'), ("b", "{x}"), ("c", "none"), ("d", None), ("e", '{"fields": {"x": {"page_no": 0}}}')],
+                                    "claim_id string, payload string")
+    parsed = merge.parse_candidates(replies)
+    assert plan_of(parsed).count("regexp_extract(") <= 2  # one search, compared and kept
+    got = {r["claim_id"]: (r["fields"] and r["fields"]["x"]["value"], r["error_type"]) for r in parsed.collect()}
+    assert got == {"a": ("1", None), "b": (None, "json_format_error"), "c": (None, "json_format_error"), "d": (None, "json_format_error"),
+                   "e": (None, "schema_validation_error")}
+
+
 def test_titles_in_steps_are_those_of_one_expression(spark):
     notes = ["", None, "  客户 拜访 ", "2019.2.19 出差 7", "张三 2019-2-19 会议", "2019年2月19日\t会议", "2019.2.19\n甲\n乙"]
     dates = [("2026-09-18", "2026-09-19"), ("2026-09-18", "2027-01-02"), ("2026-09-18", "2026-09-18"), (None, "2026-9-1"), ("x", ""), ("2026-13-01", "2026-01-02")]
@@ -80,3 +120,11 @@ def test_titles_in_steps_are_those_of_one_expression(spark):
     assert both.where(~F.col("title").eqNullSafe(F.col("whole"))).count() == 0
     steps = plan_of(naming.with_claim_title(df, "title", *parts))
     assert steps.count("regexp_extract(") == 6 and steps.count("regexp_replace(") <= 11
+
+
+def test_iso_days_need_no_loose_pattern(spark):
+    texts = ["1997-03-01", "1997-02-30", "0997-03-01", "0000-01-01", "1997-3-1", " 1997-03-01", "1997-03-01\n", "1997-03-01 x", "19970301", "2026年8月1日",
+             "1997/03/01", "12-3-4", "", None, "１９９７-03-01", "1997-13-01", "1997-00-10"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").select("c", values.date_parse(F.col("c")).alias("a"), values._loose_date(F.col("c")).alias("b"))
+    assert df.where("not (a <=> b)").count() == 0
+    assert {r["c"]: r["a"] for r in df.collect()}["1997-03-01"] == dt.date(1997, 3, 1)
