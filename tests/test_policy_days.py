@@ -85,3 +85,42 @@ def test_published_clauses_of_a_city(spark):
             first = [c[1] for c in own if a[0] in c[3] and holds(c, *a[1:])][:keep]
             mine = sorted((r["ord"], r["chunk_id"]) for r in got if (r["city"], r["department"], r["expense_type"], r["as_of"]) == a)
             assert [c for _, c in mine[:keep]] == first
+
+
+CLAIM = "claim_id string, department string, expense_type string, as_of string"
+
+
+def joined(spark, claims, own, **options):
+    table = spark.createDataFrame(own, CHUNK).drop("ord")
+    documents = table.select("policy_id", F.lit("published").alias("status"))
+    return policy.policy_as_of_join(spark.createDataFrame(claims, CLAIM), table, documents, **options)
+
+
+@pytest.mark.parametrize("share", [3, 1024])
+def test_every_claim_meets_every_clause_in_force(spark, share):
+    own = clauses(6, 200) + clauses(6, 5)  # the first clauses twice
+    own += [(f"x{i}", f"X{i}", "1", "", f"PX{i}", "V1", "ALL", "TRAVEL", since, until) for i, (since, until) in enumerate(
+        [("2024-1-5", ""), ("", "2024-01"), ("soon", "2024-02-01"), ("", "+10000-01-01"), (None, ""), ("2024-01-01", "never")])]
+    days = [*asking(7, 40), ("市场部", "TRAVEL", "2024-1-7"), ("ALL", "TRAVEL", None), (None, None, day(10)), ("研发部", "OTHER", "no day")]
+    claims = [(f"c{i % 90}", *days[i % len(days)]) for i in range(200)]  # some claims twice
+    filled = [(c, d or "", t or "TRAVEL", a) for c, d, t, a in claims]
+    dated = [r for r in filled if r[3] and r[3] != "no day"]
+    expected = sorted((*r, c[1], c[4]) for r in dated for c in own if c[8] is not None and holds(c, *r[1:]) and c[8] != "soon" and (c[9] or "") != "never")
+    got = joined(spark, claims, own, share=share)
+    assert got.columns == ["department", "expense_type", "as_of", "claim_id", *policy.CLAUSE_COLUMNS]
+    names = ("claim_id", "department", "expense_type", "as_of", "chunk_id", "policy_id")
+    plain = [r for r in got.select(*names).collect() if r["as_of"] != "2024-1-7" and not r["chunk_id"].startswith("X")]
+    assert sorted(map(tuple, plain)) == [r for r in expected if r[3] != "2024-1-7" and not r[4].startswith("X")]
+    table = spark.createDataFrame(own, CHUNK)  # odd ends and days: as one by one
+    asked = spark.createDataFrame(filled, CLAIM)
+    single = policy.applicable_chunks(asked.select("department", "expense_type", "as_of"), table)
+    every = asked.join(single, ["department", "expense_type", "as_of"]).select(*names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_the_product_of_one_frequent_day_is_dealt_out(spark):
+    claims = [(f"c{i}", "市场部", "TRAVEL", day(5)) for i in range(9000)]
+    own = [(f"{i:04d}", f"K{i}", "1", "", f"P{i}", "V1", "ALL", "TRAVEL", "", "") for i in range(100)]
+    rows = joined(spark, claims, own).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    sizes = [r["count"] for r in rows]
+    assert sum(sizes) == 9000 * 100 and max(sizes) < 0.6 * sum(sizes)
